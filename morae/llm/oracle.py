@@ -1,3 +1,5 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+from . import licenses, quality
+
+SQL: dict[str, str] = {"op1_license_scans": licenses.sql(), "op2_quality_rules": quality.sql()}
