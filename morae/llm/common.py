@@ -7,7 +7,9 @@ long text) and not on the table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,14 +31,34 @@ def documents(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in spark.checkpoint.dir; a folder of our own only where it is unset."""
-    sc = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir that checkpoints go to; a folder of our own only where it is unset."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/morae-checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """A table written in the shared folder for as long as the block needs it: columnar, so smaller than a checkpoint."""
+    spark = df.sparkSession
+    path = f"{_shared(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def buckets(df: DataFrame, mb: float) -> int:
     """How many buckets hold about so many MB of this input each: grows in proportion with the input."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -143,14 +143,14 @@ def repeated_paths(docs: DataFrame, k: int = K, bucket_mb: float = 8) -> DataFra
                 yield c.named(RUNS, **found)
 
     dealt = docs.mapInArrow(lambda batches: _edges(batches, k, buckets), "bucket long, payload binary").repartition(buckets, "bucket")
-    runs = c.checkpoint(dealt.mapInArrow(meet, RUNS_DDL))
-    # a run goes on with another where both end at the same node, in the document and in the source
-    ends = runs.select("doc", "src", (F.col("start") + F.col("n")).alias("start"), (F.col("src_start") + F.col("n")).alias("src_start"), F.lit(0).alias("head"))
-    linked = runs.join(ends, ["doc", "src", "start", "src_start"], "left")
-    line = Window.partitionBy("doc", "src", F.col("start") - F.col("src_start")).orderBy("start")
-    numbered = linked.withColumn("diagonal", F.col("start") - F.col("src_start")).withColumn("path", F.sum(F.coalesce("head", F.lit(1))).over(line))
-    paths = numbered.groupBy("doc", "src", "diagonal", "path").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.min("src_start").alias("src_start"))
-    return paths.select("doc", "start", "n", "src", "src_start")
+    with c.stored(dealt.mapInArrow(meet, RUNS_DDL)) as runs:
+        # a run goes on with another where both end at the same node, in the document and in the source
+        ends = runs.select("doc", "src", (F.col("start") + F.col("n")).alias("start"), (F.col("src_start") + F.col("n")).alias("src_start"), F.lit(0).alias("head"))
+        linked = runs.join(ends, ["doc", "src", "start", "src_start"], "left").withColumn("diagonal", F.col("start") - F.col("src_start"))
+        line = Window.partitionBy("doc", "src", "diagonal").orderBy("start")
+        numbered = linked.withColumn("path", F.sum(F.coalesce("head", F.lit(1))).over(line))
+        paths = numbered.groupBy("doc", "src", "diagonal", "path").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.min("src_start").alias("src_start"))
+        return c.checkpoint(paths.select("doc", "start", "n", "src", "src_start"))
 
 
 CUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("own", pa.list_(pa.int64())), ("lent", pa.list_(pa.int64()))])
@@ -208,7 +208,7 @@ def _spans(paths: DataFrame, docs: DataFrame) -> DataFrame:
 def remove(df: DataFrame, k: int = K, texts: bool = True) -> DataFrame:
     """doc_id, text (kept words joined by one space; unchanged where nothing goes), n_words, n_removed, kept_sha256."""
     docs = c.documents(df)
-    paths = c.checkpoint(repeated_paths(docs, k))
+    paths = repeated_paths(docs, k)
 
     def cut(paths: DataFrame) -> DataFrame:
         given = _spans(paths, docs)
