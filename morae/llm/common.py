@@ -45,6 +45,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A table written as Parquet in the shared folder, which the caller of the result goes on reading."""
+    path = f"{_shared(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 @contextmanager
 def stored(df: DataFrame) -> Iterator[DataFrame]:
     """A table written in the shared folder for as long as the block needs it: columnar, so smaller than a checkpoint."""
