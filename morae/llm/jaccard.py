@@ -10,11 +10,11 @@ parts are left out: as soon as the larger set has more than D parts that are not
 again with other hashes until every set has been safe once.
 
 A set stands for all documents that have it (a hash of the set names it), so copies never multiply. Sets that meet under a
-key are a group; equal groups are kept once. In a group, sets of different components are compared by bit sketches
-(parity again), in blocks inside their task; first each set brings out only its nearest partner, which after
-verification on the whole sets makes most of a group one component; when that finds no more links, all pairs come out
-that the sketches allow and that are still in different components. So no link is lost, and a family of copies costs its
-links, not its pairs.
+key are a group. Small groups give their pairs, which are compared by bit sketches (parity again) and verified on the whole
+sets. Large groups are kept once each: sets of different components are compared by bit sketches in blocks inside
+their task; first each set brings out only its nearest partner, which makes most of a group one component; when that
+finds no more links, all pairs come out that the sketches allow and that are still in different components. So no link
+is lost, and a family of copies costs its links, not its pairs.
 
 Null or blank text: an empty set, linked with nothing, a component of its own. Fewer words than a shingle: the whole
 sequence is the only shingle. Repeated rows of one doc_id give a row each. Extra columns are ignored; an empty table
@@ -25,9 +25,9 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +40,9 @@ RATIO = 1.7  # between the bands' bounds
 LEVELS = 64  # more sets of hashes than this are never needed
 KEYS = pa.schema([("bucket", pa.int64()), ("payload", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("node", pa.list_(pa.int64())), ("unsafe", pa.list_(pa.bool_()))])
 KEYS_DDL = "bucket long, payload binary, doc_id array<long>, n array<long>, node array<long>, unsafe array<boolean>"
-MET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("unsafe", pa.bool_()), ("members", pa.list_(pa.int64()))])
-MET_DDL = "doc_id long, n long, node long, unsafe boolean, members array<long>"
+MET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("unsafe", pa.bool_()), ("members", pa.list_(pa.int64())), ("a", pa.int64()), ("b", pa.int64())])
+MET_DDL = "doc_id long, n long, node long, unsafe boolean, members array<long>, a long, b long"
+SMALL = 8  # a group of so many sets gives its pairs
 SLICE = 3 << 20
 
 
@@ -141,8 +142,8 @@ def _keys(batches: Iterator[pa.RecordBatch], buckets: int, level: int, bands: se
                 yield c.named(KEYS, bucket=to[cut[:-1]], payload=c.binary(payloads), doc_id=nothing, n=nothing, node=nothing, unsafe=nothing)
 
 
-def _groups(payloads: list[bytes]) -> pa.Array:
-    """The distinct groups of two nodes or more that share a key of the bucket."""
+def _groups(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of the nodes that share a key of the bucket: the distinct pairs (a > b) of small groups, and the distinct large groups."""
     nodes, keys = [], []
     for raw in payloads:
         n, m = np.frombuffer(raw, "<i8", 2)
@@ -163,25 +164,40 @@ def _groups(payloads: list[bytes]) -> pa.Array:
     head = np.append(np.flatnonzero(c.first_of_group(key[own])), len(own))
     size = np.diff(head)
     node = node[own]
+    at = np.arange(len(node))
+    last = np.repeat(head[1:], size)
+    small = np.repeat(size <= SMALL, size)
+    pairs = np.zeros(0, np.dtype([("a", "<i8"), ("b", "<i8")]))
+    for step in range(1, SMALL):
+        low = at[small & (at + step < last)]
+        found = np.zeros(len(low), pairs.dtype)
+        found["a"], found["b"] = node[low + step], node[low]
+        pairs = np.union1d(pairs, found)
     name = c.span_hash(node.view(np.uint64), head[:-1], head[1:], 7)
-    _, first = np.unique(np.where(size > 1, name, np.uint64(0)), return_index=True)
-    first = first[size[first] > 1]
-    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size[first])]).astype(np.int32), pa.array(node[c.runs(head[:-1][first], size[first])]))
+    large = np.flatnonzero(size > SMALL)
+    _, first = np.unique(name[large], return_index=True)
+    first = large[first]
+    groups = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size[first])]).astype(np.int32), pa.array(node[c.runs(head[:-1][first], size[first])]))
+    return pairs["a"], pairs["b"], groups
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own: dict[int, list[bytes]] = defaultdict(list)
+
+    def rows(size: int, **columns) -> pa.RecordBatch:
+        return c.named(MET, **{f.name: pa.nulls(size, f.type) for f in MET} | columns)
+
     for batch in batches:
         for k, (bucket, payload) in enumerate(zip(c.column(batch, "bucket").to_pylist(), c.column(batch, "payload").to_pylist(), strict=True)):
             if bucket >= 0:
                 own[bucket].append(payload)
                 continue
-            rows = {x: c.column(batch, x).slice(k, 1).flatten() for x in ("doc_id", "n", "node", "unsafe")}
-            yield c.named(MET, **rows, members=pa.nulls(len(rows["n"]), MET.field("members").type))
+            found = {x: c.column(batch, x).slice(k, 1).flatten() for x in ("doc_id", "n", "node", "unsafe")}
+            yield rows(len(found["n"]), **found)
     while own:
-        found = _groups(own.popitem()[1])
-        nothing = [None] * len(found)
-        yield c.named(MET, doc_id=nothing, n=nothing, node=nothing, unsafe=nothing, members=found)
+        a, b, groups = _groups(own.popitem()[1])
+        yield rows(len(a), a=a, b=b)
+        yield rows(len(groups), members=groups)
 
 
 SETS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("set", pa.binary())])
@@ -208,53 +224,90 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield c.named(SETS, node=c.column(part, "node"), n=n, sketch=c.binary([packed[a:b] for a, b in zip(edge, edge[1:], strict=False)]), set=c.binary([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]))
 
 
-def _nearest(group: pd.DataFrame) -> pd.DataFrame:
-    """Of a group's pairs those of each set and its nearest partner."""
-    return _pairs(group, True)
-
-
-def _near(group: pd.DataFrame) -> pd.DataFrame:
-    return _pairs(group, False)
+def _folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of at least so many bits, folded to it."""
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 64), axis=0) for x in sketches])
 
 
-def _pairs(group: pd.DataFrame, nearest: bool, block: int = 512) -> pd.DataFrame:
-    """Pairs of a group's sets in different components that their sizes and bit sketches allow."""
-    group = group.sort_values(["n", "node"], ignore_index=True)
-    n, node, comp = (group[x].to_numpy() for x in ("n", "node", "comp"))
+def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose sizes and bit sketches allow a link."""
+    for batch in batches:
+        n, m = c.numbers(batch, "n_a"), c.numbers(batch, "n_b")
+        good = (n * P <= m * Q) & (m * P <= n * Q)
+        width = np.minimum(_width(n), _width(m))
+        x, y = c.column(batch, "x").to_pylist(), c.column(batch, "y").to_pylist()
+        for w in np.unique(width[good]).tolist():
+            own = np.flatnonzero(good & (width == w))
+            d = np.bitwise_count(_folded([x[i] for i in own], w) ^ _folded([y[i] for i in own], w)).sum(1, dtype=np.int64)
+            good[own] = d <= differing(n[own], m[own])
+        yield pa.RecordBatch.from_arrays([c.column(batch, "a"), c.column(batch, "b")], ["a", "b"]).filter(pa.array(good))
+
+
+def _near(nearest: bool):
+    """Pairs of the sets of each group, from rows sorted by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held.clear()
+                a, b = _pairs(c.numbers(whole, "node"), c.numbers(whole, "comp"), c.numbers(whole, "n"), c.column(whole, "sketch").to_pylist(), nearest)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        now = None
+        for batch in batches:
+            gid = c.numbers(batch, "gid")
+            edge = np.append(np.flatnonzero(c.first_of_group(gid)), len(gid)).tolist() if len(gid) else []
+            for i, j in zip(edge, edge[1:], strict=False):
+                if gid[i] != now:
+                    yield from done()
+                    now = gid[i]
+                held.append(batch.slice(i, j - i))
+        yield from done()
+
+    return run
+
+
+def _pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: list[bytes], nearest: bool, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a > b) of a group's sets in different components that their sizes and bit sketches allow; or only each set's
+    nearest partner."""
+    order = np.lexsort((node, n))
+    node, comp, n, sketch = node[order], comp[order], n[order], [sketch[i] for i in order]
     bits = _width(n)
-    found_a, found_b, found_d = [], [], []
-    for width in np.unique(bits):
+    found_a, found_b, found_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for width in np.unique(bits).tolist():
+        left = np.flatnonzero(bits == width)
         # sets of this width, and smaller ones that may be similar: wider sketches are folded down to the narrower
         for other in (width, width // 2):
-            left, right = np.flatnonzero(bits == width), np.flatnonzero(bits == other)
+            right = np.flatnonzero(bits == other)
             if not len(right):
                 continue
-            fold = lambda own: np.stack([np.bitwise_xor.reduce(np.frombuffer(group["sketch"][i], np.uint64).reshape(-1, other // 64), axis=0) for i in own])  # noqa: B023, E731
-            a_all, b_all = fold(left), fold(right)
+            a_all, b_all = _folded([sketch[i] for i in left], other), _folded([sketch[i] for i in right], other)
             for i in range(0, len(left), block):
-                for j in range(0, len(right), block):
-                    a, b = left[i : i + block], right[j : j + block]
+                a = left[i : i + block]
+                # sorted by size: partners stand side by side
+                lo, hi = np.searchsorted(n[right], -(-n[a[0]] * P // Q)), np.searchsorted(n[right], n[a[-1]] * Q // P, "right")
+                for j in range(lo, hi, block):
+                    b = right[j : min(hi, j + block)]
                     ok = (comp[a][:, None] != comp[b][None]) & (n[a][:, None] * P <= n[b][None] * Q) & (n[b][None] * P <= n[a][:, None] * Q)
                     if width == other:
-                        ok &= a[:, None] < b[None] if not nearest else a[:, None] != b[None]
-                    x, y = np.nonzero(ok)
-                    for k in range(0, len(x), 1 << 16):
-                        u, v = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
-                        d = np.bitwise_count(a_all[i + u] ^ b_all[j + v]).sum(1, dtype=np.int64)
-                        good = d <= differing(n[a[u]], n[b[v]])
-                        found_a.append(a[u[good]])
-                        found_b.append(b[v[good]])
-                        found_d.append(d[good])
-    if not found_a:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+                        ok &= a[:, None] < b[None]
+                    u, v = np.nonzero(ok)
+                    d = np.bitwise_count(a_all[i + u] ^ b_all[j + v]).sum(1, dtype=np.int64)
+                    good = d <= differing(n[a[u]], n[b[v]])
+                    found_a.append(a[u[good]])
+                    found_b.append(b[v[good]])
+                    found_d.append(d[good])
     a, b, d = map(np.concatenate, (found_a, found_b, found_d))
-    if nearest:
-        both = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
-        order = np.lexsort((node[both[1]], both[2], both[0]))
-        a, b = both[0][order], both[1][order]
+    if nearest and len(a):
+        a, b, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
+        order = np.lexsort((node[b], d, a))
+        a, b = a[order], b[order]
         first = c.first_of_group(a)
         a, b = a[first], b[first]
-    return pd.DataFrame({"a": np.maximum(node[a], node[b]), "b": np.minimum(node[a], node[b])})
+    return np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,43 +332,53 @@ def join(df: DataFrame, bucket_mb: float = 8) -> DataFrame:
         return c.checkpoint(dealt.mapInArrow(_meet, MET_DDL))
 
     found = met(0, None)
-    groups = found.where("members is not null").select("members")
+    every = [found]
     unsafe = found.where("unsafe").select("node", "n").distinct()
     level = 0
     while not unsafe.isEmpty() and level + 1 < LEVELS:  # their bands once more, with other hashes
         level += 1
         bands = {int(np.searchsorted(TOPS, r["n"])) for r in unsafe.select("n").distinct().collect()}  # a few sizes
-        more = met(level, bands)
-        groups = groups.unionByName(more.where("members is not null").select("members"))
-        unsafe = c.checkpoint(unsafe.join(more.where("unsafe").select("node").distinct(), "node", "left_semi"))
+        every.append(met(level, bands))
+        unsafe = c.checkpoint(unsafe.join(every[-1].where("unsafe").select("node").distinct(), "node", "left_semi"))
     names = found.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    met_pairs, groups = [reduce(DataFrame.unionByName, [x.where(f"{k} is not null").select(*columns) for x in every]) for k, columns in (("a", ("a", "b")), ("members", ("members",)))]
+    met_pairs = c.checkpoint(met_pairs.distinct())
     groups = groups.groupBy(F.xxhash64("members").alias("gid")).agg(F.first("members").alias("members"))
     members = c.checkpoint(groups.select("gid", F.explode("members").alias("node")))
 
-    ask = names.join(members.select("node").distinct(), "node", "left_semi")
+    wanted = members.select("node").unionByName(met_pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    ask = names.join(wanted, "node")
     sets = c.checkpoint(docs.join(ask, "doc_id").dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets, SETS_DDL))
     sketches = sets.select("node", "n", "sketch")
     nodes = sets.select("node")
+    side = lambda x, y: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(y))
+    pairs = met_pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_allowed, "a long, b long")
     components = nodes.select("node", F.col("node").alias("component"))
-    links = done = None
+    done = None
     nearest = True
     while True:
-        now = members.join(components.withColumnRenamed("component", "comp"), "node")
-        mixed = now.groupBy("gid").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("gid")
-        pairs = now.join(mixed, "gid", "left_semi").join(sketches, "node").groupBy("gid").applyInPandas(_nearest if nearest else _near, "a long, b long").distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         shipped = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         checked = c.checkpoint(shipped.mapInArrow(_verify, "a long, b long, linked boolean"))
         fresh = checked.where("linked").select("a", "b")
-        done = checked.select("a", "b") if done is None else done.unionByName(checked.select("a", "b"))
+        first, done = done is None, checked.select("a", "b") if done is None else done.unionByName(checked.select("a", "b"))
         grown = not fresh.isEmpty()
         if grown:
-            links = fresh if links is None else links.unionByName(fresh)
+            # what is known already goes in as a star around each component
+            stars = components.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            links = fresh.unionByName(stars)
             components = c.checkpoint(c.components(nodes, links))
         if not nearest:
             break
-        nearest = grown
+        nearest = grown or first
+        now = members.join(components.withColumnRenamed("component", "comp"), "node")
+        mixed = now.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("gid")
+        mixed = c.checkpoint(mixed)
+        if mixed.isEmpty():
+            break
+        rows = now.join(mixed, "gid", "left_semi").join(sketches, "node").repartition("gid").sortWithinPartitions("gid")
+        pairs = rows.mapInArrow(_near(nearest), "a long, b long").distinct()
     low = components.join(names, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     label = components.join(low, "component").select("node", "component_id")
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "least"))
