@@ -38,11 +38,12 @@ SHINGLE = 5
 P, Q = 75, 100  # similarity
 RATIO = 1.7  # between the bands' bounds
 LEVELS = 64  # more sets of hashes than this are never needed
-KEYS = pa.schema([("bucket", pa.int64()), ("payload", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("node", pa.list_(pa.int64())), ("unsafe", pa.list_(pa.bool_()))])
-KEYS_DDL = "bucket long, payload binary, doc_id array<long>, n array<long>, node array<long>, unsafe array<boolean>"
-MET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("unsafe", pa.bool_()), ("members", pa.list_(pa.int64())), ("a", pa.int64()), ("b", pa.int64())])
-MET_DDL = "doc_id long, n long, node long, unsafe boolean, members array<long>, a long, b long"
+KEYS = pa.schema([("bucket", pa.int64()), ("payload", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("node", pa.list_(pa.int64())), ("unsafe", pa.list_(pa.bool_())), ("sketch", pa.list_(pa.binary()))])
+KEYS_DDL = "bucket long, payload binary, doc_id array<long>, n array<long>, node array<long>, unsafe array<boolean>, sketch array<binary>"
+MET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("unsafe", pa.bool_()), ("sketch", pa.binary()), ("members", pa.list_(pa.int64())), ("a", pa.int64()), ("b", pa.int64())])
+MET_DDL = "doc_id long, n long, node long, unsafe boolean, sketch binary, members array<long>, a long, b long"
 SMALL = 8  # a group of so many sets gives its pairs
+FILTER = 1 << 23  # flags of the filter that texts pass whose sets are asked for
 SLICE = 3 << 20
 
 
@@ -126,7 +127,9 @@ def _keys(batches: Iterator[pa.RecordBatch], buckets: int, level: int, bands: se
             one = one[n[one] > 0]
             row, key, bad = part_keys(own, at, one, level, bands)
             unsafe = np.isin(node, node[one[bad]])
-            rows = {"doc_id": [c.numbers(part, "doc_id")], "n": [n], "node": [node], "unsafe": [unsafe]}
+            sketch = np.array(sketches(own, at), object)
+            sketch[np.setdiff1d(np.arange(len(n)), one)] = None  # one of equal sets brings it
+            rows = {"doc_id": [c.numbers(part, "doc_id")], "n": [n], "node": [node], "unsafe": [unsafe], "sketch": [sketch.tolist()]}
             yield c.named(KEYS, bucket=[-1 - int(node[0]) % buckets], payload=c.binary([None]), **rows)
             to = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to.astype(np.uint16) if buckets < 65536 else to, kind="stable")
@@ -139,7 +142,7 @@ def _keys(batches: Iterator[pa.RecordBatch], buckets: int, level: int, bands: se
                 payloads.append(b"".join([np.array([len(used), b - a], "<i8").tobytes(), node[used].astype("<i8").tobytes(), index.astype("<u2" if len(used) < 65536 else "<u4").tobytes(), six[a:b].tobytes()]))
             if payloads:
                 nothing = [None] * len(payloads)
-                yield c.named(KEYS, bucket=to[cut[:-1]], payload=c.binary(payloads), doc_id=nothing, n=nothing, node=nothing, unsafe=nothing)
+                yield c.named(KEYS, bucket=to[cut[:-1]], payload=c.binary(payloads), doc_id=nothing, n=nothing, node=nothing, unsafe=nothing, sketch=nothing)
 
 
 def _groups(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -192,7 +195,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if bucket >= 0:
                 own[bucket].append(payload)
                 continue
-            found = {x: c.column(batch, x).slice(k, 1).flatten() for x in ("doc_id", "n", "node", "unsafe")}
+            found = {x: c.column(batch, x).slice(k, 1).flatten() for x in ("doc_id", "n", "node", "unsafe", "sketch")}
             yield rows(len(found["n"]), **found)
     while own:
         a, b, groups = _groups(own.popitem()[1])
@@ -200,28 +203,55 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(len(groups), members=groups)
 
 
-SETS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("set", pa.binary())])
-SETS_DDL = "node long, n long, sketch binary, set binary"
-
-
 def _width(n: np.ndarray) -> np.ndarray:
     """Bits of the sketch of a set of n."""
     return 1 << np.ceil(np.log2(np.maximum(256, 2 * n))).astype(np.int64)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in c.slices(batch, limit=SLICE):
-            own, at = shingles(c.column(part, "text"))
-            n = np.diff(at)
-            bits = _width(n)
-            base = np.concatenate([[0], np.cumsum(bits)])
-            owner = np.repeat(np.arange(len(n)), n)
-            flips = np.bincount(base[owner] + (c.mix(own, 50) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64), minlength=base[-1])
-            packed = np.packbits(flips & 1, bitorder="little").tobytes()
-            raw = own.tobytes()
-            edge, cut = (base // 8).tolist(), (8 * at).tolist()
-            yield c.named(SETS, node=c.column(part, "node"), n=n, sketch=c.binary([packed[a:b] for a, b in zip(edge, edge[1:], strict=False)]), set=c.binary([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]))
+def sketches(own: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The bit sketch of each set: every shingle flips one bit."""
+    n = np.diff(at)
+    bits = _width(n)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(n)), n)
+    flips = np.bincount(base[owner] + (c.mix(own, 50) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64), minlength=base[-1])
+    packed = np.packbits(flips.astype(np.uint8) & np.uint8(1), bitorder="little").tobytes()
+    edge = (base // 8).tolist()
+    return [packed[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+
+
+def _bits(ids: np.ndarray) -> np.ndarray:
+    return (c.mix(ids.astype(np.int64).view(np.uint64), 60) >> np.uint64(64 - FILTER.bit_length() + 1)).astype(np.int64)
+
+
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """FILTER flags: which hashes of doc_id are wanted. Of fixed size, collected from a few tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(FILTER, bool)
+        for batch in batches:
+            flags[_bits(c.numbers(batch, "doc_id"))] = True
+        yield pa.RecordBatch.from_arrays([c.binary([np.packbits(flags).tobytes()])], ["flags"])
+
+    parts = wanted.select("doc_id").coalesce(8).mapInArrow(run, "flags binary").collect()
+    return np.unpackbits(reduce(np.bitwise_or, [np.frombuffer(x["flags"], np.uint8) for x in parts], np.zeros(FILTER // 8, np.uint8))).astype(bool)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, set of the wanted (node, doc_id): a map over the texts, of which a fixed-size filter leaves out most."""
+    flags = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter(wanted)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_ = np.unpackbits(flags.value).astype(bool)
+        for batch in batches:
+            some = batch.filter(pa.array(all_[_bits(c.numbers(batch, "doc_id"))]))
+            for part in c.slices(some, limit=SLICE) if some.num_rows else ():
+                own, at = shingles(c.column(part, "text"))
+                raw, cut = own.tobytes(), (8 * at).tolist()
+                yield pa.RecordBatch.from_arrays([c.column(part, "doc_id"), c.binary([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]), pa.array(set_names(own, at))], ["doc_id", "set", "name"])
+
+    found = docs.mapInArrow(run, "doc_id long, set binary, name long").join(wanted, "doc_id").where("name = node")
+    return c.checkpoint(found.select("node", "set").dropDuplicates(["node"]))
 
 
 def _folded(sketches: list[bytes], width: int) -> np.ndarray:
@@ -340,25 +370,18 @@ def join(df: DataFrame, bucket_mb: float = 8) -> DataFrame:
         bands = {int(np.searchsorted(TOPS, r["n"])) for r in unsafe.select("n").distinct().collect()}  # a few sizes
         every.append(met(level, bands))
         unsafe = c.checkpoint(unsafe.join(every[-1].where("unsafe").select("node").distinct(), "node", "left_semi"))
-    names = found.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    names = found.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     met_pairs, groups = [reduce(DataFrame.unionByName, [x.where(f"{k} is not null").select(*columns) for x in every]) for k, columns in (("a", ("a", "b")), ("members", ("members",)))]
-    met_pairs = c.checkpoint(met_pairs.distinct())
     groups = groups.groupBy(F.xxhash64("members").alias("gid")).agg(F.first("members").alias("members"))
     members = c.checkpoint(groups.select("gid", F.explode("members").alias("node")))
-
-    wanted = members.select("node").unionByName(met_pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    ask = names.join(wanted, "node")
-    sets = c.checkpoint(docs.join(ask, "doc_id").dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets, SETS_DDL))
-    sketches = sets.select("node", "n", "sketch")
-    nodes = sets.select("node")
-    side = lambda x, y: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(y))
-    pairs = met_pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_allowed, "a long, b long")
-    components = nodes.select("node", F.col("node").alias("component"))
-    done = None
+    side = lambda x, y: names.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(y))
+    pairs = met_pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_allowed, "a long, b long")
+    components = done = None
     nearest = True
     while True:
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = c.checkpoint(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(names.select("node", "doc_id"), "node")
+        sets = _sets(docs, c.checkpoint(wanted))
         shipped = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         checked = c.checkpoint(shipped.mapInArrow(_verify, "a long, b long, linked boolean"))
         fresh = checked.where("linked").select("a", "b")
@@ -366,23 +389,26 @@ def join(df: DataFrame, bucket_mb: float = 8) -> DataFrame:
         grown = not fresh.isEmpty()
         if grown:
             # what is known already goes in as a star around each component
-            stars = components.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            links = fresh.unionByName(stars)
-            components = c.checkpoint(c.components(nodes, links))
+            links = fresh if components is None else fresh.unionByName(components.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+            linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            components = c.checkpoint(c.components(linked, links))
         if not nearest:
             break
         nearest = grown or first
-        now = members.join(components.withColumnRenamed("component", "comp"), "node")
-        mixed = now.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("gid")
-        mixed = c.checkpoint(mixed)
+        now = members.withColumn("comp", F.col("node"))
+        if components is not None:
+            now = members.join(components, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("comp"))
+        mixed = c.checkpoint(now.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("gid"))
         if mixed.isEmpty():
             break
-        rows = now.join(mixed, "gid", "left_semi").join(sketches, "node").repartition("gid").sortWithinPartitions("gid")
+        rows = now.join(mixed, "gid", "left_semi").join(names.select("node", "n", "sketch"), "node").repartition("gid").sortWithinPartitions("gid")
         pairs = rows.mapInArrow(_near(nearest), "a long, b long").distinct()
-    low = components.join(names, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    if components is None:
+        components = names.select("node", F.col("node").alias("component")).limit(0)
+    low = components.join(names.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     label = components.join(low, "component").select("node", "component_id")
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "least"))
-    rows = found.where("doc_id is not null").select("doc_id", "n", "node").join(names.withColumnRenamed("doc_id", "least"), "node").join(label, "node", "left")
+    rows = found.where("doc_id is not null").select("doc_id", "n", "node").join(names.select("node", F.col("doc_id").alias("least")), "node").join(label, "node", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
