@@ -1 +1,226 @@
-SQL: dict[str, str] = {}
+"""DuckDB SQL for the engine's queries, from the same tables of characters and patterns."""
+
+from __future__ import annotations
+
+from ..functions import profile as p
+from . import fixtures as x
+
+
+def q(s: str | None) -> str:
+    return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
+
+
+def sub(expr: str, pattern: str, new: str) -> str:
+    return f"regexp_replace({expr}, {q(pattern)}, {q(new.replace('$', chr(92)))}, 'g')"
+
+
+def steps(expr: str, all_: list[tuple[str, str]]) -> str:
+    for pattern, new in all_:
+        expr = sub(expr, pattern, new)
+    return expr
+
+
+def mapped(expr: str, pairs: dict[str, str]) -> str:
+    return f"translate({expr}, {q(''.join(pairs))}, {q(''.join(pairs.values()))})"
+
+
+def deleted(expr: str, chars: str) -> str:
+    return f"translate({expr}, {q(chars)}, '')"
+
+
+def count(expr: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({expr}, {q(pattern)}))"
+
+
+def classes(expr: str) -> str:
+    return steps(mapped(expr, p.CODES), p.CLASSES)
+
+
+def open_dichrona(expr: str) -> str:
+    own = classes(expr)
+    return f"({count(own, p.coded('D'))} - {count(own, p.coded('DCC'))})::BIGINT"
+
+
+def values(name: str, columns: str, rows: list[tuple]) -> str:
+    cells = ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else q(v) for v in row) + ")" for row in rows)
+    return f"{name}({columns}) AS (VALUES {cells})"
+
+
+def alternatives(words: list[str] | tuple[str, ...]) -> str:
+    return "(" + ", ".join(map(q, words)) + ")"
+
+
+STRIP = "translate({}, '_^', '')"
+SENTENCE, TERMINATED = r"[^.\n;\x{037e}]+[.\n;\x{037e}]?", r"(?s).+?[.\n;\x{037e}]"
+GREEK = f"translate(lower(text), {q(p.LATIN)}, {q(p.GREEK)})"
+G = f"g AS (SELECT doc_id, lang, source, {GREEK} AS text FROM documents)"
+SPACES = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def word_list(expr: str) -> str:
+    return f"list_filter(string_split_regex({sub(expr, f'[{p.escaped(p.WORD_BREAKS)}]', ' ')}, {q(SPACES)}), lambda w: w <> '')"
+
+
+W = f"""{G}, ww AS (SELECT doc_id, lang, {word_list('text')} AS l FROM g), w AS (SELECT doc_id, lang, unnest(range(len(l))) AS pos, unnest(l) AS word FROM ww)"""
+L = f"{G}, ls AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM g), lines AS (SELECT doc_id, unnest(range(len(l)))::BIGINT AS line_no, unnest(l) AS line FROM ls)"
+UP = lambda e: mapped(f"translate({e}, 'ς', 'σ')", p.UPPER)
+CAP = lambda e: f"{UP(f'substr({e}, 1, 1)')} || substr({e}, 2)"
+DECAP = lambda e: f"lower(substr({e}, 1, 1)) || substr({e}, 2)"
+LEX = values("lex", "form, marked, ord", x.LEXICON)
+VOWEL = f"[{p.VOWELS}]"
+
+
+def on_text(expr: str) -> str:
+    return f"WITH {G} SELECT doc_id, {expr} AS out FROM g"
+
+
+def on_lines(expr: str) -> str:
+    return f"WITH {L} SELECT doc_id, line_no, {expr} AS out FROM lines"
+
+
+def on_words(rows: list[tuple], expr: str) -> str:
+    return f"WITH {values('v', 'word', rows)} SELECT word, {expr} AS out FROM v"
+
+
+def sized(list_: str, source: str, key: str) -> str:
+    return f"SELECT {key}, sum(len({list_}))::BIGINT AS n, sum(length(array_to_string({list_}, '')))::BIGINT AS n_chars FROM {source} GROUP BY {key}"
+
+
+CELL = "regexp_extract_all({}, '[^_^][_^]?')"
+
+
+def merge(how: str) -> str:
+    first, second = ("n", "o") if how == "new" else ("o", "n")
+    zipped = f"list_zip({CELL.format('new')}, {CELL.format('old')})"
+    at = {"n": "z[1]", "o": "z[2]"}
+    union = f"array_to_string(list_transform({zipped}, lambda z: CASE WHEN length({at[first]}) > 1 THEN {at[first]} ELSE {at[second]} END), '')"
+    return f"""WITH {values('v', 'new, old', x.MERGES)} SELECT new, old, CASE WHEN new = '' THEN old WHEN old = '' THEN new
+WHEN {STRIP.format('new')} <> {STRIP.format('old')} THEN old ELSE {union} END AS out FROM v"""
+
+
+GOLD = values("gold", "file, line_no, line", x.GOLD)
+FILLED = r"regexp_replace(regexp_replace(line, '([\]}])([^\[\]{}]+)([\[{])', '\2\1\3', 'g'), '([\]}])([^\[\]{}]+)$', '\2\1', 'g')"
+SYLL = r"regexp_extract_all(line, '[\{\[]([^\}\]]+)[\}\]]', 1)"
+CORE = "regexp_replace(s, " + q(rf"[_^#€\s'.,;:!?{p.ANO_TELEIA}{p.QUESTION}]") + ", '', 'g')"
+OPEN = f"regexp_matches({CORE}, {q(VOWEL + '$')})"
+
+
+def on_gold(expr: str) -> str:
+    return f"WITH {GOLD} SELECT file, line_no::BIGINT AS line_no, {expr} AS out FROM gold"
+
+
+def each(body: str) -> str:
+    return f"array_to_string(list_transform({SYLL}, lambda s: {body}), '|')"
+
+
+def coverage(cte: str, before: str, after: str, source: str, by: str, group: str) -> str:
+    return f"""WITH {cte}, n AS (SELECT {by}{', ' if by else ''}{open_dichrona(before)} AS b, {open_dichrona(after)} AS a FROM {source})
+SELECT {by}{', ' if by else ''}sum(b)::BIGINT AS before, sum(a)::BIGINT AS after, (sum(b) - sum(a))::BIGINT AS difference,
+round(CASE WHEN sum(b) = 0 THEN 0 ELSE (sum(b) - sum(a))::DOUBLE / sum(b)::DOUBLE END, 9) AS ratio FROM n {group}"""
+
+
+def bad_accents(w: str) -> str:
+    n = lambda chars: count(w, f"[{chars}]")
+    return f"({n(p.GRAVES)} > 1 OR ({n(p.GRAVES)} > 0 AND {n(p.ACUTES)} > 0) OR {n(p.ACCENTS)} > 2 OR {n(p.ROUGHS)} > 2)"
+
+
+NUMERAL = "(regexp_matches({0}, " + q("^[α-ωΑ-Ωϛϟϡ]{1,4}[ʹ΄´ʹ']$").replace("{", "{{").replace("}", "}}") + ") OR regexp_matches({0}, " + q("^͵[α-ωϛϟϡ]+$") + "))"
+COUNTED = f"SELECT word, count(*) AS n FROM w GROUP BY word"
+OPEN_WORD = f"CASE WHEN regexp_matches(word, {q(VOWEL + '$')}) THEN true ELSE regexp_matches(word, {q(VOWEL + f'[{p.CONSONANTS}]$')}) AND (following IS NULL OR regexp_matches(following, {q('^' + VOWEL)})) END"
+CLASS_SENT = f"([{p.DICHRONA}])([{p.CONSONANTS}]?[.])$"
+FIRST_DIFF = "coalesce(list_position(list_transform(list_zip(string_split(a, ''), string_split(b, '')), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false), 0)"
+DEFECT = f"""CASE WHEN regexp_matches(form, '[_^]') THEN 'mark_in_key' WHEN regexp_matches(form, '[A-Za-z]') OR regexp_matches(marked, '[A-Za-z]') THEN 'latin_letter'
+WHEN {STRIP.format('marked')} <> form THEN 'other_word' WHEN NOT regexp_matches(marked, '[_^]') THEN 'no_mark' WHEN count(*) OVER (PARTITION BY form) > 1 THEN 'duplicate_key' END"""
+PIECE = r"[\p{L}\p{M}\p{Nd}\p{Pc}'^]+|[^\p{L}\p{M}\p{Nd}\p{Pc}'^]+"
+BARE_LOWER_FIRST = r"string_split_regex(line, '[\s\x{0085}\x{00A0}]+')"
+
+SQL: dict[str, str] = {
+    "clean_editorial": on_text(deleted("text", p.EDITORIAL)),
+    "clean_noise": on_text(sub("text", p.NOISE, "")),
+    "unify_apostrophes": on_text(mapped("text", dict.fromkeys(p.APOSTROPHES, "'"))),
+    "strip_digits": on_text("regexp_replace(text, '[0-9]', '', 'g')"),
+    "premark": on_text(steps("text", [(r"\sτἄλλα\s", "τἄλλα^"), (r"\sἁ\s", "ἁ_")])),
+    "strip_marks": on_text(STRIP.format("text")),
+    "grave_to_acute": on_text(mapped("text", p.GRAVE_TO_ACUTE)),
+    "acute_to_grave": on_text(mapped("text", p.ACUTE_TO_GRAVE)),
+    "lower_text": on_text("lower(text)"),
+    "upper_text": on_text(UP("text")),
+    "token_clean": on_text(deleted("text", p.ANO_TELEIA + p.QUESTION)),
+    "only_bases": on_text(mapped("text", p.BARE)),
+    "open_dichrona": on_text(open_dichrona("text")),
+    "lunate_sigma": on_lines("translate(regexp_replace(translate(line, 'ς', 'ϲ'), 'ϲ(\\s|$)', 'ς\\1', 'g'), 'ϲ', 'σ')"),
+    "lower_first_word": f"""WITH {L}, s AS (SELECT doc_id, line_no, list_filter({BARE_LOWER_FIRST}, lambda w: w <> '') AS l FROM lines)
+SELECT doc_id, line_no, array_to_string(list_concat([CASE WHEN regexp_matches(coalesce(l[1], ''), {q(VOWEL)}) THEN lower(l[1]) ELSE coalesce(l[1], '') END], l[2:]), ' ') AS out FROM s""",
+    "comparison_normalize": on_lines(f"trim(translate({deleted('line', p.NORMAL_DROP)}, chr(180), ''''), ' ')"),
+    "fix_trailing_space": on_lines("regexp_replace(line || ' ·', ' (.)$', '\\1', 'g')"),
+    "vowel_lines": on_lines(f"regexp_matches(line, {q(VOWEL)})"),
+    "sentence_split": sized(f"regexp_extract_all(text, {q(SENTENCE)})", "documents", "doc_id"),
+    "sentence_split_turns": sized(f"regexp_extract_all(text, {q(SENTENCE)})", "conversations", "conv_id"),
+    "terminated_sentences": sized(f"regexp_extract_all(text, {q(TERMINATED)})", "documents", "doc_id"),
+    "word_list": sized(word_list("text"), "documents", "doc_id"),
+    "merge_new_wins": merge("new"),
+    "merge_old_wins": merge("old"),
+    "count_fixtures": on_words(x.COUNTS, open_dichrona("word")),
+    "numeral_filter": on_words(x.NUMERALS, NUMERAL.format("word")),
+    "pathology_filter": on_words(x.PATHOLOGIES, f"{bad_accents('word')} OR regexp_matches(word, 'ς.')"),
+    "nfc": on_words([r for r in x.UNICODE], f"replace(replace(nfc_normalize(replace(replace(word, chr(894), chr(57344)), chr(903), chr(57345))), chr(57344), chr(894)), chr(57345), chr(903))"),
+    "diphthong_marked": on_words(x.DIPHTHONGS, f"regexp_matches(word, {q(f'(?:{p.DIPHTHONG}|{p.ADSCRIPT}|[{p.SUBSCRIPTS}])[_^]')}) OR regexp_matches(word, {q(p.SPLIT_DIPHTHONG)})"),
+    "lexicon_validate": f"WITH {values('v', 'ord, form, marked', x.DEFECTS)} SELECT ord, form, marked, {DEFECT} AS problem FROM v",
+    "bracket_move": on_gold(FILLED),
+    "gold_plain": on_gold("translate(line, '[]{}#€_^', '')"),
+    "syllable_extract": on_gold(f"array_to_string({SYLL}, '|')"),
+    "closed_syllable_clean": on_gold(each(f"CASE WHEN {OPEN} THEN s ELSE {STRIP.format('s')} END")),
+    "all_short_baseline": on_gold(each(f"{STRIP.format('s')} || CASE WHEN {OPEN} THEN '^' ELSE '' END")),
+    "stop_word_unmark": on_gold(f"array_to_string(list_transform(string_split(line, ' '), lambda w: CASE WHEN {STRIP.format('w')} IN {alternatives(x.STOP_GOLD)} THEN {STRIP.format('w')} ELSE w END), ' ')"),
+    "coverage_by_lang": coverage(f"{G}, s AS (SELECT lang, unnest(regexp_extract_all({deleted('text', p.EDITORIAL)}, {q(SENTENCE)})) AS s FROM g)", "s", sub("s", CLASS_SENT, "$1^$2"), "s", "lang", "GROUP BY lang"),
+    "corpus_rollup": coverage(G, "text", sub("text", f"([{p.DICHRONA}])([.])", "$1^$2"), "g", "lang, source", "GROUP BY ROLLUP (lang, source)"),
+    "coverage_without_names": f"""WITH {G}, s AS (SELECT lang, unnest(string_split_regex(text, '[\\s\\x{{0085}}\\x{{00A0}}]+')) AS w FROM g)
+SELECT lang, sum({open_dichrona('w')})::BIGINT AS before FROM s WHERE w NOT IN {alternatives(x.NAMES)} GROUP BY lang""",
+    "sentence_filter": f"""WITH {G}, l AS (SELECT doc_id, regexp_extract_all(text, {q(SENTENCE)}) AS l FROM g), s AS (SELECT doc_id, unnest(range(len(l)))::BIGINT AS sent_id, unnest(l) AS s FROM l),
+n AS (SELECT doc_id, sent_id, {open_dichrona('s')} AS n FROM s) SELECT * FROM n WHERE n > 0""",
+    "drop_reason_counts": f"""WITH {W} SELECT CASE WHEN {NUMERAL.format('word')} THEN 'numeral' WHEN regexp_matches(word, 'ς.') THEN 'mid_sigma' WHEN {bad_accents('word')} THEN 'accents' WHEN {open_dichrona('word')} = 0 THEN 'nothing_to_do' END AS reason, count(*) AS n FROM w GROUP BY 1""",
+    "stopword_anti_join": f"WITH {W} SELECT lang, count(*) AS n FROM w WHERE word NOT IN {alternatives(x.STOP)} GROUP BY lang",
+    "tokenizer_semi_join": f"WITH {W}, r AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{{L}}+')) AS word FROM g) SELECT doc_id, count(*) AS n FROM r SEMI JOIN w USING (doc_id, word) GROUP BY doc_id",
+    "ionic_semi_join": f"WITH {W} SELECT word, count(*) AS n FROM w WHERE word LIKE '%ε' AND substr(word, 1, length(word) - 1) IN {alternatives([i[:-1] for i in x.IONIC])} GROUP BY word",
+    "lexicon_left_join": f"WITH {W}, {LEX}, n AS ({COUNTED}), m AS (SELECT form, min(marked) AS marked FROM lex GROUP BY form) SELECT word, n, marked FROM n LEFT JOIN m ON word = form",
+    "lexicon_case_variants": f"""WITH {W}, {LEX}, v AS (SELECT form, marked, 0 AS kind, -ord AS o FROM lex UNION ALL SELECT lower(form), lower(marked), 1, ord FROM lex UNION ALL SELECT {CAP('form')}, {CAP('marked')}, 1, ord FROM lex),
+best AS (SELECT form, marked FROM v QUALIFY row_number() OVER (PARTITION BY form ORDER BY kind, o, marked) = 1), n AS ({COUNTED}), c AS (SELECT CASE WHEN length(word) % 2 = 0 THEN {CAP('word')} ELSE word END AS word, n FROM n)
+SELECT word, n, marked FROM c JOIN best ON word = form""",
+    "lexicon_two_key": f"""WITH {W}, {LEX}, n AS (SELECT {CAP('word')} AS word, n FROM ({COUNTED})), m AS (SELECT form, min(marked) AS marked FROM lex GROUP BY form),
+j AS (SELECT n.word, n, coalesce(a.marked, {CAP('b.marked')}) AS marked FROM n LEFT JOIN m a ON n.word = a.form LEFT JOIN m b ON {DECAP('n.word')} <> n.word AND {DECAP('n.word')} = b.form) SELECT * FROM j WHERE marked IS NOT NULL""",
+    "lexicon_disambiguate_first": f"""WITH {W}, {values('alt', 'form, alt_id, marked, "case"', x.ALTERNATIVES)}, n AS (SELECT word, lang, count(*) AS n, CASE lang WHEN 'en' THEN 'Nom' WHEN 'de' THEN 'Dat' ELSE 'Acc' END AS k FROM w GROUP BY word, lang),
+m AS (SELECT form, "case" AS k, arg_min(marked, alt_id) AS marked FROM alt GROUP BY ALL) SELECT word, lang, n, marked FROM n JOIN m ON word = form AND n.k = m.k WHERE {STRIP.format('marked')} = word""",
+    "lexicon_build_last_wins": f"""WITH {W}, m AS (SELECT doc_id * 1000000 + pos AS line_no, CASE WHEN pos % 2 = 0 THEN {sub('word', f'([{p.DICHRONA}])', '$1^')} ELSE {sub('word', f'([{p.DICHRONA}])', '$1_')} END AS marked FROM w)
+SELECT {STRIP.format('marked')} AS form, arg_max(marked, line_no) AS marked FROM m GROUP BY 1""",
+    "prefix_longest_match": f"WITH {W}, {values('pre', 'prefix', [(i,) for i in x.PREFIXES])} SELECT word, arg_max(prefix, length(prefix)) AS prefix FROM (SELECT DISTINCT word FROM w) JOIN pre ON starts_with(word, prefix) GROUP BY word",
+    "elision_variants": f"""WITH {W}, k AS (SELECT DISTINCT word FROM w), t AS (SELECT DISTINCT substr(word, 1, length(word) - 1) AS stem FROM k WHERE length(word) > 2),
+v AS (SELECT stem, 0 AS rank, stem || 'ε' AS word FROM t UNION ALL SELECT stem, 1, stem || 'ι' FROM t) SELECT stem || '''' AS token, arg_min(word, rank) AS word FROM v SEMI JOIN k USING (word) GROUP BY stem""",
+    "decapitalize_lookup": f"""WITH {W}, k AS (SELECT DISTINCT word FROM w), t AS (SELECT translate(x, {q(x.LATIN_BOTH)}, {q(x.GREEK_BOTH)}) AS token FROM (SELECT unnest(string_split_regex(text, '[\\s\\x{{0b}}]+')) AS x FROM conversations) WHERE x <> '')
+SELECT token, {DECAP('token')} AS word, count(*) AS n FROM t WHERE {DECAP('token')} IN (SELECT word FROM k) GROUP BY 1, 2""",
+    "oxytone_lookup": f"WITH {W}, k AS (SELECT DISTINCT word FROM w), a AS (SELECT word, {mapped('word', p.GRAVE_TO_ACUTE)} AS acute FROM k WHERE regexp_matches(word, {q(f'[{p.GRAVES}]')})) SELECT word, acute FROM a WHERE acute IN (SELECT word FROM k)",
+    "context_particle": r"""WITH t AS (SELECT conv_id, unnest(string_split_regex(text, '[\s\x{0b}]+')) AS w FROM conversations), f AS (SELECT conv_id, max((lower(w) = 'the')::INT) AS s, max((lower(w) = 'of')::INT) AS i, count(*) AS n FROM t GROUP BY conv_id)
+SELECT conv_id, CASE WHEN s = 1 AND i = 0 THEN n ELSE 0 END AS n_long, n FROM f""",
+    "next_word_openness": f"WITH {W}, f AS (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM w) SELECT lang, sum(({OPEN_WORD})::INT)::BIGINT AS n_open, count(*) AS n FROM f GROUP BY lang",
+    "occurrence_align": f"WITH {W}, k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, word ORDER BY pos) AS k FROM w) SELECT doc_id, max(k) AS most, sum(k)::BIGINT AS total, count(*) AS n FROM k GROUP BY doc_id",
+    "integrate_text": f"""WITH {G}, l AS (SELECT doc_id, regexp_extract_all(text, {q(PIECE)}) AS l FROM g), m AS (SELECT doc_id, array_to_string(list_transform(l, lambda s: CASE WHEN contains(s, 'α') THEN replace(s, 'α', 'α^') ELSE s END), '') AS text FROM l)
+SELECT doc_id, length(text) AS n, md5(text) AS digest FROM m""",
+    "integrity_check": f"""WITH {G}, c AS (SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 THEN replace(text, 'β', 'γ') ELSE replace(text, 'α', 'α_') END AS after FROM g), s AS (SELECT doc_id, text, after, {STRIP.format('text')} AS a, {STRIP.format('after')} AS b FROM c)
+SELECT doc_id, a = b AS intact, {FIRST_DIFF}::BIGINT AS first_diff, length(b) - length(a) AS length_diff FROM s""",
+    "residue_rank": f"WITH {W}, n AS ({COUNTED}) SELECT word, n FROM n WHERE {open_dichrona('word')} > 0",
+    "residue_keep_first": f"WITH {W} SELECT word, doc_id, pos::BIGINT AS pos FROM w QUALIFY row_number() OVER (PARTITION BY word ORDER BY doc_id, pos) = 1",
+    "module_share": "WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type HAVING count(*) >= 2) SELECT event_type, n, round(100 * n::DOUBLE / (SELECT sum(n) FROM n)::DOUBLE, 6) AS percent FROM n",
+    "residue_merge_runs": f"WITH {W} SELECT word, sum(pos)::BIGINT AS n FROM w WHERE pos % 5 <> 0 GROUP BY word",
+    "top_pos": f"WITH {W} SELECT word, count(*) AS n FROM w GROUP BY word ORDER BY n DESC, word LIMIT 20",
+    "pos_baseline": f"WITH {G}, t AS (SELECT unnest(regexp_extract_all(text, '\\p{{L}}+|[^\\p{{L}}\\s]')) AS w FROM g) SELECT CASE WHEN length(w) < 4 THEN 'short' ELSE 'long' END AS pos, count(*) AS n FROM t WHERE regexp_matches(w, '^\\p{{L}}') GROUP BY 1",
+    "stats_pivot": f"WITH {G} SELECT sum({count('text', 'α')})::BIGINT AS numerator, sum({open_dichrona('text')})::BIGINT AS denominator FROM g",
+    "reconcile": f"WITH {L}, n AS (SELECT doc_id * 100000 + line_no AS id, length(line) AS n FROM lines) SELECT id, n > 50 AS in_input, n < 200 AS in_output FROM n WHERE (n > 50) <> (n < 200)",
+    "even_batches": "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS t FROM documents) SELECT least(k // greatest(1, t // 4), 3)::INTEGER AS batch, count(*) AS n, min(doc_id) AS first FROM r GROUP BY 1",
+    "chunk_ids": "SELECT doc_id // 300 AS chunk, count(*) AS n FROM documents GROUP BY 1",
+    "char_inventory": f"WITH ch AS (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents) SELECT string_agg(ch, '' ORDER BY ch) AS chars FROM ch WHERE NOT regexp_matches(ch, {q(f'[{p.LETTERS}A-Za-z0-9]')}) AND NOT regexp_matches(ch, '[\\s\\x00-\\x1f\\x7f-\\x9f\\xa0]') AND ch <> ''",
+    "line_match_rate": f"WITH {G} SELECT lang, round(avg(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END), 9) AS rate FROM g GROUP BY lang",
+    "traffic_light": "WITH r AS (SELECT event_type, count(*) FILTER (event_id % 10 < 9)::DOUBLE / count(*) AS r FROM events GROUP BY 1) SELECT event_type, CASE WHEN r > 0.95 THEN 'green' WHEN r > 0.85 THEN 'yellow' ELSE 'red' END AS light FROM r",
+    "html_span_extract": "WITH s AS (SELECT page_id, regexp_extract_all(html, '<a\\b[^>]*>([^<]*)</a>', 1) AS s FROM pages) SELECT page_id, len(s) AS n, coalesce(s[1], '') AS first FROM s",
+    "json_definition": "SELECT event_id, json_extract_string(props, '$.k') AS value FROM events",
+    "bracket_extract": "WITH s AS (SELECT doc_id, translate(text, ',.', '[]') AS s FROM documents) SELECT doc_id, nullif(regexp_extract(s, '\\[([^\\]]+)\\]', 1), '') AS out FROM s",
+    "cached_annotations": f"""WITH {G}, k AS (SELECT doc_id, array_to_string(string_split(text, ' ')[1:2], '-') || '-' || sha256(text) AS key FROM g) SELECT doc_id, key FROM k WHERE key NOT IN (SELECT key FROM k WHERE doc_id % 4 = 0)""",
+}
