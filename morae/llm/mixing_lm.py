@@ -4,15 +4,17 @@ The text's tokens are its words, lower-cased, and one end token. A word is spell
 end; every bit of a byte is predicted from several contexts within the token (the last 1, 2, 3 and 5 bytes and the whole
 beginning), each hashed, together with the byte's bits so far, to a slot that holds how often a 0 and a 1 came. The
 predictions are stretched to log odds and combined by the weights of a gate, the longest context that has been seen; an
-adaptive table, indexed by gate and the mixer's output, refines the result.
-
-Learning takes all training documents and no sample: tokens are counted (a shuffle in proportion to the input), and the
-counted vocabulary then trains the model. Slot counts are sums over the vocabulary. The weights are learned online, batch
-by batch in hash order, by each partition of the vocabulary, every token predicted from counts without one of its own
-occurrences, and averaged by mass; the table is a sum over the vocabulary again. The model has a fixed size (SLOTS a
-context), so it may be collected and sent to the tasks. Scoring needs each token's own corpus count too: blocks
-of the input (what one scan reads of one file) ask the vocabulary for their distinct tokens and get the counts back by a join,
-so that no task holds the vocabulary. Tokens' log probabilities are computed once for each distinct token of a slice.
+adaptive table, indexed by gate and the mixer's output, refines the result. This spells what is rare or new. It is mixed with
+the corpus counts of whole tokens (absolute discounting; what the discount frees goes to the spelling), once for each of
+CLASSES kinds of text, and a text's probability is the mixture over the kinds: every token read adapts their weights.
+
+Learning takes all training documents and no sample. Kinds come from the common words (hashed to BINS) and how often they
+share documents: two sums of fixed size, clustered on the driver. Tokens are then counted by kind (a shuffle in proportion to
+the input), and the vocabulary trains the spelling: slot counts are sums over it; the weights are learned online, batch
+by batch in hash order, by each partition of the vocabulary, every token predicted from counts without its own, and averaged
+by mass; the refining table is a sum again. The model has a fixed size (SLOTS a context), so it may be collected and sent to
+the tasks. Scoring needs each token's own counts too: blocks of the input (what one scan reads of one file) ask the
+vocabulary for their distinct tokens and get the counts back by a join, so that no task holds the vocabulary.
 
 Null text: as empty, hence the end token alone. An empty training set: counts of zero and a model of even odds. Repeated rows
 are scored each, and learned each. Extra columns are ignored; an empty table gives no rows.
@@ -36,6 +38,8 @@ ORDERS = (1, 2, 3, 5, 1 << 30)
 SLOTS = 1 << 18
 RATE, BATCH = 0.02, 512
 STEPS = 33  # of the refining table, over log odds from -8 to 8
+CLASSES, BINS, COMMON = 4, 1 << 14, 256
+DISCOUNT, SHARED = 0.5, 0.03
 END = b"\n"
 SLICE = 3 << 20
 HELD_OUT = 10  # crc32(doc_id as text) modulo this
@@ -172,15 +176,77 @@ class Scorer:
 
 # ------------------------------------------------------------------------------------------------------------ on a cluster
 
-VOCABULARY_DDL = "block long, hash long, token binary, n long"
-VOCABULARY = pa.schema([("block", pa.int64()), ("hash", pa.int64()), ("token", pa.binary()), ("n", pa.int64())])
+KINDS = [f"n{k}" for k in range(CLASSES)]
+VOCABULARY = pa.schema([("block", pa.int64()), ("hash", pa.int64()), ("token", pa.binary()), *((k, pa.int64()) for k in KINDS)])
+VOCABULARY_DDL = "block long, hash long, token binary, " + ", ".join(f"{k} long" for k in KINDS)
+
+
+def _bins(hashes: np.ndarray) -> np.ndarray:
+    return (c.mix(hashes, 70) >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+
+
+def kinds_of(texts: c.Words, common: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The kind of each text: that of most of its common words; the first where there are none."""
+    place = np.full(BINS, -1)
+    place[common] = kind
+    own = place[_bins(texts.hashes)]
+    rows = texts.rows[own >= 0]
+    n = len(texts.at) - 1
+    votes = np.bincount(rows * CLASSES + own[own >= 0], minlength=n * CLASSES).reshape(n, CLASSES)
+    return votes.argmax(1)
+
+
+def cluster(together: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """The kind of each common word, from how many documents each two of them share."""
+    total = max(together.sum(), 1.0)
+    own = together.sum(1)
+    x = np.log(np.maximum(together * total / np.maximum(np.outer(own, own), 1.0), 1.0))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centres = [x[0]]
+    while len(centres) < CLASSES:
+        centres.append(x[np.min([((x - m) ** 2).sum(1) for m in centres], axis=0).argmax()])
+    for _ in range(rounds):
+        kind = np.stack([((x - m) ** 2).sum(1) for m in centres]).argmin(0)
+        centres = [x[kind == k].mean(0) if (kind == k).any() else centres[k] for k in range(CLASSES)]
+    return kind
+
+
+def _added(docs: DataFrame, shape: tuple[int, ...], of) -> np.ndarray:
+    """The sum over all training texts of an array of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape, np.int64)
+        for batch in batches:
+            for part in c.slices(batch.filter(pa.array(~held_out(c.numbers(batch, "doc_id")))), limit=SLICE):
+                total += of(c.words(c.column(part, "text"), lower=True))
+        flat = total.ravel()
+        for k in range(0, len(flat), CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array([k]), c.binary([flat[k : k + CHUNK].tobytes()])], ["chunk", "counts"])
+
+    parts = docs.select("doc_id", "text").mapInArrow(run, "chunk long, counts binary").groupBy("chunk").applyInPandas(_sum, "chunk long, counts binary")
+    found = sorted(parts.collect())  # of fixed size
+    return np.concatenate([np.frombuffer(x["counts"], np.int64) for x in found]).reshape(shape) if found else np.zeros(shape, np.int64)
+
 
+def common_kinds(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The bins of the common words, and their kinds."""
+    counts = _added(docs, (BINS,), lambda w: np.bincount(_bins(w.hashes), minlength=BINS))
+    common = np.argsort(-counts, kind="stable")[:COMMON]
+    place = np.full(BINS, -1)
+    place[common] = np.arange(COMMON)
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct tokens of each block's slices, with their number in training documents."""
-    from collections import defaultdict
+    def together(w: c.Words) -> np.ndarray:
+        own = place[_bins(w.hashes)]
+        held = np.zeros((len(w.at) - 1, COMMON), np.float32)
+        held[w.rows[own >= 0], own[own >= 0]] = 1
+        return np.rint(held.T @ held).astype(np.int64)
 
-    held: dict[int, list] = defaultdict(lambda: [ChunkTable(1), np.zeros(1 << 16, np.int64)])
+    return common, cluster(_added(docs, (COMMON, COMMON), together).astype(float))
+
+
+def _distinct(batches: Iterator[pa.RecordBatch], common: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The distinct tokens of each block's slices, with their number in training documents of each kind."""
+    held: dict[int, list] = {}
 
     def flush(block: int) -> Iterator[pa.RecordBatch]:
         table, counts = held.pop(block)
@@ -189,22 +255,24 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = table.at[0][a : b + 1]
             raw = table.bytes[0][at[0] : at[-1]].tobytes()
             tokens = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((at - at[0]).astype(np.int32)), pa.py_buffer(raw)])
-            yield c.named(VOCABULARY, block=np.full(b - a, block), hash=c.signed(table.keys[a:b]), token=tokens, n=counts[a:b])
+            yield c.named(VOCABULARY, block=np.full(b - a, block), hash=c.signed(table.keys[a:b]), token=tokens, **{k: counts[a:b, i] for i, k in enumerate(KINDS)})
 
     for batch in batches:
         for part in c.slices(batch, limit=SLICE):
             blocks, which = np.unique(c.numbers(part, "block"), return_inverse=True)
             w = c.words(c.column(part, "text"), lower=True)
             train = np.repeat(~held_out(c.numbers(part, "doc_id")), w.counts)
+            of = np.repeat(kinds_of(w, common, kind), w.counts)
             rows = np.repeat(which, w.counts)
             for k, block in enumerate(blocks.tolist()):
-                own = slice(None) if len(blocks) == 1 else np.flatnonzero(rows == k)
-                held_by = held[block]
-                table = held_by[0]
+                own = np.flatnonzero(rows == k)
+                pair = held.setdefault(block, [ChunkTable(1), np.zeros((1 << 16, CLASSES), np.int64)])
+                table = pair[0]
                 entry = table.entries(w.data, w.starts[own], w.ends[own], w.hashes[own], lambda x: (x,))
-                if table.n > len(held_by[1]):
-                    held_by[1] = np.concatenate([held_by[1], np.zeros(2 * table.n, np.int64)])
-                held_by[1][: table.n] += np.bincount(entry[train[own]], minlength=table.n)
+                if table.n > len(pair[1]):
+                    pair[1] = np.concatenate([pair[1], np.zeros((2 * table.n, CLASSES), np.int64)])
+                learnt = train[own]
+                pair[1][: table.n] += np.bincount(entry[learnt] * CLASSES + of[own][learnt], minlength=table.n * CLASSES).reshape(-1, CLASSES)
                 if table.n > 1_000_000:
                     yield from flush(block)
     for block in list(held):
@@ -212,8 +280,9 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spelling of the vocabulary's tokens; each counts once: the model spells words that are rare or new."""
     data, at = spell(c.column(batch, "token").to_pylist())
-    return data, at, c.numbers(batch, "n")
+    return data, at, np.ones(batch.num_rows, np.int64)
 
 
 CHUNK = 1 << 15
@@ -272,42 +341,63 @@ SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
+PACKED = np.dtype([("hash", "<i8"), ("n", "<i4"), ("kind", "u1"), ("share", "u1")])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts as one row a block and batch: a token's number, and its main kind with that kind's share of it."""
+    for batch in batches:
+        block = c.numbers(batch, "block")
+        order = np.argsort(block, kind="stable")
+        counts = np.stack([c.numbers(batch, k) for k in KINDS], axis=1)[order]
+        out = np.zeros(len(order), PACKED)
+        out["hash"], out["n"] = c.numbers(batch, "hash")[order], np.minimum(counts.sum(1), 2**31 - 1)
+        out["kind"] = counts.argmax(1)
+        out["share"] = 255 * counts.max(1) // np.maximum(counts.sum(1), 1)
+        cut = np.append(np.flatnonzero(c.first_of_group(block[order])), len(order)).tolist() if len(order) else [0]
+        yield pa.RecordBatch.from_arrays([pa.array(block[order][cut[:-1]]), c.binary([out[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)])], ["block", "counts"])
+
+
+def log_odds_of_kinds(own: np.ndarray, spelled: np.ndarray, totals: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """tokens x kinds: log10 probability, from counts (PACKED) and the log10 probability of the spelling."""
+    n = own["n"].astype(float)
+    everywhere = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * distinct * 10.0**spelled) / max(total, 1)
+    share = own["share"] / 255.0
+    here = np.where(own["kind"][:, None] == np.arange(CLASSES), share[:, None], ((1 - share) / (CLASSES - 1))[:, None]) * n[:, None]
+    return np.log10(np.maximum((1 - SHARED) * here / np.maximum(totals, 1) + SHARED * everywhere[:, None], 1e-300))
+
+
 def score(df: DataFrame) -> DataFrame:
     """Every document's base score and model score."""
     file = F.input_file_name()
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(c.buckets(df, 16)))
     block = F.when(file == "", spread).otherwise(F.xxhash64(file, F.input_file_block_start()))
     docs = c.documents(df, block.alias("block"))
-    with c.stored(docs.mapInArrow(_distinct, VOCABULARY_DDL)) as asked:
-        counted = asked.groupBy("hash").agg(F.sum("n").alias("n"), F.first("token").alias("token")).where("n > 0")
-        counted = c.checkpoint(counted)
-        ends = docs.select("doc_id").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(HELD_OUT)) != 0).count()
-        sums = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-        total, distinct = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
-        vocabulary = counted.select("token", "n").unionByName(df.sparkSession.createDataFrame([(bytearray(END), ends)], "token binary, n long").where("n > 0"))
-        model = df.sparkSession.sparkContext.broadcast(fit(vocabulary))  # fixed size
-        found = c.checkpoint(asked.select("block", "hash").join(counted.select("hash", "n"), "hash"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts as one row a block and batch."""
-        for batch in batches:
-            block = c.numbers(batch, "block")
-            order = np.argsort(block, kind="stable")
-            pair = np.stack([c.numbers(batch, "hash")[order], c.numbers(batch, "n")[order]], axis=1)
-            cut = np.append(np.flatnonzero(c.first_of_group(block[order])), len(order)) if len(order) else np.zeros(1, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(block[order][cut[:-1]]), c.binary([pair[a:b].tobytes() for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)])], ["block", "counts"])
+    common, kind = common_kinds(docs)
+    every = sum(map(F.col, KINDS), F.lit(0))
+    with c.stored(docs.mapInArrow(lambda batches: _distinct(batches, common, kind), VOCABULARY_DDL)) as asked:
+        counted = asked.groupBy("hash").agg(*(F.sum(k).alias(k) for k in KINDS), F.first("token").alias("token")).where(every > 0)
+        with c.stored(counted) as counted:
+            ends = docs.select("doc_id").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(HELD_OUT)) != 0).count()
+            sums = counted.agg(*(F.sum(k).alias(k) for k in KINDS), F.count("*").alias("v")).first()
+            totals = np.array([sums[k] or 0 for k in KINDS], float)
+            total, distinct = int(totals.sum()) + ends, sums["v"] + (ends > 0)
+            model = df.sparkSession.sparkContext.broadcast(fit(counted.select("token")))  # fixed size
+            packed = c.checkpoint(asked.select("block", "hash").join(counted.drop("token"), "hash").mapInArrow(_pack, "block long, counts binary"))
 
-    packed = found.mapInArrow(pack, "block long, counts binary")
     both = docs.withColumn("counts", F.lit(None).cast("binary")).unionByName(packed, allowMissingColumns=True)
     sorted_ = both.repartition(c.buckets(df, 16), "block").sortWithinPartitions("block", F.col("doc_id").isNotNull())
     scale = np.log10(total + 0.1 * (distinct + 1))
+    weights = np.log10((totals + 1) / (totals + 1).sum())
+    # a text ends once: by how many texts there are to all tokens
+    end = np.log10(max(ends, 0.1) / max(total, 1))
+    body = np.log10(max(total - ends, 1) / max(total, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer: Scorer = model.value
-        memory = ChunkTable(1)  # token -> log10 probability
-        end = float(scorer([END])[0])
+        memory = ChunkTable(1)  # token -> log10 probability of its spelling
         lists: dict[int, list[bytes]] = {}
-        now, hashes, counts = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        now, known = None, np.zeros(0, PACKED)
 
         def make(tokens: list[bytes]) -> tuple[list[bytes]]:
             raw = scorer(tokens).tobytes()
@@ -318,27 +408,33 @@ def score(df: DataFrame) -> DataFrame:
             block = c.numbers(batch, "block")
             for a in np.flatnonzero(~valid).tolist():
                 lists.setdefault(int(block[a]), []).append(c.column(batch, "counts")[a].as_py())
-            edge = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist() + [len(block)]
+            edge = np.append(np.flatnonzero(c.first_of_group(block)), len(block)).tolist() if len(block) else []
             for a, b in zip(edge, edge[1:], strict=False):
                 own = batch.slice(a, b - a).filter(pa.array(valid[a:b]))
                 if not own.num_rows:
                     continue
                 if now != int(block[a]):
                     now = int(block[a])
-                    pair = np.frombuffer(b"".join(lists.pop(now, [])), np.int64).reshape(-1, 2)
-                    order = np.argsort(pair[:, 0])
-                    hashes, counts = pair[order, 0], pair[order, 1]
+                    known = np.frombuffer(b"".join(lists.pop(now, [])), PACKED)
+                    known = known[np.argsort(known["hash"])]
                 for part in c.slices(own, limit=SLICE):
                     w = c.words(c.column(part, "text"), lower=True)
-                    distinct_, inverse = np.unique(c.signed(w.hashes), return_inverse=True)
-                    place = np.minimum(np.searchsorted(hashes, distinct_), max(len(hashes) - 1, 0))
-                    n = np.where(hashes[place] == distinct_, counts[place], 0) if len(hashes) else np.zeros(len(distinct_), np.int64)
-                    entry = memory.entries(w.data, w.starts, w.ends, w.hashes, make)
-                    value = memory.gather(0, entry).view(np.float64)
+                    distinct_, first, inverse = np.unique(c.signed(w.hashes), return_index=True, return_inverse=True)
+                    mine = np.zeros(len(distinct_), PACKED)
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known["hash"], distinct_), len(known) - 1)
+                        found = known["hash"][place] == distinct_
+                        mine[found] = known[place[found]]
+                    entry = memory.entries(w.data, w.starts[first], w.ends[first], w.hashes[first], make)
+                    spelled = memory.gather(0, entry).view(np.float64)
+                    kinds = log_odds_of_kinds(mine, spelled, totals, total - ends, distinct)
                     rows, size = w.rows, part.num_rows
+                    n = mine["n"].astype(float)
+                    sums = np.stack([np.bincount(rows, kinds[inverse, k], size) for k in range(CLASSES)], axis=1) + weights
+                    top = sums.max(1)
+                    model_score = top + np.log10((10.0 ** (sums - top[:, None])).sum(1)) + w.counts * body + end
                     # one byte follows every word, and the end
                     lengths = np.bincount(rows, w.ends - w.starts + 1, size) + 1
-                    model_score = np.bincount(rows, value, size) + end
                     yield c.named(
                         SCORES,
                         doc_id=c.column(part, "doc_id"),
