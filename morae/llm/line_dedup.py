@@ -28,7 +28,7 @@ from . import common as c
 
 T = 2
 MIN_CHARS = 32
-SLICE = 3 << 20
+SLICE = 2 << 20
 KEYS = pa.schema([("bucket", pa.int64()), ("payload", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("line_no", pa.list_(pa.int64())), ("line", pa.list_(pa.int64()))])
 KEYS_DDL = "bucket long, payload binary, doc_id array<long>, line_no array<long>, line array<long>"
 MET = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("line", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
@@ -257,7 +257,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield c.named(TEXTS, line=names, text=texts)
 
 
-def links(df: DataFrame, bucket_mb: float = 16) -> tuple[DataFrame, DataFrame]:
+def links(df: DataFrame, bucket_mb: float = 8) -> tuple[DataFrame, DataFrame]:
     """Occurrences (doc_id, line_no, line) of long lines, and links (a, b) between different lines within T edits."""
     docs = c.documents(df)
     buckets = c.buckets(docs, bucket_mb)
