@@ -108,11 +108,10 @@ def _unlengthened(s: str | None) -> str | None:
 
 
 def _vectorised(function):
-    @F.pandas_udf("string")
     def run(col: pd.Series) -> pd.Series:
         return col.map(function, na_action="ignore")
 
-    return run
+    return F.pandas_udf(run, "string")
 
 
 def normalized(col: Column) -> Column:

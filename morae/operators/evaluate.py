@@ -66,9 +66,20 @@ def vowel_scores(df: DataFrame, output: str, gold: str, *by: str) -> DataFrame:
     return out.withColumns({"short_rate": rate(c("short_right"), c("short_total")), "long_rate": rate(c("long_right"), c("long_total")), "both_rate": rate(c("short_right") + c("long_right"), c("short_total") + c("long_total"))})
 
 
-@F.pandas_udf("expected long, correct long")
-def alignment(output: pd.Series, gold: pd.Series) -> pd.DataFrame:
-    """Marks in the gold line, and those of them inside blocks that the output matches."""
+SCORE = "expected long, correct long"
+
+
+def alignment(output: Column, gold: Column) -> Column:
+    """Marks in the gold line (expected), and those of them inside blocks that the output matches (correct)."""
+    return F.pandas_udf(_alignment, SCORE)(output, gold)
+
+
+def backward(output: Column, gold: Column) -> Column:
+    """Both lines read from their ends: a short mark fails only on an explicit long one, a long mark on anything else."""
+    return F.pandas_udf(_backward, SCORE)(output, gold)
+
+
+def _alignment(output: pd.Series, gold: pd.Series) -> pd.DataFrame:
     rows = []
     for a, b in zip(output.fillna(""), gold.fillna(""), strict=True):
         match = SequenceMatcher(None, a, b, autojunk=False)
@@ -76,9 +87,7 @@ def alignment(output: pd.Series, gold: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["expected", "correct"])
 
 
-@F.pandas_udf("expected long, correct long")
-def backward(output: pd.Series, gold: pd.Series) -> pd.DataFrame:
-    """Both lines read from their ends: a short mark fails only on an explicit long one, a long mark on anything else."""
+def _backward(output: pd.Series, gold: pd.Series) -> pd.DataFrame:
     rows = []
     for a, b in zip(output.fillna(""), gold.fillna(""), strict=True):
         i, j, expected, correct = len(a) - 1, len(b) - 1, 0, 0
