@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
@@ -67,8 +67,14 @@ def stored(df: DataFrame) -> Iterator[DataFrame]:
 
 
 def buckets(df: DataFrame, mb: float) -> int:
-    """How many buckets hold about so many MB of this input each: grows in proportion with the input."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """How many buckets hold about so many MB of this input each: grows in proportion with the input.
+
+    Sizes are those of the files that are read; where a source doesn't know its size, the texts are measured.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    if size >= 1 << 50:
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(12, min(1 << 20, round(size / (mb * 1e6))))
 
 
@@ -266,25 +272,26 @@ def named(schema: pa.Schema, **columns) -> pa.RecordBatch:
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """node, component: the smallest node reachable over links (a, b).
 
-    Large-star and small-star rounds: every round hangs each node's larger (then smaller) neighbours on its smallest one,
-    so that a hub's neighbours are aggregated, not paired, and chains shorten by more than half. Every round is cut by
-    a checkpoint; the driver sees only the number of links that changed. Nodes without links are their own component.
+    Rounds over a table of labels: a node takes the least label among its own and its neighbours' (a hub's neighbours are
+    aggregated on the map side, not paired), and so does the node that its label names, so that whole trees move at once; then
+    every label is replaced by the label of the node it names, which halves chains. A round is cut
+    by a checkpoint; the driver sees only a sum of the labels, which falls until nothing changes. Nodes without links are their
+    own component.
     """
-    edges = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    both = links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = checkpoint(both)
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
+    labels = checkpoint(labels)
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = checkpoint(small)
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("least"))
+        own = labels.join(seen, labels["node"] == seen["a"]).select("node", "label", F.least("label", "least").alias("least"))
+        hooks = own.select(F.explode(F.array(F.struct("node", "least"), F.struct(F.col("label").alias("node"), "least"))).alias("x")).select("x.*")
+        hooked = checkpoint(hooks.groupBy("node").agg(F.min("least").alias("label")))
+        name = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        labels = checkpoint(hooked.join(name, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label")))
+        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == before:
             break
         before = now
-    return nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-
-
-def sha(*cols: Column) -> Column:
-    return F.sha2(F.concat_ws(" ", *cols).cast("binary"), 256)
+    return nodes.join(labels.withColumnRenamed("label", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -12,8 +12,8 @@ again with other hashes until every set has been safe once.
 A set stands for all documents that have it (a hash of the set names it), so copies never multiply. Sets that meet under a
 key are a group. Small groups give their pairs, which are compared by bit sketches (parity again) and verified on the whole
 sets. Large groups are kept once each: sets of different components are compared by bit sketches in blocks inside
-their task; first each set brings out only its nearest partner, which makes most of a group one component; when that
-finds no more links, all pairs come out that the sketches allow and that are still in different components. So no link
+their task; first each set brings out only its nearest partner and the group's hub, which makes most of a group one component;
+when that finds no more links, all pairs come out that the sketches allow and that are still in different components. So no link
 is lost, and a family of copies costs its links, not its pairs.
 
 Null or blank text: an empty set, linked with nothing, a component of its own. Fewer words than a shingle: the whole
@@ -43,6 +43,7 @@ KEYS_DDL = "bucket long, payload binary, doc_id array<long>, n array<long>, node
 MET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("unsafe", pa.bool_()), ("sketch", pa.binary()), ("members", pa.list_(pa.int64())), ("a", pa.int64()), ("b", pa.int64())])
 MET_DDL = "doc_id long, n long, node long, unsafe boolean, sketch binary, members array<long>, a long, b long"
 SMALL = 8  # a group of so many sets gives its pairs
+FAR = 1 << 40  # more than any distance
 FILTER = 1 << 23  # flags of the filter that texts pass whose sets are asked for
 SLICE = 3 << 20
 
@@ -273,40 +274,55 @@ def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.column(batch, "a"), c.column(batch, "b")], ["a", "b"]).filter(pa.array(good))
 
 
+NEAR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("gid", pa.int64())])
+
+
 def _near(nearest: bool):
-    """Pairs of the sets of each group, from rows sorted by group."""
+    """From rows sorted by group: pairs (a, b) of the groups' sets, each once a task, and the groups (gid) that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        found = [np.zeros(0, np.dtype([("a", "<i8"), ("b", "<i8")]))]
+        alive: list[int] = []
 
-        def done() -> Iterator[pa.RecordBatch]:
+        def done() -> None:
             if held:
                 whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held.clear()
                 a, b = _pairs(c.numbers(whole, "node"), c.numbers(whole, "comp"), c.numbers(whole, "n"), c.column(whole, "sketch").to_pylist(), nearest)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        now = None
+                if len(a):
+                    alive.append(now)
+                    own = np.zeros(len(a), found[0].dtype)
+                    own["a"], own["b"] = a, b
+                    found.append(own)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            pairs = np.unique(np.concatenate(found))
+            yield c.named(NEAR, a=pairs["a"], b=pairs["b"], gid=pa.nulls(len(pairs), pa.int64()))
+            yield c.named(NEAR, a=pa.nulls(len(alive), pa.int64()), b=pa.nulls(len(alive), pa.int64()), gid=alive)
+            del found[1:], alive[:]
+
+        now = 0
         for batch in batches:
             gid = c.numbers(batch, "gid")
             edge = np.append(np.flatnonzero(c.first_of_group(gid)), len(gid)).tolist() if len(gid) else []
             for i, j in zip(edge, edge[1:], strict=False):
                 if gid[i] != now:
-                    yield from done()
-                    now = gid[i]
+                    done()
+                    now = int(gid[i])
+                    if sum(map(len, found)) > 2_000_000:
+                        yield from flush()
                 held.append(batch.slice(i, j - i))
-        yield from done()
+        done()
+        yield from flush()
 
     return run
 
 
-def _pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: list[bytes], nearest: bool, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a > b) of a group's sets in different components that their sizes and bit sketches allow; or only each set's
-    nearest partner."""
-    order = np.lexsort((node, n))
-    node, comp, n, sketch = node[order], comp[order], n[order], [sketch[i] for i in order]
+def _blocks(comp: np.ndarray, n: np.ndarray, sketch: list[bytes], block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of sets sorted by size: rows a, rows b, and the Hamming distance of each pair a, b, or FAR where they can't be linked or
+    are in one component. Every pair of different sets comes up once."""
     bits = _width(n)
-    found_a, found_b, found_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for width in np.unique(bits).tolist():
         left = np.flatnonzero(bits == width)
         # sets of this width, and smaller ones that may be similar: wider sketches are folded down to the narrower
@@ -319,24 +335,44 @@ def _pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: list[bytes
                 a = left[i : i + block]
                 # sorted by size: partners stand side by side
                 lo, hi = np.searchsorted(n[right], -(-n[a[0]] * P // Q)), np.searchsorted(n[right], n[a[-1]] * Q // P, "right")
-                for j in range(lo, hi, block):
+                for j in range(max(lo, i) if width == other else lo, hi, block):
                     b = right[j : min(hi, j + block)]
-                    ok = (comp[a][:, None] != comp[b][None]) & (n[a][:, None] * P <= n[b][None] * Q) & (n[b][None] * P <= n[a][:, None] * Q)
+                    d = np.zeros((len(a), len(b)), np.int64)
+                    for k in range(a_all.shape[1]):
+                        d += np.bitwise_count(a_all[i : i + len(a), k, None] ^ b_all[None, j : j + len(b), k])
+                    x, y = n[a][:, None], n[b][None]
+                    ok = (comp[a][:, None] != comp[b][None]) & (x * P <= y * Q) & (y * P <= x * Q) & (d <= differing(x, y))
                     if width == other:
                         ok &= a[:, None] < b[None]
-                    u, v = np.nonzero(ok)
-                    d = np.bitwise_count(a_all[i + u] ^ b_all[j + v]).sum(1, dtype=np.int64)
-                    good = d <= differing(n[a[u]], n[b[v]])
-                    found_a.append(a[u[good]])
-                    found_b.append(b[v[good]])
-                    found_d.append(d[good])
-    a, b, d = map(np.concatenate, (found_a, found_b, found_d))
-    if nearest and len(a):
-        a, b, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
-        order = np.lexsort((node[b], d, a))
-        a, b = a[order], b[order]
-        first = c.first_of_group(a)
-        a, b = a[first], b[first]
+                    yield a, b, np.where(ok, d, FAR)
+
+
+def _pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: list[bytes], nearest: bool, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a > b) of a group's sets in different components that their sizes and bit sketches allow; with `nearest` only those
+    of each set with its nearest partner, and of the set that has most partners."""
+    order = np.lexsort((node, n))
+    node, comp, n, sketch = node[order], comp[order], n[order], [sketch[i] for i in order]
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    best, partner, degree = np.full(len(n), FAR), np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    for a, b, d in _blocks(comp, n, sketch, block):
+        if not nearest:
+            x, y = np.nonzero(d < FAR)
+            found_a.append(a[x])
+            found_b.append(b[y])
+            continue
+        for own, others, axis in ((a, b, 1), (b, a, 0)):
+            k, low = d.argmin(axis), d.min(axis)
+            degree[own] += (d < FAR).sum(axis)
+            better = low < best[own]
+            best[own[better]], partner[own[better]] = low[better], others[k[better]]
+    if nearest and (best < FAR).any():
+        some = np.flatnonzero(best < FAR)
+        hub = int(degree.argmax())
+        others = np.setdiff1d(some, [hub])
+        others = others[(n[others] * P <= n[hub] * Q) & (n[hub] * P <= n[others] * Q) & (comp[others] != comp[hub])]
+        found_a += [some, others]
+        found_b += [partner[some], np.full(len(others), hub)]
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
     return np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
 
 
@@ -375,7 +411,10 @@ def join(df: DataFrame, bucket_mb: float = 8) -> DataFrame:
     groups = groups.groupBy(F.xxhash64("members").alias("gid")).agg(F.first("members").alias("members"))
     members = c.checkpoint(groups.select("gid", F.explode("members").alias("node")))
     side = lambda x, y: names.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(y))
-    pairs = met_pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_allowed, "a long, b long")
+    near = lambda rows, nearest: rows.join(names.select("node", "n", "sketch"), "node").repartition("gid").sortWithinPartitions("gid").mapInArrow(_near(nearest), "a long, b long, gid long")
+    small = met_pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_allowed, "a long, b long")
+    found_near = c.checkpoint(near(members.withColumn("comp", F.col("node")), True))
+    pairs = small.unionByName(found_near.where("a is not null").select("a", "b")).distinct()
     components = done = None
     nearest = True
     while True:
@@ -385,7 +424,7 @@ def join(df: DataFrame, bucket_mb: float = 8) -> DataFrame:
         shipped = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         checked = c.checkpoint(shipped.mapInArrow(_verify, "a long, b long, linked boolean"))
         fresh = checked.where("linked").select("a", "b")
-        first, done = done is None, checked.select("a", "b") if done is None else done.unionByName(checked.select("a", "b"))
+        done = checked.select("a", "b") if done is None else done.unionByName(checked.select("a", "b"))
         grown = not fresh.isEmpty()
         if grown:
             # what is known already goes in as a star around each component
@@ -394,15 +433,17 @@ def join(df: DataFrame, bucket_mb: float = 8) -> DataFrame:
             components = c.checkpoint(c.components(linked, links))
         if not nearest:
             break
-        nearest = grown or first
+        nearest = grown
         now = members.withColumn("comp", F.col("node"))
         if components is not None:
             now = members.join(components, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("comp"))
         mixed = c.checkpoint(now.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("gid"))
         if mixed.isEmpty():
             break
-        rows = now.join(mixed, "gid", "left_semi").join(names.select("node", "n", "sketch"), "node").repartition("gid").sortWithinPartitions("gid")
-        pairs = rows.mapInArrow(_near(nearest), "a long, b long").distinct()
+        # a group whose sketches allow no pair now will never have one
+        members = c.checkpoint(members.join(mixed.join(found_near.select("gid"), "gid", "left_semi"), "gid", "left_semi"))
+        found_near = c.checkpoint(near(now.join(members, ["gid", "node"], "left_semi"), nearest))
+        pairs = found_near.where("a is not null").select("a", "b").distinct()
     if components is None:
         components = names.select("node", F.col("node").alias("component")).limit(0)
     low = components.join(names.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
