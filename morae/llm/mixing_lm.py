@@ -41,7 +41,7 @@ STEPS = 33  # of the refining table, over log odds from -8 to 8
 CLASSES, BINS, COMMON = 4, 1 << 14, 256
 DISCOUNT, SHARED = 0.5, 0.03
 END = b"\n"
-SLICE = 3 << 20
+SLICE = 1 << 20
 HELD_OUT = 10  # crc32(doc_id as text) modulo this
 
 
@@ -157,9 +157,10 @@ class Scorer:
         self.refined = (refined[1] + 20 * middle) / (refined.sum(0) + 20)
 
     def __call__(self, tokens: list[bytes]) -> np.ndarray:
+        return np.concatenate([self._score(tokens[k : k + 8192]) for k in range(0, len(tokens), 8192)] or [np.zeros(0)])
+
+    def _score(self, tokens: list[bytes]) -> np.ndarray:
         data, at = spell(tokens)
-        if not len(data):
-            return np.zeros(0)
         context, k = contexts(data, at), np.arange(len(ORDERS))[:, None]
         total = np.zeros(len(data))
         for bit in range(8):
@@ -266,14 +267,14 @@ def _distinct(batches: Iterator[pa.RecordBatch], common: np.ndarray, kind: np.nd
             rows = np.repeat(which, w.counts)
             for k, block in enumerate(blocks.tolist()):
                 own = np.flatnonzero(rows == k)
-                pair = held.setdefault(block, [ChunkTable(1), np.zeros((1 << 16, CLASSES), np.int64)])
+                pair = held.setdefault(block, [ChunkTable(1), np.zeros((1 << 16, CLASSES), np.int32)])
                 table = pair[0]
                 entry = table.entries(w.data, w.starts[own], w.ends[own], w.hashes[own], lambda x: (x,))
                 if table.n > len(pair[1]):
-                    pair[1] = np.concatenate([pair[1], np.zeros((2 * table.n, CLASSES), np.int64)])
+                    pair[1] = np.concatenate([pair[1], np.zeros((2 * table.n, CLASSES), np.int32)])
                 learnt = train[own]
-                pair[1][: table.n] += np.bincount(entry[learnt] * CLASSES + of[own][learnt], minlength=table.n * CLASSES).reshape(-1, CLASSES)
-                if table.n > 1_000_000:
+                pair[1][: table.n] += np.bincount(entry[learnt] * CLASSES + of[own][learnt], minlength=table.n * CLASSES).reshape(-1, CLASSES).astype(np.int32)
+                if table.n > 500_000:
                     yield from flush(block)
     for block in list(held):
         yield from flush(block)
@@ -395,7 +396,7 @@ def score(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer: Scorer = model.value
-        memory = ChunkTable(1)  # token -> log10 probability of its spelling
+        memory = ChunkTable(1, 500_000)  # token -> log10 probability of its spelling
         lists: dict[int, list[bytes]] = {}
         now, known = None, np.zeros(0, PACKED)
 
