@@ -14,7 +14,7 @@ from . import common as c
 
 
 class ChunkTable:
-    def __init__(self, payloads: int, limit: int = 1_500_000):
+    def __init__(self, payloads: int, limit: int = 1_000_000):
         self.payloads, self.limit = payloads, limit
         self.clear()
 

@@ -137,13 +137,21 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def _letters(values: np.ndarray, seed: int) -> np.ndarray:
+    """The values as letters of the polynomials of a seed; all seeds share the powers of one base."""
+    if seed == 0:
+        return values.astype(U) + U(1)
+    if values.dtype == np.uint8:
+        return mix(np.arange(256, dtype=U), 100 + seed)[values]
+    return mix(values.astype(U), 100 + seed)
+
+
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each values[start:end]; equal spans have equal hashes, wherever they stand."""
-    base = pow(BASE, 2 * seed + 1, 1 << 64)
     n = len(values)
     total = np.zeros(n + 1, U)
-    np.cumsum((values.astype(U) + U(1)) * powers(base, n), out=total[1:])
-    inverse = powers(pow(base, -1, 1 << 64), n + 1)
+    np.cumsum(_letters(values, seed) * powers(BASE, n), out=total[1:])
+    inverse = powers(pow(BASE, -1, 1 << 64), n + 1)
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U) * U(MIX[0]), seed)
 
 

@@ -45,7 +45,7 @@ MET_DDL = "doc_id long, n long, node long, unsafe boolean, sketch binary, member
 SMALL = 8  # a group of so many sets gives its pairs
 FAR = 1 << 40  # more than any distance
 FILTER = 1 << 23  # flags of the filter that texts pass whose sets are asked for
-SLICE = 3 << 20
+SLICE = 2 << 20
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -72,7 +72,7 @@ def entries(points: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np
     """Line (index), key and whether it is a probe, of all index entries and probes of the lines."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     everyone = np.arange(len(size))
-    base = pow(c.BASE, 21, 1 << 64)
+    base = c.BASE
     total = np.concatenate([[np.uint64(0)], np.cumsum((points.astype(np.uint64) + np.uint64(1)) * c.powers(base, len(points)))])
     inverse = c.powers(pow(base, -1, 1 << 64), len(points) + 1)
 

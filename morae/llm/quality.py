@@ -30,7 +30,7 @@ MIN_DOCS, MAX_SHARE, MIN_LEFT = 100, 0.05, 0.1
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), *((x, pa.int64()) for x in COUNTS), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 DDL = "row long, doc_id long, source string, " + ", ".join(f"{x} long" for x in COUNTS) + ", lines array<long>, sizes array<long>"
-SLICE = 3 << 20
+SLICE = 2 << 20
 
 
 def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.Array:

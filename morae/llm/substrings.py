@@ -32,7 +32,7 @@ SUB = 6  # words of a minimiser
 EDGES = pa.schema([("bucket", pa.int64()), ("payload", pa.binary())])
 RUNS = pa.schema([(x, pa.int64()) for x in ("doc", "start", "n", "src", "src_start")])
 RUNS_DDL = "doc long, start long, n long, src long, src_start long"
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def _minimum(values: np.ndarray, width: int) -> np.ndarray:
