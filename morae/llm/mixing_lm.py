@@ -1,20 +1,23 @@
 """Language-model scoring by online logistic context mixing over bits.
 
-The text's tokens are its words, lower-cased, and one end token. A word is spelled as its bytes and a space, the end as a line
-end; every bit of a byte is predicted from several contexts within the token (the last 1, 2, 3 and 5 bytes and the whole
-beginning), each hashed, together with the byte's bits so far, to a slot that holds how often a 0 and a 1 came. The
+The text's tokens are its words, lower-cased, and one end token. The running text is its words, each with a space, and a
+line end; every bit of a byte is predicted from several contexts in it: the last 1, 2, 3 and 5 bytes, over the begins of words
+too, and the word's beginning, alone (so the counts of whole tokens are one input), after the preceding word, and after the two
+preceding words. Each is hashed, together with the byte's bits so far, to a slot that holds how often a 0 and a 1 came. The
 predictions are stretched to log odds and combined by the weights of a gate, the longest context that has been seen; an
-adaptive table, indexed by gate and the mixer's output, refines the result. This spells what is rare or new. It is mixed with
-the corpus counts of whole tokens (absolute discounting; what the discount frees goes to the spelling), once for each of
-CLASSES kinds of text, and a text's probability is the mixture over the kinds: every token read adapts their weights.
-
-Learning takes all training documents and no sample. Kinds come from the common words (hashed to BINS) and how often they
-share documents: two sums of fixed size, clustered on the driver. Tokens are then counted by kind (a shuffle in proportion to
-the input), and the vocabulary trains the spelling: slot counts are sums over it; the weights are learned online, batch
-by batch in hash order, by each partition of the vocabulary, every token predicted from counts without its own, and averaged
-by mass; the refining table is a sum again. The model has a fixed size (SLOTS a context), so it may be collected and sent to
-the tasks. Scoring needs each token's own counts too: blocks of the input (what one scan reads of one file) ask the
-vocabulary for their distinct tokens and get the counts back by a join, so that no task holds the vocabulary.
+adaptive table, indexed by gate and the mixer's output, refines the result.
+
+A token's probability is a mixture of this and of the corpus counts of whole tokens in CLASSES kinds of text (absolute
+discounting; what the discount frees goes to the mixer's), in each of the proportions SHARES. A text's probability is the
+mixture over kinds and proportions: every token read adapts their weights.
+
+Learning takes the running text of all training documents and no sample. Slot counts are sums over it; the weights are learned
+online by each partition of the texts, every bit predicted from counts without its own, and averaged by mass, and
+the refining table is filled on the way. The model has a fixed size (SLOTS a context), so it may be collected and sent to the
+tasks. Kinds come from the common words (hashed to BINS) and how often they share documents: two sums of fixed size,
+clustered on the driver. Tokens are counted by kind (a shuffle in proportion to the input). Scoring needs each token's own
+counts: blocks of the input (what one scan reads of one file) ask the vocabulary for their distinct tokens and get the
+counts back by a join, so that no task holds the vocabulary.
 
 Null text: as empty, hence the end token alone. An empty training set: counts of zero and a model of even odds. Repeated rows
 are scored each, and learned each. Extra columns are ignored; an empty table gives no rows.
@@ -34,14 +37,16 @@ from pyspark.sql import functions as F
 from . import common as c
 from .chunk_table import ChunkTable
 
-ORDERS = (1, 2, 3, 5, 1 << 30)
-SLOTS = 1 << 18
-RATE, BATCH = 0.02, 512
+BYTES, WORDS = (1, 2, 3, 5), (0, 1, 2)  # contexts: so many bytes; the word's beginning and so many words before it
+ORDERS = len(BYTES) + len(WORDS)
+SLOTS = 1 << 20
+RATE, BATCH = 0.02, 2048
 STEPS = 33  # of the refining table, over log odds from -8 to 8
 CLASSES, BINS, COMMON = 4, 1 << 14, 256
 DISCOUNT, SHARED = 0.5, 0.03
-END = b"\n"
+SHARES = (0.02, 0.25, 0.5, 0.75, 0.95)  # of the mixer in a token's probability
 SLICE = 1 << 20
+STREAM = 1 << 18  # bytes of running text that are modelled at once
 HELD_OUT = 10  # crc32(doc_id as text) modulo this
 
 
@@ -52,24 +57,36 @@ def held_out(ids: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------------------------------------------------- the model
 
 
-def spell(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all tokens, each with what ends it, and where each begins."""
-    parts = [x if x == END else x + b" " for x in tokens]
-    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]).astype(np.int64)
-    return np.frombuffer(b"".join(parts), np.uint8), at
+def stream(w: c.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The running text of a slice, where each token begins (and the last ends), and the first token of each one's text."""
+    ends = np.cumsum(w.counts + 1) - 1
+    own = np.arange(len(w.starts)) + w.rows
+    size = np.ones(len(own) + len(ends), np.int64)
+    size[own] += w.ends - w.starts
+    at = np.concatenate([[0], np.cumsum(size)])
+    data = np.full(at[-1], 32, np.uint8)
+    data[at[ends]] = 10
+    data[c.runs(at[own], w.ends - w.starts)] = w.data[c.runs(w.starts, w.ends - w.starts)]
+    return data, at, np.repeat(ends - w.counts, w.counts + 1)
 
 
-def contexts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """orders x bytes: the hash of what stands before each byte in its token."""
-    k = np.arange(len(data))
-    begin = np.repeat(at[:-1], np.diff(at))
-    return np.stack([c.span_hash(data, np.maximum(begin, k - order), k, 30) + np.uint64(i) for i, order in enumerate(ORDERS)])
+def contexts(data: np.ndarray, at: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """orders x bytes: the hash of what stands before each byte in its text."""
+    k, token = np.arange(len(data)), np.repeat(np.arange(len(head)), np.diff(at))
+    letters = c.mix(np.arange(256, dtype=np.uint64), 130)[data]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * c.powers(c.BASE, len(data)))])
+    inverse = c.powers(pow(c.BASE, -1, 1 << 64), len(data) + 1)
+    top = at[head][token]
+    begins = [np.maximum(top, k - n) for n in BYTES]
+    begins += [at[np.maximum(head, np.arange(len(head)) - n)][token] for n in WORDS]
+    return np.stack([c.mix((total[k] - total[x]) * inverse[x] + (k - x).astype(np.uint64) * np.uint64(c.MIX[0]), 30 + i) for i, x in enumerate(begins)])
 
 
 def slots(context: np.ndarray, data: np.ndarray, bit: int) -> np.ndarray:
-    """orders x bytes: the slot of the next bit."""
+    """orders x bytes: the slot of the next bit, in the orders' tables end to end."""
     node = (np.uint64(1 << bit) | (data >> np.uint8(8 - bit)).astype(np.uint64)) if bit else np.ones(len(data), np.uint64)
-    return (((context ^ (node * np.uint64(c.MIX[0]))) * np.uint64(c.MIX[1])) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+    place = ((context ^ (node * np.uint64(c.MIX[0]))) * np.uint64(c.MIX[1])) >> np.uint64(64 - SLOTS.bit_length() + 1)
+    return place.view(np.int64) + (np.arange(ORDERS) * SLOTS)[:, None]
 
 
 def bits_of(data: np.ndarray, bit: int) -> np.ndarray:
@@ -77,95 +94,77 @@ def bits_of(data: np.ndarray, bit: int) -> np.ndarray:
 
 
 def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log((n1 + 0.1) / (n0 + 0.1))
+    return np.log((n1 + np.float32(0.1)) / (n0 + np.float32(0.1)))
 
 
 def mixed(inputs: np.ndarray, seen: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The gate (contexts seen in a row, shortest first) and the mixer's log odds."""
+    """The gate (the last context seen, shortest first) and the mixer's log odds."""
     gate = np.zeros(inputs.shape[1], np.int64)
-    for k in range(len(ORDERS)):
+    for k in range(ORDERS):
         gate[seen[k]] = k + 1
-    return gate, np.einsum("kn,kn->n", inputs, weights[gate].T)
+    return gate, np.einsum("kn,kn->n", inputs, weights.T[:, gate])
 
 
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -12, 12)))
 
 
-def count_bits(data: np.ndarray, at: np.ndarray, mass: np.ndarray) -> np.ndarray:
-    """2 x orders x slots: how often each bit came, of tokens that came `mass` times."""
-    out = np.zeros((2, len(ORDERS), SLOTS))
-    context, n = contexts(data, at), np.repeat(mass, np.diff(at)).astype(float)
+def count_bits(data: np.ndarray, at: np.ndarray, head: np.ndarray, out: np.ndarray) -> None:
+    """Add to out (slots of all orders x 2) how often each bit came."""
+    context, flat = contexts(data, at, head), out.reshape(-1)
     for bit in range(8):
-        place, y = slots(context, data, bit), bits_of(data, bit)
-        for k in range(len(ORDERS)):
-            out[:, k] += np.bincount(place[k] + y * SLOTS, n, 2 * SLOTS).reshape(2, SLOTS)
-    return out
-
-
-def without_own(counts: np.ndarray, place: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of each context, and whether it was seen, from counts without one occurrence of this very bit."""
-    k = np.arange(len(ORDERS))[:, None]
-    n0, n1 = counts[0][k, place] - (1 - y), counts[1][k, place] - y
-    return stretched(np.maximum(n0, 0), np.maximum(n1, 0)), n0 + n1 > 0.5
-
-
-def learn(counts: np.ndarray, data: np.ndarray, at: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, float]:
-    """Mixing weights after one online pass over tokens, and the mass they are worth."""
-    weights = np.full((len(ORDERS) + 1, len(ORDERS)), 0.3)
-    for first in range(0, len(at) - 1, BATCH):
-        edge = at[first : first + BATCH + 1]
-        own = data[edge[0] : edge[-1]]
-        context = contexts(own, edge - edge[0])
-        n = np.repeat(np.minimum(mass[first : first + BATCH], 16), np.diff(edge)).astype(float)
-        for bit in range(8):
-            y = bits_of(own, bit)
-            inputs, seen = without_own(counts, slots(context, own, bit), y)
-            gate, odds = mixed(inputs, seen, weights)
-            error = (y - squash(odds)) * n
-            scale = 1 / np.maximum(np.bincount(gate, n, len(weights)), 1)
-            for k in range(len(ORDERS)):
-                weights[:, k] += RATE * 8 * np.bincount(gate, error * inputs[k], len(weights)) * scale
-    return weights, float(mass.sum())
-
-
-def refining(counts: np.ndarray, weights: np.ndarray, data: np.ndarray, at: np.ndarray, mass: np.ndarray) -> np.ndarray:
-    """2 x gates x steps: how often each bit came where the mixer said what."""
-    out = np.zeros((2, len(weights), STEPS))
-    for first in range(0, len(at) - 1, 1 << 14):
-        edge = at[first : first + (1 << 14) + 1]
-        own = data[edge[0] : edge[-1]]
-        context, n = contexts(own, edge - edge[0]), np.repeat(mass[first : first + (1 << 14)], np.diff(edge)).astype(float)
-        for bit in range(8):
-            y = bits_of(own, bit)
-            inputs, seen = without_own(counts, slots(context, own, bit), y)
-            gate, odds = mixed(inputs, seen, weights)
-            place = gate * STEPS + np.rint((np.clip(odds, -8, 8) + 8) * 2).astype(np.int64)
-            out += np.bincount(place + y * out[0].size, n, 2 * out[0].size).reshape(out.shape)
-    return out
+        np.add.at(flat, (slots(context, data, bit) * 2 + bits_of(data, bit)).ravel(), np.int32(1))
+
+
+class Learner:
+    """One online pass over running texts: mixing weights, and how often each bit came where the mixer said what."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts.view(np.complex64).ravel()  # both counts of a slot are fetched at once
+        self.weights = np.full((ORDERS + 1, ORDERS), 0.3)
+        self.refined = np.zeros((2, ORDERS + 1, STEPS))
+        self.mass = 0
+
+    def __call__(self, data: np.ndarray, at: np.ndarray, head: np.ndarray) -> None:
+        context = contexts(data, at, head)
+        edge = np.unique(np.append(at[::BATCH], at[-1])).tolist()
+        for a, b in zip(edge, edge[1:], strict=False):
+            own = data[a:b]
+            for bit in range(8):
+                self._learn(slots(context[:, a:b], own, bit), bits_of(own, bit))
+        self.mass += len(data)
+
+    def _learn(self, place: np.ndarray, y: np.ndarray) -> None:
+        # each bit is predicted from counts without its own occurrence
+        n, own = self.counts.take(place), y.astype(np.float32)
+        n0, n1 = np.maximum(n.real - (1 - own), 0), np.maximum(n.imag - own, 0)
+        inputs = stretched(n0, n1)
+        gate, odds = mixed(inputs, n0 + n1 > 0.5, self.weights)
+        error = y - squash(odds)
+        scale = RATE * 8 / np.maximum(np.bincount(gate, minlength=ORDERS + 1), 1)
+        for k in range(ORDERS):
+            self.weights[:, k] += scale * np.bincount(gate, error * inputs[k], ORDERS + 1)
+        cell = (y * (ORDERS + 1) + gate) * STEPS + np.rint((np.clip(odds, -8, 8) + 8) * 2).astype(np.int64)
+        self.refined += np.bincount(cell, minlength=self.refined.size).reshape(self.refined.shape)
 
 
 class Scorer:
-    """The trained model: log10 probability of tokens."""
+    """The trained model: log10 probability of the tokens of running texts."""
 
     def __init__(self, counts: np.ndarray, weights: np.ndarray, refined: np.ndarray):
-        self.odds = stretched(counts[0], counts[1]).astype(np.float32)
-        self.seen = counts[0] + counts[1] > 0
+        self.odds = stretched(counts[:, 0], counts[:, 1])
+        self.seen = counts.sum(1) > 0
         self.weights = weights
         middle = squash(np.linspace(-8, 8, STEPS))
         # 20 observations' worth of trust in the mixer
         self.refined = (refined[1] + 20 * middle) / (refined.sum(0) + 20)
 
-    def __call__(self, tokens: list[bytes]) -> np.ndarray:
-        return np.concatenate([self._score(tokens[k : k + 8192]) for k in range(0, len(tokens), 8192)] or [np.zeros(0)])
-
-    def _score(self, tokens: list[bytes]) -> np.ndarray:
-        data, at = spell(tokens)
-        context, k = contexts(data, at), np.arange(len(ORDERS))[:, None]
+    def __call__(self, data: np.ndarray, at: np.ndarray, head: np.ndarray) -> np.ndarray:
+        context = contexts(data, at, head)
         total = np.zeros(len(data))
         for bit in range(8):
             place = slots(context, data, bit)
-            gate, odds = mixed(self.odds[k, place], self.seen[k, place], self.weights)
+            gate, odds = mixed(self.odds.take(place), self.seen.take(place), self.weights)
             where = (np.clip(odds, -8, 8) + 8) * 2
             low = np.minimum(where.astype(np.int64), STEPS - 2)
             part = where - low
@@ -280,12 +279,6 @@ def _distinct(batches: Iterator[pa.RecordBatch], common: np.ndarray, kind: np.nd
         yield from flush(block)
 
 
-def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The spelling of the vocabulary's tokens; each counts once: the model spells words that are rare or new."""
-    data, at = spell(c.column(batch, "token").to_pylist())
-    return data, at, np.ones(batch.num_rows, np.int64)
-
-
 CHUNK = 1 << 15
 
 
@@ -294,48 +287,54 @@ def _sum(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [key[0]], "counts": [total.tobytes()]})
 
 
-def _summed(vocabulary: DataFrame, table) -> np.ndarray:
-    """The sum of an array over partitions of the vocabulary: parts of the array are summed apart, then collected."""
+def _sum_bits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel().astype(np.int64) for x in rows["counts"])
+    return pd.DataFrame({"chunk": [key[0]], "counts": [total.astype(np.float32).tobytes()]})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                found = table(*_tokens(batch))
-                total = found if total is None else total + found
-        if total is not None:
-            flat = np.rint(total).astype(np.int64).ravel()
-            for k in range(0, len(flat), CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array([k]), c.binary([flat[k : k + CHUNK].tobytes()])], ["chunk", "counts"])
-
-    parts = vocabulary.mapInArrow(run, "chunk long, counts binary").groupBy("chunk").applyInPandas(_sum, "chunk long, counts binary")
-    found = sorted(parts.collect())  # of fixed size
-    return np.concatenate([np.frombuffer(x["counts"], np.int64) for x in found]).astype(float) if found else np.zeros(0)
 
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The running texts of the training documents, a slice at a time."""
+    for batch in batches:
+        for part in c.slices(batch.filter(pa.array(~held_out(c.numbers(batch, "doc_id")))), limit=STREAM):
+            yield stream(c.words(c.column(part, "text"), lower=True))
 
-def fit(vocabulary: DataFrame) -> Scorer:
-    """Train on a counted vocabulary (token, n)."""
-    shape = (2, len(ORDERS), SLOTS)
-    counts = _summed(vocabulary, count_bits)
-    counts = counts.reshape(shape) if len(counts) else np.zeros(shape)
-    sc = vocabulary.sparkSession.sparkContext
-    shared = sc.broadcast(counts)  # fixed size
 
-    def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at, n = _tokens(batch)
-            if len(n):
-                weights, mass = learn(shared.value, data, at, n)
-                yield pa.RecordBatch.from_arrays([pa.array([weights.ravel().tolist()]), pa.array([mass])], ["weights", "mass"])
+def fit(docs: DataFrame) -> Scorer:
+    """Train on the running text of all documents (doc_id, text) that aren't held out."""
+    texts = docs.select("doc_id", "text")
 
-    flat = len(ORDERS) * (len(ORDERS) + 1)
-    learned = vocabulary.mapInArrow(online, "weights array<double>, mass double")
-    row = learned.agg(F.sum("mass").alias("mass"), *(F.sum(F.col("mass") * F.get("weights", F.lit(k))).alias(f"w{k}") for k in range(flat))).first()
-    weights = np.array([row[f"w{k}"] for k in range(flat)]) / row["mass"] if row["mass"] else np.full(flat, 0.3)
-    weights = weights.reshape(len(ORDERS) + 1, len(ORDERS))
-    refined = _summed(vocabulary, lambda data, at, n: refining(shared.value, weights, data, at, n))
-    shape = (2, len(ORDERS) + 1, STEPS)
-    return Scorer(counts, weights, refined.reshape(shape) if len(refined) else np.zeros(shape))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((ORDERS * SLOTS, 2), np.int32)
+        for own in _streams(batches):
+            count_bits(*own, total)
+        flat = total.reshape(-1)
+        for k in range(0, len(flat), CHUNK):
+            part = flat[k : k + CHUNK]
+            if part.any():
+                # bytes of the same weight together: the shuffle's compression takes out the high ones
+                yield pa.RecordBatch.from_arrays([pa.array([k]), c.binary([part.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()])], ["chunk", "counts"])
+
+    counts = np.zeros(2 * ORDERS * SLOTS, np.float32)
+    for x in texts.mapInArrow(count, "chunk long, counts binary").groupBy("chunk").applyInPandas(_sum_bits, "chunk long, counts binary").collect():  # of fixed size
+        counts[x["chunk"] : x["chunk"] + CHUNK] = np.frombuffer(x["counts"], np.float32)
+    counts = counts.reshape(-1, 2)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # fixed size
+
+    def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Learner(shared.value)
+        for own in _streams(batches):
+            learner(*own)
+        flat = np.concatenate([[learner.mass], learner.weights.ravel() * learner.mass, learner.refined.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["place", "x"])
+
+    learned = texts.mapInArrow(online, "place long, x double").groupBy("place").agg(F.sum("x").alias("x")).collect()  # of fixed size
+    shared.destroy()
+    size = (ORDERS + 1) * ORDERS
+    found = np.zeros(1 + size + 2 * (ORDERS + 1) * STEPS)
+    for r in learned:
+        found[r["place"]] = r["x"]
+    weights = found[1 : 1 + size] / found[0] if found[0] else np.full(size, 0.3)
+    return Scorer(counts, weights.reshape(ORDERS + 1, ORDERS), found[1 + size :].reshape(2, ORDERS + 1, STEPS))
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
@@ -383,7 +382,7 @@ def score(df: DataFrame) -> DataFrame:
             sums = counted.agg(*(F.sum(k).alias(k) for k in KINDS), F.count("*").alias("v")).first()
             totals = np.array([sums[k] or 0 for k in KINDS], float)
             total, distinct = int(totals.sum()) + ends, sums["v"] + (ends > 0)
-            model = df.sparkSession.sparkContext.broadcast(fit(counted.select("token")))  # fixed size
+            model = df.sparkSession.sparkContext.broadcast(fit(docs))  # fixed size
             packed = c.checkpoint(asked.select("block", "hash").join(counted.drop("token"), "hash").mapInArrow(_pack, "block long, counts binary"))
 
     both = docs.withColumn("counts", F.lit(None).cast("binary")).unionByName(packed, allowMissingColumns=True)
@@ -396,14 +395,9 @@ def score(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer: Scorer = model.value
-        memory = ChunkTable(1, 500_000)  # token -> log10 probability of its spelling
         lists: dict[int, list[bytes]] = {}
         now, known = None, np.zeros(0, PACKED)
 
-        def make(tokens: list[bytes]) -> tuple[list[bytes]]:
-            raw = scorer(tokens).tobytes()
-            return ([raw[k : k + 8] for k in range(0, len(raw), 8)],)
-
         for batch in batches:
             valid = c.column(batch, "doc_id").is_valid().to_numpy(zero_copy_only=False)
             block = c.numbers(batch, "block")
@@ -418,22 +412,28 @@ def score(df: DataFrame) -> DataFrame:
                     now = int(block[a])
                     known = np.frombuffer(b"".join(lists.pop(now, [])), PACKED)
                     known = known[np.argsort(known["hash"])]
-                for part in c.slices(own, limit=SLICE):
+                for part in c.slices(own, limit=STREAM):
                     w = c.words(c.column(part, "text"), lower=True)
-                    distinct_, first, inverse = np.unique(c.signed(w.hashes), return_index=True, return_inverse=True)
+                    distinct_, inverse = np.unique(c.signed(w.hashes), return_inverse=True)
                     mine = np.zeros(len(distinct_), PACKED)
                     if len(known):
                         place = np.minimum(np.searchsorted(known["hash"], distinct_), len(known) - 1)
                         found = known["hash"][place] == distinct_
                         mine[found] = known[place[found]]
-                    entry = memory.entries(w.data, w.starts[first], w.ends[first], w.hashes[first], make)
-                    spelled = memory.gather(0, entry).view(np.float64)
-                    kinds = log_odds_of_kinds(mine, spelled, totals, total - ends, distinct)
                     rows, size = w.rows, part.num_rows
                     n = mine["n"].astype(float)
-                    sums = np.stack([np.bincount(rows, kinds[inverse, k], size) for k in range(CLASSES)], axis=1) + weights
+                    modelled = scorer(*stream(w))
+                    last = np.cumsum(w.counts + 1) - 1
+                    ended, modelled = modelled[last], np.delete(modelled, last)
+                    counted_ = 10.0 ** (log_odds_of_kinds(mine[inverse], modelled, totals, total - ends, distinct) + body)
+                    sums = []
+                    for share in SHARES:
+                        tokens = np.log10((1 - share) * counted_ + share * 10.0 ** modelled[:, None])
+                        closed = np.log10((1 - share) * 10.0**end + share * 10.0**ended)
+                        sums += [np.bincount(rows, tokens[:, k], size) + closed + weights[k] - np.log10(len(SHARES)) for k in range(CLASSES)]
+                    sums = np.stack(sums, axis=1)
                     top = sums.max(1)
-                    model_score = top + np.log10((10.0 ** (sums - top[:, None])).sum(1)) + w.counts * body + end
+                    model_score = top + np.log10((10.0 ** (sums - top[:, None])).sum(1))
                     # one byte follows every word, and the end
                     lengths = np.bincount(rows, w.ends - w.starts + 1, size) + 1
                     yield c.named(

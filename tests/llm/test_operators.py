@@ -291,6 +291,28 @@ def test_lm_beats_base_on_held_out(spark):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_lm_reads_running_text(spark):
+    """Held-out texts of the same words: the order that training texts have is likelier, and beats the base."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**5)}" for _ in range(60)]
+    phrases = [[rng.choice(words) for _ in range(8)] for _ in range(12)]
+    ids = [d for d in range(400) if zlib.crc32(str(d).encode()) % 10 == 0][:20]
+    rows = [(d, [x for _ in range(6) for x in rng.choice(phrases)]) for d in range(400) if d not in ids]
+    own = [[x for _ in range(6) for x in rng.choice(phrases)] for _ in range(10)]
+    rows += [(d, rng.sample(x, len(x)) if k else x) for k in (0, 1) for d, x in zip(ids[10 * k :], own, strict=False)]
+    got = by_id(mixing_lm.query(spark.createDataFrame([(d, " ".join(x)) for d, x in rows], "doc_id long, text string")))
+    assert all(got[d]["held_out"] for d in ids)
+    for a, b in zip(ids, ids[10:], strict=False):
+        assert got[a]["base_score"] == pytest.approx(got[b]["base_score"])
+        assert got[a]["score"] > got[b]["score"] + 5 and got[a]["score"] > got[a]["base_score"]
+
+
+def test_lm_beats_base_where_held_out(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in mixing_lm.query(df).collect() if r["held_out"]]
+    assert rows and sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
 def test_licenses(spark):
     rows = [(1, "Some prose.\nReleased under the MIT License."), (2, licenses.TEMPLATES["MIT/grant"].upper()), (3, licenses.TEMPLATES["GPL-3.0/header"].replace(". ", ".\n")), (4, None), (5, "All rights"), (6, "all RIGHTS  reserved!"), (7, "prose " * 300)]
     got = by_id(licenses.query(spark.createDataFrame(rows, "doc_id long, text string")))
