@@ -26,7 +26,7 @@ def _replaced(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; lines that stand in too many documents of a host are taken out of the others."""
-    return quality.clean(docs)
+    return quality.clean(docs, **quality.PIPELINE)
 
 
 def near_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

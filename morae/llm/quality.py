@@ -2,7 +2,8 @@
 
 Lines are normalised (A-Z lower-cased, words joined by one space) and hashed to 64 bits; a line's frequency on a host
 (`source`) is the number of the host's documents that hold it. A line is boilerplate where its frequency reaches
-`min_docs` and more than `max_share` of the host's documents. A document is rejected if it fails the base rules, or if it is
+`min_docs` and more than `max_share` of the host's documents, or `always` at any share where that is given. The query has the
+limits of its SQL; the pipeline has PIPELINE's, which act alike on hosts of every size. A document is rejected if it fails the base rules, or if it is
 depleted: fewer than `min_left` of its words stand outside boilerplate lines. Frequencies count whole tables; a document
 sends one row for each distinct line, and counts are combined on the map side, so a line that a third of all documents
 hold costs a row a task.
@@ -27,6 +28,8 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words in repeated windows
 MIN_DOCS, MAX_SHARE, MIN_LEFT = 100, 0.05, 0.1
+#: A few documents over the share are enough, and on hot hosts so many documents at any share.
+PIPELINE = {"min_docs": 5, "max_share": MAX_SHARE, "min_left": MIN_LEFT, "always": 1000}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), *((x, pa.int64()) for x in COUNTS), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 DDL = "row long, doc_id long, source string, " + ", ".join(f"{x} long" for x in COUNTS) + ", lines array<long>, sizes array<long>"
@@ -101,13 +104,14 @@ def _measured(df: DataFrame) -> DataFrame:
     return c.checkpoint(docs.mapInArrow(run, DDL))
 
 
-def judge(df: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(df: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, always: float = float("inf")) -> DataFrame:
     """row, doc_id, source, the counts, base_failed, n_boilerplate_words, kept, and the hashes of boilerplate lines."""
     rows = _measured(df)
     hosts = rows.groupBy("source").agg(F.count("*").alias("host_docs"))
     lines = rows.select("row", "source", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("row", "source", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
-    often = lines.groupBy("source", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    often = often.join(hosts, "source").where(F.col("n") > max_share * F.col("host_docs")).select("source", "line")
+    often = lines.groupBy("source", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min(min_docs, always))
+    share = (F.col("n") >= min_docs) & (F.col("n") > max_share * F.col("host_docs"))
+    often = often.join(hosts, "source").where(share | (F.col("n") >= F.lit(float(always)))).select("source", "line")
     hit = lines.join(c.checkpoint(often), ["source", "line"], "left_semi").groupBy("row").agg(F.sum("size").alias("n_boilerplate_words"), F.collect_list("line").alias("boilerplate"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     out = rows.drop("lines", "sizes").join(hit, "row", "left").withColumn("n_boilerplate_words", F.coalesce("n_boilerplate_words", F.lit(0)).cast("long")).withColumn("base_failed", base)

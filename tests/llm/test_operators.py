@@ -157,6 +157,23 @@ def test_quality_line_frequency(spark):
     assert set(clean) == set(range(100)) and "LINE" not in clean[0]["text"] and clean[0]["n_chars"] == len(clean[0]["text"])
 
 
+def test_pipeline_line_frequency(spark):
+    """Production limits of the pipeline: a small host, a large one, and a line of many documents but a small share."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    rows = [(k, ("Small host footer\n" if k < 10 else "") + prose(60), "en", "small", 0) for k in range(40)]
+    rows += [(40 + k, ("Rare line of four\n" if k < 4 else "") + prose(60), "en", "other", 0) for k in range(40)]
+    rows += [(1000 + k, ("Hot host footer\n" if k < 1000 else "Line of few\n" if k < 1200 else "") + prose(60), "en", "hot", 0) for k in range(21000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = by_id(corpus_pipeline.quality_rules(spark, df, ""))
+    assert len(got) == len(rows)
+    text = "\n".join(r["text"] for r in got.values())
+    assert "Small host footer" not in text and "Hot host footer" not in text
+    assert text.count("Rare line of four") == 4 and text.count("Line of few") == 200
+
+
 def test_substrings(docs):
     own = {d: WORD.findall(t or "") for d, t in CORPUS}
     first: dict[tuple, int] = {}
