@@ -31,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that occur earlier within the edit distance go; a document without any text left goes too."""
-    texts = line_dedup.dedup(docs).withColumn("changed", F.col("n_removed") > 0)
+    texts = line_dedup.dedup(docs, least=1).withColumn("changed", F.col("n_removed") > 0)
     return _replaced(docs, texts).where(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) > 0)
 
 

@@ -26,7 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scans": _query("licenses", "query"),
         "op2_quality_rules": _query("quality", "query"),
         "op3_lm_scoring": _query("mixing_lm", "query"),
-        "op4_line_dedup": _query("line_dedup", "query"),
+        "op4_line_dedup": _query("line_dedup", "every_line"),
         "op5_media_columns": _query("jpeg", "query"),
         "op6_sentencepiece": _query("sentencepiece_codec", "digests"),
         "op7_best_fit_packing": _query("packing", "query"),

@@ -9,7 +9,8 @@ drops most pairs there. The rest are verified on their texts by a banded bit-par
 pairs at once. Every link between different lines is found; equal lines are one line from the start.
 
 An occurrence is kept if it is the first of its line (least doc_id, then line number) and no linked line occurs earlier
-than it. Shorter lines and blank ones are kept. Null text: as empty, one blank line. Repeated rows of one doc_id: the lines
+than it. Shorter lines are joined by equality alone from `least` code points on; those below, and blank ones, are kept. The
+registered query and the pipeline take every line with a word (least=1). Null text: as empty, one blank line. Repeated rows of one doc_id: the lines
 of both count as one document's, and both are cut alike. Extra columns are ignored; an empty table gives no rows.
 """
 
@@ -103,15 +104,17 @@ def sketches(points: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndar
     return total[begin + size] ^ total[begin]
 
 
-def _keys(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], buckets: int, least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in c.slices(batch, limit=SLICE):
             lines = Lines(c.column(part, "text"))
-            long = np.flatnonzero(lines.size >= MIN_CHARS)
-            begin, size = lines.begin[long], lines.size[long]
+            some = np.flatnonzero(lines.size >= least)
+            begin, size = lines.begin[some], lines.size[some]
             name = c.signed(c.span_hash(lines.points, begin, begin + size, 8))
-            ids = c.numbers(part, "doc_id")[lines.row[long]]
-            yield c.named(KEYS, bucket=[-1 - int(len(long) + (ids[0] if len(ids) else 0)) % buckets], payload=c.binary([None]), doc_id=[ids], line_no=[lines.no[long]], line=[name])
+            ids = c.numbers(part, "doc_id")[lines.row[some]]
+            yield c.named(KEYS, bucket=[-1 - int(len(some) + (ids[0] if len(ids) else 0)) % buckets], payload=c.binary([None]), doc_id=[ids], line_no=[lines.no[some]], line=[name])
+            long = size >= MIN_CHARS
+            begin, size, name = begin[long], size[long], name[long]
             name, one = np.unique(name, return_index=True)
             begin, size = begin[one], size[one]
             own, key, probe = entries(lines.points, begin, size)
@@ -257,11 +260,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield c.named(TEXTS, line=names, text=texts)
 
 
-def links(df: DataFrame, bucket_mb: float = 8) -> tuple[DataFrame, DataFrame]:
-    """Occurrences (doc_id, line_no, line) of long lines, and links (a, b) between different lines within T edits."""
+def links(df: DataFrame, bucket_mb: float = 8, least: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+    """Occurrences (doc_id, line_no, line) of lines of at least `least` code points, and links (a, b) between different long lines
+    within T edits."""
     docs = c.documents(df)
     buckets = c.buckets(docs, bucket_mb)
-    dealt = docs.mapInArrow(lambda batches: _keys(batches, buckets), KEYS_DDL).repartition(buckets, "bucket")
+    dealt = docs.mapInArrow(lambda batches: _keys(batches, buckets, least), KEYS_DDL).repartition(buckets, "bucket")
     met = c.checkpoint(dealt.mapInArrow(_meet, MET_DDL))
     occurrences = met.where("line is not null").select("doc_id", "line_no", "line")
     pairs = c.checkpoint(met.where("a is not null").select("a", "b").distinct())
@@ -278,16 +282,16 @@ CUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.i
 CUT_DDL = "doc_id long, text string, n_lines long, n_long_lines long, n_removed long, kept_sha256 string, n_links long"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in c.slices(batch, limit=SLICE):
             texts = c.column(part, "text")
             lines = Lines(texts)
-            long = lines.size >= MIN_CHARS
+            long, judged = lines.size >= MIN_CHARS, lines.size >= least
             edge = np.searchsorted(lines.row, np.arange(part.num_rows + 1)).tolist()
             out: dict[str, list] = {x: [] for x in ("text", "n_lines", "n_long_lines", "n_removed", "kept_sha256")}
             for text, kept, a, b in zip(texts.to_pylist(), c.column(part, "kept").to_pylist(), edge, edge[1:], strict=False):
-                keep = ~long[a:b]
+                keep = ~judged[a:b]
                 keep[[] if kept is None else kept] = True
                 if not keep.all():
                     text = "\n".join([x for x, y in zip(text.split("\n"), keep.tolist(), strict=True) if y])
@@ -299,10 +303,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield c.named(CUT, doc_id=c.column(part, "doc_id"), n_links=c.column(part, "n_links"), **out)
 
 
-def dedup(df: DataFrame) -> DataFrame:
+def dedup(df: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """doc_id, text without removed lines, n_lines, n_long_lines, n_removed, kept_sha256, n_links (other lines within T edits of
     the document's lines)."""
-    occurrences, linked = links(df)
+    occurrences, linked = links(df, least=least)
     both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = occurrences.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
     near = first.join(both.select("a").distinct().withColumnRenamed("a", "line"), "line", "left_semi")
@@ -312,9 +316,14 @@ def dedup(df: DataFrame) -> DataFrame:
     counts = both.groupBy(F.col("a").alias("line")).agg(F.count("*").alias("n"))
     n_links = occurrences.select("doc_id", "line").distinct().join(counts, "line").groupBy("doc_id").agg(F.sum("n").alias("n_links"))
     given = c.documents(df).join(kept.join(n_links, "doc_id", "full_outer"), "doc_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    return given.select("doc_id", "text", "kept", "n_links").mapInArrow(_cut, CUT_DDL)
+    return given.select("doc_id", "text", "kept", "n_links").mapInArrow(lambda batches: _cut(batches, least), CUT_DDL)
 
 
 def query(df: DataFrame) -> DataFrame:
-    """Every document's lines, what is left of them, and its number of links."""
+    """Every document's lines, what is left of them, and its number of links; lines under MIN_CHARS are left alone."""
     return dedup(df).drop("text")
+
+
+def every_line(df: DataFrame) -> DataFrame:
+    """The same for every line with a word: those under MIN_CHARS are joined by equality."""
+    return dedup(df, least=1).drop("text")

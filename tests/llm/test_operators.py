@@ -289,6 +289,22 @@ def test_line_dedup(docs, spark):
         assert got[d]["n_links"] == sum(degree[x] for x in linked)
 
 
+def test_line_dedup_short_lines(spark, tmp_path):
+    """The registered query and the pipeline's stage remove exact repeats of lines under MIN_CHARS, and only those."""
+    import corpus_pipeline
+    from morae.llm import catalog
+
+    rows = [(1, "Released under the MIT License.\n\nx\n"), (2, "a line of text that is long enough to be indexed\n Released under the MIT License. \n \nx"), (3, "Released under the MIT License!\nx\nx\ny"), (4, "x")]
+    rows = [(d, t, "en", "s", len(t)) for d, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_id(catalog.queries()["op4_line_dedup"](spark, str(tmp_path)))
+    want = {1: rows[0][1], 2: rows[1][1].split("\n")[0] + "\n ", 3: "Released under the MIT License!\ny", 4: ""}
+    assert {d: r["n_removed"] for d, r in got.items()} == {1: 0, 2: 2, 3: 2, 4: 1}
+    assert all(got[d]["kept_sha256"] == hashlib.sha256(t.encode()).hexdigest() for d, t in want.items())
+    assert {d: r["text"] for d, r in by_id(corpus_pipeline.near_lines(spark, df, "")).items()} == {d: t for d, t in want.items() if t}
+
+
 def test_lm(docs):
     tokens = {d: [*WORD.findall((t or "").translate(LOWER)), None] for d, t in CORPUS}
     out = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in tokens}
