@@ -8,6 +8,9 @@ the slice. Entries and probes meet in buckets; a parity sketch of a line's chara
 drops most pairs there. The rest are verified on their texts by a banded bit-parallel edit distance, in numpy over many
 pairs at once. Every link between different lines is found; equal lines are one line from the start.
 
+Links make classes of lines (components); a class is named by its first occurrence, and the query lists every document's
+lines in classes of several occurrences with their class, so that partners can be looked up.
+
 An occurrence is kept if it is the first of its line (least doc_id, then line number) and no linked line occurs earlier
 than it. Shorter lines are joined by equality alone from `least` code points on; those below, and blank ones, are kept. The
 registered query and the pipeline take every line with a word (least=1). Null text: as empty, one blank line. Repeated rows of one doc_id: the lines
@@ -278,8 +281,10 @@ def links(df: DataFrame, bucket_mb: float = 8, least: int = MIN_CHARS) -> tuple[
     return occurrences, c.checkpoint(checked.where("linked").select("a", "b").distinct())
 
 
-CUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_long_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_links", pa.int64())])
-CUT_DDL = "doc_id long, text string, n_lines long, n_long_lines long, n_removed long, kept_sha256 string, n_links long"
+CLASS = pa.list_(pa.struct([("line_no", pa.int64()), ("class_doc_id", pa.int64()), ("class_line_no", pa.int64())]))
+CLASS_DDL = "array<struct<line_no: long, class_doc_id: long, class_line_no: long>>"
+CUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_long_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_links", pa.int64()), ("line_classes", CLASS)])
+CUT_DDL = "doc_id long, text string, n_lines long, n_long_lines long, n_removed long, kept_sha256 string, n_links long, line_classes " + CLASS_DDL
 
 
 def _cut(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -300,12 +305,24 @@ def _cut(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBat
                 out["n_long_lines"].append(int(long[a:b].sum()))
                 out["n_removed"].append(int((~keep).sum()))
                 out["kept_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
-            yield c.named(CUT, doc_id=c.column(part, "doc_id"), n_links=c.column(part, "n_links"), **out)
+            yield c.named(CUT, doc_id=c.column(part, "doc_id"), n_links=c.column(part, "n_links"), line_classes=c.column(part, "line_classes").cast(CLASS), **out)
+
+
+def classes(occurrences: DataFrame, linked: DataFrame) -> DataFrame:
+    """doc_id and line_classes: its lines in classes of several occurrences, each with the class's first occurrence."""
+    joined = linked.select(F.col("a").alias("node")).union(linked.select("b")).distinct()
+    of = c.checkpoint(c.components(joined, linked)).withColumnRenamed("node", "line")
+    first = occurrences.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n"))
+    named = c.checkpoint(first.join(of, "line", "left").select("line", F.coalesce("component", "line").alias("class"), "at", "n"))
+    roots = named.groupBy("class").agg(F.min("at").alias("root"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    roots = named.join(roots, "class").select("line", "root")
+    entry = F.struct("line_no", F.col("root.doc_id").alias("class_doc_id"), F.col("root.line_no").alias("class_line_no"))
+    return occurrences.join(roots, "line").groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("line_classes"))
 
 
-def dedup(df: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+def dedup(df: DataFrame, least: int = MIN_CHARS, classed: bool = False) -> DataFrame:
     """doc_id, text without removed lines, n_lines, n_long_lines, n_removed, kept_sha256, n_links (other lines within T edits of
-    the document's lines)."""
+    the document's lines), line_classes (null unless `classed`, where none: empty)."""
     occurrences, linked = links(df, least=least)
     both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = occurrences.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
@@ -315,15 +332,21 @@ def dedup(df: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     kept = first.join(lost, "line", "left_anti").groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.col("at.line_no").cast("int")).alias("kept"))
     counts = both.groupBy(F.col("a").alias("line")).agg(F.count("*").alias("n"))
     n_links = occurrences.select("doc_id", "line").distinct().join(counts, "line").groupBy("doc_id").agg(F.sum("n").alias("n_links"))
-    given = c.documents(df).join(kept.join(n_links, "doc_id", "full_outer"), "doc_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    return given.select("doc_id", "text", "kept", "n_links").mapInArrow(lambda batches: _cut(batches, least), CUT_DDL)
+    found = kept.join(n_links, "doc_id", "full_outer")
+    none = F.lit(None).cast(CLASS_DDL)
+    if classed:
+        found, none = found.join(classes(occurrences, linked), "doc_id", "full_outer"), F.array().cast(CLASS_DDL)
+    else:
+        found = found.withColumn("line_classes", none)
+    given = c.documents(df).join(found, "doc_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))).withColumn("line_classes", F.coalesce("line_classes", none))
+    return given.select("doc_id", "text", "kept", "n_links", "line_classes").mapInArrow(lambda batches: _cut(batches, least), CUT_DDL)
 
 
 def query(df: DataFrame) -> DataFrame:
     """Every document's lines, what is left of them, and its number of links; lines under MIN_CHARS are left alone."""
-    return dedup(df).drop("text")
+    return dedup(df, classed=True).drop("text")
 
 
 def every_line(df: DataFrame) -> DataFrame:
     """The same for every line with a word: those under MIN_CHARS are joined by equality."""
-    return dedup(df, least=1).drop("text")
+    return dedup(df, least=1, classed=True).drop("text")

@@ -305,6 +305,28 @@ def test_line_dedup_short_lines(spark, tmp_path):
     assert {d: r["text"] for d, r in by_id(corpus_pipeline.near_lines(spark, df, "")).items()} == {d: t for d, t in want.items() if t}
 
 
+def test_line_dedup_classes(docs):
+    """Linked lines, and equal ones, carry the class of their first occurrence; a chain of links is one class."""
+    first: dict[str, tuple[int, int]] = {}
+    at = defaultdict(list)
+    for d, text in CORPUS:
+        for k, line in enumerate((text or "").split("\n")):
+            line = line.strip(" \t\n\v\f\r")
+            if line:
+                first.setdefault(line, (d, k))
+                at[line].append((d, k))
+    lines = [x for x in first if len(x) >= line_dedup.MIN_CHARS]
+    links = [(first[a], first[b]) for i, a in enumerate(lines) for b in lines[:i] if abs(len(a) - len(b)) <= 2 and edit(a, b) <= 2]
+    of = components(links, first.values())
+    size = Counter()
+    for line, own in at.items():
+        size[of[first[line]]] += len(own)
+    want = {(*x, *of[first[line]]) for line, own in at.items() for x in own if size[of[first[line]]] > 1}
+    got = [(r["doc_id"], x["line_no"], x["class_doc_id"], x["class_line_no"]) for r in line_dedup.every_line(docs).collect() for x in r["line_classes"]]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert any(first[a] != of[first[a]] for a in lines)
+
+
 def test_lm(docs):
     tokens = {d: [*WORD.findall((t or "").translate(LOWER)), None] for d, t in CORPUS}
     out = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in tokens}
