@@ -10,11 +10,12 @@ parts are left out: as soon as the larger set has more than D parts that are not
 again with other hashes until every set has been safe once.
 
 A set stands for all documents that have it (a hash of the set names it), so copies never multiply. Sets that meet under a
-key are a group. Small groups give their pairs, which are compared by bit sketches (parity again) and verified on the whole
-sets. Large groups are kept once each: sets of different components are compared by bit sketches in blocks inside
-their task; first each set brings out only its nearest partner and the group's hub, which makes most of a group one component;
-when that finds no more links, all pairs come out that the sketches allow and that are still in different components. So no link
-is lost, and a family of copies costs its links, not its pairs.
+key are a group. Small groups give their pairs, of which bit sketches (parity again) leave those that may be linked. In a large
+group a component grows over all sets that the sketches allow before the next one begins, and only the pairs that connect
+sets come out, at most one a set. Sets that such pairs connect, over any others, are a family; every link lies inside one. A
+family's whole sets are shipped once and compared exactly, again growing components, and each set comes out with the least
+of its component. So no link is lost, and copies cost their links, not their pairs. Groups and families over a bound are
+cut into blocks, every two of which meet in a task.
 
 Null or blank text: an empty set, linked with nothing, a component of its own. Fewer words than a shingle: the whole
 sequence is the only shingle. Repeated rows of one doc_id give a row each. Extra columns are ignored; an empty table
@@ -24,12 +25,12 @@ gives no rows.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -43,8 +44,9 @@ KEYS_DDL = "bucket long, payload binary, doc_id array<long>, n array<long>, node
 MET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("unsafe", pa.bool_()), ("sketch", pa.binary()), ("members", pa.list_(pa.int64())), ("a", pa.int64()), ("b", pa.int64())])
 MET_DDL = "doc_id long, n long, node long, unsafe boolean, sketch binary, members array<long>, a long, b long"
 SMALL = 8  # a group of so many sets gives its pairs
-FAR = 1 << 40  # more than any distance
-FILTER = 1 << 23  # flags of the filter that texts pass whose sets are asked for
+FILTER = 1 << 27  # flags, at most, of the filter that texts pass whose sets are asked for
+GROUP, FAMILY = 100_000, 64 << 20  # sets of a group, bytes of a family's sets, that one task compares
+CELLS = 1 << 22  # of a matrix
 SLICE = 2 << 20
 
 
@@ -221,38 +223,44 @@ def sketches(own: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [packed[a:b] for a, b in zip(edge, edge[1:], strict=False)]
 
 
-def _bits(ids: np.ndarray) -> np.ndarray:
-    return (c.mix(ids.astype(np.int64).view(np.uint64), 60) >> np.uint64(64 - FILTER.bit_length() + 1)).astype(np.int64)
+def _bits(ids: np.ndarray, flags: int) -> np.ndarray:
+    return (c.mix(ids.astype(np.int64).view(np.uint64), 60) >> np.uint64(64 - flags.bit_length() + 1)).astype(np.int64)
 
 
-def _filter(wanted: DataFrame) -> np.ndarray:
-    """FILTER flags: which hashes of doc_id are wanted. Of fixed size, collected from a few tasks."""
+def _filter(wanted: DataFrame, flags: int) -> np.ndarray:
+    """So many flags: which hashes of doc_id are wanted. Collected from a few tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(FILTER, bool)
+        own = np.zeros(flags, bool)
         for batch in batches:
-            flags[_bits(c.numbers(batch, "doc_id"))] = True
-        yield pa.RecordBatch.from_arrays([c.binary([np.packbits(flags).tobytes()])], ["flags"])
+            own[_bits(c.numbers(batch, "doc_id"), flags)] = True
+        yield pa.RecordBatch.from_arrays([c.binary([np.packbits(own).tobytes()])], ["flags"])
 
     parts = wanted.select("doc_id").coalesce(8).mapInArrow(run, "flags binary").collect()
-    return np.unpackbits(reduce(np.bitwise_or, [np.frombuffer(x["flags"], np.uint8) for x in parts], np.zeros(FILTER // 8, np.uint8))).astype(bool)
+    return reduce(np.bitwise_or, [np.frombuffer(x["flags"], np.uint8) for x in parts], np.zeros(flags // 8, np.uint8))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, set of the wanted (node, doc_id): a map over the texts, of which a fixed-size filter leaves out most."""
-    flags = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter(wanted)))
+    """node, set of the wanted (node, doc_id): a map over the texts that a filter of doc_ids passes; where too many are wanted
+    for a filter of bounded size, over those that a join leaves."""
+    flags = max(1 << 16, 1 << (8 * wanted.count()).bit_length())
+    shared = None
+    if flags <= FILTER:
+        shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted, flags))
+    else:
+        docs = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_ = np.unpackbits(flags.value).astype(bool)
+        all_ = None if shared is None else np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            some = batch.filter(pa.array(all_[_bits(c.numbers(batch, "doc_id"))]))
+            some = batch if all_ is None else batch.filter(pa.array(all_[_bits(c.numbers(batch, "doc_id"), flags)]))
             for part in c.slices(some, limit=SLICE) if some.num_rows else ():
                 own, at = shingles(c.column(part, "text"))
                 raw, cut = own.tobytes(), (8 * at).tolist()
-                yield pa.RecordBatch.from_arrays([c.column(part, "doc_id"), c.binary([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]), pa.array(set_names(own, at))], ["doc_id", "set", "name"])
+                yield pa.RecordBatch.from_arrays([c.column(part, "doc_id"), c.binary([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]), pa.array(set_names(own, at))], ["doc_id", "data", "name"])
 
-    found = docs.mapInArrow(run, "doc_id long, set binary, name long").join(wanted, "doc_id").where("name = node")
-    return c.checkpoint(found.select("node", "set").dropDuplicates(["node"]))
+    found = docs.mapInArrow(run, "doc_id long, data binary, name long").join(wanted, "doc_id").where("name = node")
+    return found.select("node", "data").dropDuplicates(["node"])
 
 
 def _folded(sketches: list[bytes], width: int) -> np.ndarray:
@@ -274,118 +282,191 @@ def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.column(batch, "a"), c.column(batch, "b")], ["a", "b"]).filter(pa.array(good))
 
 
-NEAR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("gid", pa.int64())])
-
-
-def _near(nearest: bool):
-    """From rows sorted by group: pairs (a, b) of the groups' sets, each once a task, and the groups (gid) that have any."""
+class Sketches:
+    """Bit sketches of sets, and which pairs of them allow a link."""
+
+    def __init__(self, n: np.ndarray, data: list[bytes]):
+        self.n, self.width, self.at = n, _width(n), np.zeros(len(n), np.int64)
+        self.full: dict[int, np.ndarray] = {}
+        self.half: dict[int, np.ndarray] = {}  # folded to the next narrower width
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.at[own] = np.arange(len(own))
+            self.full[w] = np.frombuffer(b"".join([data[i] for i in own.tolist()]), np.uint64).reshape(len(own), w // 64)
+            self.half[w] = self.full[w][:, : w // 128] ^ self.full[w][:, w // 128 :]
+
+    def match(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(a), len(b)), bool)
+        for w in np.unique(self.width[a]).tolist():
+            i = np.flatnonzero(self.width[a] == w)
+            # similar sets have equal widths, or one twice the other
+            for v, left, right in ((w, self.full, self.full), (w // 2, self.half, self.full), (2 * w, self.full, self.half)):
+                for j in _cut(np.flatnonzero(self.width[b] == v), 1 << 12):
+                    x, y = self.n[a[i]][:, None], self.n[b[j]][None]
+                    ok = (x * P <= y * Q) & (y * P <= x * Q)
+                    if ok.any():
+                        d = _distance(left[w][self.at[a[i]]], right[v][self.at[b[j]]])
+                        out[np.ix_(i, j)] = ok & (d <= differing(x, y))
+        return out
+
+
+def _cut(rows: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    for k in range(0, len(rows), size):
+        yield rows[k : k + size]
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of each row of a and each row of b."""
+    if len(a) * len(b) * a.shape[1] <= 1 << 18:
+        return np.bitwise_count(a[:, None] ^ b[None]).sum(2, dtype=np.int64)
+    d = np.zeros((len(a), len(b)), np.int64)
+    for k in range(a.shape[1]):
+        d += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
+    return d
+
+
+class Sets:
+    """Whole sets, and which pairs of them are linked: intersections are products of rows over the shingles of several sets."""
+
+    def __init__(self, n: np.ndarray, data: list[bytes]):
+        self.n = n
+        _, column, times = np.unique(np.frombuffer(b"".join(data), np.uint64), return_inverse=True, return_counts=True)
+        shared = times > 1
+        keep = shared[column]
+        self.column = (np.cumsum(shared) - 1)[column[keep]]
+        self.at = np.searchsorted(np.repeat(np.arange(len(n)), n)[keep], np.arange(len(n) + 1))
+        self.wide = max(1, int(shared.sum()))
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), self.wide), np.float32 if self.wide < 1 << 24 else np.float64)
+        size = self.at[rows + 1] - self.at[rows]
+        out[np.repeat(np.arange(len(rows)), size), self.column[c.runs(self.at[rows], size)]] = 1
+        return out
+
+    def match(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(a), len(b)), bool)
+        step = max(1, CELLS // self.wide)
+        for i in range(0, len(a), step):
+            left = self.dense(a[i : i + step])
+            for j in range(0, len(b), step):
+                both = (left @ self.dense(b[j : j + step]).T).astype(np.int64)
+                total = self.n[a[i : i + step]][:, None] + self.n[b[j : j + step]][None]
+                out[i : i + step, j : j + step] = Q * both >= P * (total - both)
+        return out
+
+
+def spanning(comp: np.ndarray, match: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that connect all that `match` (rows, rows: which pairs) connects, besides what is in one component already.
+
+    A component grows over all rows that are left before the next one begins, so a row is compared with what is outside its
+    component only, and there is at most a pair a row.
+    """
+    _, comp, size = np.unique(comp, return_inverse=True, return_counts=True)
+    left, found = np.ones(len(comp), bool), []
+    order = np.lexsort((comp, -size[comp]))
+    while True:
+        order = order[left[order]]
+        if not len(order) or comp[order[0]] == comp[order[-1]]:
+            break
+        if size[comp[order[0]]] > 1:
+            queue = order[comp[order] == comp[order[0]]]
+        else:  # of several single rows, that with most partners; those without any are done
+            seeds, rest = order[:block], np.sort(order)
+            hit = match(seeds, rest)
+            hit[np.arange(len(seeds)), np.searchsorted(rest, seeds)] = False
+            partners = hit.sum(1)
+            left[seeds[partners == 0]] = False
+            if not partners.any():
+                continue
+            queue = seeds[[partners.argmax()]]
+        left[queue] = False
+        while len(queue):
+            from_, queue = queue[:block], queue[block:]
+            rest = np.flatnonzero(left)
+            if not len(rest):
+                break
+            hit = match(from_, rest)
+            reached = hit.any(0)
+            if reached.any():
+                child, parent = rest[reached], from_[hit[:, reached].argmax(0)]
+                kinds, one = np.unique(comp[child], return_index=True)
+                found.append((child[one], parent[one]))
+                new = rest[np.isin(comp[rest], kinds)]
+                left[new] = False
+                queue = np.concatenate([queue, new])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(a for a, _ in found)]), np.concatenate([none, *(b for _, b in found)])
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _connected(kind: type, stars: bool):
+    """From rows (group, i, j, node, n, data) sorted by group, i, j: pairs that connect the sets of each group. With `stars`
+    each set is paired with the least of its group's component; else a task brings out what it hasn't connected yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        found = [np.zeros(0, np.dtype([("a", "<i8"), ("b", "<i8")]))]
-        alive: list[int] = []
-
-        def done() -> None:
-            if held:
-                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held.clear()
-                a, b = _pairs(c.numbers(whole, "node"), c.numbers(whole, "comp"), c.numbers(whole, "n"), c.column(whole, "sketch").to_pylist(), nearest)
-                if len(a):
-                    alive.append(now)
-                    own = np.zeros(len(a), found[0].dtype)
-                    own["a"], own["b"] = a, b
-                    found.append(own)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            pairs = np.unique(np.concatenate(found))
-            yield c.named(NEAR, a=pairs["a"], b=pairs["b"], gid=pa.nulls(len(pairs), pa.int64()))
-            yield c.named(NEAR, a=pa.nulls(len(alive), pa.int64()), b=pa.nulls(len(alive), pa.int64()), gid=alive)
-            del found[1:], alive[:]
-
-        now = 0
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = x = root.get(root[x], root[x])
+            return x
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
+            if stars:
+                root.clear()
+            node = c.numbers(whole, "node")
+            comp = np.array([find(x) for x in node.tolist()], np.int64)
+            if (comp == comp[0]).all():
+                return
+            a, b = spanning(comp, kind(c.numbers(whole, "n"), c.column(whole, "data").to_pylist()).match)
+            for x, y in zip(node[a].tolist(), node[b].tolist(), strict=True):
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+            if stars:
+                node = node[np.sort(np.union1d(a, b))]
+                least = np.array([find(x) for x in node.tolist()], np.int64)
+                yield c.named(LINKS, a=node, b=least)
+            else:
+                yield c.named(LINKS, a=node[a], b=node[b])
+
+        now = None
         for batch in batches:
-            gid = c.numbers(batch, "gid")
-            edge = np.append(np.flatnonzero(c.first_of_group(gid)), len(gid)).tolist() if len(gid) else []
-            for i, j in zip(edge, edge[1:], strict=False):
-                if gid[i] != now:
-                    done()
-                    now = int(gid[i])
-                    if sum(map(len, found)) > 2_000_000:
-                        yield from flush()
-                held.append(batch.slice(i, j - i))
-        done()
-        yield from flush()
+            key = [c.numbers(batch, x) for x in ("group", "i", "j")]
+            edge = np.append(np.flatnonzero(c.first_of_group(*key)), batch.num_rows).tolist() if batch.num_rows else []
+            for at, to in zip(edge, edge[1:], strict=False):
+                name = tuple(int(k[at]) for k in key)
+                if name != now:
+                    yield from done()
+                    now = name
+                held.append(batch.slice(at, to - at))
+        yield from done()
 
     return run
 
 
-def _blocks(comp: np.ndarray, n: np.ndarray, sketch: list[bytes], block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of sets sorted by size: rows a, rows b, and the Hamming distance of each pair a, b, or FAR where they can't be linked or
-    are in one component. Every pair of different sets comes up once."""
-    bits = _width(n)
-    for width in np.unique(bits).tolist():
-        left = np.flatnonzero(bits == width)
-        # sets of this width, and smaller ones that may be similar: wider sketches are folded down to the narrower
-        for other in (width, width // 2):
-            right = np.flatnonzero(bits == other)
-            if not len(right):
-                continue
-            a_all, b_all = _folded([sketch[i] for i in left], other), _folded([sketch[i] for i in right], other)
-            for i in range(0, len(left), block):
-                a = left[i : i + block]
-                # sorted by size: partners stand side by side
-                lo, hi = np.searchsorted(n[right], -(-n[a[0]] * P // Q)), np.searchsorted(n[right], n[a[-1]] * Q // P, "right")
-                for j in range(max(lo, i) if width == other else lo, hi, block):
-                    b = right[j : min(hi, j + block)]
-                    d = np.zeros((len(a), len(b)), np.int64)
-                    for k in range(a_all.shape[1]):
-                        d += np.bitwise_count(a_all[i : i + len(a), k, None] ^ b_all[None, j : j + len(b), k])
-                    x, y = n[a][:, None], n[b][None]
-                    ok = (comp[a][:, None] != comp[b][None]) & (x * P <= y * Q) & (y * P <= x * Q) & (d <= differing(x, y))
-                    if width == other:
-                        ok &= a[:, None] < b[None]
-                    yield a, b, np.where(ok, d, FAR)
-
-
-def _pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: list[bytes], nearest: bool, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a > b) of a group's sets in different components that their sizes and bit sketches allow; with `nearest` only those
-    of each set with its nearest partner, and of the set that has most partners."""
-    order = np.lexsort((node, n))
-    node, comp, n, sketch = node[order], comp[order], n[order], [sketch[i] for i in order]
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    best, partner, degree = np.full(len(n), FAR), np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-    for a, b, d in _blocks(comp, n, sketch, block):
-        if not nearest:
-            x, y = np.nonzero(d < FAR)
-            found_a.append(a[x])
-            found_b.append(b[y])
-            continue
-        for own, others, axis in ((a, b, 1), (b, a, 0)):
-            k, low = d.argmin(axis), d.min(axis)
-            degree[own] += (d < FAR).sum(axis)
-            better = low < best[own]
-            best[own[better]], partner[own[better]] = low[better], others[k[better]]
-    if nearest and (best < FAR).any():
-        some = np.flatnonzero(best < FAR)
-        hub = int(degree.argmax())
-        others = np.setdiff1d(some, [hub])
-        others = others[(n[others] * P <= n[hub] * Q) & (n[hub] * P <= n[others] * Q) & (comp[others] != comp[hub])]
-        found_a += [some, others]
-        found_b += [partner[some], np.full(len(others), hub)]
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    return np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        linked = []
-        for x, y in zip(c.column(batch, "x"), c.column(batch, "y"), strict=True):
-            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(a) > len(b):
-                a, b = b, a
-            both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-            linked.append(Q * both >= P * (len(a) + len(b) - both))
-        yield pa.RecordBatch.from_arrays([c.column(batch, "a"), c.column(batch, "b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+def _dealt(rows: DataFrame, weight: Column, limit: int) -> tuple[DataFrame, bool]:
+    """Rows (group, node, ...) with i, j, and whether a group was split: one over the limit is cut into blocks of sets, and every
+    two blocks meet in a group of their own."""
+    large = rows.groupBy("group").agg(F.sum(weight).alias("all")).where(F.col("all") > limit)
+    large = c.checkpoint(large.select("group", F.ceil(2 * F.col("all") / limit).cast("int").alias("blocks")))
+    if large.isEmpty():
+        return rows.withColumns({"i": F.lit(0), "j": F.lit(0)}), False
+    rows = rows.join(large, "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    return rows.withColumn("block", F.explode(pairs)).withColumns({"i": F.col("block.i"), "j": F.col("block.j")}).drop("block", "blocks"), True
+
+
+def _links(rows: DataFrame, data: DataFrame, kind: type, stars: bool) -> DataFrame:
+    own = rows.join(data, "node").select("group", "i", "j", "node", "n", "data")
+    return own.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_connected(kind, stars), "a long, b long")
 
 
 def join(df: DataFrame, bucket_mb: float = 8) -> DataFrame:
@@ -395,64 +476,42 @@ def join(df: DataFrame, bucket_mb: float = 8) -> DataFrame:
 
     def met(level: int, bands: set[int] | None) -> DataFrame:
         dealt = docs.mapInArrow(lambda batches: _keys(batches, buckets, level, bands), KEYS_DDL).repartition(buckets, "bucket")
-        return c.checkpoint(dealt.mapInArrow(_meet, MET_DDL))
+        return c.written(dealt.mapInArrow(_meet, MET_DDL))
 
     found = met(0, None)
     every = [found]
     unsafe = found.where("unsafe").select("node", "n").distinct()
     level = 0
-    while not unsafe.isEmpty() and level + 1 < LEVELS:  # their bands once more, with other hashes
+    while not unsafe.isEmpty():  # their bands once more, with other hashes
         level += 1
+        if level == LEVELS:
+            raise RuntimeError(f"sets without enough parts after {LEVELS} sets of hashes")
         bands = {int(np.searchsorted(TOPS, r["n"])) for r in unsafe.select("n").distinct().collect()}  # a few sizes
         every.append(met(level, bands))
         unsafe = c.checkpoint(unsafe.join(every[-1].where("unsafe").select("node").distinct(), "node", "left_semi"))
-    names = found.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    rows = found.where("doc_id is not null").select("doc_id", "n", "node", "sketch")
+    names = c.written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("data")))
     met_pairs, groups = [reduce(DataFrame.unionByName, [x.where(f"{k} is not null").select(*columns) for x in every]) for k, columns in (("a", ("a", "b")), ("members", ("members",)))]
-    groups = groups.groupBy(F.xxhash64("members").alias("gid")).agg(F.first("members").alias("members"))
-    members = c.checkpoint(groups.select("gid", F.explode("members").alias("node")))
-    side = lambda x, y: names.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(y))
-    near = lambda rows, nearest: rows.join(names.select("node", "n", "sketch"), "node").repartition("gid").sortWithinPartitions("gid").mapInArrow(_near(nearest), "a long, b long, gid long")
+    side = lambda x, y: names.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("data").alias(y))
     small = met_pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_allowed, "a long, b long")
-    found_near = c.checkpoint(near(members.withColumn("comp", F.col("node")), True))
-    pairs = small.unionByName(found_near.where("a is not null").select("a", "b")).distinct()
-    components = done = None
-    nearest = True
-    while True:
-        pairs = c.checkpoint(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(names.select("node", "doc_id"), "node")
-        sets = _sets(docs, c.checkpoint(wanted))
-        shipped = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        checked = c.checkpoint(shipped.mapInArrow(_verify, "a long, b long, linked boolean"))
-        fresh = checked.where("linked").select("a", "b")
-        done = checked.select("a", "b") if done is None else done.unionByName(checked.select("a", "b"))
-        grown = not fresh.isEmpty()
-        if grown:
-            # what is known already goes in as a star around each component
-            links = fresh if components is None else fresh.unionByName(components.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-            linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            components = c.checkpoint(c.components(linked, links))
-        if not nearest:
-            break
-        nearest = grown
-        now = members.withColumn("comp", F.col("node"))
-        if components is not None:
-            now = members.join(components, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("comp"))
-        mixed = c.checkpoint(now.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("gid"))
-        if mixed.isEmpty():
-            break
-        # a group whose sketches allow no pair now will never have one
-        members = c.checkpoint(members.join(mixed.join(found_near.select("gid"), "gid", "left_semi"), "gid", "left_semi"))
-        found_near = c.checkpoint(near(now.join(members, ["gid", "node"], "left_semi"), nearest))
-        pairs = found_near.where("a is not null").select("a", "b").distinct()
-    if components is None:
-        components = names.select("node", F.col("node").alias("component")).limit(0)
-    low = components.join(names.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    label = components.join(low, "component").select("node", "component_id")
+    groups = groups.groupBy(F.xxhash64("members").alias("group")).agg(F.first("members").alias("members"))
+    members, _ = _dealt(groups.select("group", F.explode("members").alias("node")), F.lit(1), GROUP)
+    large = _links(members, names.select("node", "n", "data"), Sketches, False)
+    # families: sets that may be linked, over any others; each set is in one, and there compared with the others as a whole
+    allowed = c.written(small.unionByName(large).distinct())
+    families = c.components(allowed.select(F.explode(F.array("a", "b")).alias("node")).distinct(), allowed)
+    families = c.written(families.join(names.select("node", "doc_id", "n"), "node").select(F.col("component").alias("group"), "node", "doc_id", "n"))
+    dealt, split = _dealt(families.select("group", "node", "n"), 8 * F.col("n"), FAMILY)
+    linked = c.checkpoint(_links(dealt, _sets(docs, families.select("node", "doc_id")), Sets, True))
+    nodes = linked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    components = c.components(nodes, linked) if split else linked.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    least = families.select("node", "doc_id").join(components, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    label = components.join(least, "component").select("node", "component_id")
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "least"))
-    rows = found.where("doc_id is not null").select("doc_id", "n", "node").join(names.select("node", F.col("doc_id").alias("least")), "node").join(label, "node", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    rows = rows.drop("sketch").join(names.select("node", F.col("doc_id").alias("least")), "node").join(label, "node", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), "node")
 
 
 def query(df: DataFrame) -> DataFrame:
     """Every document's set size and component."""
-    return join(df)
+    return join(df).drop("node")
