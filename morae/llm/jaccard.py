@@ -401,9 +401,9 @@ def spanning(comp: np.ndarray, match: Callable[[np.ndarray, np.ndarray], np.ndar
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _connected(kind: type, stars: bool):
-    """From rows (group, i, j, node, n, data) sorted by group, i, j: pairs that connect the sets of each group. With `stars`
-    each set is paired with the least of its group's component; else a task brings out what it hasn't connected yet."""
+def _connected(kind: type, per_group: bool):
+    """From rows (group, i, j, node, n, data) sorted by group, i, j: sets that connect, each with the least of its component, in
+    each group, or over all groups of a task, which then bring out hardly more pairs than sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -414,13 +414,16 @@ def _connected(kind: type, stars: bool):
                 root[x] = x = root.get(root[x], root[x])
             return x
 
+        def least() -> Iterator[pa.RecordBatch]:
+            node = np.unique(np.array([*root, *root.values()], np.int64))
+            yield c.named(LINKS, a=node, b=[find(x) for x in node.tolist()])
+            root.clear()
+
         def done() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held.clear()
-            if stars:
-                root.clear()
             node = c.numbers(whole, "node")
             comp = np.array([find(x) for x in node.tolist()], np.int64)
             if (comp == comp[0]).all():
@@ -429,12 +432,8 @@ def _connected(kind: type, stars: bool):
             for x, y in zip(node[a].tolist(), node[b].tolist(), strict=True):
                 x, y = find(x), find(y)
                 root[max(x, y)] = min(x, y)
-            if stars:
-                node = node[np.sort(np.union1d(a, b))]
-                least = np.array([find(x) for x in node.tolist()], np.int64)
-                yield c.named(LINKS, a=node, b=least)
-            else:
-                yield c.named(LINKS, a=node[a], b=node[b])
+            if per_group:
+                yield from least()
 
         now = None
         for batch in batches:
@@ -447,6 +446,7 @@ def _connected(kind: type, stars: bool):
                     now = name
                 held.append(batch.slice(at, to - at))
         yield from done()
+        yield from least()
 
     return run
 
@@ -464,9 +464,9 @@ def _dealt(rows: DataFrame, weight: Column, limit: int) -> tuple[DataFrame, bool
     return rows.withColumn("block", F.explode(pairs)).withColumns({"i": F.col("block.i"), "j": F.col("block.j")}).drop("block", "blocks"), True
 
 
-def _links(rows: DataFrame, data: DataFrame, kind: type, stars: bool) -> DataFrame:
+def _links(rows: DataFrame, data: DataFrame, kind: type, per_group: bool) -> DataFrame:
     own = rows.join(data, "node").select("group", "i", "j", "node", "n", "data")
-    return own.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_connected(kind, stars), "a long, b long")
+    return own.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_connected(kind, per_group), "a long, b long")
 
 
 def join(df: DataFrame, bucket_mb: float = 8) -> DataFrame:
@@ -498,7 +498,7 @@ def join(df: DataFrame, bucket_mb: float = 8) -> DataFrame:
     members, _ = _dealt(groups.select("group", F.explode("members").alias("node")), F.lit(1), GROUP)
     large = _links(members, names.select("node", "n", "data"), Sketches, False)
     # families: sets that may be linked, over any others; each set is in one, and there compared with the others as a whole
-    allowed = c.written(small.unionByName(large).distinct())
+    allowed = c.written(small.unionByName(large).where("a <> b").distinct())
     families = c.components(allowed.select(F.explode(F.array("a", "b")).alias("node")).distinct(), allowed)
     families = c.written(families.join(names.select("node", "doc_id", "n"), "node").select(F.col("component").alias("group"), "node", "doc_id", "n"))
     dealt, split = _dealt(families.select("group", "node", "n"), 8 * F.col("n"), FAMILY)
