@@ -1,184 +1,328 @@
 """Language-model scoring by online logistic context mixing over bits.
 
-The text's tokens are its words, lower-cased, and one end token. The running text is its words, each with a space, and a
-line end; every bit of a byte is predicted from several contexts in it: the last 1, 2, 3 and 5 bytes, over the begins of words
-too, and the word's beginning, alone (so the counts of whole tokens are one input), after the preceding word, and after the two
-preceding words. Each is hashed, together with the byte's bits so far, to a slot that holds how often a 0 and a 1 came. The
-predictions are stretched to log odds and combined by the weights of a gate, the longest context that has been seen; an
-adaptive table, indexed by gate and the mixer's output, refines the result.
-
-A token's probability is a mixture of this and of the corpus counts of whole tokens in CLASSES kinds of text (absolute
-discounting; what the discount frees goes to the mixer's), in each of the proportions SHARES. A text's probability is the
-mixture over kinds and proportions: every token read adapts their weights.
-
-Learning takes the running text of all training documents and no sample. Slot counts are sums over it; the weights are learned
-online by each partition of the texts, every bit predicted from counts without its own, and averaged by mass, and
-the refining table is filled on the way. The model has a fixed size (SLOTS a context), so it may be collected and sent to the
-tasks. Kinds come from the common words (hashed to BINS) and how often they share documents: two sums of fixed size,
-clustered on the driver. Tokens are counted by kind (a shuffle in proportion to the input). Scoring needs each token's own
-counts: blocks of the input (what one scan reads of one file) ask the vocabulary for their distinct tokens and get the
-counts back by a join, so that no task holds the vocabulary.
-
-Null text: as empty, hence the end token alone. An empty training set: counts of zero and a model of even odds. Repeated rows
-are scored each, and learned each. Extra columns are ignored; an empty table gives no rows.
+The text's tokens are its words, lower-cased, and one end token. A token is written in bits: those of its bin's Huffman code (a
+hash deals tokens to BINS bins), then its share of the bin, which is exact for tokens with counts; a token without any is
+spelled, in the bits of its bytes. Every bit of a bin's code is predicted from several contexts: the kind that the text's words
+so far speak for, the preceding word, and the two preceding words. Each is hashed, together with the code's bits so far, to
+a slot that holds how often a 0 and a 1 came. The predictions are stretched to log odds and combined by the weights of a gate,
+the longest context that has been seen; an adaptive table, indexed by gate and the mixer's output, refines the result. Bits of
+spelled bytes are predicted and mixed likewise, from the last bytes and the word's beginning. Before all of these stands one
+more bit: whether the token is the one that followed the last two words where the text had them before.
+
+A token's probability is a mixture of this and of the corpus counts of whole tokens in the text's kind so far (absolute
+discounting; what the discount frees goes to the spelling), in one of the proportions SHARES. A text's probability is the mixture
+over the proportions: every token read adapts their weights.
+
+Learning takes the running text of all training documents and no sample. Each partition learns online: a slice is predicted from
+what the partition has counted before it, moves the weights, and is counted. Slot counts and the refining tables are added up
+over partitions (a tree of sums with bounded fan-in), weights averaged by mass. The mixer has a fixed size, so it may be collected
+and sent to the tasks; token counts grow with the corpus. The spelling learns the same way from each distinct token. Kinds
+come from the common words (hashed to BINS) and how often they share documents: two sums of fixed size, clustered on the driver.
+Tokens are counted by kind (a shuffle in proportion to the input). Scoring needs each token's own counts: blocks of the input
+(what one scan reads of one file) ask the vocabulary for their distinct tokens and get the counts back by a join, so that no
+task holds the vocabulary.
+
+Null text: as empty, hence the end token alone. An empty training set: counts of zero and a model of even odds. Very long texts
+are modelled whole, in one slice. Repeated rows are scored each, and learned each. Extra columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
 from .chunk_table import ChunkTable
 
-BYTES, WORDS = (1, 2, 3, 5), (0, 1, 2)  # contexts: so many bytes; the word's beginning and so many words before it
-ORDERS = len(BYTES) + len(WORDS)
-SLOTS = 1 << 20
-RATE, BATCH = 0.02, 2048
-STEPS = 33  # of the refining table, over log odds from -8 to 8
 CLASSES, BINS, COMMON = 4, 1 << 14, 256
+NODES = BINS  # inner nodes of the code's tree, the end token's leaf among the BINS + 1
+WORDS = 2  # hashed contexts of a code's bit: so many words before it
+BYTES = (1, 2, 3)  # contexts of a spelled bit: so many bytes, and the word's beginning
+SLOTS, SPELLED = 1 << 21, 1 << 18  # of a hashed context
+RATE, BATCH = 0.02, 1 << 13
+STEPS = 33  # of the refining table, over log odds from -8 to 8
+MATCHES = 3  # states of what followed before: the last one failed, held, the last two held
 DISCOUNT, SHARED = 0.5, 0.03
-SHARES = (0.02, 0.25, 0.5, 0.75, 0.95)  # of the mixer in a token's probability
+SHARES = (0.1, 0.5, 0.9)  # of the mixer in a token's probability
 SLICE = 1 << 20
 STREAM = 1 << 18  # bytes of running text that are modelled at once
 HELD_OUT = 10  # crc32(doc_id as text) modulo this
+END = np.uint64(c.MIX[1])  # hash of the end token
+LOG10 = np.float32(np.log10(np.e))
 
 
 def held_out(ids: np.ndarray) -> np.ndarray:
     return np.array([zlib.crc32(b"%d" % x) % HELD_OUT == 0 for x in ids.tolist()], bool)
 
 
-# ------------------------------------------------------------------------------------------------------------- the model
-
-
-def stream(w: c.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The running text of a slice, where each token begins (and the last ends), and the first token of each one's text."""
-    ends = np.cumsum(w.counts + 1) - 1
-    own = np.arange(len(w.starts)) + w.rows
-    size = np.ones(len(own) + len(ends), np.int64)
-    size[own] += w.ends - w.starts
-    at = np.concatenate([[0], np.cumsum(size)])
-    data = np.full(at[-1], 32, np.uint8)
-    data[at[ends]] = 10
-    data[c.runs(at[own], w.ends - w.starts)] = w.data[c.runs(w.starts, w.ends - w.starts)]
-    return data, at, np.repeat(ends - w.counts, w.counts + 1)
-
-
-def contexts(data: np.ndarray, at: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """orders x bytes: the hash of what stands before each byte in its text."""
-    k, token = np.arange(len(data)), np.repeat(np.arange(len(head)), np.diff(at))
-    letters = c.mix(np.arange(256, dtype=np.uint64), 130)[data]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * c.powers(c.BASE, len(data)))])
-    inverse = c.powers(pow(c.BASE, -1, 1 << 64), len(data) + 1)
-    top = at[head][token]
-    begins = [np.maximum(top, k - n) for n in BYTES]
-    begins += [at[np.maximum(head, np.arange(len(head)) - n)][token] for n in WORDS]
-    return np.stack([c.mix((total[k] - total[x]) * inverse[x] + (k - x).astype(np.uint64) * np.uint64(c.MIX[0]), 30 + i) for i, x in enumerate(begins)])
-
-
-def slots(context: np.ndarray, data: np.ndarray, bit: int) -> np.ndarray:
-    """orders x bytes: the slot of the next bit, in the orders' tables end to end."""
-    node = (np.uint64(1 << bit) | (data >> np.uint8(8 - bit)).astype(np.uint64)) if bit else np.ones(len(data), np.uint64)
-    place = ((context ^ (node * np.uint64(c.MIX[0]))) * np.uint64(c.MIX[1])) >> np.uint64(64 - SLOTS.bit_length() + 1)
-    return place.view(np.int64) + (np.arange(ORDERS) * SLOTS)[:, None]
-
-
-def bits_of(data: np.ndarray, bit: int) -> np.ndarray:
-    return ((data >> np.uint8(7 - bit)) & np.uint8(1)).astype(np.int64)
+# ------------------------------------------------------------------------------------------------------------- the mixer
 
 
 def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.log((n1 + np.float32(0.1)) / (n0 + np.float32(0.1)))
 
 
-def mixed(inputs: np.ndarray, seen: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def mixed(inputs: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The gate (the last context seen, shortest first) and the mixer's log odds."""
     gate = np.zeros(inputs.shape[1], np.int64)
-    for k in range(ORDERS):
-        gate[seen[k]] = k + 1
-    return gate, np.einsum("kn,kn->n", inputs, weights.T[:, gate])
+    for k in range(1, len(inputs)):
+        np.copyto(gate, k, where=inputs[k] != 0)
+    odds = np.zeros(inputs.shape[1], np.float32)
+    for k, own in enumerate(inputs):
+        odds += own * weights[:, k].take(gate)
+    return gate, odds
 
 
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -12, 12)))
 
 
-def count_bits(data: np.ndarray, at: np.ndarray, head: np.ndarray, out: np.ndarray) -> None:
-    """Add to out (slots of all orders x 2) how often each bit came."""
-    context, flat = contexts(data, at, head), out.reshape(-1)
-    for bit in range(8):
-        np.add.at(flat, (slots(context, data, bit) * 2 + bits_of(data, bit)).ravel(), np.int32(1))
-
-
-class Learner:
-    """One online pass over running texts: mixing weights, and how often each bit came where the mixer said what."""
+class Online:
+    """One online pass over events (place: inputs x events, the slots; bit: events): mixing weights, slot counts, and how often
+    each bit came where the mixer said what."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts.view(np.complex64).ravel()  # both counts of a slot are fetched at once
-        self.weights = np.full((ORDERS + 1, ORDERS), 0.3)
-        self.refined = np.zeros((2, ORDERS + 1, STEPS))
+    def __init__(self, slots: int, inputs: int):
+        self.counts = np.zeros(slots, np.int64)  # a 0's count in the low half, a 1's in the high
+        self.weights = np.full((inputs, inputs), 0.4, np.float32)
+        self.refined = np.zeros((2, inputs, STEPS), np.int64)
         self.mass = 0
 
-    def __call__(self, data: np.ndarray, at: np.ndarray, head: np.ndarray) -> None:
-        context = contexts(data, at, head)
-        edge = np.unique(np.append(at[::BATCH], at[-1])).tolist()
-        for a, b in zip(edge, edge[1:], strict=False):
-            own = data[a:b]
-            for bit in range(8):
-                self._learn(slots(context[:, a:b], own, bit), bits_of(own, bit))
-        self.mass += len(data)
+    def __call__(self, place: np.ndarray, bit: np.ndarray) -> None:
+        for a in range(0, len(bit), BATCH):
+            self._learn(place[:, a : a + BATCH], bit[a : a + BATCH])
+        key = np.sort((place * 2 + bit).ravel())
+        at = np.flatnonzero(c.first_of_group(key)) if len(key) else np.zeros(0, np.int64)
+        self.counts.view(np.int32)[key[at]] += np.diff(np.append(at, len(key))).astype(np.int32)
+        self.mass += len(bit)
 
     def _learn(self, place: np.ndarray, y: np.ndarray) -> None:
-        # each bit is predicted from counts without its own occurrence
-        n, own = self.counts.take(place), y.astype(np.float32)
-        n0, n1 = np.maximum(n.real - (1 - own), 0), np.maximum(n.imag - own, 0)
-        inputs = stretched(n0, n1)
-        gate, odds = mixed(inputs, n0 + n1 > 0.5, self.weights)
+        n = self.counts.take(place)
+        inputs = stretched((n & 0xFFFFFFFF).astype(np.float32), (n >> 32).astype(np.float32))
+        gate, odds = mixed(inputs, self.weights)
         error = y - squash(odds)
-        scale = RATE * 8 / np.maximum(np.bincount(gate, minlength=ORDERS + 1), 1)
-        for k in range(ORDERS):
-            self.weights[:, k] += scale * np.bincount(gate, error * inputs[k], ORDERS + 1)
-        cell = (y * (ORDERS + 1) + gate) * STEPS + np.rint((np.clip(odds, -8, 8) + 8) * 2).astype(np.int64)
+        size = len(self.weights)
+        scale = (RATE * 8 / np.maximum(np.bincount(gate, minlength=size), 1)).astype(np.float32)
+        for k in range(size):
+            self.weights[:, k] += scale * np.bincount(gate, error * inputs[k], size).astype(np.float32)
+        cell = (y * size + gate) * STEPS + np.rint((np.clip(odds, -8, 8) + 8) * 2).astype(np.int64)
         self.refined += np.bincount(cell, minlength=self.refined.size).reshape(self.refined.shape)
 
+    def rows(self, extra: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """Numbers that may be added up, in chunks: the counts, the weights by mass in fixed point, the refining table, extra."""
+        weights = np.rint(self.weights.astype(float).ravel() * self.mass * 1024).astype(np.int64)
+        flat = np.concatenate([self.counts.view(np.int32).astype(np.int64), weights, [self.mass], self.refined.ravel(), extra.ravel()])
+        for k in range(0, len(flat), CHUNK):
+            part = flat[k : k + CHUNK]
+            if part.any():
+                yield k, _planes(part)
+
 
-class Scorer:
-    """The trained model: log10 probability of the tokens of running texts."""
+class Mixer:
+    """What the online passes have learned: log10 probability of bits."""
 
-    def __init__(self, counts: np.ndarray, weights: np.ndarray, refined: np.ndarray):
+    def __init__(self, flat: np.ndarray, slots: int, inputs: int):
+        counts, rest = flat[: 2 * slots].reshape(-1, 2).astype(np.float32), flat[2 * slots :]
         self.odds = stretched(counts[:, 0], counts[:, 1])
-        self.seen = counts.sum(1) > 0
-        self.weights = weights
+        mass = int(rest[inputs * inputs])
+        self.weights = (rest[: inputs * inputs] / 1024 / mass if mass else np.full(inputs * inputs, 0.4)).reshape(inputs, inputs).astype(np.float32)
+        refined = rest[inputs * inputs + 1 :][: 2 * inputs * STEPS].reshape(2, inputs, STEPS)
         middle = squash(np.linspace(-8, 8, STEPS))
         # 20 observations' worth of trust in the mixer
-        self.refined = (refined[1] + 20 * middle) / (refined.sum(0) + 20)
-
-    def __call__(self, data: np.ndarray, at: np.ndarray, head: np.ndarray) -> np.ndarray:
-        context = contexts(data, at, head)
-        total = np.zeros(len(data))
-        for bit in range(8):
-            place = slots(context, data, bit)
-            gate, odds = mixed(self.odds.take(place), self.seen.take(place), self.weights)
+        self.refined = ((refined[1] + 20 * middle) / (refined.sum(0) + 20)).astype(np.float32)
+
+    def __call__(self, place: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(bit), np.float32)
+        for a in range(0, len(bit), BATCH):
+            y = bit[a : a + BATCH]
+            gate, odds = mixed(self.odds.take(place[:, a : a + BATCH]), self.weights)
             where = (np.clip(odds, -8, 8) + 8) * 2
             low = np.minimum(where.astype(np.int64), STEPS - 2)
-            part = where - low
-            table = self.refined[gate, low] * (1 - part) + self.refined[gate, low + 1] * part
+            part, cell = (where - low).astype(np.float32), gate * STEPS + low
+            table = self.refined.take(cell) * (1 - part) + self.refined.take(cell + 1) * part
             p = np.clip((squash(odds) + table) / 2, 1e-5, 1 - 1e-5)
-            total += np.log10(np.where(bits_of(data, bit) == 1, p, 1 - p))
-        return np.add.reduceat(total, at[:-1])
+            out[a : a + BATCH] = np.log(np.where(y == 1, p, 1 - p)) * LOG10
+        return out
+
+
+# ------------------------------------------------------------------------------------------------------------- the events
+
+
+class Code:
+    """The Huffman code of the bins and of the end token (the last leaf) by how often they came."""
+
+    def __init__(self, counts: np.ndarray):
+        heap = [(int(n) + 1, k) for k, n in enumerate(counts)]
+        heapq.heapify(heap)
+        parent, side = np.zeros(2 * len(counts), np.int64), np.zeros(2 * len(counts), np.uint8)
+        free = len(counts)
+        while len(heap) > 1:
+            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[x], parent[y], side[y] = free, free, 1
+            heapq.heappush(heap, (a + b, free))
+            free += 1
+        leaf, now = np.arange(len(counts)), np.arange(len(counts))
+        steps = []
+        while len(leaf):
+            steps.append((leaf, parent[now] - len(counts), side[now]))
+            go = parent[now] != free - 1
+            leaf, now = leaf[go], parent[now][go]
+        leaf, node, bit = (np.concatenate([x[k] for x in steps]) for k in range(3))
+        depth = np.repeat(-np.arange(len(steps)), [len(x[0]) for x in steps])
+        order = np.lexsort((depth, leaf))  # from the root to the leaf
+        self.nodes, self.bits = node[order], bit[order]
+        self.size = np.bincount(leaf, minlength=len(counts))
+        self.at = np.cumsum(self.size) - self.size
+
+
+class Tokens:
+    """The tokens of a slice's texts, one after another, each text's end token last."""
+
+    def __init__(self, w: c.Words, common: np.ndarray, kind: np.ndarray):
+        self.words = w
+        n = w.counts + 1
+        self.last = np.cumsum(n) - 1
+        own = np.arange(len(w.starts)) + w.rows
+        self.hash = np.full(int(n.sum()), END)
+        self.hash[own] = w.hashes
+        self.first = np.repeat(self.last - w.counts, n)
+        self.row = np.repeat(np.arange(len(n)), n)
+        self.bin = _bins(self.hash)
+        self.bin[self.last] = BINS
+        at = np.arange(len(self.hash))
+        one = np.where(at > self.first, np.roll(self.hash, 1), np.uint64(1))
+        two = np.where(at > self.first + 1, np.roll(self.hash, 2), np.uint64(1))
+        self.contexts = [c.mix(one, 81), c.mix(one, 82) * np.uint64(3) ^ c.mix(two, 83)][:WORDS]
+        # the kind that most words so far speak for
+        place = np.full(BINS + 1, -1)
+        place[common] = kind
+        vote = place[self.bin]
+        votes = np.zeros((len(at) + 1, CLASSES), np.int32)
+        votes[1 + np.flatnonzero(vote >= 0), vote[vote >= 0]] = 1
+        votes = np.cumsum(votes, axis=0)
+        self.kind = (votes[:-1] - votes[self.first]).argmax(1)
+        # what followed the two words before, where the text had them last
+        key = self.contexts[-1] ^ c.mix(self.row.astype(np.uint64), 84)
+        order = np.argsort(key, kind="stable")
+        again = np.flatnonzero(key[order][1:] == key[order][:-1]) + 1
+        before = np.full(len(at), -1)
+        before[order[again]] = order[again - 1]
+        self.hit = (before >= 0) & (self.hash[before] == self.hash)
+        was, earlier = np.roll(self.hit, 1) & (at > self.first), np.roll(self.hit, 2) & (at > self.first + 1)
+        self.match = np.where(before >= 0, 1 + was + (was & earlier), 0)
+
+
+def events(code: Code, t: Tokens, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots and bits of the codes of some tokens, and where each one's begin."""
+    bins = t.bin[own]
+    size = code.size[bins]
+    flat = c.runs(code.at[bins], size)
+    node, which = code.nodes[flat], np.repeat(own, size)
+    place = np.empty((1 + WORDS, len(flat)), np.int64)
+    place[0] = t.kind[which] * NODES + node
+    spread = node.astype(np.uint64) * np.uint64(c.MIX[0])
+    for k, context in enumerate(t.contexts):
+        slot = ((context[which] ^ spread) * np.uint64(c.MIX[1])) >> np.uint64(64 - SLOTS.bit_length() + 1)
+        place[1 + k] = slot.view(np.int64) + (CLASSES * NODES + k * SLOTS)
+    return place, code.bits[flat], np.cumsum(size) - size
+
+
+def spelling(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and bits of the bytes of tokens data[at[i]:at[i+1]], each with a space behind it."""
+    k = np.arange(len(data))
+    letters = c.mix(np.arange(256, dtype=np.uint64), 130)[data]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * c.powers(c.BASE, len(data)))])
+    inverse = c.powers(pow(c.BASE, -1, 1 << 64), len(data) + 1)
+    top = np.repeat(at[:-1], np.diff(at))
+    begins = [*(np.maximum(top, k - n) for n in BYTES), top]
+    context = [c.mix((total[k] - total[x]) * inverse[x] + (k - x).astype(np.uint64) * np.uint64(c.MIX[0]), 30 + i) for i, x in enumerate(begins)]
+    place, bits = np.empty((len(begins), len(data), 8), np.int64), np.empty((len(data), 8), np.uint8)
+    for bit in range(8):
+        node = (np.uint64(1 << bit) | (data >> np.uint8(8 - bit)).astype(np.uint64)) if bit else np.ones(len(data), np.uint64)
+        for i, own in enumerate(context):
+            slot = ((own ^ (node * np.uint64(c.MIX[0]))) * np.uint64(c.MIX[1])) >> np.uint64(64 - SPELLED.bit_length() + 1)
+            place[i, :, bit] = slot.view(np.int64) + i * SPELLED
+        bits[:, bit] = (data >> np.uint8(7 - bit)) & np.uint8(1)
+    return place.reshape(len(begins), -1), bits.ravel()
+
+
+def spaced(w_data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans end to end, each with a space behind it, and where each begins."""
+    at = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+    data = np.full(at[-1], 32, np.uint8)
+    data[c.runs(at[:-1], ends - starts)] = w_data[c.runs(starts, ends - starts)]
+    return data, at
+
+
+MIXED, SPELT = (CLASSES * NODES + WORDS * SLOTS, 1 + WORDS), ((len(BYTES) + 1) * SPELLED, len(BYTES) + 1)  # slots, inputs
 
 
 # ------------------------------------------------------------------------------------------------------------ on a cluster
 
 KINDS = [f"n{k}" for k in range(CLASSES)]
+SUMS = "chunk long, part long, counts binary"
 VOCABULARY = pa.schema([("block", pa.int64()), ("hash", pa.int64()), ("token", pa.binary()), *((k, pa.int64()) for k in KINDS)])
 VOCABULARY_DDL = "block long, hash long, token binary, " + ", ".join(f"{k} long" for k in KINDS)
+CHUNK = 1 << 15
+FAN = 64  # rows of a chunk that one sum takes
+
+
+def _planes(part: np.ndarray) -> bytes:
+    """64-bit numbers, bytes of the same weight together: compression takes out the high ones."""
+    return part.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
+
+
+def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by chunk and part: the sum of each."""
+    now, total = None, np.zeros(0, np.int64)
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]]), c.binary([_planes(total)])], ["chunk", "part", "counts"])
+
+    for batch in batches:
+        for chunk, part, raw in zip(*(c.column(batch, x) for x in ("chunk", "part", "counts")), strict=True):
+            if now != (chunk.as_py(), part.as_py()):
+                if now is not None:
+                    yield row()
+                now, total = (chunk.as_py(), part.as_py()), _numbers(raw.as_py())
+            else:
+                total = total + _numbers(raw.as_py())
+    if now is not None:
+        yield row()
+
+
+def summed(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of all parts (SUMS) of an array of fixed size: a tree of sums over FAN parts each, then a collection."""
+    with c.stored(rows) as now:
+        parts = now.agg(F.max("part").alias("n")).first()["n"] or 0
+        while True:
+            now = now.withColumn("part", F.expr(f"part div {FAN}")).repartition("chunk", "part").sortWithinPartitions("chunk", "part").mapInArrow(_sum_rows, SUMS)
+            parts //= FAN
+            if not parts:
+                break
+            now = c.checkpoint(now)
+        out = np.zeros(size, np.int64)
+        for x in now.collect():  # of fixed size
+            part = _numbers(x["counts"])
+            out[x["chunk"] : x["chunk"] + len(part)] = part
+    return out
+
+
+def _sent(rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    part = TaskContext.get().partitionId()
+    for k, raw in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part]), c.binary([raw])], ["chunk", "part", "counts"])
 
 
 def _bins(hashes: np.ndarray) -> np.ndarray:
@@ -220,16 +364,13 @@ def _added(docs: DataFrame, shape: tuple[int, ...], of) -> np.ndarray:
             for part in c.slices(batch.filter(pa.array(~held_out(c.numbers(batch, "doc_id")))), limit=SLICE):
                 total += of(c.words(c.column(part, "text"), lower=True))
         flat = total.ravel()
-        for k in range(0, len(flat), CHUNK):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), c.binary([flat[k : k + CHUNK].tobytes()])], ["chunk", "counts"])
+        yield from _sent((k, _planes(flat[k : k + CHUNK])) for k in range(0, len(flat), CHUNK))
 
-    parts = docs.select("doc_id", "text").mapInArrow(run, "chunk long, counts binary").groupBy("chunk").applyInPandas(_sum, "chunk long, counts binary")
-    found = sorted(parts.collect())  # of fixed size
-    return np.concatenate([np.frombuffer(x["counts"], np.int64) for x in found]).reshape(shape) if found else np.zeros(shape, np.int64)
+    return summed(docs.select("doc_id", "text").mapInArrow(run, SUMS), int(np.prod(shape))).reshape(shape)
 
 
-def common_kinds(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The bins of the common words, and their kinds."""
+def common_kinds(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often the bins came; those of the common words, and their kinds."""
     counts = _added(docs, (BINS,), lambda w: np.bincount(_bins(w.hashes), minlength=BINS))
     common = np.argsort(-counts, kind="stable")[:COMMON]
     place = np.full(BINS, -1)
@@ -241,7 +382,7 @@ def common_kinds(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         held[w.rows[own >= 0], own[own >= 0]] = 1
         return np.rint(held.T @ held).astype(np.int64)
 
-    return common, cluster(_added(docs, (COMMON, COMMON), together).astype(float))
+    return counts, common, cluster(_added(docs, (COMMON, COMMON), together).astype(float))
 
 
 def _distinct(batches: Iterator[pa.RecordBatch], common: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -266,105 +407,129 @@ def _distinct(batches: Iterator[pa.RecordBatch], common: np.ndarray, kind: np.nd
             rows = np.repeat(which, w.counts)
             for k, block in enumerate(blocks.tolist()):
                 own = np.flatnonzero(rows == k)
-                pair = held.setdefault(block, [ChunkTable(1), np.zeros((1 << 16, CLASSES), np.int32)])
+                pair = held.setdefault(block, [ChunkTable(1), np.zeros((1 << 16, CLASSES), np.int64)])
                 table = pair[0]
                 entry = table.entries(w.data, w.starts[own], w.ends[own], w.hashes[own], lambda x: (x,))
                 if table.n > len(pair[1]):
-                    pair[1] = np.concatenate([pair[1], np.zeros((2 * table.n, CLASSES), np.int32)])
+                    pair[1] = np.concatenate([pair[1], np.zeros((2 * table.n, CLASSES), np.int64)])
                 learnt = train[own]
-                pair[1][: table.n] += np.bincount(entry[learnt] * CLASSES + of[own][learnt], minlength=table.n * CLASSES).reshape(-1, CLASSES).astype(np.int32)
+                pair[1][: table.n] += np.bincount(entry[learnt] * CLASSES + of[own][learnt], minlength=table.n * CLASSES).reshape(-1, CLASSES)
                 if table.n > 500_000:
                     yield from flush(block)
     for block in list(held):
         yield from flush(block)
 
 
-CHUNK = 1 << 15
-
-
-def _sum(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.int64) for x in rows["counts"])
-    return pd.DataFrame({"chunk": [key[0]], "counts": [total.tobytes()]})
-
-
-def _sum_bits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel().astype(np.int64) for x in rows["counts"])
-    return pd.DataFrame({"chunk": [key[0]], "counts": [total.astype(np.float32).tobytes()]})
-
-
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The running texts of the training documents, a slice at a time."""
-    for batch in batches:
-        for part in c.slices(batch.filter(pa.array(~held_out(c.numbers(batch, "doc_id")))), limit=STREAM):
-            yield stream(c.words(c.column(part, "text"), lower=True))
+def fit(docs: DataFrame, code: Code, common: np.ndarray, kind: np.ndarray) -> tuple[Mixer, np.ndarray]:
+    """The mixer, trained on the running text of all documents (doc_id, text) that aren't held out, and how likely it is that what
+    followed before follows again, by state."""
+    extra = 2 * (MATCHES + 1)
 
+    def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, matches = Online(*MIXED), np.zeros(extra, np.int64)
+        for batch in batches:
+            for part in c.slices(batch.filter(pa.array(~held_out(c.numbers(batch, "doc_id")))), limit=STREAM):
+                t = Tokens(c.words(c.column(part, "text"), lower=True), common, kind)
+                matches += np.bincount(t.match * 2 + t.hit, minlength=extra)
+                place, bit, _ = events(code, t, np.flatnonzero(~t.hit))
+                learner(place, bit)
+        yield from _sent(learner.rows(matches))
 
-def fit(docs: DataFrame) -> Scorer:
-    """Train on the running text of all documents (doc_id, text) that aren't held out."""
-    texts = docs.select("doc_id", "text")
+    slots, inputs = MIXED
+    size = 2 * slots + inputs * inputs + 1 + 2 * inputs * STEPS
+    flat = summed(docs.select("doc_id", "text").mapInArrow(online, SUMS), size + extra)
+    matches = flat[size:].reshape(-1, 2)
+    return Mixer(flat[:size], slots, inputs), (matches[:, 1] + 0.5) / (matches.sum(1) + 1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((ORDERS * SLOTS, 2), np.int32)
-        for own in _streams(batches):
-            count_bits(*own, total)
-        flat = total.reshape(-1)
-        for k in range(0, len(flat), CHUNK):
-            part = flat[k : k + CHUNK]
-            if part.any():
-                # bytes of the same weight together: the shuffle's compression takes out the high ones
-                yield pa.RecordBatch.from_arrays([pa.array([k]), c.binary([part.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()])], ["chunk", "counts"])
 
-    counts = np.zeros(2 * ORDERS * SLOTS, np.float32)
-    for x in texts.mapInArrow(count, "chunk long, counts binary").groupBy("chunk").applyInPandas(_sum_bits, "chunk long, counts binary").collect():  # of fixed size
-        counts[x["chunk"] : x["chunk"] + CHUNK] = np.frombuffer(x["counts"], np.float32)
-    counts = counts.reshape(-1, 2)
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # fixed size
+def fit_spelling(tokens: DataFrame) -> Mixer:
+    """Trained on each distinct token (token)."""
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = Learner(shared.value)
-        for own in _streams(batches):
-            learner(*own)
-        flat = np.concatenate([[learner.mass], learner.weights.ravel() * learner.mass, learner.refined.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["place", "x"])
-
-    learned = texts.mapInArrow(online, "place long, x double").groupBy("place").agg(F.sum("x").alias("x")).collect()  # of fixed size
-    shared.destroy()
-    size = (ORDERS + 1) * ORDERS
-    found = np.zeros(1 + size + 2 * (ORDERS + 1) * STEPS)
-    for r in learned:
-        found[r["place"]] = r["x"]
-    weights = found[1 : 1 + size] / found[0] if found[0] else np.full(size, 0.3)
-    return Scorer(counts, weights.reshape(ORDERS + 1, ORDERS), found[1 + size :].reshape(2, ORDERS + 1, STEPS))
+        learner = Online(*SPELT)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1 << 12):
+                data, at = c.string_bytes(c.column(batch, "token").slice(a, 1 << 12))
+                learner(*spelling(*spaced(data, at[:-1], at[1:])))
+        yield from _sent(learner.rows(np.zeros(0, np.int64)))
+
+    slots, inputs = SPELT
+    return Mixer(summed(tokens.select("token").mapInArrow(online, SUMS), 2 * slots + inputs * inputs + 1 + 2 * inputs * STEPS), slots, inputs)
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
-PACKED = np.dtype([("hash", "<i8"), ("n", "<i4"), ("kind", "u1"), ("share", "u1")])
+PACKED = np.dtype([("hash", "<i8"), ("n", "<i8"), ("kinds", "<f4", CLASSES)])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts as one row a block and batch: a token's number, and its main kind with that kind's share of it."""
+    """Counts of tokens, in all and by kind, as one row a block and batch."""
     for batch in batches:
         block = c.numbers(batch, "block")
         order = np.argsort(block, kind="stable")
         counts = np.stack([c.numbers(batch, k) for k in KINDS], axis=1)[order]
         out = np.zeros(len(order), PACKED)
-        out["hash"], out["n"] = c.numbers(batch, "hash")[order], np.minimum(counts.sum(1), 2**31 - 1)
-        out["kind"] = counts.argmax(1)
-        out["share"] = 255 * counts.max(1) // np.maximum(counts.sum(1), 1)
+        out["hash"], out["n"], out["kinds"] = c.numbers(batch, "hash")[order], counts.sum(1), counts
         cut = np.append(np.flatnonzero(c.first_of_group(block[order])), len(order)).tolist() if len(order) else [0]
         yield pa.RecordBatch.from_arrays([pa.array(block[order][cut[:-1]]), c.binary([out[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)])], ["block", "counts"])
 
 
-def log_odds_of_kinds(own: np.ndarray, spelled: np.ndarray, totals: np.ndarray, total: int, distinct: int) -> np.ndarray:
-    """tokens x kinds: log10 probability, from counts (PACKED) and the log10 probability of the spelling."""
-    n = own["n"].astype(float)
-    everywhere = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * distinct * 10.0**spelled) / max(total, 1)
-    share = own["share"] / 255.0
-    here = np.where(own["kind"][:, None] == np.arange(CLASSES), share[:, None], ((1 - share) / (CLASSES - 1))[:, None]) * n[:, None]
-    return np.log10(np.maximum((1 - SHARED) * here / np.maximum(totals, 1) + SHARED * everywhere[:, None], 1e-300))
+class Scorer:
+    """log10 probabilities of running texts, from the mixers and the corpus counts."""
+
+    def __init__(self, mixer: Mixer, spelt: Mixer, again: np.ndarray, code: Code, kinds: tuple[np.ndarray, np.ndarray], bins: np.ndarray, distinct: np.ndarray, totals: np.ndarray, ends: int):
+        self.mixer, self.spelt, self.again, self.code, self.kinds = mixer, spelt, again, code, kinds
+        self.bins, self.in_bin, self.distinct = bins, distinct, int(distinct.sum())
+        self.totals, self.ends = totals, ends
+
+    def spell(self, w: c.Words, mine: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        """log10 probability of each word's spelling, of those without counts."""
+        out = np.zeros(len(mine))
+        first = np.zeros(len(mine), np.int64)
+        first[inverse] = np.arange(len(inverse))
+        new = np.flatnonzero(mine["n"] == 0)
+        for a in range(0, len(new), 1 << 12):
+            own = first[new[a : a + (1 << 12)]]
+            data, at = spaced(w.data, w.starts[own], w.ends[own])
+            out[new[a : a + (1 << 12)]] = np.add.reduceat(self.spelt(*spelling(data, at)), 8 * at[:-1])
+        return out[inverse]
+
+    def __call__(self, w: c.Words, mine: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        """Of each text: mine holds the counts of its distinct words, inverse each word's place there."""
+        t = Tokens(w, *self.kinds)
+        words = np.delete(np.arange(len(t.hash)), t.last)
+        spelled = 10.0 ** self.spell(w, mine, inverse)
+        known = mine["n"] > 0
+        n = np.where(known, mine["n"] - DISCOUNT, 0.0)[inverse]
+        n += np.where(known[inverse], 0, spelled * DISCOUNT * self.distinct)
+        # the code of the bin, then the word's share of it
+        model = np.zeros(len(t.hash))
+        own = np.flatnonzero(~t.hit)
+        place, bit, at = events(self.code, t, own)
+        if len(own):
+            model[own] = np.add.reduceat(self.mixer(place, bit), at)
+        bins = t.bin[words]
+        free = DISCOUNT * self.in_bin[bins] * spelled * BINS
+        share = np.where(known[inverse], mine["n"][inverse] - DISCOUNT, free) / np.maximum(self.bins[bins], 1)
+        share = np.where(self.bins[bins] > 0, share, spelled * BINS)
+        model[words] += np.where(t.hit[words], 0, np.log10(np.maximum(np.minimum(share, 1), 1e-300)))
+        model += np.log10(np.where(t.match > 0, np.where(t.hit, self.again[t.match], 1 - self.again[t.match]), 1.0))
+        # whole tokens by kind
+        total, ends = max(self.totals.sum(), 1), self.ends
+        kind = t.kind[words]
+        here = mine["kinds"][inverse, kind] / np.maximum(self.totals, 1)[kind]
+        counted = np.full(len(t.hash), max(ends, 0.1) / max(total + ends, 1))
+        counted[words] = ((1 - SHARED) * here + SHARED * n / total) * (total / max(total + ends, 1))
+        model = 10.0**model
+        out = []
+        for share in SHARES:
+            tokens = np.log10(np.maximum((1 - share) * counted + share * model, 1e-300))
+            out.append(np.bincount(t.row, tokens, len(t.last)) - np.log10(len(SHARES)))
+        out = np.stack(out, axis=1)
+        top = out.max(1)
+        return top + np.log10((10.0 ** (out - top[:, None])).sum(1))
 
 
 def score(df: DataFrame) -> DataFrame:
@@ -373,7 +538,7 @@ def score(df: DataFrame) -> DataFrame:
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(c.buckets(df, 16)))
     block = F.when(file == "", spread).otherwise(F.xxhash64(file, F.input_file_block_start()))
     docs = c.documents(df, block.alias("block"))
-    common, kind = common_kinds(docs)
+    bins, common, kind = common_kinds(docs)
     every = sum(map(F.col, KINDS), F.lit(0))
     with c.stored(docs.mapInArrow(lambda batches: _distinct(batches, common, kind), VOCABULARY_DDL)) as asked:
         counted = asked.groupBy("hash").agg(*(F.sum(k).alias(k) for k in KINDS), F.first("token").alias("token")).where(every > 0)
@@ -382,19 +547,27 @@ def score(df: DataFrame) -> DataFrame:
             sums = counted.agg(*(F.sum(k).alias(k) for k in KINDS), F.count("*").alias("v")).first()
             totals = np.array([sums[k] or 0 for k in KINDS], float)
             total, distinct = int(totals.sum()) + ends, sums["v"] + (ends > 0)
-            model = df.sparkSession.sparkContext.broadcast(fit(docs))  # fixed size
+            code = Code(np.append(bins, ends))
+            spelt = fit_spelling(counted)
+
+            def in_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                own = np.zeros(BINS, np.int64)
+                for batch in batches:
+                    own += np.bincount(_bins(c.numbers(batch, "hash").view(np.uint64)), minlength=BINS)
+                yield from _sent([(0, _planes(own))])
+
+            in_bin = summed(counted.select("hash").mapInArrow(in_bins, SUMS), BINS)
+            mixer, again = fit(docs, code, common, kind)
+            scorer = Scorer(mixer, spelt, again, code, (common, kind), bins, in_bin, totals, ends)
             packed = c.checkpoint(asked.select("block", "hash").join(counted.drop("token"), "hash").mapInArrow(_pack, "block long, counts binary"))
+    model = df.sparkSession.sparkContext.broadcast(scorer)  # fixed size
 
     both = docs.withColumn("counts", F.lit(None).cast("binary")).unionByName(packed, allowMissingColumns=True)
     sorted_ = both.repartition(c.buckets(df, 16), "block").sortWithinPartitions("block", F.col("doc_id").isNotNull())
     scale = np.log10(total + 0.1 * (distinct + 1))
-    weights = np.log10((totals + 1) / (totals + 1).sum())
-    # a text ends once: by how many texts there are to all tokens
-    end = np.log10(max(ends, 0.1) / max(total, 1))
-    body = np.log10(max(total - ends, 1) / max(total, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer: Scorer = model.value
+        own_model: Scorer = model.value
         lists: dict[int, list[bytes]] = {}
         now, known = None, np.zeros(0, PACKED)
 
@@ -422,18 +595,7 @@ def score(df: DataFrame) -> DataFrame:
                         mine[found] = known[place[found]]
                     rows, size = w.rows, part.num_rows
                     n = mine["n"].astype(float)
-                    modelled = scorer(*stream(w))
-                    last = np.cumsum(w.counts + 1) - 1
-                    ended, modelled = modelled[last], np.delete(modelled, last)
-                    counted_ = 10.0 ** (log_odds_of_kinds(mine[inverse], modelled, totals, total - ends, distinct) + body)
-                    sums = []
-                    for share in SHARES:
-                        tokens = np.log10((1 - share) * counted_ + share * 10.0 ** modelled[:, None])
-                        closed = np.log10((1 - share) * 10.0**end + share * 10.0**ended)
-                        sums += [np.bincount(rows, tokens[:, k], size) + closed + weights[k] - np.log10(len(SHARES)) for k in range(CLASSES)]
-                    sums = np.stack(sums, axis=1)
-                    top = sums.max(1)
-                    model_score = top + np.log10((10.0 ** (sums - top[:, None])).sum(1))
+                    model_score = own_model(w, mine, inverse)
                     # one byte follows every word, and the end
                     lengths = np.bincount(rows, w.ends - w.starts + 1, size) + 1
                     yield c.named(
