@@ -1,7 +1,7 @@
 """Language-model scoring by online logistic context mixing over bits.
 
 The text's tokens are its words, lower-cased, and one end token. A token is written in bits: those of its bin's Huffman code (a
-hash deals tokens to BINS bins), then its share of the bin, which is exact for tokens with counts; a token without any is
+hash deals tokens to LEAVES bins), then its share of the bin, which is exact for tokens with counts; a token without any is
 spelled, in the bits of its bytes. Every bit of a bin's code is predicted from several contexts: the kind that the text's words
 so far speak for, the preceding word, and the two preceding words. Each is hashed, together with the code's bits so far, to
 a slot that holds how often a 0 and a 1 came. The predictions are stretched to log odds and combined by the weights of a gate,
@@ -43,9 +43,9 @@ from . import common as c
 from .chunk_table import ChunkTable
 
 CLASSES, BINS, COMMON = 4, 1 << 14, 256
-NODES = BINS  # inner nodes of the code's tree, the end token's leaf among the BINS + 1
+LEAVES = 1 << 10  # bins of the code: so many bins of words, and one of the end token
 WORDS = 2  # hashed contexts of a code's bit: so many words before it
-BYTES = (1, 2, 3)  # contexts of a spelled bit: so many bytes, and the word's beginning
+BYTES = (1, 3)  # contexts of a spelled bit: so many bytes, and the word's beginning
 SLOTS, SPELLED = 1 << 21, 1 << 18  # of a hashed context
 RATE, BATCH = 0.02, 1 << 13
 STEPS = 33  # of the refining table, over log odds from -8 to 8
@@ -54,6 +54,8 @@ DISCOUNT, SHARED = 0.5, 0.03
 SHARES = (0.1, 0.5, 0.9)  # of the mixer in a token's probability
 SLICE = 1 << 20
 STREAM = 1 << 18  # bytes of running text that are modelled at once
+EVENTS = 1 << 15  # tokens whose bits are spread out at once
+LEARN = 4  # weights and refining tables learn from every so manieth of these (counts take in all)
 HELD_OUT = 10  # crc32(doc_id as text) modulo this
 END = np.uint64(c.MIX[1])  # hash of the end token
 LOG10 = np.float32(np.log10(np.e))
@@ -93,15 +95,17 @@ class Online:
         self.counts = np.zeros(slots, np.int64)  # a 0's count in the low half, a 1's in the high
         self.weights = np.full((inputs, inputs), 0.4, np.float32)
         self.refined = np.zeros((2, inputs, STEPS), np.int64)
-        self.mass = 0
+        self.mass = self.turn = 0
 
     def __call__(self, place: np.ndarray, bit: np.ndarray) -> None:
-        for a in range(0, len(bit), BATCH):
-            self._learn(place[:, a : a + BATCH], bit[a : a + BATCH])
-        key = np.sort((place * 2 + bit).ravel())
+        if self.turn % LEARN == 0:
+            for a in range(0, len(bit), BATCH):
+                self._learn(place[:, a : a + BATCH], bit[a : a + BATCH])
+            self.mass += len(bit)
+        self.turn += 1
+        key = np.sort((place * 2 + bit).astype(np.int32).ravel())
         at = np.flatnonzero(c.first_of_group(key)) if len(key) else np.zeros(0, np.int64)
         self.counts.view(np.int32)[key[at]] += np.diff(np.append(at, len(key))).astype(np.int32)
-        self.mass += len(bit)
 
     def _learn(self, place: np.ndarray, y: np.ndarray) -> None:
         n = self.counts.take(place)
@@ -156,7 +160,7 @@ class Mixer:
 
 
 class Code:
-    """The Huffman code of the bins and of the end token (the last leaf) by how often they came."""
+    """The Huffman code of leaves by how often they came."""
 
     def __init__(self, counts: np.ndarray):
         heap = [(int(n) + 1, k) for k, n in enumerate(counts)]
@@ -194,8 +198,9 @@ class Tokens:
         self.hash[own] = w.hashes
         self.first = np.repeat(self.last - w.counts, n)
         self.row = np.repeat(np.arange(len(n)), n)
-        self.bin = _bins(self.hash)
-        self.bin[self.last] = BINS
+        bins = _bins(self.hash)
+        bins[self.last] = BINS
+        self.bin = bins // (BINS // LEAVES)
         at = np.arange(len(self.hash))
         one = np.where(at > self.first, np.roll(self.hash, 1), np.uint64(1))
         two = np.where(at > self.first + 1, np.roll(self.hash, 2), np.uint64(1))
@@ -203,7 +208,7 @@ class Tokens:
         # the kind that most words so far speak for
         place = np.full(BINS + 1, -1)
         place[common] = kind
-        vote = place[self.bin]
+        vote = place[bins]
         votes = np.zeros((len(at) + 1, CLASSES), np.int32)
         votes[1 + np.flatnonzero(vote >= 0), vote[vote >= 0]] = 1
         votes = np.cumsum(votes, axis=0)
@@ -226,31 +231,32 @@ def events(code: Code, t: Tokens, own: np.ndarray) -> tuple[np.ndarray, np.ndarr
     flat = c.runs(code.at[bins], size)
     node, which = code.nodes[flat], np.repeat(own, size)
     place = np.empty((1 + WORDS, len(flat)), np.int64)
-    place[0] = t.kind[which] * NODES + node
+    place[0] = t.kind[which] * LEAVES + node
     spread = node.astype(np.uint64) * np.uint64(c.MIX[0])
     for k, context in enumerate(t.contexts):
         slot = ((context[which] ^ spread) * np.uint64(c.MIX[1])) >> np.uint64(64 - SLOTS.bit_length() + 1)
-        place[1 + k] = slot.view(np.int64) + (CLASSES * NODES + k * SLOTS)
+        place[1 + k] = slot.view(np.int64) + (CLASSES * LEAVES + k * SLOTS)
     return place, code.bits[flat], np.cumsum(size) - size
 
 
-def spelling(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and bits of the bytes of tokens data[at[i]:at[i+1]], each with a space behind it."""
+def spelling(code: Code, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots and bits of the bytes of tokens data[at[i]:at[i+1]], each with a space behind it, and where each token's begin."""
     k = np.arange(len(data))
     letters = c.mix(np.arange(256, dtype=np.uint64), 130)[data]
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * c.powers(c.BASE, len(data)))])
     inverse = c.powers(pow(c.BASE, -1, 1 << 64), len(data) + 1)
     top = np.repeat(at[:-1], np.diff(at))
     begins = [*(np.maximum(top, k - n) for n in BYTES), top]
-    context = [c.mix((total[k] - total[x]) * inverse[x] + (k - x).astype(np.uint64) * np.uint64(c.MIX[0]), 30 + i) for i, x in enumerate(begins)]
-    place, bits = np.empty((len(begins), len(data), 8), np.int64), np.empty((len(data), 8), np.uint8)
-    for bit in range(8):
-        node = (np.uint64(1 << bit) | (data >> np.uint8(8 - bit)).astype(np.uint64)) if bit else np.ones(len(data), np.uint64)
-        for i, own in enumerate(context):
-            slot = ((own ^ (node * np.uint64(c.MIX[0]))) * np.uint64(c.MIX[1])) >> np.uint64(64 - SPELLED.bit_length() + 1)
-            place[i, :, bit] = slot.view(np.int64) + i * SPELLED
-        bits[:, bit] = (data >> np.uint8(7 - bit)) & np.uint8(1)
-    return place.reshape(len(begins), -1), bits.ravel()
+    size = code.size[data]
+    flat = c.runs(code.at[data], size)
+    which = np.repeat(k, size)
+    spread = code.nodes[flat].astype(np.uint64) * np.uint64(c.MIX[0])
+    place = np.empty((len(begins), len(flat)), np.int64)
+    for i, x in enumerate(begins):
+        context = c.mix((total[k] - total[x]) * inverse[x] + (k - x).astype(np.uint64) * np.uint64(c.MIX[0]), 30 + i)
+        slot = ((context[which] ^ spread) * np.uint64(c.MIX[1])) >> np.uint64(64 - SPELLED.bit_length() + 1)
+        place[i] = slot.view(np.int64) + i * SPELLED
+    return place, code.bits[flat], (np.cumsum(size) - size)[at[:-1]]
 
 
 def spaced(w_data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +267,7 @@ def spaced(w_data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return data, at
 
 
-MIXED, SPELT = (CLASSES * NODES + WORDS * SLOTS, 1 + WORDS), ((len(BYTES) + 1) * SPELLED, len(BYTES) + 1)  # slots, inputs
+MIXED, SPELT = (CLASSES * LEAVES + WORDS * SLOTS, 1 + WORDS), ((len(BYTES) + 1) * SPELLED, len(BYTES) + 1)  # slots, inputs
 
 
 # ------------------------------------------------------------------------------------------------------------ on a cluster
@@ -370,8 +376,9 @@ def _added(docs: DataFrame, shape: tuple[int, ...], of) -> np.ndarray:
 
 
 def common_kinds(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How often the bins came; those of the common words, and their kinds."""
-    counts = _added(docs, (BINS,), lambda w: np.bincount(_bins(w.hashes), minlength=BINS))
+    """How often the bins came, and then the bytes; the bins of the common words, and their kinds."""
+    every = _added(docs, (BINS + 256,), lambda w: np.concatenate([np.bincount(_bins(w.hashes), minlength=BINS), np.bincount(w.data, minlength=256)]))
+    counts = every[:BINS]
     common = np.argsort(-counts, kind="stable")[:COMMON]
     place = np.full(BINS, -1)
     place[common] = np.arange(COMMON)
@@ -382,7 +389,7 @@ def common_kinds(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         held[w.rows[own >= 0], own[own >= 0]] = 1
         return np.rint(held.T @ held).astype(np.int64)
 
-    return counts, common, cluster(_added(docs, (COMMON, COMMON), together).astype(float))
+    return every, common, cluster(_added(docs, (COMMON, COMMON), together).astype(float))
 
 
 def _distinct(batches: Iterator[pa.RecordBatch], common: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -413,7 +420,8 @@ def _distinct(batches: Iterator[pa.RecordBatch], common: np.ndarray, kind: np.nd
                 if table.n > len(pair[1]):
                     pair[1] = np.concatenate([pair[1], np.zeros((2 * table.n, CLASSES), np.int64)])
                 learnt = train[own]
-                pair[1][: table.n] += np.bincount(entry[learnt] * CLASSES + of[own][learnt], minlength=table.n * CLASSES).reshape(-1, CLASSES)
+                key, n = np.unique(entry[learnt] * CLASSES + of[own][learnt], return_counts=True)
+                pair[1].reshape(-1)[key] += n
                 if table.n > 500_000:
                     yield from flush(block)
     for block in list(held):
@@ -431,8 +439,9 @@ def fit(docs: DataFrame, code: Code, common: np.ndarray, kind: np.ndarray) -> tu
             for part in c.slices(batch.filter(pa.array(~held_out(c.numbers(batch, "doc_id")))), limit=STREAM):
                 t = Tokens(c.words(c.column(part, "text"), lower=True), common, kind)
                 matches += np.bincount(t.match * 2 + t.hit, minlength=extra)
-                place, bit, _ = events(code, t, np.flatnonzero(~t.hit))
-                learner(place, bit)
+                own = np.flatnonzero(~t.hit)
+                for a in range(0, len(own), EVENTS):
+                    learner(*events(code, t, own[a : a + EVENTS])[:2])
         yield from _sent(learner.rows(matches))
 
     slots, inputs = MIXED
@@ -442,7 +451,7 @@ def fit(docs: DataFrame, code: Code, common: np.ndarray, kind: np.ndarray) -> tu
     return Mixer(flat[:size], slots, inputs), (matches[:, 1] + 0.5) / (matches.sum(1) + 1)
 
 
-def fit_spelling(tokens: DataFrame) -> Mixer:
+def fit_spelling(tokens: DataFrame, code: Code) -> Mixer:
     """Trained on each distinct token (token)."""
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,7 +459,7 @@ def fit_spelling(tokens: DataFrame) -> Mixer:
         for batch in batches:
             for a in range(0, batch.num_rows, 1 << 12):
                 data, at = c.string_bytes(c.column(batch, "token").slice(a, 1 << 12))
-                learner(*spelling(*spaced(data, at[:-1], at[1:])))
+                learner(*spelling(code, *spaced(data, at[:-1], at[1:]))[:2])
         yield from _sent(learner.rows(np.zeros(0, np.int64)))
 
     slots, inputs = SPELT
@@ -479,8 +488,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Scorer:
     """log10 probabilities of running texts, from the mixers and the corpus counts."""
 
-    def __init__(self, mixer: Mixer, spelt: Mixer, again: np.ndarray, code: Code, kinds: tuple[np.ndarray, np.ndarray], bins: np.ndarray, distinct: np.ndarray, totals: np.ndarray, ends: int):
-        self.mixer, self.spelt, self.again, self.code, self.kinds = mixer, spelt, again, code, kinds
+    def __init__(self, mixer: Mixer, spelt: Mixer, again: np.ndarray, codes: tuple[Code, Code], kinds: tuple[np.ndarray, np.ndarray], bins: np.ndarray, distinct: np.ndarray, totals: np.ndarray, ends: int):
+        self.mixer, self.spelt, self.again, self.kinds = mixer, spelt, again, kinds
+        self.code, self.letters = codes
         self.bins, self.in_bin, self.distinct = bins, distinct, int(distinct.sum())
         self.totals, self.ends = totals, ends
 
@@ -493,7 +503,8 @@ class Scorer:
         for a in range(0, len(new), 1 << 12):
             own = first[new[a : a + (1 << 12)]]
             data, at = spaced(w.data, w.starts[own], w.ends[own])
-            out[new[a : a + (1 << 12)]] = np.add.reduceat(self.spelt(*spelling(data, at)), 8 * at[:-1])
+            place, bit, begin = spelling(self.letters, data, at)
+            out[new[a : a + (1 << 12)]] = np.add.reduceat(self.spelt(place, bit), begin)
         return out[inverse]
 
     def __call__(self, w: c.Words, mine: np.ndarray, inverse: np.ndarray) -> np.ndarray:
@@ -507,13 +518,13 @@ class Scorer:
         # the code of the bin, then the word's share of it
         model = np.zeros(len(t.hash))
         own = np.flatnonzero(~t.hit)
-        place, bit, at = events(self.code, t, own)
-        if len(own):
-            model[own] = np.add.reduceat(self.mixer(place, bit), at)
+        for a in range(0, len(own), EVENTS):
+            place, bit, at = events(self.code, t, own[a : a + EVENTS])
+            model[own[a : a + EVENTS]] = np.add.reduceat(self.mixer(place, bit), at)
         bins = t.bin[words]
-        free = DISCOUNT * self.in_bin[bins] * spelled * BINS
+        free = DISCOUNT * self.in_bin[bins] * spelled * LEAVES
         share = np.where(known[inverse], mine["n"][inverse] - DISCOUNT, free) / np.maximum(self.bins[bins], 1)
-        share = np.where(self.bins[bins] > 0, share, spelled * BINS)
+        share = np.where(self.bins[bins] > 0, share, spelled * LEAVES)
         model[words] += np.where(t.hit[words], 0, np.log10(np.maximum(np.minimum(share, 1), 1e-300)))
         model += np.log10(np.where(t.match > 0, np.where(t.hit, self.again[t.match], 1 - self.again[t.match]), 1.0))
         # whole tokens by kind
@@ -547,18 +558,19 @@ def score(df: DataFrame) -> DataFrame:
             sums = counted.agg(*(F.sum(k).alias(k) for k in KINDS), F.count("*").alias("v")).first()
             totals = np.array([sums[k] or 0 for k in KINDS], float)
             total, distinct = int(totals.sum()) + ends, sums["v"] + (ends > 0)
+            bins, letters = bins[:BINS].reshape(LEAVES, -1).sum(1), Code(bins[BINS:])
             code = Code(np.append(bins, ends))
-            spelt = fit_spelling(counted)
+            spelt = fit_spelling(counted, letters)
 
             def in_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                own = np.zeros(BINS, np.int64)
+                own = np.zeros(LEAVES, np.int64)
                 for batch in batches:
-                    own += np.bincount(_bins(c.numbers(batch, "hash").view(np.uint64)), minlength=BINS)
+                    own += np.bincount(_bins(c.numbers(batch, "hash").view(np.uint64)) // (BINS // LEAVES), minlength=LEAVES)
                 yield from _sent([(0, _planes(own))])
 
-            in_bin = summed(counted.select("hash").mapInArrow(in_bins, SUMS), BINS)
+            in_bin = summed(counted.select("hash").mapInArrow(in_bins, SUMS), LEAVES)
             mixer, again = fit(docs, code, common, kind)
-            scorer = Scorer(mixer, spelt, again, code, (common, kind), bins, in_bin, totals, ends)
+            scorer = Scorer(mixer, spelt, again, (code, letters), (common, kind), bins, in_bin, totals, ends)
             packed = c.checkpoint(asked.select("block", "hash").join(counted.drop("token"), "hash").mapInArrow(_pack, "block long, counts binary"))
     model = df.sparkSession.sparkContext.broadcast(scorer)  # fixed size
 
