@@ -46,7 +46,7 @@ CLASSES, BINS, COMMON = 4, 1 << 14, 256
 LEAVES = 1 << 10  # bins of the code: so many bins of words, and one of the end token
 WORDS = 2  # hashed contexts of a code's bit: so many words before it
 BYTES = (1, 3)  # contexts of a spelled bit: so many bytes, and the word's beginning
-SLOTS, SPELLED = 1 << 21, 1 << 18  # of a hashed context
+SLOTS, SPELLED = 1 << 20, 1 << 18  # of a hashed context
 RATE, BATCH = 0.02, 1 << 13
 STEPS = 33  # of the refining table, over log odds from -8 to 8
 MATCHES = 3  # states of what followed before: the last one failed, held, the last two held
@@ -311,10 +311,13 @@ def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def summed(rows: DataFrame, size: int) -> np.ndarray:
     """The sum of all parts (SUMS) of an array of fixed size: a tree of sums over FAN parts each, then a collection."""
     with c.stored(rows) as now:
-        parts = now.agg(F.max("part").alias("n")).first()["n"] or 0
+        found = now.agg(F.max("part").alias("parts"), F.count("*").alias("n")).first()
+        parts, n = found["parts"] or 0, found["n"]
         while True:
-            now = now.withColumn("part", F.expr(f"part div {FAN}")).repartition("chunk", "part").sortWithinPartitions("chunk", "part").mapInArrow(_sum_rows, SUMS)
-            parts //= FAN
+            # a task takes a few MB, before compression
+            dealt = now.withColumn("part", F.expr(f"part div {FAN}")).repartition(max(1, n // 64), "chunk", "part")
+            now = dealt.sortWithinPartitions("chunk", "part").mapInArrow(_sum_rows, SUMS)
+            parts, n = parts // FAN, n // FAN
             if not parts:
                 break
             now = c.checkpoint(now)
