@@ -316,7 +316,7 @@ def summed(rows: DataFrame, size: int) -> np.ndarray:
         while True:
             # a task takes a few MB, before compression
             dealt = now.withColumn("part", F.expr(f"part div {FAN}")).repartition(max(1, n // 64), "chunk", "part")
-            now = dealt.sortWithinPartitions("chunk", "part").mapInArrow(_sum_rows, SUMS)
+            now = c.mapped(dealt.sortWithinPartitions("chunk", "part"), _sum_rows, SUMS)
             parts, n = parts // FAN, n // FAN
             if not parts:
                 break
@@ -375,7 +375,7 @@ def _added(docs: DataFrame, shape: tuple[int, ...], of) -> np.ndarray:
         flat = total.ravel()
         yield from _sent((k, _planes(flat[k : k + CHUNK])) for k in range(0, len(flat), CHUNK))
 
-    return summed(docs.select("doc_id", "text").mapInArrow(run, SUMS), int(np.prod(shape))).reshape(shape)
+    return summed(c.mapped(docs.select("doc_id", "text"), run, SUMS), int(np.prod(shape))).reshape(shape)
 
 
 def common_kinds(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -449,7 +449,7 @@ def fit(docs: DataFrame, code: Code, common: np.ndarray, kind: np.ndarray) -> tu
 
     slots, inputs = MIXED
     size = 2 * slots + inputs * inputs + 1 + 2 * inputs * STEPS
-    flat = summed(docs.select("doc_id", "text").mapInArrow(online, SUMS), size + extra)
+    flat = summed(c.mapped(docs.select("doc_id", "text"), online, SUMS), size + extra)
     matches = flat[size:].reshape(-1, 2)
     return Mixer(flat[:size], slots, inputs), (matches[:, 1] + 0.5) / (matches.sum(1) + 1)
 
@@ -466,7 +466,7 @@ def fit_spelling(tokens: DataFrame, code: Code) -> Mixer:
         yield from _sent(learner.rows(np.zeros(0, np.int64)))
 
     slots, inputs = SPELT
-    return Mixer(summed(tokens.select("token").mapInArrow(online, SUMS), 2 * slots + inputs * inputs + 1 + 2 * inputs * STEPS), slots, inputs)
+    return Mixer(summed(c.mapped(tokens.select("token"), online, SUMS), 2 * slots + inputs * inputs + 1 + 2 * inputs * STEPS), slots, inputs)
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
@@ -554,7 +554,7 @@ def score(df: DataFrame) -> DataFrame:
     docs = c.documents(df, block.alias("block"))
     bins, common, kind = common_kinds(docs)
     every = sum(map(F.col, KINDS), F.lit(0))
-    with c.stored(docs.mapInArrow(lambda batches: _distinct(batches, common, kind), VOCABULARY_DDL)) as asked:
+    with c.stored(c.mapped(docs, lambda batches: _distinct(batches, common, kind), VOCABULARY_DDL)) as asked:
         counted = asked.groupBy("hash").agg(*(F.sum(k).alias(k) for k in KINDS), F.first("token").alias("token")).where(every > 0)
         with c.stored(counted) as counted:
             ends = docs.select("doc_id").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(HELD_OUT)) != 0).count()
@@ -571,10 +571,10 @@ def score(df: DataFrame) -> DataFrame:
                     own += np.bincount(_bins(c.numbers(batch, "hash").view(np.uint64)) // (BINS // LEAVES), minlength=LEAVES)
                 yield from _sent([(0, _planes(own))])
 
-            in_bin = summed(counted.select("hash").mapInArrow(in_bins, SUMS), LEAVES)
+            in_bin = summed(c.mapped(counted.select("hash"), in_bins, SUMS), LEAVES)
             mixer, again = fit(docs, code, common, kind)
             scorer = Scorer(mixer, spelt, again, (code, letters), (common, kind), bins, in_bin, totals, ends)
-            packed = c.checkpoint(asked.select("block", "hash").join(counted.drop("token"), "hash").mapInArrow(_pack, "block long, counts binary"))
+            packed = c.checkpoint(c.mapped(asked.select("block", "hash").join(counted.drop("token"), "hash"), _pack, "block long, counts binary"))
     model = df.sparkSession.sparkContext.broadcast(scorer)  # fixed size
 
     both = docs.withColumn("counts", F.lit(None).cast("binary")).unionByName(packed, allowMissingColumns=True)
@@ -625,7 +625,7 @@ def score(df: DataFrame) -> DataFrame:
                         bits_per_byte=-model_score / np.log10(2) / lengths,
                     )
 
-    return sorted_.select("doc_id", "text", "block", "counts").mapInArrow(run, SCORES_DDL)
+    return c.mapped(sorted_.select("doc_id", "text", "block", "counts"), run, SCORES_DDL)
 
 
 def query(df: DataFrame) -> DataFrame:
