@@ -488,6 +488,19 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(block[order][cut[:-1]]), c.binary([out[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)])], ["block", "counts"])
 
 
+def _sealed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of each block in compressed slices, so that tasks hold a slice of running text and not a batch."""
+    for batch in batches:
+        for part in c.slices(batch, limit=STREAM):
+            block = c.numbers(part, "block")
+            for k in np.unique(block).tolist():
+                own = part.select(["doc_id", "text"]).filter(pa.array(block == k))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                    out.write_batch(own)
+                yield pa.RecordBatch.from_arrays([pa.array([k]), c.binary([sink.getvalue().to_pybytes()])], ["block", "texts"])
+
+
 class Scorer:
     """log10 probabilities of running texts, from the mixers and the corpus counts."""
 
@@ -577,8 +590,8 @@ def score(df: DataFrame) -> DataFrame:
             packed = c.checkpoint(c.mapped(asked.select("block", "hash").join(counted.drop("token"), "hash"), _pack, "block long, counts binary"))
     model = df.sparkSession.sparkContext.broadcast(scorer)  # fixed size
 
-    both = docs.withColumn("counts", F.lit(None).cast("binary")).unionByName(packed, allowMissingColumns=True)
-    sorted_ = both.repartition(c.buckets(df, 16), "block").sortWithinPartitions("block", F.col("doc_id").isNotNull())
+    both = c.mapped(docs, _sealed, "block long, texts binary").unionByName(packed, allowMissingColumns=True)
+    sorted_ = both.repartition(c.buckets(df, 16), "block").sortWithinPartitions("block", F.col("texts").isNotNull())
     scale = np.log10(total + 0.1 * (distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -587,20 +600,15 @@ def score(df: DataFrame) -> DataFrame:
         now, known = None, np.zeros(0, PACKED)
 
         for batch in batches:
-            valid = c.column(batch, "doc_id").is_valid().to_numpy(zero_copy_only=False)
-            block = c.numbers(batch, "block")
-            for a in np.flatnonzero(~valid).tolist():
-                lists.setdefault(int(block[a]), []).append(c.column(batch, "counts")[a].as_py())
-            edge = np.append(np.flatnonzero(c.first_of_group(block)), len(block)).tolist() if len(block) else []
-            for a, b in zip(edge, edge[1:], strict=False):
-                own = batch.slice(a, b - a).filter(pa.array(valid[a:b]))
-                if not own.num_rows:
+            for block, texts, counts in zip(*(c.column(batch, x) for x in ("block", "texts", "counts")), strict=True):
+                if not texts.is_valid:
+                    lists.setdefault(block.as_py(), []).append(counts.as_py())
                     continue
-                if now != int(block[a]):
-                    now = int(block[a])
+                if now != block.as_py():
+                    now = block.as_py()
                     known = np.frombuffer(b"".join(lists.pop(now, [])), PACKED)
                     known = known[np.argsort(known["hash"])]
-                for part in c.slices(own, limit=STREAM):
+                for part in pa.ipc.open_stream(texts.as_buffer()):
                     w = c.words(c.column(part, "text"), lower=True)
                     distinct_, inverse = np.unique(c.signed(w.hashes), return_inverse=True)
                     mine = np.zeros(len(distinct_), PACKED)
@@ -625,7 +633,7 @@ def score(df: DataFrame) -> DataFrame:
                         bits_per_byte=-model_score / np.log10(2) / lengths,
                     )
 
-    return c.mapped(sorted_.select("doc_id", "text", "block", "counts"), run, SCORES_DDL)
+    return c.mapped(sorted_.select("block", "texts", "counts"), run, SCORES_DDL)
 
 
 def query(df: DataFrame) -> DataFrame:
