@@ -26,10 +26,6 @@ def syllables(col: Column) -> Column:
     return F.regexp_extract_all(col, F.lit(SYLLABLE), F.lit(0))
 
 
-def closed(syllable: Column) -> Column:
-    return ~deleted(syllable, p.MARKS + "'").rlike(f"[{p.VOWELS}]$")
-
-
 def accent_class(word: Column) -> Column:
     return let(syllables(word), _accent_class)
 
@@ -65,7 +61,8 @@ def marks_diphthong(word: Column, any_subscript: bool = False) -> Column:
 
 
 def unmark_diphthongs(word: Column) -> Column:
-    return F.array_join(F.transform(syllables(word), lambda s: F.when(marks_diphthong(s), deleted(s, p.MARKS)).otherwise(s)), "")
+    clean = lambda own: F.array_join(F.transform(own, lambda s: F.when(marks_diphthong(s), deleted(s, p.MARKS)).otherwise(s)), "")
+    return let(syllables(word), lambda own: F.when(F.array_join(own, "") == word, clean(own)).otherwise(word))
 
 
 def marked_syllable(syllable: Column, mark: str) -> Column:

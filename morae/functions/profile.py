@@ -66,11 +66,15 @@ EDITORIAL = "^_()[]{}<>⟨⟩⎡⎤\"«»-—…|⏑⏓†×"
 WORD_BREAKS = "\u0387\u037e\u00b7.,!?;:\"()[]{}<>«»-—…|⏑⏓†×"
 NORMAL_DROP = "^_[]{}()<>\"«»’‘ʼ`-—–"
 STOP_WORDS_EPIC = ("ἀνήρ", "καλός", "καλὸς", "καλά", "καλὰ", "Κύπριδος", "Κύπριδι", "Κύπριδα", "Κύπριν", "ἀνιαρός")
-PREFIXES = ("ἀνα", "ἀντι", "ἀπο", "ἀφ", "δια", "ἐπι", "κατα", "καθ", "μετα", "παρα", "περι", "συν", "ξυν", "συμ", "ὑπερ", "ὑπο", "ὑφ")
-ELIDED_PREFIXES = ("ἀν", "ἀπ", "δι", "κατ", "παρ", "ὑπ")
-
-#: OCR noise by rule: Latin with marks, combining marks that don't belong to Greek, symbols and foreign brackets
-NOISE = r"[#$%&*+/=@~\x{00A1}-\x{00AA}\x{00AC}-\x{00B3}\x{00B6}\x{00B8}-\x{00BA}\x{00BC}-\x{02BB}\x{02BD}-\x{036F}\x{0400}-\x{1EFF}\x{2010}-\x{2013}\x{2015}-\x{2017}\x{2020}\x{2030}-\x{23A0}\x{23A5}-\x{23D0}\x{23D4}-\x{27E7}\x{27EA}-\x{FFFF}\x{10000}-\x{10FFFF}]"
+# fixed values: verbal prefixes with their marks, whole and elided
+PREFIXES = {
+    "ἀνα": "ἀ^να^", "ἀντι": "ἀντι^", "ἀπο": "ἀ^πο", "ἀφ": "ἀ^φ", "δια": "δι^α^", "ἐπι": "ἐπι^", "κατα": "κα^τα^", "καθ": "κα^θ", "μετα": "μετα^",
+    "παρα": "πα^ρα^", "περι": "περι^", "συν": "συ^ν", "ξυν": "ξυ^ν", "συμ": "συ^μ", "ὑπερ": "ὑ^περ", "ὑπο": "ὑ^πο", "ὑφ": "ὑ^φ",
+}
+ELIDED_PREFIXES = {"ἀν": "ἀ^ν", "ἀπ": "ἀ^π", "δι": "δι^", "κατ": "κα^τ", "παρ": "πα^ρ", "ὑπ": "ὑ^π"}
+
+# fixed values: the pattern of characters that are taken for OCR noise
+NOISE = r"[#$%&*+/=@~£¦§¨ª¬¯°±²³¶¸¹½¿ÁÄÆÈÉÌÍÒÓÖÚÜßàáâäæçèéëìíïòóôö÷ùúüýÿĀāćĎďĹŒœŕźƑǁȳɛʰʳ˘˙˝ˡˢˣ̠̣͎̀́̄̅̆̇̈̊̔͂͞ͅ΅ЗСҀҁҏӄӔӕֹלݲតហឲាិេᵃᵅᵇᵈᵉᵊᵍᵏᵐᵒᵖᵗᵘᵛᵝᶜᶠᶦᶹḍḿṃẂẃẉạụỳ‐‒–―‖✶❮❯⟦⟧⥼⥽⦵⨆⩚⩹⫯⸕⸢⸣⸤⸥⸨〈〉ﬀﬁ＊－｢�𐅵𝒢𝒮𝔮𝕷‹›※‾⁄⁎⁑⁰ⁱ⁴⁵⁶⁷⁸⁹ⁿ€™ℵ∗√∠∴∼∾⊏⊔⊙⊢⊣⊤⊻⋃⋆⋇⋖⌈⌉⌊⌋⌞⌟⏒⏔⏕─═║△○◻★☼☾☿♀♂♃♄]"
 
 #: one translation of Latin letters to Greek ones, to run Greek rules on Latin corpora
 LATIN = "abgdezhiklmnopcrstufxywéèêóíñçäöüß"

@@ -59,13 +59,6 @@ def premarked(col: Column, glue: bool = False) -> Column:
     return replaced(col, [(r"(\s)τἄλλα(?=\s)", "$1τἄλλα^"), (r"(\s)ἁ(?=\s)", "$1ἁ_")])
 
 
-def cleaned(col: Column, lower: bool = False, glue: bool = False) -> Column:
-    """Editorial signs, noise, case, apostrophes and early marks, in this order."""
-    col = without_noise(without_editorial(col))
-    col = unified_apostrophes(F.lower(col) if lower else col)
-    return premarked(col, glue)
-
-
 def word_list(col: Column) -> Column:
     broken = F.regexp_replace(col, f"[{p.escaped(p.WORD_BREAKS)}]", " ")
     return F.filter(F.split(broken, r"(?U)\s+"), lambda w: w != "")
@@ -144,14 +137,45 @@ def context_particle(tokens: DataFrame, *by: str) -> DataFrame:
     return tokens.withColumn("marked", F.when(particle, mark)).drop("_sub", "_ei")
 
 
-def drop_reason(token: Column, stop: bool = False) -> Column:
-    """Why a token isn't worked on, or null."""
+def drop_reason(token: Column, stop: list[str] | None = None, odd: Column | None = None, exempt: tuple[str, ...] = ("ἄν", "ἂν")) -> Column:
+    """Why a token isn't worked on, or null: numerals, stop words, misspellings, tokens in `odd`, which aren't in the word list of
+    their text (but for the particle, which taggers cut off), and those that leave nothing open."""
     from .phonology import open_dichrona
 
-    reasons = F.when(is_numeral(token), "numeral").when(mid_final_sigma(token), "mid_sigma").when(bad_accents(token), "accents")
+    reasons = F.when(is_numeral(token), "numeral")
+    if stop:
+        reasons = reasons.when(token.isin(list(stop)), "stop_word")
+    reasons = reasons.when(mid_final_sigma(token), "mid_sigma").when(bad_accents(token), "accents")
+    if odd is not None:
+        reasons = reasons.when(F.array_contains(odd, token) & ~token.isin(*exempt), "divergence")
     return reasons.when(open_dichrona(token) == 0, "nothing_to_do")
 
 
+def agreeing(runs: Column, words: Column) -> Column:
+    """The runs that are words of a list too, both of one text."""
+    return let(F.array_except(runs, words), lambda odd: F.filter(runs, lambda w: ~F.array_contains(odd, w)))
+
+
+def even_chunks(col: Column, n: int) -> Column:
+    """The text in n chunks of even length, each drawn out to the end of its last word."""
+    size = F.floor(F.char_length(col) / n)
+    letter = r"^[\p{L}]*"
+
+    def step(acc: Column, k: Column) -> Column:
+        rest = F.substr(col, (acc["at"] + 1).cast("int"))
+        plain = size
+        tail = F.regexp_extract(F.substr(rest, (plain + 1).cast("int")), letter, 0)
+        own = F.when(k == n - 1, rest).otherwise(F.concat(F.substr(rest, F.lit(1), plain.cast("int")), tail))
+        return F.struct((acc["at"] + F.char_length(own)).cast("long").alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), zero, step, lambda acc: acc["out"])
+
+
+def first_column(col: Column) -> Column:
+    return F.get(F.split(col, "\t"), F.lit(0))
+
+
 def residual_characters(df: DataFrame, col: str) -> DataFrame:
     """The characters that are neither Greek, Latin, digits nor space, sorted, as one string."""
     chars = df.select(F.explode(F.split(col, "")).alias("ch")).where("ch <> ''").distinct()

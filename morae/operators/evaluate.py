@@ -45,6 +45,16 @@ def all_short(all_: Column) -> Column:
     return F.transform(all_, lambda s: F.when(is_closed(s), marks.stripped(s)).otherwise(F.concat(marks.stripped(s), F.lit("^"))))
 
 
+def open_count(all_: Column) -> Column:
+    """How many syllables the baseline marks."""
+    return F.size(F.filter(all_, lambda s: ~is_closed(s))).cast("long")
+
+
+def stripped_gold(line: Column) -> Column:
+    """Without marks and brackets."""
+    return F.translate(line, "^_[]{}", "")
+
+
 def traffic_light(value: Column) -> Column:
     return F.when(value > 0.95, "green").when(value > 0.85, "yellow").otherwise("red")
 
@@ -67,6 +77,7 @@ def vowel_scores(df: DataFrame, output: str, gold: str, *by: str) -> DataFrame:
 
 
 SCORE = "expected long, correct long"
+POINTED = "expected long, correct long, short_total long, short_right long, long_total long, long_right long"
 
 
 def alignment(output: Column, gold: Column) -> Column:
@@ -74,9 +85,10 @@ def alignment(output: Column, gold: Column) -> Column:
     return F.pandas_udf(_alignment, SCORE)(output, gold)
 
 
-def backward(output: Column, gold: Column) -> Column:
-    """Both lines read from their ends: a short mark fails only on an explicit long one, a long mark on anything else."""
-    return F.pandas_udf(_backward, SCORE)(output, gold)
+def backward(output: Column, gold: Column, literal: bool = False) -> Column:
+    """Both lines read from their ends: a short mark fails only on an explicit long one, a long mark on anything else; gold marks
+    that the output has no letters left for count too. literal: at a short mark without its counterpart a letter is passed over."""
+    return F.pandas_udf(lambda a, b: _backward(a, b, literal), POINTED)(output, gold)
 
 
 def _alignment(output: pd.Series, gold: pd.Series) -> pd.DataFrame:
@@ -87,20 +99,19 @@ def _alignment(output: pd.Series, gold: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["expected", "correct"])
 
 
-def _backward(output: pd.Series, gold: pd.Series) -> pd.DataFrame:
+def _backward(output: pd.Series, gold: pd.Series, literal: bool) -> pd.DataFrame:
     rows = []
     for a, b in zip(output.fillna(""), gold.fillna(""), strict=True):
-        i, j, expected, correct = len(a) - 1, len(b) - 1, 0, 0
-        while i >= 0 and j >= 0:
-            want = b[j] if b[j] in p.MARKS else ""
-            have = a[i] if a[i] in p.MARKS else ""
-            if want:
-                expected += 1
-                correct += have != p.LONG if want == p.SHORT else have == p.LONG
-                j -= 1
-            if have:
+        i, total, right = len(a) - 1, {p.SHORT: 0, p.LONG: 0}, {p.SHORT: 0, p.LONG: 0}
+        for want in reversed(b):
+            have = a[i] if i >= 0 else ""
+            if want in p.MARKS:
+                total[want] += 1
+                right[want] += have == p.LONG if want == p.LONG else have != p.LONG
+                i -= (have == p.LONG) if want == p.LONG else (have != "" and (literal or have in p.MARKS))
+            else:
+                while not literal and i >= 0 and a[i] in p.MARKS:
+                    i -= 1  # a mark that gold doesn't have
                 i -= 1
-            if not want and not have:
-                i, j = i - 1, j - 1
-        rows.append((expected, correct))
-    return pd.DataFrame(rows, columns=["expected", "correct"])
+        rows.append((sum(total.values()), sum(right.values()), total[p.SHORT], right[p.SHORT], total[p.LONG], right[p.LONG]))
+    return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in POINTED.split(", ")])

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import marks, phonology
-from ..functions import profile as p
 
 
 def read(spark, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -49,8 +48,10 @@ def variants(lexicon: DataFrame) -> DataFrame:
 
 
 def lookup(tokens: DataFrame, lexicon: DataFrame, key: Column, name: str) -> DataFrame:
-    """Left join of a lexicon with distinct forms on a key: the found spelling as column `name`."""
-    found = lexicon.groupBy("form").agg(F.min("marked").alias(name)).withColumnRenamed("form", "_form")
+    """Left join of a lexicon on a key: the found spelling as column `name`. Of equal forms the last entry (ord) wins; without an
+    order the alphabetically least."""
+    best = F.max_by("marked", "ord") if "ord" in lexicon.columns else F.min("marked")
+    found = lexicon.groupBy("form").agg(best.alias(name)).withColumnRenamed("form", "_form")
     return tokens.join(found, key == F.col("_form"), "left").drop("_form")
 
 
@@ -82,5 +83,3 @@ def ends_in_eta(tokens: DataFrame, ionic: DataFrame, col: str) -> DataFrame:
     stems = ionic.select("stem").distinct()
     return tokens.join(stems, F.expr(f"substring({col}, 1, char_length({col}) - 1)") == F.col("stem"), "left_semi")
 
-
-PREFIXES = [(x, x) for x in p.PREFIXES] + [(x, x) for x in p.ELIDED_PREFIXES]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,28 +15,38 @@ def ratio(difference: Column, before: Column) -> Column:
     return F.coalesce(F.try_divide(difference.cast("double"), before.cast("double")), F.lit(0.0))
 
 
-def coverage(df: DataFrame, before: str, after: str, *by: str, rollup: bool = False, names: DataFrame | None = None) -> DataFrame:
-    """before, after, difference, ratio of open doubtful vowels; names: words (name) that are left out by whole words."""
+def without_names(text: Column, names: list[str]) -> Column:
+    """The text's words but for these names, joined by one space."""
+    return F.array_join(F.filter(F.split(text, r"(?U)\s+"), lambda w: ~w.isin(names)), " ")
+
+
+def coverage(df: DataFrame, before: str, after: str, *by: str, rollup: bool = False, names: DataFrame | None = None, ambiguous: bool = False) -> DataFrame:
+    """before, after, difference, ratio of open doubtful vowels. names: words (name) that are left out by whole words, of both
+    texts by what stands in the first; ambiguous: only those that the accent rules leave open."""
     if names is not None:
-        # an anti join by token, then the texts anew
-        df = df.withColumn("_row", F.monotonically_increasing_id())
-        own = df.select("_row", F.posexplode(F.arrays_zip(*(F.split(F.col(x), r"(?U)\s+").alias(x) for x in (before, after)))).alias("_k", "_w")).select("_row", F.col(f"_w.{before}").alias(before), F.col(f"_w.{after}").alias(after))
-        own = own.join(names.select(F.col("name").alias(before)).distinct(), before, "left_anti")
-        df = own.join(df.select("_row", *by), "_row")
-    counted = df.select(*by, phonology.open_dichrona(F.col(before)).alias("_b"), phonology.open_dichrona(F.col(after)).alias("_a"))
+        # an anti join by word; the counts of words are added up, so no text is put together again
+        pairs = F.arrays_zip(*(F.split(F.col(x), r"(?U)\s+").alias(x) for x in (before, after)))
+        df = df.select(*by, F.explode(pairs).alias("_w")).select(*by, F.col(f"_w.{before}").alias(before), F.col(f"_w.{after}").alias(after))
+        df = df.join(names.select(F.col("name").alias(before)).distinct(), before, "left_anti")
+    if ambiguous:
+        from .macronize import ambiguous_dichrona as count
+    else:
+        count = phonology.open_dichrona
+    counted = df.select(*by, count(F.col(before)).alias("_b"), count(F.col(after)).alias("_a"))
     grouped = counted.rollup(*by) if rollup else counted.groupBy(*by)
     out = grouped.agg(F.coalesce(F.sum("_b"), F.lit(0)).alias("before"), F.coalesce(F.sum("_a"), F.lit(0)).alias("after"))
     return out.withColumn("difference", F.col("before") - F.col("after")).withColumn("ratio", ratio(F.col("difference"), F.col("before")))
 
 
-def residue(tokens: DataFrame, token: str = "token") -> DataFrame:
-    """Tokens by falling count, then by code points."""
-    return tokens.groupBy(token).agg(F.count("*").alias("n")).orderBy(F.desc("n"), token)
+def residue(tokens: DataFrame, token: str = "token", keep: Callable[[DataFrame], DataFrame] = lambda counted: counted) -> DataFrame:
+    """Tokens by falling count, then by code points; keep: a filter of the distinct tokens."""
+    return keep(tokens.groupBy(token).agg(F.count("*").alias("n"))).orderBy(F.desc("n"), token)
 
 
 def keep_first(tokens: DataFrame, token: str, *order: str) -> DataFrame:
-    """The first row of each token."""
-    return tokens.withColumn("_k", F.row_number().over(Window.partitionBy(token).orderBy(*order))).where("_k = 1").drop("_k")
+    """The first row of each token: a least struct, combined on the map side, so a frequent token costs a row a task."""
+    rest = [x for x in tokens.columns if x != token and x not in order]
+    return tokens.groupBy(token).agg(F.min(F.struct(*order, *rest)).alias("_first")).select(token, "_first.*").select(*tokens.columns)
 
 
 def shares(hits: DataFrame, by: str, least: int = 2) -> DataFrame:
@@ -65,20 +77,23 @@ def reconciled(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 
 def even_batches(df: DataFrame, order: str, n: int = 4) -> DataFrame:
-    """Contiguous batches of equal size; the remainder goes to the last. Ranks come from a range partitioning and counts of
-    partitions, not from a window over all rows in one task."""
-    spark = df.sparkSession
-    ranged = df.select(order).repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    counts = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # a row for each partition
-    offsets, total = [], 0
-    for part in sorted(counts):
-        offsets.append((part, total))
-        total += counts[part]
-    table = spark.createDataFrame(offsets or [(0, 0)], "_p int, _offset long")
+    """Contiguous batches of equal size; the remainder goes to the last; rows of equal order share a batch. The bounds are the
+    rows' ranks in a table of counts by value, added up over ranges of values, not a window over all rows in one task."""
+    values = df.groupBy(order).agg(F.count("*").alias("_n"))
+    total = df.count()
     size = max(1, total // n)
-    rank = F.col("_k") - 1 + F.col("_offset")
-    return ranged.join(F.broadcast(table), "_p").select(order, F.least(F.floor(rank / size), F.lit(n - 1)).cast("int").alias("batch"))
+    low, high = values.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        return df.select(order, F.lit(0).alias("batch"))
+    width = max(1, -(-(int(high) - int(low) + 1) // 1024))
+    ranges = values.withColumn("_range", F.floor((F.col(order) - F.lit(int(low))) / width))
+    sums = ranges.groupBy("_range").agg(F.sum("_n").alias("_all"))  # 1024 rows at most
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_range", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranges.join(F.broadcast(offsets), "_range").withColumn("_rank", F.col("_offset") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    named = ranked.select(order, F.least(F.floor(F.col("_rank") / size), F.lit(n - 1)).cast("int").alias("batch"))
+    return df.select(order).join(named, order)
 
 
 def chunk(order: Column, size: int = 1000) -> Column:

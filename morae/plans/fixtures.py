@@ -4,7 +4,6 @@ NAMES = ["θε", "ανδ", "δερ"]
 STOP = ["θε", "ανδ", "οφ", "το", "α", "δε", "λα", "διε"]
 STOP_GOLD = ["[κα_λὰ^ς]", "[καλὰς]"]
 IONIC = ["θη", "χώρη", "ἡμέρη", "αρη", "ωερη", "λη"]
-PREFIXES = ["θ", "αν", "αντι", "ιν", "ινγ", "ρε", "θε", "ερ", "ον", "οντι", "στ", "στι"]
 LEXICON = [("θατ", "θα^τ", 1), ("ανδ", "α^νδ", 2), ("ιν", "ι^ν", 3), ("ιτ", "ι_τ", 4), ("ας", "α_ς", 5), ("θις", "θι^ς", 6), ("Λα", "Λα_", 7), ("ιν", "ι_ν", 8), ("κακός", "κα^κός", 9), ("φίλος", "φί^λος", 10), ("φύσις", "φύ^σι^ς", 11)]
 ALTERNATIVES = [("ιν", 1, "ι^ν", "Dat"), ("ιν", 2, "ι_ν", "Nom"), ("ιν", 3, "ι^ν", "Nom"), ("λα", 1, "λα_", "Acc"), ("ανδ", 1, "α^νδι", "Nom"), ("χώρα", 1, "χώρα_", "Nom")]
 MERGES = [("st_ring^", "s_t^ring^"), ("a_b", "ab^"), ("", "a^b"), ("a^b", ""), ("xy", "x_z"), ("ab", "a_b^"), ("a_b^", "a^b_"), ("νεα_νί^ας", "νεανίας")]
@@ -28,3 +27,5 @@ TEI = [(1, "<TEI xmlns='http://www.tei-c.org/ns/1.0'><text><body><p>α<hi>β</hi
 PROP = "k"
 LATIN_BOTH = "abgdezhiklmnopcrstufxywABGDEZHIKLMNOPCRSTUFXYW"
 GREEK_BOTH = "αβγδεζηικλμνοπξρστυφχψωΑΒΓΔΕΖΗΙΚΛΜΝΟΠΞΡΣΤΥΦΧΨΩ"
+TAG_POS = ["NOUN", "ADJ", "VERB", "PROPN", "X"]
+TAG_MORPH = ["Case=Gen|Gender=Fem|Number=Sing", "Case=Nom|Gender=Fem|Number=Sing", "Case=Acc|Gender=Fem|Number=Plur", "Case=Dat|Gender=Masc|Number=Sing", "Case=Acc|Gender=Fem,Masc|Number=Sing", "Case=Gen|Gender=Neut|Number=Plur", "Mood=Ind|Number=Sing|Tense=Pres|Voice=Act", "Case=Acc|Gender=Masc|Number=Plur", ""]

@@ -78,8 +78,9 @@ def on_lines(expr: str) -> str:
     return f"WITH {L} SELECT doc_id, line_no, {expr} AS out FROM lines"
 
 
-def on_words(rows: list[tuple], expr: str) -> str:
-    return f"WITH {values('v', 'word', rows)} SELECT word, {expr} AS out FROM v"
+def on_words(rows: list[tuple], expr: str, steps: str = "", source: str = "v") -> str:
+    """Over fixtures and all distinct words; steps: further tables, from v(word)."""
+    return f"WITH {W}, {values('r', 'word', rows)}, v AS (SELECT word FROM r UNION SELECT word FROM w){steps} SELECT word, {expr} AS out FROM {source}"
 
 
 def sized(list_: str, source: str, key: str) -> str:
@@ -126,7 +127,126 @@ def bad_accents(w: str) -> str:
 
 NUMERAL = "(regexp_matches({0}, " + q("^[α-ωΑ-Ωϛϟϡ]{1,4}[ʹ΄´ʹ']$").replace("{", "{{").replace("}", "}}") + ") OR regexp_matches({0}, " + q("^͵[α-ωϛϟϡ]+$") + "))"
 COUNTED = f"SELECT word, count(*) AS n FROM w GROUP BY word"
-OPEN_WORD = f"CASE WHEN regexp_matches(word, {q(VOWEL + '$')}) THEN true ELSE regexp_matches(word, {q(VOWEL + f'[{p.CONSONANTS}]$')}) AND (following IS NULL OR regexp_matches(following, {q('^' + VOWEL)})) END"
+ANY = f"[{p.CONSONANTS}{p.DOUBLE}]"
+OPEN_WORD = f"""(regexp_matches(bare, {q(VOWEL + '$')}) AND NOT coalesce(regexp_matches(following, {q(f'^(?:{ANY}{ANY}|[{p.DOUBLE}])')}), false))
+OR (regexp_matches(bare, {q(f'{VOWEL}[{p.CONSONANTS}]$')}) AND (following IS NULL OR regexp_matches(following, {q('^' + VOWEL)})))"""
+SEAM, SHUT, OPEN_SIGN = "\ue100", "\ue101", "\ue102"  # between two consonants; behind a vowel that isn't counted, and one that is
+
+
+def syllables(expr: str) -> str:
+    """A syllable takes what stands before its vowel, and a consonant behind it if another one follows."""
+    parted = sub(sub(expr, f"({ANY})({ANY})", f"$1{SEAM}$2"), f"({ANY})({ANY})", f"$1{SEAM}$2")
+    found = f"regexp_extract_all({parted}, {q(f'[^{p.VOWELS}]*{p.NUCLEUS}[_^]*(?:[^{p.VOWELS}]+$|{ANY}{SEAM})?')})"
+    return f"list_transform({found}, lambda s: replace(s, {q(SEAM)}, ''))"
+
+
+def like(expr: str, pattern: str) -> str:
+    return f"regexp_matches({expr}, {q(pattern)})"
+
+
+def accent_class(own: str) -> str:
+    at = lambda k, chars: f"coalesce(regexp_matches({own}[-{k}], {q(f'[{chars}]')}), false)"
+    return f"""CASE WHEN {at(1, p.ACUTES + p.GRAVES)} THEN 'oxytone' WHEN {at(1, p.CIRCUMFLEXES)} THEN 'perispomenon' WHEN {at(2, p.ACUTES)} THEN 'paroxytone'
+WHEN {at(2, p.CIRCUMFLEXES)} THEN 'properispomenon' WHEN {at(3, p.ACUTES)} THEN 'proparoxytone' END"""
+
+
+def short_vowel(s: str) -> str:
+    return f"(NOT {like(s, p.DIPHTHONG)} AND {like(s, f'[{p.SHORT_VOWELS}]|[{p.DICHRONA}][\\^]')})"
+
+
+def long_acute(s: str) -> str:
+    return f"({like(s, f'[{p.ACUTES}]')} AND ({like(s, p.DIPHTHONG)} OR {like(s, f'[{p.LONG_VOWELS}{p.SUBSCRIPTS}]|[{p.DICHRONA}]_')}))"
+
+
+def doubtful(s: str) -> str:
+    return f"(NOT {like(s, p.DIPHTHONG)} AND {like(s, f'[{p.DICHRONA}]')})"
+
+
+def last_marked(s: str, mark: str) -> str:
+    return f"(CASE WHEN {doubtful(s)} THEN {sub(s, f'([{p.DICHRONA}])([^{p.VOWELS}_^]*)$', f'$1{mark}$2')} ELSE {s} END)"
+
+
+def marked_diphthong(w: str) -> str:
+    return f"({like(w, f'(?:{p.DIPHTHONG}|{p.ADSCRIPT}|[{p.SUBSCRIPTS}])[_^]')} OR {like(w, p.SPLIT_DIPHTHONG)})"
+
+
+def accent_steps(source: str) -> str:
+    start = "array_to_string(l[1:greatest(len(l) - 2, 0)], '')"
+    bare = "list_transform(l, lambda s: translate(s, '_^', ''))"
+    return f""", s1 AS (SELECT word, {syllables('word')} AS l FROM {source}), s2 AS (SELECT word, l, {bare} AS b FROM s1), s3 AS (SELECT word, l, l[-1] AS z, l[-2] AS y, {accent_class('b')} AS kind FROM s2),
+s4 AS (SELECT word, CASE WHEN len(l) >= 2 AND array_to_string(l, '') = word THEN CASE WHEN kind = 'paroxytone' AND {short_vowel('z')} THEN {start} || {last_marked('y', p.SHORT)} || z
+WHEN kind = 'paroxytone' AND {long_acute('y')} AND {doubtful('z')} THEN {start} || y || {last_marked('z', p.LONG)}
+WHEN kind IN ('properispomenon', 'proparoxytone') AND {doubtful('z')} THEN {start} || y || {last_marked('z', p.SHORT)} END END AS x FROM s3),
+ruled AS (SELECT word, CASE WHEN word = '' OR contains(word, chr(39)) THEN word WHEN x IS NULL OR {marked_diphthong('x')} THEN word ELSE x END AS ruled FROM s4)"""
+
+
+def has(key: str, *all_: str) -> str:
+    return like("morph", f"(^|[|]){key}=([^|]*,)?({'|'.join(all_)})(,[^|]*)?([|]|$)")
+
+
+def ended(pattern: str, new: str, when: str = "true") -> str:
+    return f"CASE WHEN {when} AND {like('token', pattern)} THEN {sub('token', pattern, new)} END"
+
+
+def pick(all_: list[str], of: str) -> str:
+    return f"([{', '.join(map(q, all_))}])[({of}) % {len(all_)} + 1]"
+
+
+COUNT_A = "length(token) + length(replace(token, 'α', ''))"
+TAGGED = f"""{W}, k AS (SELECT DISTINCT word AS token FROM w), {values('r', 'token, lemma, pos, morph', x.TAGGED)},
+t AS (SELECT token, CASE WHEN length(token) % 2 = 0 THEN token ELSE token || 'ος' END AS lemma, {pick(x.TAG_POS, 'length(token)')} AS pos, {pick(x.TAG_MORPH, COUNT_A)} AS morph FROM k UNION ALL SELECT * FROM r)"""
+A, I = (f"[{''.join(ch for ch, b in p.BARE.items() if b == base) + base}]" for base in "αι")
+FEM, SING = has("Gender", "Fem"), has("Number", "Sing")
+STEM = like(mapped("lemma", p.BARE), "[αη]$")
+GIVEN = "(lemma <> '' AND pos <> '' AND morph <> '')"
+NOMINAL = ", ".join(
+    [
+        ended(f"({A})$", "$1_", f"token = lemma AND {has('Case', 'Nom', 'Voc')} AND {SING} AND {FEM}"),
+        ended(f"({A})ν$", "$1_ν", f"{has('Case', 'Acc')} AND {SING} AND {FEM} AND {STEM}"),
+        ended(f"({A})ς$", "$1_ς", f"{has('Case', 'Gen')} AND {SING} AND {FEM}"),
+        ended(f"({A})ς$", "$1_ς", f"{has('Case', 'Acc')} AND {has('Number', 'Plur')} AND {FEM} AND ((pos IN ('NOUN', 'PROPN') AND {STEM}) OR pos IN ('ADJ', 'NUM', 'PRON'))"),
+        ended(f"({A})$", "$1^", has("Gender", "Masc", "Neut")),
+        ended(f"({I})(ν?)$", "$1^$2", has("Case", "Dat")),
+        ended(f"({I})(κ.[ςν])$", "$1^$2", f"{like(mapped('lemma', p.BARE), 'ικος$')} AND {like(mapped('token', p.BARE), 'ικο[ςν]$')}"),
+    ]
+)
+NOMINAL = f"CASE WHEN token <> '' AND {GIVEN} AND NOT {has('Number', 'Dual')} THEN coalesce({NOMINAL}) END"
+PRESENT = f"{GIVEN} AND {like(mapped('lemma', p.BARE), 'νυμι$')} AND {has('Tense', 'Pres')} AND {has('Mood', 'Ind')} AND {has('Voice', 'Act')}"
+VERBAL = ", ".join([ended("νυ(μι|ς|σι|σιν)$", "νυ_$1", f"{PRESENT} AND {SING}"), ended("νυ(μεν|τε)$", "νυ^$1", f"{PRESENT} AND {has('Number', 'Plur')}"), f"CASE WHEN {GIVEN} AND {like('token', f'μ{I}$')} THEN token || '^' END"])
+
+
+def on_tagged(expr: str) -> str:
+    return f"WITH {TAGGED} SELECT token, morph, {expr} AS out FROM t"
+
+
+def endings() -> str:
+    from ..operators.rewrite import ENDINGS
+
+    cases = []
+    for decl, ending, bare, case, n, add, restore in ENDINGS:
+        when = [like(mapped("token", p.BARE) if bare else "token", ending), has("Case", case), "length(token) > 2"]
+        when += [like(mapped("lemma", p.BARE), "ος$")] if decl == 2 else [STEM, FEM]
+        when += ["pos = 'NOUN'"] if add == "=" else []
+        new = f"substr(token, 1, greatest(length(token) - {n}, 0)) || " + ("right(lemma, 1)" if add == "=" else q(add))
+        cases.append((" AND ".join(when), new, restore))
+    variant, restored = (" ".join(f"WHEN {x[0]} THEN {x[k]}" for x in cases) for k in (1, 2))
+    return f"WITH {TAGGED} SELECT token, morph, CASE {variant} END AS variant, (CASE {restored} END)::BIGINT AS restored FROM t"
+
+
+def coloured(expr: str) -> str:
+    """Letters of diphthongs and closed vowels get a sign, then others without a mark get another, in two passes for neighbours."""
+    i, y = p.DIPHTHONG.split("|")[0].split("][")[1].rstrip("])"), p.DIPHTHONG.split("|")[1].split("][")[1].rstrip("])")
+    expr = sub(expr, f"([αεουΑΕΟΥ])([{i}])|([αεηοωΑΕΗΟΩ])([{y}])", f"$1$3{SHUT}$2$4{SHUT}")
+    expr = sub(expr, f"([{p.DICHRONA}])({ANY}{ANY}|[{p.DOUBLE}])", f"$1{SHUT}$2")
+    for _ in range(2):
+        expr = sub(expr, f"([{p.DICHRONA}])([^_^{SHUT}{OPEN_SIGN}]|$)", f"$1{OPEN_SIGN}$2")
+    expr = sub(expr, f"([{p.DICHRONA}]){OPEN_SIGN}", "<d>$1</d>")
+    return f"replace({expr}, {q(SHUT)}, '')"
+
+
+PLACED = r"""array_to_string(list_transform(regexp_extract_all(translate(word, '_^', ''), '\p{L}\p{M}*|[^\p{L}]'), lambda l, i: l || coalesce(list_filter(string_split(spec, ','), lambda m: regexp_matches(m, '^[_^][0-9]+$') AND TRY_CAST(substr(m, 2) AS INT) = i)[1][1], '')), '')"""
+CHUNK = r"""substr(text, 1, k) || regexp_extract(substr(text, k + 1), '^\p{L}*')"""
+
 CLASS_SENT = f"([{p.DICHRONA}])([{p.CONSONANTS}]?[.])$"
 FIRST_DIFF = "coalesce(list_position(list_transform(list_zip(string_split(a, ''), string_split(b, '')), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false), 0)"
 DEFECT = f"""CASE WHEN regexp_matches(form, '[_^]') THEN 'mark_in_key' WHEN regexp_matches(form, '[A-Za-z]') OR regexp_matches(marked, '[A-Za-z]') THEN 'latin_letter'
@@ -163,8 +283,29 @@ SELECT doc_id, line_no, array_to_string(list_concat([CASE WHEN regexp_matches(co
     "count_fixtures": on_words(x.COUNTS, open_dichrona("word")),
     "numeral_filter": on_words(x.NUMERALS, NUMERAL.format("word")),
     "pathology_filter": on_words(x.PATHOLOGIES, f"{bad_accents('word')} OR regexp_matches(word, 'ς.')"),
-    "nfc": on_words([r for r in x.UNICODE], f"replace(replace(nfc_normalize(replace(replace(word, chr(894), chr(57344)), chr(903), chr(57345))), chr(57344), chr(894)), chr(57345), chr(903))"),
-    "diphthong_marked": on_words(x.DIPHTHONGS, f"regexp_matches(word, {q(f'(?:{p.DIPHTHONG}|{p.ADSCRIPT}|[{p.SUBSCRIPTS}])[_^]')}) OR regexp_matches(word, {q(p.SPLIT_DIPHTHONG)})"),
+    "nfc": on_words(x.UNICODE, f"replace(replace(nfc_normalize(replace(replace(word, chr(894), chr(57344)), chr(903), chr(57345))), chr(57344), chr(894)), chr(57345), chr(903))"),
+    "no_macrons": on_words(x.UNICODE, "nfc_normalize(translate(nfc_normalize(word), 'ᾱᾰῑῐῡῠᾹᾸῙῘῩῨāēīōūăĕĭŏŭ' || chr(772) || chr(774), 'ααιιυυΑΑΙΙΥΥaeiouaeiou'))"),
+    "diphthong_marked": on_words(x.DIPHTHONGS, marked_diphthong("word")),
+    "diphthong_unmark": on_words(x.DIPHTHONGS, f"CASE WHEN array_to_string(l, '') = word THEN array_to_string(list_transform(l, lambda s: CASE WHEN {marked_diphthong('s')} THEN translate(s, '_^', '') ELSE s END), '') ELSE word END", f", s AS (SELECT word, {syllables('word')} AS l FROM v)", "s"),
+    "syllabify": on_words(x.COUNTS, f"array_to_string({syllables('word')}, '|')"),
+    "syllable_lengths": on_words(x.COUNTS + x.DIPHTHONGS, f"array_to_string(list_transform({syllables('word')}, lambda s: CASE WHEN {short_vowel('s')} THEN 's' ELSE '-' END || CASE WHEN {long_acute('s')} THEN 'a' ELSE '-' END || CASE WHEN {doubtful('s')} THEN 'd' ELSE '-' END), '|')"),
+    "accent_class": on_words(x.COUNTS, accent_class("l"), f", s AS (SELECT word, {syllables('word')} AS l FROM v)", "s"),
+    "accent_rules": on_words(x.COUNTS, "ruled", accent_steps("v"), "ruled"),
+    "colour": on_words(x.COUNTS, coloured("word")),
+    "place_marks": f"WITH {W}, {values('r', 'word, spec', x.PLACES)}, v AS (SELECT DISTINCT word, CASE WHEN length(word) % 2 = 0 THEN '_2,^3' ELSE '^1' END AS spec FROM w UNION ALL SELECT * FROM r) SELECT word, spec, {PLACED} AS out FROM v",
+    "minimal_pair": on_tagged(f"CASE WHEN token = 'ἄλλα' THEN CASE WHEN {FEM} THEN 'ἄλλα_' ELSE 'ἄλλα^' END END"),
+    "nominal_rules": on_tagged(NOMINAL),
+    "verbal_rules": on_tagged(f"coalesce({VERBAL})"),
+    "ending_rewrite": endings(),
+    "ambiguous_coverage": f"WITH {W}, v AS (SELECT DISTINCT word FROM w){accent_steps('v')}, n AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL) SELECT lang, sum(n * {open_dichrona('n.word')})::BIGINT AS n_open, sum(n * {open_dichrona('ruled')})::BIGINT AS n_ambiguous FROM n JOIN ruled USING (word) GROUP BY lang",
+    "even_chunks": f"""WITH a AS (SELECT doc_id, text, length(text) // 3 AS k FROM documents), b AS (SELECT doc_id, k, length({CHUNK}) AS n0, text FROM a), c AS (SELECT doc_id, n0, k, substr(text, n0 + 1) AS text FROM b), d AS (SELECT doc_id, n0, length({CHUNK}) AS n1, length(text) AS n FROM c)
+SELECT doc_id, n0, n1, n - n1 AS n2 FROM d""",
+    "first_column": "SELECT doc_id, string_split(replace(text, ' ', chr(9)), chr(9))[1] AS out FROM documents",
+    "success_rates": f"""WITH {GOLD}, o AS (SELECT file, line AS g, replace({STRIP.format('line')}, 'α', 'α^') AS o FROM gold), c AS (SELECT file, unnest(list_zip({CELL.format('o')}, {CELL.format('g')})) AS z FROM o WHERE {STRIP.format('o')} = {STRIP.format('g')}),
+m AS (SELECT file, coalesce(substr(z[1], 2), '') AS o, coalesce(substr(z[2], 2), '') AS g FROM c), n AS (SELECT file, count(*) FILTER (g = '^' AND o = '^') AS short_right, count(*) FILTER (g = '^') AS short_total, count(*) FILTER (g = '_' AND o = '_') AS long_right, count(*) FILTER (g = '_') AS long_total FROM m WHERE g <> '' GROUP BY ROLLUP (file))
+SELECT file, short_right, short_total, long_right, long_total, round(coalesce((short_right + long_right)::DOUBLE / nullif(short_total + long_total, 0), 0), 9) AS both_rate FROM n""",
+    "all_short_count": on_gold(f"len(list_filter({SYLL}, lambda s: {OPEN}))::BIGINT"),
+    "gold_stripped": on_gold("translate(line, '^_[]{}', '')"),
     "lexicon_validate": f"WITH {values('v', 'ord, form, marked', x.DEFECTS)} SELECT ord, form, marked, {DEFECT} AS problem FROM v",
     "bracket_move": on_gold(FILLED),
     "gold_plain": on_gold("translate(line, '[]{}#€_^', '')"),
@@ -182,25 +323,28 @@ n AS (SELECT doc_id, sent_id, {open_dichrona('s')} AS n FROM s) SELECT * FROM n
     "stopword_anti_join": f"WITH {W} SELECT lang, count(*) AS n FROM w WHERE word NOT IN {alternatives(x.STOP)} GROUP BY lang",
     "tokenizer_semi_join": f"WITH {W}, r AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{{L}}+')) AS word FROM g) SELECT doc_id, count(*) AS n FROM r SEMI JOIN w USING (doc_id, word) GROUP BY doc_id",
     "ionic_semi_join": f"WITH {W} SELECT word, count(*) AS n FROM w WHERE word LIKE '%ε' AND substr(word, 1, length(word) - 1) IN {alternatives([i[:-1] for i in x.IONIC])} GROUP BY word",
-    "lexicon_left_join": f"WITH {W}, {LEX}, n AS ({COUNTED}), m AS (SELECT form, min(marked) AS marked FROM lex GROUP BY form) SELECT word, n, marked FROM n LEFT JOIN m ON word = form",
+    "lexicon_left_join": f"WITH {W}, {LEX}, n AS ({COUNTED}), m AS (SELECT form, arg_max(marked, ord) AS marked FROM lex GROUP BY form) SELECT word, n, marked FROM n LEFT JOIN m ON word = form",
     "lexicon_case_variants": f"""WITH {W}, {LEX}, v AS (SELECT form, marked, 0 AS kind, -ord AS o FROM lex UNION ALL SELECT lower(form), lower(marked), 1, ord FROM lex UNION ALL SELECT {CAP('form')}, {CAP('marked')}, 1, ord FROM lex),
 best AS (SELECT form, marked FROM v QUALIFY row_number() OVER (PARTITION BY form ORDER BY kind, o, marked) = 1), n AS ({COUNTED}), c AS (SELECT CASE WHEN length(word) % 2 = 0 THEN {CAP('word')} ELSE word END AS word, n FROM n)
 SELECT word, n, marked FROM c JOIN best ON word = form""",
-    "lexicon_two_key": f"""WITH {W}, {LEX}, n AS (SELECT {CAP('word')} AS word, n FROM ({COUNTED})), m AS (SELECT form, min(marked) AS marked FROM lex GROUP BY form),
+    "lexicon_two_key": f"""WITH {W}, {LEX}, n AS (SELECT {CAP('word')} AS word, n FROM ({COUNTED})), m AS (SELECT form, arg_max(marked, ord) AS marked FROM lex GROUP BY form),
 j AS (SELECT n.word, n, coalesce(a.marked, {CAP('b.marked')}) AS marked FROM n LEFT JOIN m a ON n.word = a.form LEFT JOIN m b ON {DECAP('n.word')} <> n.word AND {DECAP('n.word')} = b.form) SELECT * FROM j WHERE marked IS NOT NULL""",
     "lexicon_disambiguate_first": f"""WITH {W}, {values('alt', 'form, alt_id, marked, "case"', x.ALTERNATIVES)}, n AS (SELECT word, lang, count(*) AS n, CASE lang WHEN 'en' THEN 'Nom' WHEN 'de' THEN 'Dat' ELSE 'Acc' END AS k FROM w GROUP BY word, lang),
 m AS (SELECT form, "case" AS k, arg_min(marked, alt_id) AS marked FROM alt GROUP BY ALL) SELECT word, lang, n, marked FROM n JOIN m ON word = form AND n.k = m.k WHERE {STRIP.format('marked')} = word""",
     "lexicon_build_last_wins": f"""WITH {W}, m AS (SELECT doc_id * 1000000 + pos AS line_no, CASE WHEN pos % 2 = 0 THEN {sub('word', f'([{p.DICHRONA}])', '$1^')} ELSE {sub('word', f'([{p.DICHRONA}])', '$1_')} END AS marked FROM w)
 SELECT {STRIP.format('marked')} AS form, arg_max(marked, line_no) AS marked FROM m GROUP BY 1""",
-    "prefix_longest_match": f"WITH {W}, {values('pre', 'prefix', [(i,) for i in x.PREFIXES])} SELECT word, arg_max(prefix, length(prefix)) AS prefix FROM (SELECT DISTINCT word FROM w) JOIN pre ON starts_with(word, prefix) GROUP BY word",
+    "prefix_longest_match": f"""WITH {W}, {values('pre', 'prefix, marked', [*p.PREFIXES.items(), *p.ELIDED_PREFIXES.items()])}, k AS (SELECT DISTINCT word FROM w), h AS (SELECT DISTINCT {mapped('lower(word)', p.BARE)} AS base FROM k),
+t AS (SELECT translate(substr(word, 1, 1), 'αευ', 'ἀἐὑ') || substr(word, 2) AS token FROM k), c AS (SELECT token, prefix, marked, substr(token, length(prefix) + 1) AS rest FROM t JOIN pre ON starts_with(token, prefix))
+SELECT token, arg_max(marked || rest, length(prefix)) AS prefix_marked FROM c JOIN h ON {mapped('rest', p.BARE)} = base WHERE rest <> '' GROUP BY token""",
     "elision_variants": f"""WITH {W}, k AS (SELECT DISTINCT word FROM w), t AS (SELECT DISTINCT substr(word, 1, length(word) - 1) AS stem FROM k WHERE length(word) > 2),
 v AS (SELECT stem, 0 AS rank, stem || 'ε' AS word FROM t UNION ALL SELECT stem, 1, stem || 'ι' FROM t) SELECT stem || '''' AS token, arg_min(word, rank) AS word FROM v SEMI JOIN k USING (word) GROUP BY stem""",
     "decapitalize_lookup": f"""WITH {W}, k AS (SELECT DISTINCT word FROM w), t AS (SELECT translate(x, {q(x.LATIN_BOTH)}, {q(x.GREEK_BOTH)}) AS token FROM (SELECT unnest(string_split_regex(text, '[\\s\\x{{0b}}]+')) AS x FROM conversations) WHERE x <> '')
 SELECT token, {DECAP('token')} AS word, count(*) AS n FROM t WHERE {DECAP('token')} IN (SELECT word FROM k) GROUP BY 1, 2""",
-    "oxytone_lookup": f"WITH {W}, k AS (SELECT DISTINCT word FROM w), a AS (SELECT word, {mapped('word', p.GRAVE_TO_ACUTE)} AS acute FROM k WHERE regexp_matches(word, {q(f'[{p.GRAVES}]')})) SELECT word, acute FROM a WHERE acute IN (SELECT word FROM k)",
-    "context_particle": r"""WITH t AS (SELECT conv_id, unnest(string_split_regex(text, '[\s\x{0b}]+')) AS w FROM conversations), f AS (SELECT conv_id, max((lower(w) = 'the')::INT) AS s, max((lower(w) = 'of')::INT) AS i, count(*) AS n FROM t GROUP BY conv_id)
-SELECT conv_id, CASE WHEN s = 1 AND i = 0 THEN n ELSE 0 END AS n_long, n FROM f""",
-    "next_word_openness": f"WITH {W}, f AS (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM w) SELECT lang, sum(({OPEN_WORD})::INT)::BIGINT AS n_open, count(*) AS n FROM f GROUP BY lang",
+    "oxytone_lookup": f"""WITH {W}, k AS MATERIALIZED (SELECT DISTINCT word FROM w), a AS MATERIALIZED (SELECT word, left(word, greatest(length(word) - 2, 0)) || {mapped('right(word, 2)', p.GRAVE_TO_ACUTE)} AS acute FROM k WHERE regexp_matches(right(word, 2), {q(f'[{p.GRAVES}]')}))
+SELECT a.word, a.acute FROM a JOIN k ON a.acute = k.word""",
+    "context_particle": r"""WITH t AS (SELECT conv_id, lower(unnest(string_split_regex(text, '[\s\x{0b}]+'))) AS w FROM conversations), f AS (SELECT conv_id, coalesce(bool_or(w LIKE '%ing') AND NOT bool_or(w = 'of'), false) AS s, count(*) FILTER (w = 'the') AS n FROM t GROUP BY conv_id)
+SELECT conv_id, CASE WHEN s THEN n ELSE 0 END AS n_long, CASE WHEN s THEN 0 ELSE n END AS n_short FROM f""",
+    "next_word_openness": f"WITH {W}, f AS (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS following, translate(word, '_^' || chr(39), '') AS bare FROM w) SELECT lang, sum(({OPEN_WORD})::INT)::BIGINT AS n_open, count(*) AS n FROM f GROUP BY lang",
     "occurrence_align": f"WITH {W}, k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, word ORDER BY pos) AS k FROM w) SELECT doc_id, max(k) AS most, sum(k)::BIGINT AS total, count(*) AS n FROM k GROUP BY doc_id",
     "integrate_text": f"""WITH {G}, l AS (SELECT doc_id, regexp_extract_all(text, {q(PIECE)}) AS l FROM g), m AS (SELECT doc_id, array_to_string(list_transform(l, lambda s: CASE WHEN contains(s, 'α') THEN replace(s, 'α', 'α^') ELSE s END), '') AS text FROM l)
 SELECT doc_id, length(text) AS n, md5(text) AS digest FROM m""",

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import marks, phonology
 from ..functions import profile as p
 from ..functions import text as t
-from ..operators import assemble, cascade, evaluate, lexicon, report, rewrite, rules
+from ..operators import assemble, cascade, evaluate, lexicon, macronize, report, rewrite, rules
 from ..sources import readers
 from . import fixtures as x
 
@@ -53,6 +53,59 @@ def on_rows(rows: list[tuple], schema: str, build: Callable[[DataFrame], DataFra
     return build(frame(spark, rows, schema))
 
 
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token, lemma, pos, morph: fixtures, and the distinct words of the corpus with tags by their length and letters."""
+    known = words(spark, sf_dir).select(c("word").alias("token")).distinct()
+    kind = lambda values, of: F.element_at(F.array(*map(F.lit, values)), (of % len(values) + 1).cast("int"))
+    size = F.char_length("token")
+    lemma = F.when(size % 2 == 0, c("token")).otherwise(F.concat("token", F.lit("ος")))
+    own = known.select("token", lemma.alias("lemma"), kind(x.TAG_POS, size).alias("pos"), kind(x.TAG_MORPH, size + F.char_length(F.replace("token", F.lit("α"), F.lit("")))).alias("morph"))
+    return own.unionByName(frame(spark, x.TAGGED, "token string, lemma string, pos string, morph string"))
+
+
+def on_words(rows: list[tuple], build: Callable[[Column], Column], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over fixtures and all distinct words of the corpus."""
+    own = frame(spark, rows, "word string").union(words(spark, sf_dir).select("word")).distinct()
+    return own.select("word", build(c("word")).alias("out"))
+
+
+def on_tagged(build: Callable[[], Column], spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagged(spark, sf_dir).select("token", "morph", build().alias("out"))
+
+
+def place_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = words(spark, sf_dir).select("word").distinct().withColumn("spec", F.when(F.char_length("word") % 2 == 0, "_2,^3").otherwise("^1"))
+    own = own.unionByName(frame(spark, x.PLACES, "word string, spec string"))
+    return own.select("word", "spec", marks.placed(c("word"), c("spec")).alias("out"))
+
+
+def ambiguous_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is open in all words, and what the accent rules leave open."""
+    own = words(spark, sf_dir).select("lang", "word").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = own.select("lang", "n", phonology.open_dichrona(c("word")).alias("all"), macronize.ambiguous_dichrona(c("word")).alias("left"))
+    return counts.groupBy("lang").agg(F.sum(c("n") * c("all")).alias("n_open"), F.sum(c("n") * c("left")).alias("n_ambiguous"))
+
+
+def even_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "documents").select("doc_id", t.even_chunks(c("text"), 3).alias("l"))
+    return own.select("doc_id", F.transform("l", F.char_length).alias("l")).select("doc_id", *(c("l")[k].cast("long").alias(f"n{k}") for k in range(3)))
+
+
+def first_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", t.first_column(F.translate("text", " ", "\t")).alias("out"))
+
+
+def macronize_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole engine: texts and annotations (every word of a sentence, without lemma and morphology) to marked texts."""
+    own = docs(spark, sf_dir).select("doc_id", "text")
+    sentences = own.select("doc_id", F.posexplode(t.sentences(macronize.prepared(c("text")))).alias("sent_id", "s"))
+    tokens = sentences.select("doc_id", "sent_id", F.posexplode(t.word_list(c("s"))).alias("tok_id", "text"))
+    tokens = tokens.withColumns({"lemma": F.lit("").cast("string"), "pos": F.lit("X"), "morph": F.create_map().cast("map<string,array<string>>")})
+    lexica = cascade.Lexica(custom=frame(spark, x.LEXICON, "form string, marked string, ord int"))
+    out = macronize.annotate(own, tokens, lexica)
+    return out.select("doc_id", F.length("text").cast("long").alias("n"), F.md5(c("text").cast("binary")).alias("digest"), (phonology.open_dichrona(c("clean_text")) - phonology.open_dichrona(c("text"))).alias("resolved"))
+
+
 def coverage_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean, split to sentences, count, apply the all-short rule at sentence ends, and report coverage for each language."""
     own = docs(spark, sf_dir).select("lang", F.explode(t.sentences(t.without_editorial(c("text")))).alias("s"))
@@ -94,9 +147,9 @@ def stopword_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenizer_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letter runs that are also words of the diagnostic list of their document."""
-    own = docs(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    return own.join(words(spark, sf_dir).select("doc_id", "word").distinct(), ["doc_id", "word"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Letter runs that are also words of the diagnostic list of their document; both lie in one row."""
+    runs = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
+    return docs(spark, sf_dir).select("doc_id", F.size(t.agreeing(runs, t.word_list(c("text")))).cast("long").alias("n")).where("n > 0")
 
 
 def ionic_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,16 +191,20 @@ def lexicon_build_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prefix_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = F.filter(F.array(*(F.when(c("word").startswith(q), F.lit(q)) for q in x.PREFIXES)), lambda y: y.isNotNull())
-    own = words(spark, sf_dir).select("word").distinct().select("word", F.explode(options).alias("prefix"))
-    return own.groupBy("word").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+    """Words with breathings at their start, with the marks of a verbal prefix where the rest is a word too."""
+    known = words(spark, sf_dir).select("word").distinct()
+    token = F.concat(F.translate(F.substr("word", F.lit(1), F.lit(1)), "αευ", "ἀἐὑ"), F.substr("word", F.lit(2)))
+    own = known.select(token.alias("token")).withColumn("lemma", c("token"))
+    return rewrite.prefixed(own, lexicon.headwords(known.withColumnRenamed("word", "form")), "token", "lemma").where("prefix_marked IS NOT NULL").select("token", "prefix_marked")
 
 
 def elision_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words cut before their last vowel, each completed by the first vowel that gives a known word."""
     known = words(spark, sf_dir).select("word").distinct()
     own = known.where(F.length("word") > 2).select(F.concat(F.expr("substring(word, 1, char_length(word) - 1)"), F.lit("'")).alias("token")).distinct()
-    tries = own.select("token", F.posexplode(F.array(*(F.concat(F.expr("substring(token, 1, char_length(token) - 1)"), F.lit(v)) for v in "ει"))).alias("rank", "word"))
+    none = F.lit(None).cast("string")
+    options = rewrite.variants(c("token"), none, none, F.create_map().cast("map<string,array<string>>"))
+    tries = own.select("token", F.posexplode(F.filter(options, lambda x: x["kind"].startswith("elision"))).alias("rank", "option")).select("token", "rank", c("option.variant").alias("word"))
     return tries.join(known, "word").groupBy("token").agg(F.min_by("word", "rank").alias("word"))
 
 
@@ -160,29 +217,33 @@ def decapitalize_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oxytone_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with a grave, by the rewriting's oxytone variant, whose acute form is a word too."""
     known = words(spark, sf_dir).select("word").distinct()
-    graves = known.where(c("word").rlike(f"[{p.GRAVES}]")).withColumn("acute", marks.acuted(c("word")))
-    return graves.join(known.withColumnRenamed("word", "acute"), "acute", "left_semi")
+    none = F.lit(None).cast("string")
+    options = F.filter(rewrite.variants(c("word"), none, none, F.create_map().cast("map<string,array<string>>")), lambda x: x["kind"] == "oxytone")
+    own = known.where(c("word").rlike(f"[{p.GRAVES}]")).select("word", F.explode(options).alias("option")).select("word", c("option.variant").alias("acute"))
+    return own.join(known.withColumnRenamed("word", "acute"), "acute", "left_semi")
 
 
 def ending_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Look-up forms and what is restored, from the table of endings."""
-    own = frame(spark, x.TAGGED, "token string, lemma string, pos string, morph string").withColumn("morph", rules.parse_morph(c("morph")))
-    found = rewrite.ending_variants(c("token"), c("lemma"), c("pos"), c("morph"))
-    return own.select("token", found.alias("v")).select("token", "v.variant", c("v.restored").cast("long").alias("restored"))
+    own = tagged(spark, sf_dir)
+    found = rewrite.ending_variants(c("token"), c("lemma"), c("pos"), rules.parse_morph(c("morph")))
+    return own.select("token", "morph", found.alias("v")).select("token", "morph", "v.variant", c("v.restored").cast("long").alias("restored"))
 
 
 def context_particle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "conversations").withColumn("w", F.explode(F.split("text", r"\s+")))
-    w = Window.partitionBy("conv_id")
-    own = own.withColumn("any_sub", F.max(F.lower("w") == "the").over(w)).withColumn("any_if", F.max(F.lower("w") == "of").over(w))
-    return own.groupBy("conv_id").agg(F.sum(F.when(c("any_sub") & ~c("any_if"), 1).otherwise(0)).cast("long").alias("n_long"), F.count("*").alias("n"))
+    """Conversations as sentences: "the" for the particle, "of" for the conjunction, words in -ing for subjunctives."""
+    own = table(spark, sf_dir, "conversations").select("conv_id", F.explode(F.split("text", r"\s+")).alias("w"))
+    mood = F.when(F.lower("w").endswith("ing"), F.array(F.lit("Sub"))).otherwise(F.array(F.lit("Ind")))
+    own = own.select("conv_id", F.when(F.lower("w") == "the", "ἄν").when(F.lower("w") == "of", "εἰ").otherwise(c("w")).alias("text"), F.create_map(F.lit("Mood"), mood).alias("morph"))
+    found = t.context_particle(own, "conv_id")
+    return found.groupBy("conv_id").agg(F.count(F.when(c("marked") == "ἄ_ν", 1)).alias("n_long"), F.count(F.when(c("marked") == "ἄ^ν", 1)).alias("n_short"))
 
 
 def next_word_openness(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = words(spark, sf_dir).withColumn("following", F.lead("word").over(Window.partitionBy("doc_id").orderBy("pos")))
-    vowel = f"[{p.VOWELS}]"
-    is_open = F.when(c("word").rlike(f"{vowel}$"), True).otherwise(c("word").rlike(f"{vowel}[{p.CONSONANTS}]$") & (c("following").isNull() | c("following").rlike(f"^{vowel}")))
+    is_open = phonology.open_in_synapheia(c("word"), F.lit(True), c("following"))
     return own.groupBy("lang").agg(F.sum(is_open.cast("long")).alias("n_open"), F.count("*").alias("n"))
 
 
@@ -207,8 +268,8 @@ def integrity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def residue_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = words(spark, sf_dir).where(phonology.open_dichrona(c("word")) > 0)
-    return report.residue(own, "word")
+    """Counted first: only distinct words are asked what they leave open."""
+    return report.residue(words(spark, sf_dir).select("word"), "word", lambda own: own.where(phonology.open_dichrona(c("word")) > 0))
 
 
 def residue_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +343,7 @@ def traffic_light(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(function, spark: SparkSession, sf_dir: str) -> DataFrame:
     own = gold(spark).withColumn("o", F.regexp_replace(marks.stripped(c("line")), "α", "α^"))
-    return own.select("file", "line_no", function(c("o"), c("line")).alias("s")).select("file", "line_no", "s.expected", "s.correct")
+    return own.select("file", "line_no", function(c("o"), c("line")).alias("s")).select("file", "line_no", "s.*")
 
 
 def html_span_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,7 +376,7 @@ def resolved_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = frame(spark, x.TAGGED, "token string, lemma string, pos string, morph string").withColumn("morph", rules.parse_morph(c("morph")))
     lex = frame(spark, x.LEXICON, "form string, marked string, ord int")
     lexica = cascade.Lexica(custom=lex, singletons=lex, ambiguous=frame(spark, x.ALTERNATIVES, "form string, alt_id int, marked string, case string"), lsj=lex, ionic=frame(spark, [(w[:-1],) for w in x.IONIC], "stem string"), verse=lex)
-    out = cascade.resolve(own, lexica, cascade.EngineConfig(rounds=1))
+    out = cascade.resolve(own, lexica)
     return out.select("token", "lemma", "marked", F.array_join("hits", ",").alias("hits"), "open_before", "open_after")
 
 
@@ -325,7 +386,7 @@ def annotate_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = assemble.pieces(own).where(c("piece").rlike(r"^\p{L}+$")).select(c("piece").alias("token")).distinct()
     tokens = tokens.select("token", F.lit(None).cast("string").alias("lemma"), F.lit(None).cast("string").alias("pos"), F.create_map().cast("map<string,array<string>>").alias("morph"))
     lexica = cascade.Lexica(custom=frame(spark, x.LEXICON, "form string, marked string, ord int"))
-    done = cascade.resolve(tokens.where(phonology.open_dichrona(c("token")) > 0), lexica, cascade.EngineConfig(rounds=1))
+    done = cascade.resolve(tokens.where(phonology.open_dichrona(c("token")) > 0), lexica)
     out = assemble.annotated(own, done).join(own.select("doc_id", "lang", c("text").alias("plain")), "doc_id")
     return report.coverage(out, "plain", "text", "lang")
 
@@ -340,23 +401,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     sized = {"sentence_split": (t.sentences, "documents", "doc_id"), "terminated_sentences": (t.terminated_sentences, "documents", "doc_id"), "sentence_split_turns": (t.sentences, "conversations", "conv_id"), "word_list": (t.word_list, "documents", "doc_id")}
     own |= {name: partial(exploded, *args) for name, args in sized.items()}
     merge = lambda how: lambda df: df.select("new", "old", marks.merged(c("new"), c("old"), how).alias("out"))
-    one = lambda build: lambda df: df.select("word", build(c("word")).alias("out"))
-    inline = {
-        "merge_new_wins": (x.MERGES, "new string, old string", merge("new")), "merge_old_wins": (x.MERGES, "new string, old string", merge("old")),
-        "place_marks": (x.PLACES, "word string, spec string", lambda df: df.select("word", "spec", marks.placed(c("word"), c("spec")).alias("out"))),
-        "count_fixtures": (x.COUNTS, "word string", one(phonology.open_dichrona)), "syllabify": (x.COUNTS, "word string", one(lambda w: F.array_join(phonology.syllables(w), "|"))),
-        "accent_class": (x.COUNTS, "word string", one(phonology.accent_class)), "accent_rules": (x.COUNTS, "word string", one(phonology.accent_rules)), "diphthong_marked": (x.DIPHTHONGS, "word string", one(phonology.marks_diphthong)),
-        "diphthong_unmark": (x.DIPHTHONGS, "word string", one(phonology.unmark_diphthongs)), "numeral_filter": (x.NUMERALS, "word string", one(t.is_numeral)), "pathology_filter": (x.PATHOLOGIES, "word string", one(lambda w: t.bad_accents(w) | t.mid_final_sigma(w))),
-        "nfc": (x.UNICODE, "word string", one(marks.normalized)), "codec_to_markup": (x.UNICODE, "word string", one(marks.to_markup)), "codec_to_unicode": (x.DIPHTHONGS + x.COUNTS, "word string", one(marks.to_unicode)), "no_macrons": (x.UNICODE, "word string", one(marks.unlengthened)), "colour": (x.COUNTS, "word string", one(marks.coloured)),
-        "lexicon_validate": (x.DEFECTS, "ord int, form string, marked string", lexicon.validate),
-        "nominal_rules": (x.TAGGED, "token string, lemma string, pos string, morph string", lambda df: df.select("token", rules.nominal(c("token"), c("lemma"), c("pos"), rules.parse_morph(c("morph")), F.lit(True), F.lit(True)).alias("out"))),
-        "verbal_rules": (x.TAGGED, "token string, lemma string, pos string, morph string", lambda df: df.select("token", rules.verbal(c("token"), c("pos"), rules.parse_morph(c("morph")), True).alias("out"))),
-        "minimal_pair": (x.TAGGED, "token string, lemma string, pos string, morph string", lambda df: df.select("token", rules.minimal_pair(c("token"), rules.parse_morph(c("morph"))).alias("out"))),
-    }
+    inline = {"merge_new_wins": (x.MERGES, "new string, old string", merge("new")), "merge_old_wins": (x.MERGES, "new string, old string", merge("old")), "lexicon_validate": (x.DEFECTS, "ord int, form string, marked string", lexicon.validate)}
     own |= {name: partial(on_rows, *args) for name, args in inline.items()}
+    flags = lambda s: F.concat(*(F.when(f(s), k).otherwise("-") for k, f in (("s", phonology.short_vowel), ("a", phonology.long_acute), ("d", phonology.true_dichronon))))
+    by_word = {
+        "count_fixtures": (x.COUNTS, phonology.open_dichrona), "syllabify": (x.COUNTS, lambda w: F.array_join(phonology.syllables(w), "|")), "accent_class": (x.COUNTS, phonology.accent_class), "accent_rules": (x.COUNTS, phonology.accent_rules),
+        "diphthong_marked": (x.DIPHTHONGS, phonology.marks_diphthong), "diphthong_unmark": (x.DIPHTHONGS, phonology.unmark_diphthongs), "numeral_filter": (x.NUMERALS, t.is_numeral), "pathology_filter": (x.PATHOLOGIES, lambda w: t.bad_accents(w) | t.mid_final_sigma(w)),
+        "nfc": (x.UNICODE, marks.normalized), "codec_to_markup": (x.UNICODE, marks.to_markup), "codec_to_unicode": (x.DIPHTHONGS + x.COUNTS, marks.to_unicode), "no_macrons": (x.UNICODE, marks.unlengthened), "colour": (x.COUNTS, marks.coloured),
+        "syllable_lengths": (x.COUNTS + x.DIPHTHONGS, lambda w: F.array_join(F.transform(phonology.syllables(w), flags), "|")),
+    }
+    own |= {name: partial(on_words, *args) for name, args in by_word.items()}
+    morph = lambda: rules.parse_morph(c("morph"))
+    by_tag = {
+        "nominal_rules": lambda: rules.nominal(c("token"), c("lemma"), c("pos"), morph(), F.lit(True), F.lit(True)),
+        "verbal_rules": lambda: rules.verbal(c("token"), c("lemma"), c("pos"), morph(), True),
+        "minimal_pair": lambda: rules.minimal_pair(c("token"), morph()),
+    }
+    own |= {name: partial(on_tagged, build) for name, build in by_tag.items()}
     joined = lambda build: lambda line: F.array_join(build(evaluate.syllables(line)), "|")
-    golden = {"bracket_move": evaluate.brackets_filled, "gold_plain": evaluate.plain, "syllable_extract": joined(lambda s: s), "closed_syllable_clean": joined(evaluate.closed_unmarked), "all_short_baseline": joined(evaluate.all_short), "stop_word_unmark": lambda line: F.array_join(evaluate.stop_words_unmarked(F.split(line, " "), x.STOP_GOLD), " ")}
+    golden = {"bracket_move": evaluate.brackets_filled, "gold_plain": evaluate.plain, "syllable_extract": joined(lambda s: s), "closed_syllable_clean": joined(evaluate.closed_unmarked), "all_short_baseline": joined(evaluate.all_short), "all_short_count": lambda line: evaluate.open_count(evaluate.syllables(line)), "gold_stripped": evaluate.stripped_gold, "stop_word_unmark": lambda line: F.array_join(evaluate.stop_words_unmarked(F.split(line, " "), x.STOP_GOLD), " ")}
     own |= {name: partial(on_gold, build) for name, build in golden.items()}
     own |= {"alignment_score": partial(scored, evaluate.alignment), "backward_score": partial(scored, evaluate.backward)}
-    plain = [coverage_by_lang, corpus_rollup, coverage_without_names, sentence_filter, drop_reason_counts, stopword_anti_join, tokenizer_semi_join, ionic_semi_join, lexicon_left_join, lexicon_case_variants, lexicon_two_key, lexicon_disambiguate_first, lexicon_build_last_wins, prefix_longest_match, elision_variants, decapitalize_lookup, oxytone_lookup, ending_rewrite, context_particle, next_word_openness, occurrence_align, integrate_text, integrity_check, residue_rank, residue_keep_first, module_share, residue_merge_runs, top_pos, pos_baseline, stats_pivot, reconcile, even_batches, chunk_ids, char_inventory, line_match_rate, success_rates, traffic_light, html_span_extract, json_definition, bracket_extract, tei_extract, cached_annotations, resolved_tokens, annotate_corpus]
+    plain = [coverage_by_lang, corpus_rollup, coverage_without_names, sentence_filter, drop_reason_counts, stopword_anti_join, tokenizer_semi_join, ionic_semi_join, lexicon_left_join, lexicon_case_variants, lexicon_two_key, lexicon_disambiguate_first, lexicon_build_last_wins, prefix_longest_match, elision_variants, decapitalize_lookup, oxytone_lookup, ending_rewrite, context_particle, next_word_openness, occurrence_align, integrate_text, integrity_check, residue_rank, residue_keep_first, module_share, residue_merge_runs, top_pos, pos_baseline, stats_pivot, reconcile, even_batches, chunk_ids, char_inventory, line_match_rate, success_rates, traffic_light, html_span_extract, json_definition, bracket_extract, tei_extract, cached_annotations, resolved_tokens, annotate_corpus, place_marks, ambiguous_coverage, even_chunks, first_column, macronize_corpus]
     return own | {f.__name__: f for f in plain}
