@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from morae.functions import marks, phonology, text
-from morae.operators import assemble, cascade, evaluate, rewrite, rules
+from morae.functions import profile
+from morae.operators import assemble, cascade, evaluate, lexicon, macronize, report, rewrite, rules
 from morae.plans import fixtures, queries
 from morae.sources import readers
 from morae.streaming import engine
@@ -119,3 +120,117 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = engine.annotated(engine.prepared(spark.read.text(str(folder)).select(F.col("value").alias("line"))))
     assert got == sorted(tuple(r) for r in batch.select("unmarked", "marked").collect())
     assert engine.totals(batch).first()["denominator"] > 0
+
+
+ANNOTATIONS = "doc_id long, sent_id int, tok_id int, text string, lemma string, pos string, morph map<string,array<string>>"
+
+
+def annotated(spark, text, tokens, config=cascade.EngineConfig(), lexica=None, **more):
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    own = spark.createDataFrame([(1, 0, k, *x) for k, x in enumerate(tokens)], ANNOTATIONS)
+    lex = spark.createDataFrame([("καλός", "κα_λός", 1), ("ἀνήρ", "ἀ^νήρ", 2)], "form string, marked string, ord int")
+    got = {r["doc_id"]: r["text"] for r in macronize.annotate(docs, own, lexica or cascade.Lexica(custom=lex), config, **more).collect()}
+    assert got[2] is None
+    return got[1]
+
+
+def test_annotate(spark):
+    tokens = [("καλός", "καλός", "ADJ", {"Case": ["Nom"]}), ("ἂν", "ἄν", "PART", {}), ("ἴῃ", "εἶμι", "VERB", {"Mood": ["Sub"]}), ("δῶρα", "δῶρον", "NOUN", {"Case": ["Acc"]}), ("φύλλον", "", "", {}), ("φίλος", "φίλος", "X", {})]
+    text = "«Καλός» καλός ἂν ἴῃ δῶρα, φύλλον μίν"
+    # a token without a part of speech is left alone, and so is one that isn't in the text
+    assert annotated(spark, text, tokens) == "Καλός κα_λός ἂ_ν ἴῃ δῶρα^, φύλλον μίν"
+    assert annotated(spark, text, tokens, cascade.EngineConfig(lowercase=True)) == "κα_λός καλός ἂ_ν ἴῃ δῶρα^, φύλλον μίν"
+    assert annotated(spark, text, tokens, cascade.EngineConfig(output_format="unicode", rounds=0)) == "Καλός κᾱλός ἂ_ν ἴῃ δῶρᾰ, φύλλον μίν".replace("ἂ_", marks._to_unicode("ἂ_"))
+    assert annotated(spark, text, tokens, cascade.EngineConfig(genre="epic", rounds=0)) == "Καλός καλός ἂ_ν ἴῃ δῶρα^, φύλλον μίν"
+    assert annotated(spark, text, tokens, stop_words=("δῶρα",)) == "Καλός κα_λός ἂ_ν ἴῃ δῶρα, φύλλον μίν"
+
+
+def test_stages_can_be_reordered_and_extended(spark):
+    extra = cascade.Stage("mine", lambda df, lexica, config: df.withColumn("candidate", F.when(F.col("token") == "ξυλα", "ξυ_λα_")))
+    tokens = spark.createDataFrame([("ξυλα", "x", "X", {"a": ["b"]})], "token string, lemma string, pos string, morph map<string,array<string>>")
+    got = cascade.resolve(tokens, stages=[extra, *cascade.STAGES[::-1]], config=cascade.EngineConfig(rounds=0)).first()
+    assert got["marked"] == "ξυ_λα_" and got["hits"] == ["mine"]
+
+
+@pytest.mark.parametrize("token, lemma, head, out", [("διαφέρω", "διαφέρω", "φέρω", "δι^α^φέρω"), ("ἀντιλέγω", "ἀντιλέγω", "λέγω", "ἀντι^λέγω"), ("ἀναβαίνω", "ἀναβαίνω", "βαίνω", "ἀ^να^βαίνω"), ("ἀφίκοντο", "ἀφικνέομαι", "ἱκνέομαι", "ἀ^φίκοντο"), ("λέγω", "λέγω", "λέγω", None)])
+def test_prefixes(spark, token, lemma, head, out):
+    own = spark.createDataFrame([(token, lemma)], "token string, lemma string")
+    heads = lexicon.headwords(spark.createDataFrame([(head,)], "form string"))
+    assert rewrite.prefixed(own, heads, "token", "lemma").first()["prefix_marked"] == out
+    if token == "ἀναβαίνω":  # the last elided form that fits hides the whole one
+        assert rewrite.prefixed(own, heads, "token", "lemma", literal=True).first()["prefix_marked"] is None
+
+
+def test_every_prefix_keeps_its_letters():
+    for plain, marked in {**profile.PREFIXES, **profile.ELIDED_PREFIXES}.items():
+        assert marked.replace("^", "") == plain and len(marked) > len(plain)
+
+
+def test_double_accents(spark):
+    none = F.create_map().cast("map<string,array<string>>")
+    kinds = lambda word: {x["kind"]: x["variant"] for x in one(spark, lambda w: rewrite.variants(w, F.lit(""), F.lit(""), none), word)}
+    assert kinds("πράγματά") == {"double_accent_last": "πράγματα"}
+    assert kinds("Καλλίμαχός")["double_accent_before"] == "Καλλίμαχος"
+    back = lambda answer, token, kind: one(spark, lambda a, t: rewrite.restored(a, t, F.lit(kind), F.lit(1)), answer, token)
+    assert back("πρά_γμα^τα^", "πράγματά", "double_accent_last") == "πρά_γμα^τά^"
+    assert back("πράγματα_", "πράγματά", "double_accent_last") == "πράγματά"
+
+
+def test_pointer_scores(spark):
+    got = one(spark, lambda a, b: evaluate.backward(a, b), "α", "α^βα")
+    assert (got["expected"], got["short_total"], got["short_right"]) == (1, 1, 1)
+    got = one(spark, lambda a, b: evaluate.backward(a, b), "α", "α_βα")
+    assert (got["expected"], got["correct"], got["long_total"], got["long_right"]) == (1, 0, 1, 0)
+    got = one(spark, lambda a, b: evaluate.backward(a, b), "α_β", "α^β")
+    assert (got["expected"], got["correct"]) == (1, 0)
+    got = one(spark, lambda a, b: evaluate.backward(a, b), "α_β^", "αβ")
+    assert got["expected"] == 0
+
+
+def test_verbal_rules(spark):
+    rule = lambda word, lemma, pos, morph, on: one(spark, lambda w: rules.verbal(w, F.lit(lemma), F.lit(pos), rules.parse_morph(F.lit(morph)), on), word)
+    present = "Mood=Ind|Number=Sing|Tense=Pres|Voice=Act"
+    assert rule("εἰμι", "εἰμί", "NOUN", "Case=Nom", False) == "εἰμι^"
+    assert rule("δείκνυς", "δείκνυμι", "VERB", present, True) == "δείκνυ_ς" and rule("δείκνυς", "δείκνυμι", "VERB", present, False) is None
+    assert rule("δείκνυς", "δεικνύω", "VERB", present, True) is None and rule("εἰμι", "", "", "", False) is None
+
+
+def test_the_last_entry_wins(spark):
+    lex = spark.createDataFrame([("ab", "a^b", 2), ("ab", "a_b", 1)], "form string, marked string, ord int")
+    own = spark.createDataFrame([("ab",), ("c",)], "w string")
+    assert {r["w"]: r["m"] for r in lexicon.lookup(own, lex, F.col("w"), "m").collect()} == {"ab": "a^b", "c": None}
+
+
+def test_noise(spark):
+    assert one(spark, text.without_noise, "λό#γοςé§ ñêå Ж①") == "λόγος ñêå Ж①"
+
+
+def test_text_helpers(spark):
+    chunks = one(spark, lambda s: text.even_chunks(s, 3), "αβγ δεζ ηθι κλ")
+    assert "".join(chunks) == "αβγ δεζ ηθι κλ" and chunks == ["αβγ δεζ", " ηθι", " κλ"]
+    assert one(spark, text.first_column, "a\tb") == "a" and one(spark, text.first_column, "") == ""
+    assert one(spark, lambda s: evaluate.open_count(evaluate.syllables(s)), "[κα_]{λός} [τὸ]") == 2
+
+
+def test_ambiguous_coverage(spark):
+    own = spark.createDataFrame([("δῶρα ἀξία", "δῶρα^ ἀξία")], "a string, b string")
+    every = report.coverage(own, "a", "b").first()
+    left = report.coverage(own, "a", "b", ambiguous=True).first()
+    assert every["before"] > left["before"] >= 1 and left["difference"] == 0
+    names = spark.createDataFrame([("ἀξία",)], "name string")
+    assert report.coverage(own, "a", "b", names=names).first()["ratio"] == 1
+
+
+def test_even_batches(spark):
+    df = spark.createDataFrame([(3 * k,) for k in range(103)], "doc_id long").repartition(5)
+    got = {r["batch"]: r["n"] for r in report.even_batches(df, "doc_id").groupBy("batch").agg(F.count("*").alias("n")).collect()}
+    assert got == {0: 25, 1: 25, 2: 25, 3: 28}
+    assert report.even_batches(df.limit(0), "doc_id").count() == 0
+
+
+def test_cached_annotations(spark):
+    docs = spark.createDataFrame([(1, "α β"), (2, "γ δ")], "doc_id long, text string")
+    _, missing = macronize.cached(docs, None)
+    store = missing.where("doc_id = 1").select("key", F.lit("x").alias("tag"))
+    kept, left = macronize.cached(docs, store.withColumn("doc_id", F.lit(9)))
+    assert [(r["doc_id"], r["tag"]) for r in kept.collect()] == [(1, "x")] and [r["doc_id"] for r in left.collect()] == [2]

@@ -7,10 +7,7 @@ from morae import catalog
 from .conftest import DATA, rows
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
-QUICK = ["clean_editorial", "clean_noise", "open_dichrona", "lower_first_word", "sentence_split", "terminated_sentences", "word_list", "merge_new_wins", "merge_old_wins", "count_fixtures", "bracket_move", "closed_syllable_clean", "all_short_baseline", "coverage_by_lang", "corpus_rollup", "lexicon_case_variants", "lexicon_two_key", "lexicon_disambiguate_first", "prefix_longest_match", "occurrence_align", "integrate_text", "residue_keep_first", "even_batches", "nfc", "diphthong_marked"]
-
-
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(set(SQL) & set(QUERIES)))
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
