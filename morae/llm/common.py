@@ -8,7 +8,9 @@ long text) and not on the table.
 from __future__ import annotations
 
 import ctypes
+import re
 import sys
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
@@ -28,16 +30,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(df: DataFrame, *keep: str) -> DataFrame:
+def documents(df: DataFrame, *keep: str | Column) -> DataFrame:
     """doc_id and text (null: empty) of a documents table, and further columns; a clashing extra column is left behind."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 
 
+def version() -> Column:
+    """Tells rows of one doc_id by their texts (null: empty). With doc_id it names a row wherever it is read; rows that are equal in
+    both share it, and their results."""
+    return F.hash(F.coalesce(F.col("text"), F.lit("")))
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that isn't taken."""
+    while name.lower() in {x.lower() for x in taken}:
+        name += "_"
+    return name
+
+
 def _shared(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir that checkpoints go to; a folder of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir that checkpoints go to. Where it is unset, a local session gets a folder of its own; a
+    cluster has to name one that all its nodes share."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/morae-checkpoints")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -18,8 +18,8 @@ of its component. So no link is lost, and copies cost their links, not their pai
 cut into blocks, every two of which meet in a task.
 
 Null or blank text: an empty set, linked with nothing, a component of its own. Fewer words than a shingle: the whole
-sequence is the only shingle. Repeated rows of one doc_id give a row each. Extra columns are ignored; an empty table
-gives no rows.
+sequence is the only shingle. Very long texts are taken whole. Repeated rows of one doc_id give a row each. Extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,10 +39,10 @@ SHINGLE = 5
 P, Q = 75, 100  # similarity
 RATIO = 1.7  # between the bands' bounds
 LEVELS = 64  # more sets of hashes than this are never needed
-KEYS = pa.schema([("bucket", pa.int64()), ("payload", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("node", pa.list_(pa.int64())), ("unsafe", pa.list_(pa.bool_())), ("sketch", pa.list_(pa.binary()))])
-KEYS_DDL = "bucket long, payload binary, doc_id array<long>, n array<long>, node array<long>, unsafe array<boolean>, sketch array<binary>"
-MET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("unsafe", pa.bool_()), ("sketch", pa.binary()), ("members", pa.list_(pa.int64())), ("a", pa.int64()), ("b", pa.int64())])
-MET_DDL = "doc_id long, n long, node long, unsafe boolean, sketch binary, members array<long>, a long, b long"
+KEYS = pa.schema([("bucket", pa.int64()), ("payload", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("ver", pa.list_(pa.int32())), ("n", pa.list_(pa.int64())), ("node", pa.list_(pa.int64())), ("unsafe", pa.list_(pa.bool_())), ("sketch", pa.list_(pa.binary()))])
+KEYS_DDL = "bucket long, payload binary, doc_id array<long>, ver array<int>, n array<long>, node array<long>, unsafe array<boolean>, sketch array<binary>"
+MET = pa.schema([("doc_id", pa.int64()), ("ver", pa.int32()), ("n", pa.int64()), ("node", pa.int64()), ("unsafe", pa.bool_()), ("sketch", pa.binary()), ("members", pa.list_(pa.int64())), ("a", pa.int64()), ("b", pa.int64())])
+MET_DDL = "doc_id long, ver int, n long, node long, unsafe boolean, sketch binary, members array<long>, a long, b long"
 SMALL = 3  # a group of so many sets gives its pairs
 FILTER = 1 << 27  # flags, at most, of the filter that texts pass whose sets are asked for
 GROUP, FAMILY = 100_000, 64 << 20  # sets of a group, bytes of a family's sets, that one task compares
@@ -132,7 +132,7 @@ def _keys(batches: Iterator[pa.RecordBatch], buckets: int, level: int, bands: se
             unsafe = np.isin(node, node[one[bad]])
             sketch = np.array(sketches(own, at), object)
             sketch[np.setdiff1d(np.arange(len(n)), one)] = None  # one of equal sets brings it
-            rows = {"doc_id": [c.numbers(part, "doc_id")], "n": [n], "node": [node], "unsafe": [unsafe], "sketch": [sketch.tolist()]}
+            rows = {"doc_id": [c.numbers(part, "doc_id")], "ver": [c.numbers(part, "ver")], "n": [n], "node": [node], "unsafe": [unsafe], "sketch": [sketch.tolist()]}
             yield c.named(KEYS, bucket=[-1 - int(node[0]) % buckets], payload=c.binary([None]), **rows)
             to = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to.astype(np.uint16) if buckets < 65536 else to, kind="stable")
@@ -145,7 +145,7 @@ def _keys(batches: Iterator[pa.RecordBatch], buckets: int, level: int, bands: se
                 payloads.append(b"".join([np.array([len(used), b - a], "<i8").tobytes(), node[used].astype("<i8").tobytes(), index.astype("<u2" if len(used) < 65536 else "<u4").tobytes(), six[a:b].tobytes()]))
             if payloads:
                 nothing = [None] * len(payloads)
-                yield c.named(KEYS, bucket=to[cut[:-1]], payload=c.binary(payloads), doc_id=nothing, n=nothing, node=nothing, unsafe=nothing, sketch=nothing)
+                yield c.named(KEYS, bucket=to[cut[:-1]], payload=c.binary(payloads), doc_id=nothing, ver=nothing, n=nothing, node=nothing, unsafe=nothing, sketch=nothing)
 
 
 def _groups(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -198,7 +198,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if bucket >= 0:
                 own[bucket].append(payload)
                 continue
-            found = {x: c.column(batch, x).slice(k, 1).flatten() for x in ("doc_id", "n", "node", "unsafe", "sketch")}
+            found = {x: c.column(batch, x).slice(k, 1).flatten() for x in ("doc_id", "ver", "n", "node", "unsafe", "sketch")}
             yield rows(len(found["n"]), **found)
     while own:
         a, b, groups = _groups(own.popitem()[1])
@@ -470,8 +470,8 @@ def _links(rows: DataFrame, data: DataFrame, kind: type, per_group: bool) -> Dat
 
 
 def join(df: DataFrame, bucket_mb: float = 8) -> DataFrame:
-    """doc_id, n_shingles, component_id, node of every document."""
-    docs = c.documents(df)
+    """doc_id, ver, n_shingles, component_id and component (the set that names it) of every row."""
+    docs = c.documents(df, c.version().alias("ver"))
     buckets = c.buckets(docs, bucket_mb)
 
     def met(level: int, bands: set[int] | None) -> DataFrame:
@@ -489,7 +489,7 @@ def join(df: DataFrame, bucket_mb: float = 8) -> DataFrame:
         bands = {int(np.searchsorted(TOPS, r["n"])) for r in unsafe.select("n").distinct().collect()}  # a few sizes
         every.append(met(level, bands))
         unsafe = c.checkpoint(unsafe.join(every[-1].where("unsafe").select("node").distinct(), "node", "left_semi"))
-    rows = found.where("doc_id is not null").select("doc_id", "n", "node", "sketch")
+    rows = found.where("doc_id is not null").select("doc_id", "ver", "n", "node", "sketch")
     names = c.written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("data")))
     met_pairs, groups = [reduce(DataFrame.unionByName, [x.where(f"{k} is not null").select(*columns) for x in every]) for k, columns in (("a", ("a", "b")), ("members", ("members",)))]
     side = lambda x, y: names.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("data").alias(y))
@@ -506,12 +506,12 @@ def join(df: DataFrame, bucket_mb: float = 8) -> DataFrame:
     nodes = linked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     components = c.components(nodes, linked) if split else linked.select(F.col("a").alias("node"), F.col("b").alias("component"))
     least = families.select("node", "doc_id").join(components, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    label = components.join(least, "component").select("node", "component_id")
+    label = components.join(least, "component").select("node", "component_id", "component")
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "least"))
     rows = rows.drop("sketch").join(names.select("node", F.col("doc_id").alias("least")), "node").join(label, "node", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), "node")
+    return rows.select("doc_id", "ver", F.col("n").alias("n_shingles"), alone.alias("component_id"), F.coalesce("component", "node").alias("component"))
 
 
 def query(df: DataFrame) -> DataFrame:
     """Every document's set size and component."""
-    return join(df).drop("node")
+    return join(df).drop("ver", "component")

@@ -13,8 +13,11 @@ lines in classes of several occurrences with their class, so that partners can b
 
 An occurrence is kept if it is the first of its line (least doc_id, then line number) and no linked line occurs earlier
 than it. Shorter lines are joined by equality alone from `least` code points on; those below, and blank ones, are kept. The
-registered query and the pipeline take every line with a word (least=1). Null text: as empty, one blank line. Repeated rows of one doc_id: the lines
-of both count as one document's, and both are cut alike. Extra columns are ignored; an empty table gives no rows.
+registered query and the pipeline take every line with a word (least=1).
+
+Null text: as empty, one blank line. Very long lines and texts are taken whole. Repeated rows of one doc_id: each is a row of its
+own text, equal ones are cut alike, and of a line that both hold the one with the lesser line number, then version, stays. Extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,10 +36,11 @@ from . import common as c
 T = 2
 MIN_CHARS = 32
 SLICE = 2 << 20
-KEYS = pa.schema([("bucket", pa.int64()), ("payload", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("line_no", pa.list_(pa.int64())), ("line", pa.list_(pa.int64()))])
-KEYS_DDL = "bucket long, payload binary, doc_id array<long>, line_no array<long>, line array<long>"
-MET = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("line", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-MET_DDL = "doc_id long, line_no long, line long, a long, b long"
+HOT = 1000
+KEYS = pa.schema([("bucket", pa.int64()), ("payload", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("ver", pa.list_(pa.int32())), ("line_no", pa.list_(pa.int64())), ("line", pa.list_(pa.int64()))])
+KEYS_DDL = "bucket long, payload binary, doc_id array<long>, ver array<int>, line_no array<long>, line array<long>"
+MET = pa.schema([("doc_id", pa.int64()), ("ver", pa.int32()), ("line_no", pa.int64()), ("line", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+MET_DDL = "doc_id long, ver int, line_no long, line long, a long, b long"
 ENTRY = np.dtype([("key", "<u8"), ("line", "<i8"), ("sketch", "<u4"), ("probe", "u1")])
 
 
@@ -115,7 +119,7 @@ def _keys(batches: Iterator[pa.RecordBatch], buckets: int, least: int) -> Iterat
             begin, size = lines.begin[some], lines.size[some]
             name = c.signed(c.span_hash(lines.points, begin, begin + size, 8))
             ids = c.numbers(part, "doc_id")[lines.row[some]]
-            yield c.named(KEYS, bucket=[-1 - int(len(some) + (ids[0] if len(ids) else 0)) % buckets], payload=c.binary([None]), doc_id=[ids], line_no=[lines.no[some]], line=[name])
+            yield c.named(KEYS, bucket=[-1 - int(len(some) + (ids[0] if len(ids) else 0)) % buckets], payload=c.binary([None]), doc_id=[ids], ver=[c.numbers(part, "ver")[lines.row[some]]], line_no=[lines.no[some]], line=[name])
             long = size >= MIN_CHARS
             begin, size, name = begin[long], size[long], name[long]
             name, one = np.unique(name, return_index=True)
@@ -130,7 +134,7 @@ def _keys(batches: Iterator[pa.RecordBatch], buckets: int, least: int) -> Iterat
             if cut:
                 out = out[order]
                 nothing = [None] * (len(cut) - 1)
-                yield c.named(KEYS, bucket=to[cut[:-1]], payload=c.binary([_packed(out[a:b]) for a, b in zip(cut, cut[1:], strict=False)]), doc_id=nothing, line_no=nothing, line=nothing)
+                yield c.named(KEYS, bucket=to[cut[:-1]], payload=c.binary([_packed(out[a:b]) for a, b in zip(cut, cut[1:], strict=False)]), doc_id=nothing, ver=nothing, line_no=nothing, line=nothing)
 
 
 def _packed(own: np.ndarray) -> bytes:
@@ -188,13 +192,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if bucket >= 0:
                 own[bucket].append(payload)
                 continue
-            rows = {x: c.column(batch, x).slice(k, 1).flatten() for x in ("doc_id", "line_no", "line")}
+            rows = {x: c.column(batch, x).slice(k, 1).flatten() for x in ("doc_id", "ver", "line_no", "line")}
             nothing = pa.nulls(len(rows["line"]), pa.int64())
             yield c.named(MET, **rows, a=nothing, b=nothing)
     while own:
         for a, b in _pairs(own.popitem()[1]):
             nothing = pa.nulls(len(a), pa.int64())
-            yield c.named(MET, doc_id=nothing, line_no=nothing, line=nothing, a=a, b=b)
+            yield c.named(MET, doc_id=nothing, ver=pa.nulls(len(a), pa.int32()), line_no=nothing, line=nothing, a=a, b=b)
 
 
 def distances(pairs: list[tuple[str, str]], t: int = T) -> np.ndarray:
@@ -206,8 +210,12 @@ def distances(pairs: list[tuple[str, str]], t: int = T) -> np.ndarray:
     out = np.full(len(pairs), t + 1, np.int64)
     near = [k for k, (a, b) in enumerate(pairs) if abs(len(a) - len(b)) <= t]
     near.sort(key=lambda k: max(map(len, pairs[k])))
-    for at in range(0, len(near), 1024):
-        own = near[at : at + 1024]
+    at = 0
+    while at < len(near):
+        # so many pairs, fewer of long lines
+        own = near[at : at + max(1, min(1024, (1 << 21) // (max(map(len, pairs[near[at]])) + 1)))]
+        own = own[: max(1, (1 << 22) // (max(map(len, pairs[own[-1]])) + 1))]
+        at += len(own)
         long, short = zip(*(sorted(pairs[k], key=len, reverse=True) for k in own), strict=True)
         m, n = np.array(list(map(len, long))), np.array(list(map(len, short)))
         rows = np.zeros((int(n.max()) + 2 * t + 1, len(own)), np.uint32)  # row i of the longer line at i + t - 1
@@ -263,28 +271,43 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield c.named(TEXTS, line=names, text=texts)
 
 
-def links(df: DataFrame, bucket_mb: float = 8, least: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """Occurrences (doc_id, line_no, line) of lines of at least `least` code points, and links (a, b) between different long lines
-    within T edits."""
-    docs = c.documents(df)
+def firsts(occurrences: DataFrame) -> DataFrame:
+    """line, at (its first occurrence), n: combined on the map side, so a line of many documents costs a row a task."""
+    return c.checkpoint(occurrences.groupBy("line").agg(F.min(F.struct("doc_id", "line_no", "ver")).alias("at"), F.count("*").alias("n")))
+
+
+def by_line(occurrences: DataFrame, lines: DataFrame) -> DataFrame:
+    """Occurrences joined with lines (line, n, ...). Lines that hold over a HOTth of all occurrences, so HOT lines at most, are
+    broadcast: no task gets all occurrences of one."""
+    most = occurrences.count() // HOT
+    hot = F.broadcast(lines.where(F.col("n") > most))
+    rest = occurrences.join(hot.select("line"), "line", "left_anti").join(lines.where(F.col("n") <= most), "line")
+    return rest.unionByName(occurrences.join(hot, "line"))
+
+
+def links(df: DataFrame, bucket_mb: float = 8, least: int = MIN_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Occurrences (doc_id, ver, line_no, line) of lines of at least `least` code points, their firsts, and links (a, b) between
+    different long lines within T edits."""
+    docs = c.documents(df, c.version().alias("ver"))
     buckets = c.buckets(docs, bucket_mb)
     dealt = docs.mapInArrow(lambda batches: _keys(batches, buckets, least), KEYS_DDL).repartition(buckets, "bucket")
     met = c.checkpoint(dealt.mapInArrow(_meet, MET_DDL))
-    occurrences = met.where("line is not null").select("doc_id", "line_no", "line")
+    occurrences = met.where("line is not null").select("doc_id", "ver", "line_no", "line")
     pairs = c.checkpoint(met.where("a is not null").select("a", "b").distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    where = occurrences.join(asked, "line", "left_semi").groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-    wanted = where.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("line", F.col("at.line_no").alias("line_no"))).alias("wanted"))
-    texts = c.checkpoint(docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_texts, "line long, text string"))
+    first = firsts(occurrences)
+    where = first.join(asked, "line", "left_semi")
+    wanted = where.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.ver").alias("ver")).agg(F.collect_list(F.struct("line", F.col("at.line_no").alias("line_no"))).alias("wanted"))
+    texts = c.checkpoint(docs.join(wanted, ["doc_id", "ver"]).select("text", "wanted").mapInArrow(_texts, "line long, text string").dropDuplicates(["line"]))
     shipped = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b")
     checked = shipped.mapInArrow(_verify, "a long, b long, linked boolean")
-    return occurrences, c.checkpoint(checked.where("linked").select("a", "b").distinct())
+    return occurrences, first, c.checkpoint(checked.where("linked").select("a", "b").distinct())
 
 
 CLASS = pa.list_(pa.struct([("line_no", pa.int64()), ("class_doc_id", pa.int64()), ("class_line_no", pa.int64())]))
 CLASS_DDL = "array<struct<line_no: long, class_doc_id: long, class_line_no: long>>"
-CUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_long_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_links", pa.int64()), ("line_classes", CLASS)])
-CUT_DDL = "doc_id long, text string, n_lines long, n_long_lines long, n_removed long, kept_sha256 string, n_links long, line_classes " + CLASS_DDL
+CUT = pa.schema([("doc_id", pa.int64()), ("ver", pa.int32()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_long_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_links", pa.int64()), ("line_classes", CLASS)])
+CUT_DDL = "doc_id long, ver int, text string, n_lines long, n_long_lines long, n_removed long, kept_sha256 string, n_links long, line_classes " + CLASS_DDL
 
 
 def _cut(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -305,48 +328,48 @@ def _cut(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBat
                 out["n_long_lines"].append(int(long[a:b].sum()))
                 out["n_removed"].append(int((~keep).sum()))
                 out["kept_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
-            yield c.named(CUT, doc_id=c.column(part, "doc_id"), n_links=c.column(part, "n_links"), line_classes=c.column(part, "line_classes").cast(CLASS), **out)
+            yield c.named(CUT, doc_id=c.column(part, "doc_id"), ver=c.column(part, "ver"), n_links=c.column(part, "n_links"), line_classes=c.column(part, "line_classes").cast(CLASS), **out)
 
 
-def classes(occurrences: DataFrame, linked: DataFrame) -> DataFrame:
-    """doc_id and line_classes: its lines in classes of several occurrences, each with the class's first occurrence."""
+def classes(occurrences: DataFrame, first: DataFrame, linked: DataFrame) -> DataFrame:
+    """doc_id, ver and line_classes: its lines in classes of several occurrences, each with the class's first occurrence."""
     joined = linked.select(F.col("a").alias("node")).union(linked.select("b")).distinct()
     of = c.checkpoint(c.components(joined, linked)).withColumnRenamed("node", "line")
-    first = occurrences.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n"))
     named = c.checkpoint(first.join(of, "line", "left").select("line", F.coalesce("component", "line").alias("class"), "at", "n"))
     roots = named.groupBy("class").agg(F.min("at").alias("root"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    roots = named.join(roots, "class").select("line", "root")
+    roots = c.checkpoint(named.join(roots, "class").select("line", "root", "n"))
+    # equal rows bring each of their lines once
     entry = F.struct("line_no", F.col("root.doc_id").alias("class_doc_id"), F.col("root.line_no").alias("class_line_no"))
-    return occurrences.join(roots, "line").groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("line_classes"))
+    return by_line(occurrences, roots).groupBy("doc_id", "ver").agg(F.array_distinct(F.sort_array(F.collect_list(entry))).alias("line_classes"))
 
 
 def dedup(df: DataFrame, least: int = MIN_CHARS, classed: bool = False) -> DataFrame:
-    """doc_id, text without removed lines, n_lines, n_long_lines, n_removed, kept_sha256, n_links (other lines within T edits of
+    """doc_id, ver, text without removed lines, n_lines, n_long_lines, n_removed, kept_sha256, n_links (other lines within T edits of
     the document's lines), line_classes (null unless `classed`, where none: empty)."""
-    occurrences, linked = links(df, least=least)
+    occurrences, first, linked = links(df, least=least)
     both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    first = occurrences.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
     near = first.join(both.select("a").distinct().withColumnRenamed("a", "line"), "line", "left_semi")
     near = c.checkpoint(near)
     lost = both.join(near.select(F.col("line").alias("a"), F.col("at").alias("at_a")), "a").join(near.select(F.col("line").alias("b"), F.col("at").alias("at_b")), "b").where("at_b < at_a").select(F.col("a").alias("line")).distinct()
-    kept = first.join(lost, "line", "left_anti").groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.col("at.line_no").cast("int")).alias("kept"))
-    counts = both.groupBy(F.col("a").alias("line")).agg(F.count("*").alias("n"))
-    n_links = occurrences.select("doc_id", "line").distinct().join(counts, "line").groupBy("doc_id").agg(F.sum("n").alias("n_links"))
-    found = kept.join(n_links, "doc_id", "full_outer")
+    kept = first.join(lost, "line", "left_anti").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.ver").alias("ver")).agg(F.collect_list(F.col("at.line_no").cast("int")).alias("kept"))
+    counts = both.groupBy(F.col("a").alias("line")).agg(F.count("*").alias("n_near")).join(first.select("line", "n"), "line")
+    # each of a document's lines counts once
+    n_links = by_line(occurrences.select("doc_id", "ver", "line"), c.checkpoint(counts)).distinct().groupBy("doc_id", "ver").agg(F.sum("n_near").alias("n_links"))
+    found = kept.join(n_links, ["doc_id", "ver"], "full_outer")
     none = F.lit(None).cast(CLASS_DDL)
     if classed:
-        found, none = found.join(classes(occurrences, linked), "doc_id", "full_outer"), F.array().cast(CLASS_DDL)
+        found, none = found.join(classes(occurrences, first, linked), ["doc_id", "ver"], "full_outer"), F.array().cast(CLASS_DDL)
     else:
         found = found.withColumn("line_classes", none)
-    given = c.documents(df).join(found, "doc_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))).withColumn("line_classes", F.coalesce("line_classes", none))
-    return given.select("doc_id", "text", "kept", "n_links", "line_classes").mapInArrow(lambda batches: _cut(batches, least), CUT_DDL)
+    given = c.documents(df, c.version().alias("ver")).join(found, ["doc_id", "ver"], "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))).withColumn("line_classes", F.coalesce("line_classes", none))
+    return given.select("doc_id", "ver", "text", "kept", "n_links", "line_classes").mapInArrow(lambda batches: _cut(batches, least), CUT_DDL)
 
 
 def query(df: DataFrame) -> DataFrame:
     """Every document's lines, what is left of them, and its number of links; lines under MIN_CHARS are left alone."""
-    return dedup(df, classed=True).drop("text")
+    return dedup(df, classed=True).drop("text", "ver")
 
 
 def every_line(df: DataFrame) -> DataFrame:
     """The same for every line with a word: those under MIN_CHARS are joined by equality."""
-    return dedup(df, least=1, classed=True).drop("text")
+    return dedup(df, least=1, classed=True).drop("text", "ver")

@@ -1,15 +1,17 @@
 """Quality rules: base counts of each text, and the cross-document frequency of its lines.
 
 Lines are normalised (A-Z lower-cased, words joined by one space) and hashed to 64 bits; a line's frequency on a host
-(`source`) is the number of the host's documents that hold it. A line is boilerplate where its frequency reaches
-`min_docs` and more than `max_share` of the host's documents, or `always` at any share where that is given. The query has the
-limits of its SQL; the pipeline has PIPELINE's, which act alike on hosts of every size. A document is rejected if it fails the base rules, or if it is
-depleted: fewer than `min_left` of its words stand outside boilerplate lines. Frequencies count whole tables; a document
-sends one row for each distinct line, and counts are combined on the map side, so a line that a third of all documents
-hold costs a row a task.
-
-Null text: no words, base_failed. Null source: a host of its own. Repeated rows of a doc_id are judged each. Extra columns
-are ignored; an empty table gives no rows.
+(`source`) is the number of the host's distinct documents that hold it; documents with the same set of lines, copies, count as
+one. A line is boilerplate where its frequency reaches `min_docs` and more than `max_share` of the host's documents, or `always`
+at any share. A few documents over the share are enough, so the limits act alike on hosts of every size. The host's first
+document that holds a boilerplate line (the least doc_id) keeps it, so that a group of near copies leaves one whole. A document is
+rejected if it fails the base rules, or if it is depleted: fewer than `min_left` of its words stand outside boilerplate lines.
+Frequencies count whole tables; a distinct document sends one row for each distinct line, and counts are combined on the map
+side, so a line that a third of all documents hold costs a row a task.
+
+Null text: no words, base_failed. Null source: a host of its own. Very long texts are counted whole. Repeated rows of a doc_id are
+judged each, and equal ones alike. Extra columns are ignored, or kept by `clean`, whatever their names; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -27,12 +29,10 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words in repeated windows
-MIN_DOCS, MAX_SHARE, MIN_LEFT = 100, 0.05, 0.1
-#: A few documents over the share are enough, and on hot hosts so many documents at any share.
-PIPELINE = {"min_docs": 5, "max_share": MAX_SHARE, "min_left": MIN_LEFT, "always": 1000}
+MIN_DOCS, MAX_SHARE, MIN_LEFT, ALWAYS = 5, 0.05, 0.1, 1000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), *((x, pa.int64()) for x in COUNTS), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
-DDL = "row long, doc_id long, source string, " + ", ".join(f"{x} long" for x in COUNTS) + ", lines array<long>, sizes array<long>"
+SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("ver", pa.int32()), ("source", pa.string()), *((x, pa.int64()) for x in COUNTS), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
+DDL = "row long, doc_id long, ver int, source string, " + ", ".join(f"{x} long" for x in COUNTS) + ", lines array<long>, sizes array<long>"
 SLICE = 2 << 20
 
 
@@ -94,25 +94,27 @@ def measure(texts: pa.Array) -> dict[str, object]:
 
 
 def _measured(df: DataFrame) -> DataFrame:
-    docs = c.documents(df, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).withColumn("row", F.monotonically_increasing_id())
+    docs = c.documents(df, c.version().alias("ver"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).withColumn("row", F.monotonically_increasing_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in c.slices(batch, limit=SLICE):
-                yield c.named(SCHEMA, row=c.column(part, "row"), doc_id=c.column(part, "doc_id"), source=c.column(part, "source"), **measure(c.column(part, "text")))
+                yield c.named(SCHEMA, row=c.column(part, "row"), doc_id=c.column(part, "doc_id"), ver=c.column(part, "ver"), source=c.column(part, "source"), **measure(c.column(part, "text")))
 
     return c.checkpoint(docs.mapInArrow(run, DDL))
 
 
-def judge(df: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, always: float = float("inf")) -> DataFrame:
-    """row, doc_id, source, the counts, base_failed, n_boilerplate_words, kept, and the hashes of boilerplate lines."""
+def judge(df: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, always: float = ALWAYS) -> DataFrame:
+    """row, doc_id, ver, source, the counts, base_failed, n_boilerplate_words, kept, and the hashes of boilerplate lines."""
     rows = _measured(df)
-    hosts = rows.groupBy("source").agg(F.count("*").alias("host_docs"))
-    lines = rows.select("row", "source", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("row", "source", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
-    often = lines.groupBy("source", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min(min_docs, always))
+    copies = F.xxhash64("lines", F.size("lines"))  # lines are sorted
+    one = rows.groupBy("source", copies.alias("copies")).agg(F.min(F.struct("doc_id", "row")).alias("least")).select("source", F.col("least.row").alias("row"))
+    hosts = one.groupBy("source").agg(F.count("*").alias("host_docs"))
+    lines = rows.select("row", "doc_id", "source", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("row", "doc_id", "source", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
+    often = lines.join(one.select("row"), "row", "left_semi").groupBy("source", "line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= min(min_docs, always))
     share = (F.col("n") >= min_docs) & (F.col("n") > max_share * F.col("host_docs"))
-    often = often.join(hosts, "source").where(share | (F.col("n") >= F.lit(float(always)))).select("source", "line")
-    hit = lines.join(c.checkpoint(often), ["source", "line"], "left_semi").groupBy("row").agg(F.sum("size").alias("n_boilerplate_words"), F.collect_list("line").alias("boilerplate"))
+    often = often.join(hosts, "source").where(share | (F.col("n") >= F.lit(float(always)))).select("source", "line", "first")
+    hit = lines.join(c.checkpoint(often), ["source", "line"]).where("doc_id <> first").groupBy("row").agg(F.sum("size").alias("n_boilerplate_words"), F.collect_list("line").alias("boilerplate"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     out = rows.drop("lines", "sizes").join(hit, "row", "left").withColumn("n_boilerplate_words", F.coalesce("n_boilerplate_words", F.lit(0)).cast("long")).withColumn("base_failed", base)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_boilerplate_words") >= min_left * F.col("n_words")))
@@ -139,9 +141,11 @@ g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest([w[k] || ' ' || w
 twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS n FROM g) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
 own AS (SELECT doc_id, source, normal, sum(n) AS n FROM inked GROUP BY ALL),
-hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
-often AS (SELECT source, normal FROM (SELECT source, normal, count(*) AS n FROM own GROUP BY ALL) JOIN hosts USING (source) WHERE n >= {MIN_DOCS} AND n > {MAX_SHARE}::DOUBLE * docs),
-hit AS (SELECT doc_id, sum(n)::BIGINT AS n_boilerplate_words FROM own SEMI JOIN often USING (source, normal) GROUP BY doc_id),
+sets AS (SELECT doc_id, source, coalesce(list(normal ORDER BY normal) FILTER (normal IS NOT NULL), []) AS s FROM d LEFT JOIN own USING (doc_id, source) GROUP BY ALL),
+one AS (SELECT source, s, min(doc_id) AS doc_id FROM sets GROUP BY ALL),
+hosts AS (SELECT source, count(*) AS docs FROM one GROUP BY source),
+often AS (SELECT source, normal, first FROM (SELECT source, normal, count(*) AS n, min(doc_id) AS first FROM own SEMI JOIN one USING (doc_id, source) GROUP BY ALL) JOIN hosts USING (source) WHERE (n >= {MIN_DOCS} AND n > {MAX_SHARE}::DOUBLE * docs) OR n >= {ALWAYS}),
+hit AS (SELECT doc_id, sum(n)::BIGINT AS n_boilerplate_words FROM own JOIN often USING (source, normal) WHERE doc_id <> first GROUP BY doc_id),
 j AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_boilerplate_words, 0) AS n_boilerplate_words
   FROM base LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN hit USING (doc_id))
 SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed,
@@ -152,14 +156,15 @@ SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_wor
 def clean(df: DataFrame, **limits: float) -> DataFrame:
     """The documents that are kept, without their boilerplate lines, with the columns of the input."""
     names = df.columns
-    source = df.withColumn("row", F.monotonically_increasing_id())
-    verdict = judge(df, **limits).where("kept").select("row", "boilerplate")
+    key, gone_in = c.fresh("ver", names), c.fresh("boilerplate", names)
+    # rows that are equal in doc_id and text are judged alike
+    verdict = judge(df, **limits).where("kept").groupBy("doc_id", "ver").agg(F.first("boilerplate").alias(gone_in)).withColumnRenamed("ver", key)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in c.slices(batch, limit=SLICE):
-                texts, gone = c.column(part, "text"), c.column(part, "boilerplate")
+                texts, gone = c.column(part, "text"), c.column(part, gone_in)
                 w = c.words(texts, lower=True)
                 begin, end, row = _lines(w)
                 first, last = np.searchsorted(w.starts, begin), np.searchsorted(w.starts, end)
@@ -176,4 +181,4 @@ def clean(df: DataFrame, **limits: float) -> DataFrame:
                     columns["n_chars"] = pa.array([None if x is None else len(x) for x in out]).cast(columns["n_chars"].type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return source.join(verdict, "row").select(*names, "boilerplate").mapInArrow(run, schema)
+    return df.withColumn(key, c.version()).join(verdict, ["doc_id", key]).select(*names, gone_in).mapInArrow(run, schema)
