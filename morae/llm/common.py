@@ -275,10 +275,10 @@ def first_of_group(*keys: np.ndarray) -> np.ndarray:
 # -------------------------------------------------------------------------------------------------------------- columns
 
 
-def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow whose worker, kept for later tasks, gives back the memory that it no longer uses."""
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow after which the worker, kept for later tasks, gives back the memory that it no longer uses."""
 
-    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
@@ -287,7 +287,11 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             if sys.platform == "linux":
                 ctypes.CDLL(None).malloc_trim(0)
 
-    return df.mapInArrow(lean, schema)
+    return of
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    return df.mapInArrow(lean(run), schema)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

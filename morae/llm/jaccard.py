@@ -236,7 +236,7 @@ def _filter(wanted: DataFrame, flags: int) -> np.ndarray:
             own[_bits(c.numbers(batch, "doc_id"), flags)] = True
         yield pa.RecordBatch.from_arrays([c.binary([np.packbits(own).tobytes()])], ["flags"])
 
-    parts = wanted.select("doc_id").coalesce(8).mapInArrow(run, "flags binary").collect()
+    parts = wanted.select("doc_id").coalesce(8).mapInArrow(c.lean(run), "flags binary").collect()
     return reduce(np.bitwise_or, [np.frombuffer(x["flags"], np.uint8) for x in parts], np.zeros(flags // 8, np.uint8))
 
 
@@ -259,7 +259,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 raw, cut = own.tobytes(), (8 * at).tolist()
                 yield pa.RecordBatch.from_arrays([c.column(part, "doc_id"), c.binary([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]), pa.array(set_names(own, at))], ["doc_id", "data", "name"])
 
-    found = docs.mapInArrow(run, "doc_id long, data binary, name long").join(wanted, "doc_id").where("name = node")
+    found = docs.mapInArrow(c.lean(run), "doc_id long, data binary, name long").join(wanted, "doc_id").where("name = node")
     return found.select("node", "data").dropDuplicates(["node"])
 
 
@@ -466,7 +466,7 @@ def _dealt(rows: DataFrame, weight: Column, limit: int) -> tuple[DataFrame, bool
 
 def _links(rows: DataFrame, data: DataFrame, kind: type, per_group: bool) -> DataFrame:
     own = rows.join(data, "node").select("group", "i", "j", "node", "n", "data")
-    return own.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_connected(kind, per_group), "a long, b long")
+    return own.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(c.lean(_connected(kind, per_group)), "a long, b long")
 
 
 def join(df: DataFrame, bucket_mb: float = 8) -> DataFrame:
@@ -475,8 +475,8 @@ def join(df: DataFrame, bucket_mb: float = 8) -> DataFrame:
     buckets = c.buckets(docs, bucket_mb)
 
     def met(level: int, bands: set[int] | None) -> DataFrame:
-        dealt = docs.mapInArrow(lambda batches: _keys(batches, buckets, level, bands), KEYS_DDL).repartition(buckets, "bucket")
-        return c.written(dealt.mapInArrow(_meet, MET_DDL))
+        dealt = docs.mapInArrow(c.lean(lambda batches: _keys(batches, buckets, level, bands)), KEYS_DDL).repartition(buckets, "bucket")
+        return c.written(dealt.mapInArrow(c.lean(_meet), MET_DDL))
 
     found = met(0, None)
     every = [found]
@@ -493,7 +493,7 @@ def join(df: DataFrame, bucket_mb: float = 8) -> DataFrame:
     names = c.written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("data")))
     met_pairs, groups = [reduce(DataFrame.unionByName, [x.where(f"{k} is not null").select(*columns) for x in every]) for k, columns in (("a", ("a", "b")), ("members", ("members",)))]
     side = lambda x, y: names.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("data").alias(y))
-    small = met_pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_allowed, "a long, b long")
+    small = met_pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(c.lean(_allowed), "a long, b long")
     groups = groups.groupBy(F.xxhash64("members").alias("group")).agg(F.first("members").alias("members"))
     members, _ = _dealt(groups.select("group", F.explode("members").alias("node")), F.lit(1), GROUP)
     large = _links(members, names.select("node", "n", "data"), Sketches, False)

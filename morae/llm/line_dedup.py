@@ -290,17 +290,17 @@ def links(df: DataFrame, bucket_mb: float = 8, least: int = MIN_CHARS) -> tuple[
     different long lines within T edits."""
     docs = c.documents(df, c.version().alias("ver"))
     buckets = c.buckets(docs, bucket_mb)
-    dealt = docs.mapInArrow(lambda batches: _keys(batches, buckets, least), KEYS_DDL).repartition(buckets, "bucket")
-    met = c.checkpoint(dealt.mapInArrow(_meet, MET_DDL))
+    dealt = docs.mapInArrow(c.lean(lambda batches: _keys(batches, buckets, least)), KEYS_DDL).repartition(buckets, "bucket")
+    met = c.checkpoint(dealt.mapInArrow(c.lean(_meet), MET_DDL))
     occurrences = met.where("line is not null").select("doc_id", "ver", "line_no", "line")
     pairs = c.checkpoint(met.where("a is not null").select("a", "b").distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
     first = firsts(occurrences)
     where = first.join(asked, "line", "left_semi")
     wanted = where.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.ver").alias("ver")).agg(F.collect_list(F.struct("line", F.col("at.line_no").alias("line_no"))).alias("wanted"))
-    texts = c.checkpoint(docs.join(wanted, ["doc_id", "ver"]).select("text", "wanted").mapInArrow(_texts, "line long, text string").dropDuplicates(["line"]))
+    texts = c.checkpoint(docs.join(wanted, ["doc_id", "ver"]).select("text", "wanted").mapInArrow(c.lean(_texts), "line long, text string").dropDuplicates(["line"]))
     shipped = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b")
-    checked = shipped.mapInArrow(_verify, "a long, b long, linked boolean")
+    checked = shipped.mapInArrow(c.lean(_verify), "a long, b long, linked boolean")
     return occurrences, first, c.checkpoint(checked.where("linked").select("a", "b").distinct())
 
 
@@ -362,7 +362,7 @@ def dedup(df: DataFrame, least: int = MIN_CHARS, classed: bool = False) -> DataF
     else:
         found = found.withColumn("line_classes", none)
     given = c.documents(df, c.version().alias("ver")).join(found, ["doc_id", "ver"], "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))).withColumn("line_classes", F.coalesce("line_classes", none))
-    return given.select("doc_id", "ver", "text", "kept", "n_links", "line_classes").mapInArrow(lambda batches: _cut(batches, least), CUT_DDL)
+    return given.select("doc_id", "ver", "text", "kept", "n_links", "line_classes").mapInArrow(c.lean(lambda batches: _cut(batches, least)), CUT_DDL)
 
 
 def query(df: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def _measured(df: DataFrame) -> DataFrame:
             for part in c.slices(batch, limit=SLICE):
                 yield c.named(SCHEMA, row=c.column(part, "row"), doc_id=c.column(part, "doc_id"), ver=c.column(part, "ver"), source=c.column(part, "source"), **measure(c.column(part, "text")))
 
-    return c.checkpoint(docs.mapInArrow(run, DDL))
+    return c.checkpoint(docs.mapInArrow(c.lean(run), DDL))
 
 
 def judge(df: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, always: float = ALWAYS) -> DataFrame:
@@ -181,4 +181,4 @@ def clean(df: DataFrame, **limits: float) -> DataFrame:
                     columns["n_chars"] = pa.array([None if x is None else len(x) for x in out]).cast(columns["n_chars"].type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return df.withColumn(key, c.version()).join(verdict, ["doc_id", key]).select(*names, gone_in).mapInArrow(run, schema)
+    return df.withColumn(key, c.version()).join(verdict, ["doc_id", key]).select(*names, gone_in).mapInArrow(c.lean(run), schema)

@@ -146,8 +146,8 @@ def repeated_paths(docs: DataFrame, k: int = K, bucket_mb: float = 8) -> DataFra
             if found := _bucket(own.popitem()[1]):
                 yield c.named(RUNS, **found)
 
-    dealt = docs.mapInArrow(lambda batches: _edges(batches, k, buckets), "bucket long, payload binary").repartition(buckets, "bucket")
-    with c.stored(dealt.mapInArrow(meet, RUNS_DDL)) as runs:
+    dealt = docs.mapInArrow(c.lean(lambda batches: _edges(batches, k, buckets)), "bucket long, payload binary").repartition(buckets, "bucket")
+    with c.stored(dealt.mapInArrow(c.lean(meet), RUNS_DDL)) as runs:
         # a run goes on with another where both end at the same node, in the document and in the source
         ends = runs.select("doc", "ver", "src", "src_ver", (F.col("start") + F.col("n")).alias("start"), (F.col("src_start") + F.col("n")).alias("src_start"), F.lit(0).alias("head"))
         linked = runs.join(ends.distinct(), ["doc", "ver", "src", "src_ver", "start", "src_start"], "left").withColumn("diagonal", F.col("start") - F.col("src_start"))
@@ -218,7 +218,7 @@ def remove(df: DataFrame, k: int = K, texts: bool = True) -> DataFrame:
 
     def cut(paths: DataFrame) -> DataFrame:
         given = _spans(paths, docs)
-        return given.select("doc_id", "ver", "text", "own", "lent").mapInArrow(lambda batches: _cut(batches, k, texts), CUT_DDL)
+        return given.select("doc_id", "ver", "text", "own", "lent").mapInArrow(c.lean(lambda batches: _cut(batches, k, texts)), CUT_DDL)
 
     done = c.checkpoint(cut(paths))
     lists = _spans(paths, docs.select("doc_id", "ver")).select("doc_id", "ver", "own_spans", "lent_spans").distinct()

@@ -380,6 +380,30 @@ def test_lm_reads_running_text(spark):
         assert got[a]["score"] > got[b]["score"] + 5 and got[a]["score"] > got[a]["base_score"]
 
 
+def test_licenses_inside_texts(spark):
+    """Notices in comments of nine words a line, with code behind them, in the midst of a line, and whole texts of licences."""
+    rng = random.Random(5)
+    code = "\n".join(" ".join(f"v{rng.randrange(10**6)}" for _ in range(8)) for _ in range(60))
+
+    def wrapped(name: str) -> str:
+        words = licenses.TEMPLATES[name].split()
+        return "\n".join("# " + " ".join(words[k : k + 9]) for k in range(0, len(words), 9))
+
+    names = ["MIT/grant", "GPL-3.0/header", "Apache-2.0/header", "BSD-3-Clause/full", "ISC/full", "MIT/full"]
+    rows = [(k, wrapped(x) + "\n" + code) for k, x in enumerate(names)]
+    rows += [(10, f"{code} and it was Released under the MIT License. {code}"), (11, code), (12, "see the rights reserved here " + code), (13, wrapped("MIT/full").replace("software", "program", 2) + "\n" + code)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(licenses.query(df))
+    assert [got[k]["license"] for k in range(6)] == names and all(got[k]["unit"] == -2 and got[k]["n_hits"] == 1 for k in range(6))
+    assert got[10]["license"] == "MIT/notice" and got[11]["license"] is None and got[12]["license"] is None and got[13]["license"] == "MIT/full"
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    columns = ["doc_id", "n_hits", "license", "dice", "unit"]
+    assert sorted(tuple(r[x] for x in columns) for r in got.values()) == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({licenses.sql()})").fetchall())
+
+
 def test_licenses(spark):
     rows = [(1, "Some prose.\nReleased under the MIT License."), (2, licenses.TEMPLATES["MIT/grant"].upper()), (3, licenses.TEMPLATES["GPL-3.0/header"].replace(". ", ".\n")), (4, None), (5, "All rights"), (6, "all RIGHTS  reserved!"), (7, "prose " * 300)]
     got = by_id(licenses.query(spark.createDataFrame(rows, "doc_id long, text string")))
