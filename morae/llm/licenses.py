@@ -9,7 +9,7 @@ stands. The best window is unit -2; it counts where no other unit has a hit. The
 is shuffled but the units' results, which are summed up per document on the map side.
 
 Null, empty or one-word units: no bigrams, no hit. Ties of a document's best hit: the larger template, then its name, then
-the first unit (the window is unit -2, the whole text unit -1). Repeated rows of one doc_id are summed up as one document.
+the first unit (the whole text is unit -1), a window last. Repeated rows of one doc_id are summed up as one document.
 Documents without a hit have a null licence. Very long texts are scanned whole. Extra columns are ignored; an empty table gives
 no rows.
 """
@@ -134,7 +134,7 @@ def _better(x: Column, y: Column) -> Column:
 def query(df: DataFrame) -> DataFrame:
     """Per document: the number of units with a hit, and its best hit."""
     # the least struct is the best hit: every field is turned so that less is better
-    order = F.struct((-F.col("dice")).alias("d"), (-F.col("size")).alias("s"), "license", "unit")
+    order = F.struct((-F.col("dice")).alias("d"), (-F.col("size")).alias("s"), "license", (F.col("unit") == -2).alias("inside"), "unit")
     hits = scan(df).groupBy("doc_id").agg(F.count(F.when(F.col("unit") > -2, 1)).alias("n"), F.min(order).alias("best")).withColumn("n_hits", F.greatest("n", F.lit(1)))
     out = c.documents(df).select("doc_id").distinct().join(hits, "doc_id", "left")
     return out.select("doc_id", F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"), F.col("best.license").alias("license"), (-F.col("best.d")).alias("dice"), F.col("best.unit").cast("long").alias("unit"))
@@ -161,7 +161,7 @@ windows AS (SELECT doc_id, license, own, list_distinct(every[i:i + span - 1]) AS
 inside AS (SELECT doc_id, -2 AS unit, license, len(own) AS size, max(2.0::DOUBLE * len(list_intersect(part, own)) / (len(part) + len(own))) AS dice
   FROM windows WHERE 10 * len(list_intersect(part, own)) >= 4 * (len(part) + len(own)) GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, size DESC, license) AS k FROM (SELECT * FROM hits UNION ALL SELECT * FROM inside)),
-docs_best AS (SELECT *, greatest(count(*) FILTER (unit > -2) OVER (PARTITION BY doc_id), 1) AS n_hits, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, size DESC, license, unit) AS j FROM best WHERE k = 1)
+docs_best AS (SELECT *, greatest(count(*) FILTER (unit > -2) OVER (PARTITION BY doc_id), 1) AS n_hits, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, size DESC, license, unit = -2, unit) AS j FROM best WHERE k = 1)
 SELECT d.doc_id, coalesce(b.n_hits, 0)::BIGINT AS n_hits, b.license, b.dice, b.unit::BIGINT AS unit
 FROM (SELECT DISTINCT doc_id FROM docs) d LEFT JOIN docs_best b ON b.doc_id = d.doc_id AND b.j = 1
 """
