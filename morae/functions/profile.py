@@ -86,7 +86,7 @@ def escaped(chars: str) -> str:
     return "".join("\\" + ch if ch in "\\]^-[&~|" else ch for ch in chars)
 
 
-#: One code for each kind of letter, by rule; private characters, so that no letter of a text is taken for a code.
+#: One code for each kind of letter, by rule: control characters, one byte each, which a text loses on the way.
 _KINDS = {
     "A": _letters("α", lacking="".join(map(chr, range(0x300, 0x346)))),
     "E": "εΕ",
@@ -103,8 +103,9 @@ _KINDS = {
 }
 _used = "".join(_KINDS.values())
 _KINDS |= {"D": "".join(ch for ch in DICHRONA if ch not in _used), "V": "".join(ch for ch in SURE_VOWELS if ch not in _used)}
-CODE = {kind: chr(0xE000 + k) for k, kind in enumerate(_KINDS)}
-CODES = {ch: CODE[kind] for kind, chars in _KINDS.items() for ch in chars}
+FIRST_CODE = 0x0E
+CODE = {kind: chr(FIRST_CODE + k) for k, kind in enumerate(_KINDS)}
+CODES = {ch: CODE[kind] for kind, chars in _KINDS.items() for ch in chars} | dict.fromkeys(CODE.values(), " ")
 
 
 def coded(pattern: str) -> str:
@@ -115,7 +116,7 @@ def coded(pattern: str) -> str:
 #: vowels, C consonants. A doubtful vowel is in a closed syllable exactly if two consonants follow; a last single
 #: consonant leaves it open.
 CLASSES: list[tuple[str, str]] = [
-    (f"[^\\x{{E000}}-\\x{{{0xE000 + len(CODE) - 1:X}}}_^]+", " "),
+    (f"[^\\x{{{FIRST_CODE:X}}}-\\x{{{FIRST_CODE + len(CODE) - 1:X}}}_^]+", " "),
     (coded("[AEHOWUIJYQDV]") + "[_^]+", coded("V")),
     ("[_^]", ""),
     (coded("[AEOU][IJ]|[AEHOW][UYQ]"), coded("V")),

@@ -45,7 +45,7 @@ def without_editorial(col: Column) -> Column:
 
 
 def without_noise(col: Column) -> Column:
-    return F.regexp_replace(col, p.NOISE, "")
+    return deleted(col, p.NOISE[1:-1])
 
 
 def unified_apostrophes(col: Column) -> Column:
