@@ -23,9 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SPREAD = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of less than SPREAD bytes a core is dealt to all cores: a file of one row group is one task otherwise. Larger ones
+    have splits enough, and stay where they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPREAD * cores else df
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, text in Greek letters."""
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", t.transliterated(c("text")).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", t.transliterated(c("text")).alias("text"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,13 +120,15 @@ def macronize_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coverage_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean, split to sentences, count, apply the all-short rule at sentence ends, and report coverage for each language."""
     own = docs(spark, sf_dir).select("lang", F.explode(t.sentences(t.without_editorial(c("text")))).alias("s"))
-    own = own.withColumn("after", F.regexp_replace("s", f"([{p.DICHRONA}])([{p.CONSONANTS}]?[.])$", "$1^$2"))
+    # the last three characters decide
+    end = F.regexp_replace(F.right("s", F.lit(3)), f"([{p.DICHRONA}])([{p.CONSONANTS}]?[.])$", "$1^$2")
+    own = own.withColumn("after", F.when(c("s").endswith("."), F.concat(F.substr("s", F.lit(1), F.greatest(F.char_length("s") - 3, F.lit(0))), end)).otherwise(c("s")))
     out = report.coverage(own, "s", "after", "lang")
     return out.withColumn("ratio", F.round("ratio", 9))
 
 
 def corpus_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = docs(spark, sf_dir).withColumn("after", F.regexp_replace("text", f"([{p.DICHRONA}])([.])", "$1^$2"))
+    own = docs(spark, sf_dir).withColumn("after", F.regexp_replace("text", f"[.](?<=[{p.DICHRONA}][.])", "^."))
     out = report.coverage(own, "text", "after", "lang", "source", rollup=True)
     return out.withColumn("ratio", F.round("ratio", 9))
 
