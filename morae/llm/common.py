@@ -282,7 +282,6 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            _powers.clear()
             pa.default_memory_pool().release_unused()
             if sys.platform == "linux":
                 ctypes.CDLL(None).malloc_trim(0)
