@@ -6,14 +6,17 @@ thumbnail, one sample per block, is the payload. An image is 64 blocks wide and
 block row, so that the Huffman scan is decoded for all rows of all images of a slice at once in numpy: step k decodes
 block k of every interval. Payloads over MAX_ROWS rows go on in further images of the same stream.
 
-The reader takes any such stream apart by its markers (SOI, APPn, COM, DQT, DHT, SOF0, DRI, SOS, RSTn, EOI), with the tables
-that the stream itself brings. Null text: as empty, hence one row of zero bytes. Equal texts give equal values. Extra columns
+The reader takes baseline streams of any encoder apart by their markers (SOI, APPn, COM, DQT, DHT, SOF0, DRI, SOS, RSTn, EOI), with
+the tables that the stream itself brings: grey images, and the luminance of colour images with any sampling of the colour
+differences; AC codes are passed over. Images without restart intervals are decoded side by side with others of the same
+layout, but each from front to back. `described` gives their dimensions, thumbnails and hashes. Null text: as empty, hence one row of zero bytes. Equal texts give equal values. Extra columns
 are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common as c
 
@@ -120,18 +124,27 @@ def write(payload: np.ndarray, rows: np.ndarray) -> list[bytes]:
 
 
 class Scan:
-    """An image's frame, tables and entropy-coded bytes, found by its markers."""
+    """An image's frame, tables and entropy-coded bytes, found by its markers.
+
+    Grey images have one component; colour ones have three, luminance first and sampled as densely as any. Their blocks are
+    interleaved in units by the sampling factors, or stand in scans of their own, of which the luminance's must be the first.
+    """
 
     def __init__(self, data: bytes, at: int):
         if data[at : at + 2] != b"\xff\xd8":
             raise ValueError("no start of image")
         at += 2
         quant: dict[int, int] = {}
-        self.tables: dict[int, tuple] = {}
+        tables: dict[int, tuple] = {}
+        parts: list[tuple[int, int, int]] = []  # name, sampling factors, quantiser
+        mixed = True  # luminance and colour differences, not red, green and blue
         self.interval = 0
         while True:
-            if data[at] != 0xFF:
+            if data[at : at + 1] != b"\xff":
                 raise ValueError("no marker where one must be")
+            if data[at + 1] == 0xFF:  # a fill byte
+                at += 1
+                continue
             marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
             body, at = data[at + 4 : at + 2 + size], at + 2 + size
             if marker == 0xDB:
@@ -143,24 +156,64 @@ class Scan:
                 while body:
                     counts = body[1:17]
                     n = sum(counts)
-                    self.tables[body[0]] = (counts, body[17 : 17 + n])
+                    tables[body[0]] = (counts, body[17 : 17 + n])
                     body = body[17 + n :]
+            elif marker == 0xEE and body[:5] == b"Adobe":
+                mixed = body[11] == 1
             elif marker == 0xC0:
-                precision, self.height, self.width, parts, _, sampling, q = struct.unpack(">BHHBBBB", body[:9])
-                if precision != 8 or parts != 1 or sampling != 0x11:
-                    raise ValueError("only grey baseline images are read")
+                precision, self.height, self.width, n = struct.unpack(">BHHB", body[:6])
+                parts = [(body[k], body[k + 1], body[k + 2]) for k in range(6, 6 + 3 * n, 3)]
+                if precision != 8 or n not in (1, 3) or not self.width or not self.height:
+                    raise ValueError("only grey and colour baseline images of a stated size are read")
             elif marker in (0xC1, 0xC2, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)):
                 raise ValueError("not baseline")
             elif marker == 0xDD:
                 self.interval = int.from_bytes(body[:2], "big")
             elif marker == 0xDA:
-                self.quant, self.dc, self.ac = quant[q], self.tables[body[2] >> 4], self.tables[0x10 | body[2] & 15]
                 break
+        if len(parts) == 3 and (not mixed or bytes(x for x, _, _ in parts) == b"RGB"):
+            raise ValueError("no luminance in red, green and blue")
+        own = {body[k]: body[k + 1] for k in range(1, 1 + 2 * body[0], 2)}
+        if list(own) not in ([parts[0][0]], [x for x, _, _ in parts]):
+            raise ValueError("luminance isn't in the first scan")
+        factors = [(x >> 4, x & 15) for _, x, _ in parts]
+        across, down = map(max, zip(*factors, strict=True))
+        if factors[0] != (across, down):
+            raise ValueError("luminance is sampled less than colour")
+        if len(own) == 1:
+            factors, across, down = [(1, 1)], 1, 1
+        self.unit = (down, across)  # luminance blocks of a unit
+        self.units = (-(-self.height // (8 * down)), -(-self.width // (8 * across)))
+        self.quant = quant[parts[0][2]]
+        used = [(tables[x >> 4], tables[0x10 | x & 15]) for x in own.values()]
+        self.layout = tuple((k, *used[k]) for k, (h, v) in enumerate(factors) for _ in range(h * v))  # a unit's blocks: component and tables
         self.begin = at
+        self.end = _stop(data, at)
+        at = self.end
+        while data[at + 1] != 0xD9:  # scans of the other components
+            other = data[at + 1]
+            at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+            if other == 0xDA:
+                at = _stop(data, at)
+        self.after = at + 2
+
+    def grid(self, samples: np.ndarray) -> np.ndarray:
+        """Samples, in the order of their units, as rows from left to right, without the blocks that fill up the last units."""
+        if self.unit == (1, 1):
+            return samples
+        placed = samples.reshape(*self.units, *self.unit).swapaxes(1, 2).reshape(self.units[0] * self.unit[0], -1)
+        return placed[: -(-self.height // 8), : -(-self.width // 8)].ravel()
+
+
+#: A marker that ends entropy-coded bytes: no stuffing, restart or fill byte.
+MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
+
 
-    @property
-    def blocks(self) -> int:
-        return -(-self.width // 8) * -(-self.height // 8)
+def _stop(data: bytes, at: int) -> int:
+    found = MARKER.search(data, at)
+    if found is None:
+        raise ValueError("no end of image")
+    return found.start()
 
 
 def _lookup(table: tuple) -> np.ndarray:
@@ -177,9 +230,10 @@ def _lookup(table: tuple) -> np.ndarray:
 
 
 def thumbnails(scans: list[tuple[Scan, np.ndarray]]) -> list[np.ndarray]:
-    """The DC-only luminance of images (scan, entropy-coded bytes) with the same tables, interval and blocks in a row."""
+    """The DC-only luminance of images (scan, entropy-coded bytes) with the same layout of a unit and the same interval."""
     one = scans[0][0]
-    dc, ac = _lookup(one.dc), _lookup(one.ac)
+    lookup = {x: _lookup(x) for _, *own in one.layout for x in own}
+    wide = one.unit[0] * one.unit[1]
     raw = np.concatenate([x for _, x in scans])
     origin = np.concatenate([[0], np.cumsum([len(x) for _, x in scans])])
     escape = np.flatnonzero(raw[:-1] == 0xFF)
@@ -194,7 +248,7 @@ def thumbnails(scans: list[tuple[Scan, np.ndarray]]) -> list[np.ndarray]:
     bits = np.concatenate([raw[keep], np.zeros(8, np.uint8)]).astype(np.uint64)
     # the 32 bits from every byte on
     word = (bits[:-4] << np.uint64(32)) | (bits[1:-3] << np.uint64(24)) | (bits[2:-2] << np.uint64(16)) | (bits[3:-1] << np.uint64(8)) | bits[4:]
-    counts = np.array([s.blocks for s, _ in scans])
+    counts = np.array([s.units[0] * s.units[1] for s, _ in scans])
     interval = one.interval or int(counts.max())
     per = -(-counts // interval)
     if len(begin) != per.sum():
@@ -202,56 +256,64 @@ def thumbnails(scans: list[tuple[Scan, np.ndarray]]) -> list[np.ndarray]:
     full = np.full(len(begin), interval)
     full[np.cumsum(per) - 1] = counts - (per - 1) * interval
     at = begin * 8
-    value = np.zeros(len(begin), np.int64)
-    out = np.zeros((len(begin), interval), np.int64)
+    value = np.zeros((len(one.layout), len(begin)), np.int64)  # of each component, as far as it is read
+    out = np.zeros((len(begin), interval, wide), np.int64)
 
     def peek(at: np.ndarray, n: int) -> np.ndarray:
-        return ((word[at >> 3] >> (40 - n - (at & 7)).astype(np.uint64)) & np.uint64((1 << n) - 1)).astype(np.int64)
+        return ((word.take(at >> 3, mode="clip") >> (40 - n - (at & 7)).astype(np.uint64)) & np.uint64((1 << n) - 1)).astype(np.int64)
+
+    def symbol_at(table: tuple, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = lookup[table][peek(pos, 16)]
+        if len(found) and found.min() < 256:
+            raise ValueError("bits that are no code")
+        return found & 255, found >> 8
 
     for k in range(interval):
         live = slice(None) if k < full.min() else np.flatnonzero(full > k)
         pos = at[live]
-        found = dc[peek(pos, 16)]
-        size = found & 255
-        pos = pos + (found >> 8)
-        extra = peek(pos, 16) >> (16 - size)
-        value[live] += np.where((size > 0) & (extra < (1 << np.maximum(size - 1, 0))), extra - (1 << size) + 1, extra)
-        out[live, k] = value[live]
-        pos = pos + size
-        left = np.full(len(pos), 63)
-        while True:  # AC symbols: only their lengths matter here
-            found = ac[peek(pos, 16)]
-            symbol = found & 255
-            run, size = symbol >> 4, symbol & 15
-            done = (symbol == 0) | (left <= 0)
-            pos = pos + np.where(left > 0, (found >> 8) + size, 0)
-            left = np.where(done, 0, left - run - 1)
-            if not (left > 0).any():
-                break
+        for j, (part, dc, ac) in enumerate(one.layout):
+            size, length = symbol_at(dc, pos)
+            pos = pos + length
+            extra = peek(pos, 16) >> (16 - size)
+            value[part, live] += np.where((size > 0) & (extra < (1 << np.maximum(size - 1, 0))), extra - (1 << size) + 1, extra)
+            if part == 0:
+                out[live, k, j] = value[0, live]
+            pos = pos + size
+            left = np.full(len(pos), 63)
+            open_ = np.arange(len(pos))  # blocks whose AC symbols go on; only their lengths matter here
+            while len(open_):
+                symbol, length = symbol_at(ac, pos[open_])
+                pos[open_] += length + (symbol & 15)
+                left[open_] -= (symbol >> 4) + 1
+                open_ = open_[(symbol != 0) & (left[open_] > 0)]
         at[live] = pos
-    flat = out.ravel() if full.min() == interval else out[np.arange(interval) < full[:, None]]
+    if (at > 8 * np.append(begin[1:], keep.sum())).any():
+        raise ValueError("an interval's codes go on behind its end")
+    flat = out.reshape(-1, wide) if full.min() == interval else out[np.arange(interval) < full[:, None]]
     ends = np.cumsum(counts)[:-1]
-    return [np.clip(np.round(x * s.quant / 8) + 128, 0, 255).astype(np.uint8) for (s, _), x in zip(scans, np.split(flat, ends), strict=True)]
+    return [np.clip(np.round(s.grid(x.ravel()) * s.quant / 8) + 128, 0, 255).astype(np.uint8) for (s, _), x in zip(scans, np.split(flat, ends), strict=True)]
 
 
 def read(streams: list[bytes]) -> list[tuple[int, int, np.ndarray]]:
-    """Width, total height and all DC samples of each stream of images."""
+    """Width, total height and all DC samples of each stream of images; a stream that can't be read raises ValueError."""
     scans: list[tuple[Scan, np.ndarray]] = []
     owner: list[int] = []
-    for k, data in enumerate(streams):
-        at = 0
-        while at < len(data):
-            scan = Scan(data, at)
-            end = data.index(b"\xff\xd9", scan.begin)  # stuffing keeps it out of the scan
-            scans.append((scan, np.frombuffer(data, np.uint8, end - scan.begin, scan.begin)))
-            owner.append(k)
-            at = end + 2
-    groups: dict[tuple, list[int]] = {}
-    for k, (s, _) in enumerate(scans):
-        groups.setdefault((s.dc, s.ac, s.interval, s.width), []).append(k)
-    samples: dict[int, np.ndarray] = {}
-    for own in groups.values():
-        samples |= dict(zip(own, thumbnails([scans[k] for k in own]), strict=True))
+    try:
+        for k, data in enumerate(streams):
+            at = 0
+            while at == 0 or data[at : at + 2] == b"\xff\xd8":
+                scan = Scan(data, at)
+                scans.append((scan, np.frombuffer(data, np.uint8, scan.end - scan.begin, scan.begin)))
+                owner.append(k)
+                at = scan.after
+        groups: dict[tuple, list[int]] = {}
+        for k, (s, _) in enumerate(scans):
+            groups.setdefault((s.layout, s.interval), []).append(k)
+        samples: dict[int, np.ndarray] = {}
+        for own in groups.values():
+            samples |= dict(zip(own, thumbnails([scans[k] for k in own]), strict=True))
+    except (IndexError, KeyError, struct.error) as e:
+        raise ValueError("a broken stream") from e
     out: list[list] = [[0, 0, []] for _ in streams]
     for k, (s, _) in enumerate(scans):
         o = out[owner[k]]
@@ -276,6 +338,21 @@ def features(samples: np.ndarray, rows: np.ndarray) -> list[str]:
     return [f"{8 * WIDTH}x{8 * r}:{bytes(h).hex()}" for r, h in zip(rows.tolist(), hashes, strict=True)]
 
 
+def feature(width: int, height: int, samples: np.ndarray) -> str:
+    """The same of one thumbnail of any width."""
+    grid = samples.reshape(-1, -(-width // 8)).astype(np.int64)
+    total = np.pad(grid.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    edges = []
+    for n, fields in zip(grid.shape, (8, 9), strict=True):
+        low = np.arange(fields) * n // fields
+        edges.append((low, np.maximum((np.arange(fields) + 1) * n // fields, low + 1)))
+    (top, bottom), (left, right) = edges
+    sums = total[bottom][:, right] - total[top][:, right] - total[bottom][:, left] + total[top][:, left]
+    wide = right - left
+    bits = sums[:, 1:] * wide[:-1] > sums[:, :-1] * wide[1:]
+    return f"{width}x{height}:{np.packbits(bits.ravel()).tobytes().hex()}"
+
+
 def media(texts: pa.Array) -> dict[str, list]:
     """Store the texts of a slice, read the stored bytes back, and describe both."""
     data, at = c.string_bytes(texts)
@@ -329,3 +406,29 @@ def images(df: DataFrame, slice_bytes: int = 1 << 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([c.column(part, "doc_id"), c.binary(write(payload, rows))], ["doc_id", "media"])
 
     return c.documents(df).mapInArrow(run, "doc_id long, media binary")
+
+
+THUMBNAILS = pa.schema([("doc_id", pa.int64()), ("width", pa.int32()), ("height", pa.int64()), ("thumbnail", pa.binary()), ("feature", pa.string())])
+
+
+def described(df: DataFrame, column: str = "media") -> DataFrame:
+    """doc_id, width, height, thumbnail (its luminance samples) and feature of stored images of any baseline encoder; null where there
+    is no stream or one that can't be read."""
+
+    def one(data: bytes | None) -> tuple[int, int, np.ndarray] | None:
+        try:
+            return None if data is None else read([data])[0]
+        except ValueError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            streams = c.column(batch, "media").to_pylist()
+            try:
+                found = read(streams) if None not in streams else list(map(one, streams))
+            except ValueError:
+                found = list(map(one, streams))
+            rows = [(None,) * 4 if x is None else (x[0], x[1], x[2].tobytes(), feature(*x)) for x in found]
+            yield c.named(THUMBNAILS, doc_id=c.column(batch, "doc_id"), **{name: [x[k] for x in rows] for k, name in enumerate(THUMBNAILS.names[1:])})
+
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("binary").alias("media")).mapInArrow(c.lean(run), "doc_id long, width int, height long, thumbnail binary, feature string")

@@ -1,8 +1,10 @@
 """The operators against brute force, exact round trips and held-out accuracy, with nulls, ties and odd texts."""
 
+import base64
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -129,6 +131,102 @@ def test_jpeg_round_trip(docs):
         jpeg.read([b"\xff\xd8\xff\xc2\x00\x04\x00\x00"])
 
 
+#: Fixed value: a 16x16 colour image of an outside encoder (python.jpg of CPython's test data), colour halved both ways.
+OUTSIDE = base64.b64decode(
+    "/9j/4AAQSkZJRgABAQEAAQABAAD/2wBDAAMCAgICAgMCAgIDAwMDBAYEBAQEBAgGBgUGCQgKCgkICQkKDA8MCgsOCwkJDRENDg8QEBEQCgwSExIQEw8QEBD/2wBDAQMDAwQDBAgEBAgQ"
+    "CwkLEBAQEBAQEBAQEBAQEBAQEBAQEBAQEBAQEBAQEBAQEBAQEBAQEBAQEBAQEBAQEBAQEBD/wAARCAAQABADASIAAhEBAxEB/8QAFgABAQEAAAAAAAAAAAAAAAAABwQF/8QAJBAAAQQB"
+    "BAICAwAAAAAAAAAAAQIDBAYFBwgSExEiABQJMTL/xAAVAQEBAAAAAAAAAAAAAAAAAAAABv/EACMRAAECBQMFAAAAAAAAAAAAAAECEQMEBQYhABIxFRZhgeH/2gAMAwEAAhEDEQA/ABSm"
+    "0mobc8HmExLUlRzzEWPkJWW+ulrsaUVAseUgslSlH9LKuPryIKuWPZdskzXmm3fX5m2nF4GlVxx/HOpx4ks51+MiU/Iaad7UcUo4tILoS4kqcWkezS0hO/HvuRp0rO6hWnWO1UisZVuF"
+    "i4GFeyEpmGepa5S5SWVPuciFKRFLgSrwetnyPIB+Vb4N9mKhQMzo5po9XLdDs9d6ZVix2VEhiL9kuNPxw2gEKcDQ/rs8AuA8VAe0vdl7VOYn+27flGAUgmITjbhSmCg3BYlyeWDkMolv"
+    "w4KOp1KM6iCNvngZHwetf//Z"
+)
+
+
+def test_jpeg_reads_an_outside_encoder():
+    # mean luminance of the four blocks of the same picture in python.png: 87.83, 78.70, 108.12, 111.88
+    assert [(w, h, x.tolist()) for w, h, x in jpeg.read([OUTSIDE])] == [(16, 16, [88, 79, 108, 112])]
+
+
+def encoded(rng: random.Random, width: int, height: int, factors: list[tuple[int, int]], interval: int, apart: bool = False) -> tuple[bytes, list[int]]:
+    """A baseline stream with random DC and AC values, written bit by bit, and the samples that its luminance must give."""
+    dc, ac = list(range(12)), [0, 0xF0, 0x01, 0x12, 0x23, 0x35, 0x61, 0xA4]
+    counts = {0: [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], 1: [0, 1, 2, 2, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0]}
+    codes = {k: jpeg._codes(counts[k], x) for k, x in ((0, dc), (1, ac))}
+    most = (max(h for h, _ in factors), max(v for _, v in factors))
+    full = (-(-width // (8 * most[0])), -(-height // (8 * most[1])))
+    seen: dict[tuple[int, int], int] = {}
+
+    def block(part: int, x: int, y: int, before: list[int]) -> str:
+        value = rng.randint(-200, 200)
+        if part == 0:
+            seen[y, x] = value
+        d = value - before[part]
+        before[part] = value
+        size = abs(d).bit_length()
+        out = [format(codes[0][size][0], f"0{codes[0][size][1]}b"), format(d if d > 0 else d + (1 << size) - 1, f"0{size}b") if size else ""]
+        left = 63
+        while left > 0:
+            symbol = rng.choice([x for x in ac if x == 0 or (x >> 4) < left])
+            code, n = codes[1][symbol]
+            out.append(format(code, f"0{n}b") + "".join(rng.choice("01") for _ in range(symbol & 15)))
+            left -= 64 if symbol == 0 else (symbol >> 4) + 1
+        return "".join(out)
+
+    def scan(parts: list[int]) -> bytes:
+        if len(parts) == 1:
+            h, v = factors[parts[0]]
+            units = (-(-(-(-width * h // most[0])) // 8), -(-(-(-height * v // most[1])) // 8))
+            places = [(0, 0, 0)]
+        else:
+            units, places = full, [(k, x, y) for k in range(len(parts)) for y in range(factors[k][1]) for x in range(factors[k][0])]
+        out, bits, before = b"", "", [0] * len(factors)
+        for n in range(units[0] * units[1]):
+            for k, x, y in places:
+                h, v = factors[k] if len(parts) > 1 else (1, 1)
+                bits += block(parts[k], n % units[0] * h + x, n // units[0] * v + y, before)
+            last = n + 1 == units[0] * units[1]
+            if last or interval and (n + 1) % interval == 0:
+                bits += "1" * (-len(bits) % 8)
+                out += int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+                if not last:
+                    out += bytes([0xFF, 0xD0 + (n + 1) // interval % 8 - 1 if (n + 1) // interval % 8 else 0xD7])
+                bits, before = "", [0] * len(factors)
+        return jpeg._segment(0xDA, bytes([len(parts), *(x for k in parts for x in (k + 1, 0)), 0, 63, 0])) + out
+
+    head = b"\xff\xd8" + jpeg._segment(0xFE, b"a comment") + jpeg._segment(0xDB, b"\0" + bytes([4] * 64))
+    frame = struct.pack(">BHHB", 8, height, width, len(factors)) + b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(factors))
+    tables = b"".join(jpeg._segment(0xC4, bytes([k << 4, *counts[k], *x])) for k, x in ((0, dc), (1, ac)))
+    everyone = list(range(len(factors)))
+    data = head + jpeg._segment(0xC0, frame) + tables + (jpeg._segment(0xDD, struct.pack(">H", interval)) if interval else b"")
+    data += b"".join(scan([k]) for k in everyone) if apart else scan(everyone)
+    samples = [seen[y, x] for y in range(-(-height // 8)) for x in range(-(-width // 8))]
+    return data + b"\xff\xff\xd9", [min(255, max(0, round(x * 4 / 8) + 128)) for x in samples]
+
+
+def test_jpeg_reads_colour_and_ac_codes(spark):
+    rng = random.Random(11)
+    shapes = [([(1, 1)], False), ([(2, 2)], False), ([(1, 1)] * 3, False), ([(2, 1), (1, 1), (1, 1)], False), ([(2, 2), (1, 1), (1, 1)], False), ([(2, 2), (1, 1), (1, 1)], True), ([(1, 2), (1, 1), (1, 2)], False)]
+    images = [(w, h, *encoded(rng, w, h, factors, interval, apart)) for factors, apart in shapes for w, h in ((1, 1), (33, 17), (40, 56)) for interval in (0, 2)]
+    got = jpeg.read([x for _, _, x, _ in images])
+    assert [(w, h, x.tolist()) for w, h, x in got] == [(w, h, x) for w, h, _, x in images]
+    broken = [images[4][2][:-9], images[4][2].replace(b"\xff\xc0", b"\xff\xc2"), b"", b"text", OUTSIDE[:300], OUTSIDE.replace(bytes([1, 0x22, 0, 2]), bytes([82, 0x22, 0, 71]))]
+    for data in broken:
+        with pytest.raises(ValueError):
+            jpeg.read([data])
+    streams = [*enumerate(x for _, _, x, _ in images), (100, None), *enumerate(broken, 101), (5, images[5][2])]
+    rows = jpeg.described(spark.createDataFrame([(d, x, "x") for d, x in streams], "doc_id long, media binary, width string").repartition(3)).collect()
+    assert len(rows) == len(streams) and sum(r["doc_id"] == 5 for r in rows) == 2
+    for r in rows:
+        if r["doc_id"] >= 100:
+            assert tuple(r)[1:] == (None,) * 4
+        else:
+            w, h, _, x = images[r["doc_id"]]
+            assert (r["width"], r["height"], list(r["thumbnail"]), r["feature"]) == (w, h, x, jpeg.feature(w, h, np.array(x, np.uint8)))
+    own = np.frombuffer(rng.randbytes(64 * 21), np.uint8)
+    assert jpeg.features(own, np.array([21])) == [jpeg.feature(512, 168, own)]
+    assert not jpeg.described(spark.createDataFrame([], "doc_id long, media binary")).collect()
+
+
 def test_quality(docs):
     got = by_id(quality.query(docs))
     lines_of = lambda text: {" ".join(WORD.findall(x.translate(LOWER))) for x in (text or "").split("\n")} - {""}
