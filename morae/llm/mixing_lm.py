@@ -91,7 +91,8 @@ class Online:
     """One online pass over events (place: inputs x events, the slots; bit: events): mixing weights, slot counts, and how often
     each bit came where the mixer said what."""
 
-    def __init__(self, slots: int, inputs: int):
+    def __init__(self, slots: int, inputs: int, dense: int = 0):
+        self.dense = dense  # slots that the first input has to itself
         self.counts = np.zeros(slots, np.int64)  # a 0's count in the low half, a 1's in the high
         self.weights = np.full((inputs, inputs), 0.4, np.float32)
         self.refined = np.zeros((2, inputs, STEPS), np.int64)
@@ -103,9 +104,17 @@ class Online:
                 self._learn(place[:, a : a + BATCH], bit[a : a + BATCH])
             self.mass += len(bit)
         self.turn += 1
-        key = np.sort((place * 2 + bit).astype(np.int32).ravel())
+        counts, hashed = self.counts.view(np.int32), place
+        if self.dense:  # few slots are counted, many sorted
+            counts[: 2 * self.dense] += np.bincount(place[0] * 2 + bit, minlength=2 * self.dense).astype(np.int32)
+            hashed = place[1:]
+        key = np.empty(hashed.shape, np.int32)
+        np.multiply(hashed, 2, out=key, casting="unsafe")
+        key += bit
+        key = key.ravel()
+        key.sort()
         at = np.flatnonzero(c.first_of_group(key)) if len(key) else np.zeros(0, np.int64)
-        self.counts.view(np.int32)[key[at]] += np.diff(np.append(at, len(key))).astype(np.int32)
+        counts[key[at]] += np.diff(np.append(at, len(key))).astype(np.int32)
 
     def _learn(self, place: np.ndarray, y: np.ndarray) -> None:
         n = self.counts.take(place)
@@ -437,7 +446,7 @@ def fit(docs: DataFrame, code: Code, common: np.ndarray, kind: np.ndarray) -> tu
     extra = 2 * (MATCHES + 1)
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner, matches = Online(*MIXED), np.zeros(extra, np.int64)
+        learner, matches = Online(*MIXED, dense=CLASSES * LEAVES), np.zeros(extra, np.int64)
         for batch in batches:
             for part in c.slices(batch.filter(pa.array(~held_out(c.numbers(batch, "doc_id")))), limit=STREAM):
                 t = Tokens(c.words(c.column(part, "text"), lower=True), common, kind)
