@@ -52,9 +52,9 @@ STEPS = 33  # of the refining table, over log odds from -8 to 8
 MATCHES = 3  # states of what followed before: the last one failed, held, the last two held
 DISCOUNT, SHARED = 0.5, 0.03
 SHARES = (0.1, 0.5, 0.9)  # of the mixer in a token's probability
-SLICE = 1 << 20
+SLICE = 1 << 18
 STREAM = 1 << 18  # bytes of running text that are modelled at once
-EVENTS = 1 << 15  # tokens whose bits are spread out at once
+EVENTS = 1 << 13  # tokens whose bits are spread out at once: what stays in a core's cache
 LEARN = 4  # weights and refining tables learn from every so manieth of these (counts take in all)
 HELD_OUT = 10  # crc32(doc_id as text) modulo this
 END = np.uint64(c.MIX[1])  # hash of the end token
@@ -224,8 +224,11 @@ class Tokens:
         self.kind = (votes[:-1] - votes[self.first]).argmax(1)
         # what followed the two words before, where the text had them last
         key = self.contexts[-1] ^ c.mix(self.row.astype(np.uint64), 84)
-        order = np.argsort(key, kind="stable")
-        again = np.flatnonzero(key[order][1:] == key[order][:-1]) + 1
+        low = np.uint64(len(at).bit_length())  # a place's bits, under as many of the key as are left
+        key = np.sort((key >> low << low) | at.view(np.uint64))
+        order = (key & np.uint64((1 << int(low)) - 1)).view(np.int64)
+        key >>= low
+        again = np.flatnonzero(key[1:] == key[:-1]) + 1
         before = np.full(len(at), -1)
         before[order[again]] = order[again - 1]
         self.hit = (before >= 0) & (self.hash[before] == self.hash)
