@@ -603,7 +603,8 @@ def score(df: DataFrame) -> DataFrame:
     model = df.sparkSession.sparkContext.broadcast(scorer)  # fixed size
 
     both = c.mapped(docs, _sealed, "block long, texts binary").unionByName(packed, allowMissingColumns=True)
-    sorted_ = both.repartition(c.buckets(df, 16), "block").sortWithinPartitions("block", F.col("texts").isNotNull())
+    # few blocks share a task
+    sorted_ = both.repartition(c.buckets(df, 4), "block").sortWithinPartitions("block", F.col("texts").isNotNull())
     scale = np.log10(total + 0.1 * (distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
