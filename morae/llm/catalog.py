@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
-def _query(module: str, function: str, source: str = "documents") -> Callable[[SparkSession, str], DataFrame]:
+def _query(module: str, function: str, *sources: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return getattr(import_module(f"{__package__}.{module}"), function)(table(spark, sf_dir, source))
+        return getattr(import_module(f"{__package__}.{module}"), function)(*(table(spark, sf_dir, x) for x in sources or ("documents",)))
 
     return query
 
@@ -33,6 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": _query("html_crf", "query", "pages"),
         "op9_substring_dedup": _query("substrings", "query"),
         "op10_ngram_jaccard": _query("jaccard", "query"),
+        "op11_quality_classifier": _query("quality_net", "query", "documents", "labels"),
+        "op12_spelling_variants": _query("spelling", "query"),
+        "op13_centroid_clustering": _query("centroids", "query", "embeddings"),
         "pipeline": _pipeline,
     }
 

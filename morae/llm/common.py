@@ -48,7 +48,7 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def _shared(spark: SparkSession) -> str:
+def shared(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir that checkpoints go to. Where it is unset, a local session gets a folder of its own; a
     cluster has to name one that all its nodes share."""
     sc = spark.sparkContext
@@ -62,13 +62,13 @@ def _shared(spark: SparkSession) -> str:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint."""
-    _shared(df.sparkSession)
+    shared(df.sparkSession)
     return df.checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
     """A table written as Parquet in the shared folder, which the caller of the result goes on reading."""
-    path = f"{_shared(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = f"{shared(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -77,7 +77,7 @@ def written(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> Iterator[DataFrame]:
     """A table written in the shared folder for as long as the block needs it: columnar, so smaller than a checkpoint."""
     spark = df.sparkSession
-    path = f"{_shared(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     try:
         yield spark.read.parquet(path)

@@ -1,5 +1,5 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from . import licenses, quality
+from . import centroids, licenses, quality
 
-SQL: dict[str, str] = {"op1_license_scans": licenses.sql(), "op2_quality_rules": quality.sql()}
+SQL: dict[str, str] = {"op1_license_scans": licenses.sql(), "op2_quality_rules": quality.sql(), "op13_centroid_clustering": centroids.sql()}
