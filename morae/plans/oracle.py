@@ -247,6 +247,47 @@ def coloured(expr: str) -> str:
 PLACED = r"""array_to_string(list_transform(regexp_extract_all(translate(word, '_^', ''), '\p{L}\p{M}*|[^\p{L}]'), lambda l, i: l || coalesce(list_filter(string_split(spec, ','), lambda m: regexp_matches(m, '^[_^][0-9]+$') AND TRY_CAST(substr(m, 2) AS INT) = i)[1][1], '')), '')"""
 CHUNK = r"""substr(text, 1, k) || regexp_extract(substr(text, k + 1), '^\p{L}*')"""
 
+def cleaned(word: str) -> str:
+    """Without marks in diphthongs."""
+    own = syllables(word)
+    clean = f"array_to_string(list_transform({own}, lambda s: CASE WHEN {marked_diphthong('s')} THEN translate(s, '_^', '') ELSE s END), '')"
+    return f"(CASE WHEN {marked_diphthong(word)} AND array_to_string({own}, '') = {word} THEN {clean} ELSE {word} END)"
+
+
+def rivals() -> str:
+    """One step for each kind of rewriting: its word is taken if it leaves less open than what there is."""
+    cut, last = "substr(word, 1, length(word) - 1)", "right(word, 1)"
+    graved, acute = f"{cut} || translate({last}, 'αειουηω', 'ὰὲὶὸὺὴὼ')", f"{cut} || translate({last}, 'αειουηω', 'άέίόύήώ')"
+    n = "length(word) % 4"
+    first, all_ = sub("form", "^([^αιυάίύ]*)([αιυάίύ])", "$1$2@"), sub("form", "([αιυάίύ])", "$1@")
+    left = open_dichrona
+    known = f"(CASE WHEN {left('token')} > 0 THEN coalesce(marked, token) ELSE token END)"  # what leaves nothing open isn't looked up
+    sql = f"""WITH {W}, k AS MATERIALIZED (SELECT DISTINCT word FROM w WHERE {like('word', '^[α-ω]{4,}$')}),
+t AS (SELECT DISTINCT CASE {n} WHEN 0 THEN {cut} || chr(39) WHEN 1 THEN {CAP(f'({cut})')} || chr(39) WHEN 2 THEN {CAP(f'({graved})')} ELSE {CAP('word')} || 'ου' END AS token, {n} = 3 AS genitive FROM k),
+f AS (SELECT DISTINCT unnest(CASE {n} WHEN 0 THEN [{cut} || 'ε', {cut} || 'ι'] WHEN 1 THEN [{CAP(f'({cut})')} || 'ε', {CAP(f'({cut})')} || 'ι', {cut} || chr(39)] WHEN 2 THEN [{CAP(f'({acute})')}, {graved}] ELSE [{CAP('word')} || 'ος', word || 'ου'] END) AS form FROM k),
+lex AS MATERIALIZED (SELECT form, replace(CASE WHEN length(form) % 3 = 0 THEN {first} ELSE {all_} END, '@', CASE WHEN length(form) % 2 = 0 THEN '^' ELSE '_' END) AS marked FROM f
+WHERE (length(form) + length(replace(form, 'α', '')) + length(replace(form, 'ε', ''))) % 3 <> 0),
+s0 AS MATERIALIZED (SELECT token, genitive, {known} AS marked, {left(known)} AS o, CASE WHEN {left(known)} < {left('token')} THEN ['lsj'] ELSE []::VARCHAR[] END AS hits FROM t LEFT JOIN lex ON token = form)"""
+    shorter = "regexp_replace(a, '[^_^][_^]?$', '')"
+    carried = f"array_to_string(list_transform(list_zip({CELL.format('a')}, string_split(token, '')), lambda z: z[2] || substr(z[1], 2)), '')"
+    elided, stem = "right(token, 1) = chr(39)", "left(token, length(token) - 1)"
+    kinds = [
+        ("elision_ε", elided, f"{stem} || 'ε'", f"{shorter} || chr(39)"),
+        ("elision_ι", f"{elided} AND NOT list_contains(hits, 'elision_ε')", f"{stem} || 'ι'", f"{shorter} || chr(39)"),
+        ("ending", "genitive", f"{stem} || 'ς'", f"{shorter} || 'υ'"),
+        ("oxytone", like("right(token, 2)", f"[{p.GRAVES}]"), f"left(token, length(token) - 2) || {mapped('right(token, 2)', p.GRAVE_TO_ACUTE)}", carried),
+        ("capital", f"{DECAP('token')} <> token", DECAP("token"), carried),
+    ]
+    union = f"array_to_string(list_transform(list_zip({CELL.format('r')}, {CELL.format('marked')}), lambda z: CASE WHEN length(z[1]) > 1 THEN z[1] ELSE z[2] END), '')"
+    for k, (kind, when, variant, restored) in enumerate(kinds):
+        sql += f""", v{k} AS (SELECT *, CASE WHEN o > 0 AND {when} THEN {variant} END AS v FROM s{k}),
+a{k} AS (SELECT v{k}.* EXCLUDE (v), CASE WHEN {left('v')} > 0 THEN {cleaned('coalesce(lex.marked, v)')} ELSE v END AS a FROM v{k} LEFT JOIN lex ON v = form),
+r{k} AS (SELECT * EXCLUDE (a), CASE WHEN a IS NOT NULL THEN {restored} END AS r FROM a{k}),
+m{k} AS (SELECT * EXCLUDE (r), CASE WHEN r IS NULL OR {STRIP.format('r')} <> {STRIP.format('marked')} THEN marked ELSE {union} END AS x FROM r{k}),
+s{k + 1} AS MATERIALIZED (SELECT token, genitive, CASE WHEN {left('x')} < o THEN x ELSE marked END AS marked, least(o, {left('x')}) AS o, CASE WHEN {left('x')} < o THEN list_append(hits, {q(kind)}) ELSE hits END AS hits FROM m{k})"""
+    return sql + f", z AS (SELECT token, {cleaned('marked')} AS marked, hits FROM s{len(kinds)}) SELECT token, marked, array_to_string(hits, ',') AS hits, {left('token')} AS open_before, {left('marked')} AS open_after FROM z"
+
+
 CLASS_SENT = f"([{p.DICHRONA}])([{p.CONSONANTS}]?[.])$"
 FIRST_DIFF = "coalesce(list_position(list_transform(list_zip(string_split(a, ''), string_split(b, '')), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false), 0)"
 DEFECT = f"""CASE WHEN regexp_matches(form, '[_^]') THEN 'mark_in_key' WHEN regexp_matches(form, '[A-Za-z]') OR regexp_matches(marked, '[A-Za-z]') THEN 'latin_letter'
@@ -366,5 +407,6 @@ SELECT doc_id, a = b AS intact, {FIRST_DIFF}::BIGINT AS first_diff, length(b) -
     "html_span_extract": "WITH s AS (SELECT page_id, regexp_extract_all(html, '<a\\b[^>]*>([^<]*)</a>', 1) AS s FROM pages) SELECT page_id, len(s) AS n, coalesce(s[1], '') AS first FROM s",
     "json_definition": "SELECT event_id, json_extract_string(props, '$.k') AS value FROM events",
     "bracket_extract": "WITH s AS (SELECT doc_id, translate(text, ',.', '[]') AS s FROM documents) SELECT doc_id, nullif(regexp_extract(s, '\\[([^\\]]+)\\]', 1), '') AS out FROM s",
+    "guarded_rewriting": rivals(),
     "cached_annotations": f"""WITH {G}, k AS (SELECT doc_id, array_to_string(string_split(text, ' ')[1:2], '-') || '-' || sha256(text) AS key FROM g) SELECT doc_id, key FROM k WHERE key NOT IN (SELECT key FROM k WHERE doc_id % 4 = 0)""",
 }

@@ -393,6 +393,36 @@ def resolved_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("token", "lemma", "marked", F.array_join("hits", ",").alias("hits"), "open_before", "open_after")
 
 
+def rival_tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct words of the corpus as tokens that ask for rewriting (token, lemma, pos, morph), and a lexicon (form, marked) that knows
+    two of three of their rival variants. Elided words, elided ones with a capital, capitals with a grave, genitives with a capital."""
+    n, w = F.char_length("word"), c("word")
+    known = words(spark, sf_dir).select("word").distinct().where(w.rlike("^[α-ω]{4,}$"))
+    cut, cap = F.substr(w, F.lit(1), n - 1), lexicon.capitalized
+    last = lambda accents: F.concat(cut, F.translate(F.right(w, F.lit(1)), "αειουηω", accents))
+    graved, acute = last("ὰὲὶὸὺὴὼ"), last("άέίόύήώ")
+    token = F.when(n % 4 == 0, F.concat(cut, F.lit("'"))).when(n % 4 == 1, F.concat(cap(cut), F.lit("'"))).when(n % 4 == 2, cap(graved)).otherwise(F.concat(cap(w), F.lit("ου")))
+    genitive = n % 4 == 3
+    tokens = known.select(token.alias("token"), F.when(genitive, F.concat(w, F.lit("ος"))).otherwise("").alias("lemma"), F.when(genitive, "NOUN").otherwise("X").alias("pos"), F.when(genitive, x.GENITIVE).otherwise("").alias("morph")).distinct()
+    forms = F.when(n % 4 == 0, F.array(F.concat(cut, F.lit("ε")), F.concat(cut, F.lit("ι")))).when(n % 4 == 1, F.array(F.concat(cap(cut), F.lit("ε")), F.concat(cap(cut), F.lit("ι")), F.concat(cut, F.lit("'"))))
+    forms = forms.when(n % 4 == 2, F.array(cap(acute), graved)).otherwise(F.array(F.concat(cap(w), F.lit("ος")), F.concat(w, F.lit("ου"))))
+    own = known.select(F.explode(forms).alias("form")).distinct()
+    size, without = F.char_length("form"), lambda ch: F.char_length(F.replace("form", F.lit(ch), F.lit("")))
+    own = own.where((size + without("α") + without("ε")) % 3 != 0)
+    mark = F.when(size % 2 == 0, "^").otherwise("_")
+    spelled = F.when(size % 3 == 0, F.regexp_replace("form", "^([^αιυάίύ]*)([αιυάίύ])", "$1$2@")).otherwise(F.regexp_replace("form", "([αιυάίύ])", "$1@"))
+    return tokens, own.select("form", F.replace(spelled, F.lit("@"), mark).alias("marked"))
+
+
+def guarded_rewriting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rewriting makes of them, one level deep: which rival is taken shows in the marks and the hits."""
+    tokens, lex = rival_tokens(spark, sf_dir)
+    own = tokens.withColumn("morph", rules.parse_morph(c("morph")))
+    stages = [s for s in cascade.STAGES if s.name == "lsj"]
+    out = cascade.resolve(own, cascade.Lexica(lsj=lex), cascade.EngineConfig(rounds=1), stages)
+    return out.select("token", "marked", F.array_join("hits", ",").alias("hits"), "open_before", "open_after")
+
+
 def annotate_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tag-free cascade over the distinct words of the corpus, joined back into every text, with coverage."""
     own = docs(spark, sf_dir)
@@ -435,5 +465,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     golden = {"bracket_move": evaluate.brackets_filled, "gold_plain": evaluate.plain, "syllable_extract": joined(lambda s: s), "closed_syllable_clean": joined(evaluate.closed_unmarked), "all_short_baseline": joined(evaluate.all_short), "all_short_count": lambda line: evaluate.open_count(evaluate.syllables(line)), "gold_stripped": evaluate.stripped_gold, "stop_word_unmark": lambda line: F.array_join(evaluate.stop_words_unmarked(F.split(line, " "), x.STOP_GOLD), " ")}
     own |= {name: partial(on_gold, build) for name, build in golden.items()}
     own |= {"alignment_score": partial(scored, evaluate.alignment), "backward_score": partial(scored, evaluate.backward)}
-    plain = [coverage_by_lang, corpus_rollup, coverage_without_names, sentence_filter, drop_reason_counts, stopword_anti_join, tokenizer_semi_join, ionic_semi_join, lexicon_left_join, lexicon_case_variants, lexicon_two_key, lexicon_disambiguate_first, lexicon_build_last_wins, prefix_longest_match, elision_variants, decapitalize_lookup, oxytone_lookup, ending_rewrite, context_particle, next_word_openness, occurrence_align, integrate_text, integrity_check, residue_rank, residue_keep_first, module_share, residue_merge_runs, top_pos, pos_baseline, stats_pivot, reconcile, even_batches, chunk_ids, char_inventory, line_match_rate, success_rates, traffic_light, html_span_extract, json_definition, bracket_extract, tei_extract, cached_annotations, resolved_tokens, annotate_corpus, place_marks, ambiguous_coverage, even_chunks, first_column, macronize_corpus]
+    plain = [coverage_by_lang, corpus_rollup, coverage_without_names, sentence_filter, drop_reason_counts, stopword_anti_join, tokenizer_semi_join, ionic_semi_join, lexicon_left_join, lexicon_case_variants, lexicon_two_key, lexicon_disambiguate_first, lexicon_build_last_wins, prefix_longest_match, elision_variants, decapitalize_lookup, oxytone_lookup, ending_rewrite, context_particle, next_word_openness, occurrence_align, integrate_text, integrity_check, residue_rank, residue_keep_first, module_share, residue_merge_runs, top_pos, pos_baseline, stats_pivot, reconcile, even_batches, chunk_ids, char_inventory, line_match_rate, success_rates, traffic_light, html_span_extract, json_definition, bracket_extract, tei_extract, cached_annotations, resolved_tokens, guarded_rewriting, annotate_corpus, place_marks, ambiguous_coverage, even_chunks, first_column, macronize_corpus]
     return own | {f.__name__: f for f in plain}
