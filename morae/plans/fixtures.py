@@ -23,7 +23,6 @@ TAGGED = [
     ("φύσις", "φύσις", "NOUN", "Case=Nom|Gender=Fem|Number=Sing"), ("Φύσις", "φύσις", "NOUN", "Case=Nom|Gender=Fem|Number=Sing"), ("κακὸς", "κακός", "ADJ", "Case=Nom|Gender=Masc|Number=Sing"), ("x", "", "", ""),
 ]
 GOLD = [("a.txt", 1, "[κα_λὰ^ς] {λό}[γους]"), ("a.txt", 2, "x{ἀ^}να[στὰ^ς]# {τὸ} [πρῶ]{τον}€."), ("b.txt", 1, "{θύ^}ρ[αν_] καὶ {ἀ^}[γα_]θά"), ("b.txt", 2, ""), ("b.txt", 3, "no brackets")]
-TEI = [(1, "<TEI xmlns='http://www.tei-c.org/ns/1.0'><text><body><p>α<hi>β</hi> γ</p><p><label type='head'>no</label>δ</p><lg><l>ε ζ </l><l> η</l></lg></body></text></TEI>"), (2, "<TEI><text><body><p> </p><l>θ &amp; ι</l></body></text></TEI>"), (3, "<TEI/>")]
 PROP = "k"
 GENITIVE = "Case=Gen|Gender=Masc|Number=Sing"
 LATIN_BOTH = "abgdezhiklmnopcrstufxywABGDEZHIKLMNOPCRSTUFXYW"

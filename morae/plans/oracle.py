@@ -288,6 +288,12 @@ s{k + 1} AS MATERIALIZED (SELECT token, genitive, CASE WHEN {left('x')} < o THEN
     return sql + f", z AS (SELECT token, {cleaned('marked')} AS marked, hits FROM s{len(kinds)}) SELECT token, marked, array_to_string(hits, ',') AS hits, {left('token')} AS open_before, {left('marked')} AS open_after FROM z"
 
 
+TRIMMED = lambda e: sub(e, f"^{SPACES}|{SPACES}$", "")
+TEI = f"""WITH a AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '[\\x00-\\x09\\x0b-\\x1f\\x{{fffe}}\\x{{ffff}}]', '', 'g'), chr(10)), lambda s, i: {{'s': s, 'k': (i - 1) % 6}}) AS l FROM documents),
+b AS (SELECT doc_id, flatten(list_transform(list_filter(l, lambda e: e.k NOT IN (3, 5)), lambda e: CASE WHEN e.k = 1 THEN [{TRIMMED("(e.s || 'x')")}, 'x'] ELSE [{TRIMMED('e.s')}] END)) AS p, list_transform(list_filter(l, lambda e: e.k = 5), lambda e: {TRIMMED('e.s')}) AS v FROM a),
+c AS (SELECT doc_id, array_to_string(list_filter(list_concat(p, v), lambda s: s <> ''), ' ') AS text FROM b) SELECT doc_id, length(text) AS n, md5(text) AS digest, NULL::VARCHAR AS problem FROM c"""
+
+
 CLASS_SENT = f"([{p.DICHRONA}])([{p.CONSONANTS}]?[.])$"
 FIRST_DIFF = "coalesce(list_position(list_transform(list_zip(string_split(a, ''), string_split(b, '')), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false), 0)"
 DEFECT = f"""CASE WHEN regexp_matches(form, '[_^]') THEN 'mark_in_key' WHEN regexp_matches(form, '[A-Za-z]') OR regexp_matches(marked, '[A-Za-z]') THEN 'latin_letter'
@@ -408,5 +414,6 @@ SELECT doc_id, a = b AS intact, {FIRST_DIFF}::BIGINT AS first_diff, length(b) -
     "json_definition": "SELECT event_id, json_extract_string(props, '$.k') AS value FROM events",
     "bracket_extract": "WITH s AS (SELECT doc_id, translate(text, ',.', '[]') AS s FROM documents) SELECT doc_id, nullif(regexp_extract(s, '\\[([^\\]]+)\\]', 1), '') AS out FROM s",
     "guarded_rewriting": rivals(),
+    "tei_extract": TEI,
     "cached_annotations": f"""WITH {G}, k AS (SELECT doc_id, array_to_string(string_split(text, ' ')[1:2], '-') || '-' || sha256(text) AS key FROM g) SELECT doc_id, key FROM k WHERE key NOT IN (SELECT key FROM k WHERE doc_id % 4 = 0)""",
 }

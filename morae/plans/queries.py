@@ -13,7 +13,7 @@ from ..functions import marks, phonology
 from ..functions import profile as p
 from ..functions import text as t
 from ..operators import assemble, cascade, evaluate, lexicon, macronize, report, rewrite, rules
-from ..sources import readers
+from ..sources import readers, tei
 from . import fixtures as x
 
 c = F.col
@@ -374,8 +374,31 @@ def bracket_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", readers.first_bracket(c("s")).alias("out"))
 
 
+def tei_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, xml: the documents as editions. Lines are paragraphs, plain, with a paragraph and a comment inside, as CDATA, under a head label, with
+    numeric references, or verse lines in turn."""
+    text = F.regexp_replace("text", r"[\x00-\x09\x0b-\x1f\x{fffe}\x{ffff}]", "")
+    escaped = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def element(line: Column, i: Column) -> Column:
+        of = lambda before, inner, after: F.concat(F.lit(before), inner, F.lit(after))
+        raw = F.replace(F.replace(F.replace(line, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+        return (
+            F.when(i % 6 == 0, of("<p n='1'>", line, "</p>"))
+            .when(i % 6 == 1, of("<p>", line, "<q><p>x</p></q><!-- <p> & --></p>"))
+            .when((i % 6 == 2) & ~raw.contains("]]>"), of("<div><p><![CDATA[", raw, "]]></p></div>"))
+            .when(i % 6 == 3, of('<p><label type="head">h</label>', line, "</p>"))
+            .when(i % 6 == 5, of("<lg><l>", line, "</l></lg>"))
+            .otherwise(of("<p><hi>", F.replace(line, F.lit("e"), F.lit("&#x65;")), "</hi></p>"))
+        )
+
+    body = F.array_join(F.transform(F.split(escaped, "\n"), element), "\n")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><p>no</p></teiHeader><text><front><p>no</p></front><body>'), body, F.lit("</body></text></TEI>")).alias("xml"))
+
+
 def tei_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, x.TEI, "id long, xml string").select("id", readers.tei_text(c("xml")).alias("out"))
+    own = tei_documents(spark, sf_dir).select("doc_id", tei.tei_text(c("xml")).alias("t"))
+    return own.select("doc_id", F.length("t.text").cast("long").alias("n"), F.md5(c("t.text").cast("binary")).alias("digest"), "t.problem")
 
 
 def cached_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:

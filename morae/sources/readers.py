@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lines
+
 
 def text_file(spark: SparkSession, path: str) -> DataFrame:
     """file, text: whole files."""
@@ -16,9 +18,8 @@ def text_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_folder(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
-    """file, line_no, line of all files of a folder. Lines are numbered within their file, so no global order is needed."""
-    whole = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
-    return whole.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    """file, line_no, line of all files of a folder."""
+    return lines.numbered(spark, path, pattern).withColumn("file", F.substring_index("file", "/", -1))
 
 
 def lines_from(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
@@ -26,20 +27,6 @@ def lines_from(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
     return text_folder(spark, path, "*").where(F.col("line_no") >= start)
 
 
-def tei_text(xml: Column) -> Column:
-    """Body paragraphs without a head label, then verse lines: element texts, trimmed, joined by a space.
-
-    Text nodes of an element are put together by turning the element's inner tags into nothing first.
-    """
-    body = F.regexp_extract(xml, r"(?s)<(?:\w+:)?body\b[^>]*>(.*)</(?:\w+:)?body>", 1)
-    element = lambda name: F.regexp_extract_all(body, F.lit(rf"(?s)<(?:\w+:)?{name}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{name}>"), F.lit(1))
-    paragraphs = F.filter(element("p"), lambda x: ~x.rlike(r"""(?s)^[^<]*(?:<(?!(?:\w+:)?label)[^>]*>[^<]*)*<(?:\w+:)?label[^>]*type=["']head["']"""))
-    flat = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", ""), r"^\s+|\s+$", ""))
-    unescaped = lambda x: F.replace(F.replace(F.replace(F.replace(F.replace(x, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
-    all_ = F.transform(F.concat(paragraphs, element("l")), lambda x: unescaped(flat(x)))
-    return F.array_join(F.filter(all_, lambda x: x != ""), " ")
-
-
 def spans(html: Column, name: str = "span") -> Column:
     """Texts of an element's plain occurrences in a page."""
     return F.regexp_extract_all(html, F.lit(rf"<{name}\b[^>]*>([^<]*)</{name}>"), F.lit(1))

@@ -99,11 +99,6 @@ def test_integration_by_occurrence(spark):
     assert got == {1: "a^b cd a_b. ab"}
 
 
-def test_tei(spark):
-    assert one(spark, readers.tei_text, fixtures.TEI[0][1]) == "αβ γ ε ζ η"
-    assert one(spark, readers.tei_text, "<TEI/>") == ""
-
-
 def test_scores(spark):
     assert one(spark, lambda a, b: evaluate.alignment(a, b)["correct"], "α^β", "α^β") == 1
     assert one(spark, lambda a, b: evaluate.backward(a, b)["correct"], "αβ", "α^β_") == 1
