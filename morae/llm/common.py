@@ -36,9 +36,10 @@ def documents(df: DataFrame, *keep: str | Column) -> DataFrame:
 
 
 def version() -> Column:
-    """Tells rows of one doc_id by their texts (null: empty). With doc_id it names a row wherever it is read; rows that are equal in
+    """Tells rows of one doc_id by 64 bits of their texts (null: empty) and lengths. With doc_id it names a row wherever it is read; rows that are equal in
     both share it, and their results."""
-    return F.hash(F.coalesce(F.col("text"), F.lit("")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return F.xxhash64(text, F.length(text))
 
 
 def fresh(name: str, taken: list[str]) -> str:
@@ -66,13 +67,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def place(spark: SparkSession) -> str:
+    """A path for a table in the shared folder."""
+    return f"{shared(spark)}/stage-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str = "") -> DataFrame:
     """A table written as Parquet in the shared folder, which the caller of the result goes on reading."""
-    path = f"{shared(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = path or place(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def stored(df: DataFrame) -> Iterator[DataFrame]:
     """A table written in the shared folder for as long as the block needs it: columnar, so smaller than a checkpoint."""
@@ -82,9 +93,7 @@ def stored(df: DataFrame) -> Iterator[DataFrame]:
     try:
         yield spark.read.parquet(path)
     finally:
-        jvm = spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        delete(spark, path)
 
 
 def buckets(df: DataFrame, mb: float) -> int:
@@ -96,7 +105,7 @@ def buckets(df: DataFrame, mb: float) -> int:
     size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
     if size >= 1 << 50:
         size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(12, min(1 << 20, round(size / (mb * 1e6))))
+    return max(12, min(1 << 30, round(size / (mb * 1e6))))
 
 
 # ---------------------------------------------------------------------------------------------------------------- bytes

@@ -39,10 +39,10 @@ SHINGLE = 5
 P, Q = 75, 100  # similarity
 RATIO = 1.7  # between the bands' bounds
 LEVELS = 64  # more sets of hashes than this are never needed
-KEYS = pa.schema([("bucket", pa.int64()), ("payload", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("ver", pa.list_(pa.int32())), ("n", pa.list_(pa.int64())), ("node", pa.list_(pa.int64())), ("unsafe", pa.list_(pa.bool_())), ("sketch", pa.list_(pa.binary()))])
-KEYS_DDL = "bucket long, payload binary, doc_id array<long>, ver array<int>, n array<long>, node array<long>, unsafe array<boolean>, sketch array<binary>"
-MET = pa.schema([("doc_id", pa.int64()), ("ver", pa.int32()), ("n", pa.int64()), ("node", pa.int64()), ("unsafe", pa.bool_()), ("sketch", pa.binary()), ("members", pa.list_(pa.int64())), ("a", pa.int64()), ("b", pa.int64())])
-MET_DDL = "doc_id long, ver int, n long, node long, unsafe boolean, sketch binary, members array<long>, a long, b long"
+KEYS = pa.schema([("bucket", pa.int64()), ("payload", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("ver", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("node", pa.list_(pa.int64())), ("unsafe", pa.list_(pa.bool_())), ("sketch", pa.list_(pa.binary()))])
+KEYS_DDL = "bucket long, payload binary, doc_id array<long>, ver array<long>, n array<long>, node array<long>, unsafe array<boolean>, sketch array<binary>"
+MET = pa.schema([("doc_id", pa.int64()), ("ver", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("unsafe", pa.bool_()), ("sketch", pa.binary()), ("members", pa.list_(pa.int64())), ("a", pa.int64()), ("b", pa.int64())])
+MET_DDL = "doc_id long, ver long, n long, node long, unsafe boolean, sketch binary, members array<long>, a long, b long"
 SMALL = 3  # a group of so many sets gives its pairs
 FILTER = 1 << 27  # flags, at most, of the filter that texts pass whose sets are asked for
 GROUP, FAMILY = 100_000, 64 << 20  # sets of a group, bytes of a family's sets, that one task compares

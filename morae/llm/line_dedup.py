@@ -37,10 +37,10 @@ T = 2
 MIN_CHARS = 32
 SLICE = 2 << 20
 HOT = 1000
-KEYS = pa.schema([("bucket", pa.int64()), ("payload", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("ver", pa.list_(pa.int32())), ("line_no", pa.list_(pa.int64())), ("line", pa.list_(pa.int64()))])
-KEYS_DDL = "bucket long, payload binary, doc_id array<long>, ver array<int>, line_no array<long>, line array<long>"
-MET = pa.schema([("doc_id", pa.int64()), ("ver", pa.int32()), ("line_no", pa.int64()), ("line", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-MET_DDL = "doc_id long, ver int, line_no long, line long, a long, b long"
+KEYS = pa.schema([("bucket", pa.int64()), ("payload", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("ver", pa.list_(pa.int64())), ("line_no", pa.list_(pa.int64())), ("line", pa.list_(pa.int64()))])
+KEYS_DDL = "bucket long, payload binary, doc_id array<long>, ver array<long>, line_no array<long>, line array<long>"
+MET = pa.schema([("doc_id", pa.int64()), ("ver", pa.int64()), ("line_no", pa.int64()), ("line", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+MET_DDL = "doc_id long, ver long, line_no long, line long, a long, b long"
 ENTRY = np.dtype([("key", "<u8"), ("line", "<i8"), ("sketch", "<u4"), ("probe", "u1")])
 
 
@@ -198,7 +198,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     while own:
         for a, b in _pairs(own.popitem()[1]):
             nothing = pa.nulls(len(a), pa.int64())
-            yield c.named(MET, doc_id=nothing, ver=pa.nulls(len(a), pa.int32()), line_no=nothing, line=nothing, a=a, b=b)
+            yield c.named(MET, doc_id=nothing, ver=pa.nulls(len(a), pa.int64()), line_no=nothing, line=nothing, a=a, b=b)
 
 
 def distances(pairs: list[tuple[str, str]], t: int = T) -> np.ndarray:
@@ -266,6 +266,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, wanted in zip(c.column(batch, "text").to_pylist(), c.column(batch, "wanted").to_pylist(), strict=True):
             own = text.split("\n")
             for x in wanted:
+                if x["line_no"] >= len(own):  # of another text, whose version is the same
+                    continue
                 names.append(x["line"])
                 texts.append(own[x["line_no"]].strip(" \t\n\v\f\r"))
         yield c.named(TEXTS, line=names, text=texts)
@@ -306,8 +308,8 @@ def links(df: DataFrame, bucket_mb: float = 8, least: int = MIN_CHARS) -> tuple[
 
 CLASS = pa.list_(pa.struct([("line_no", pa.int64()), ("class_doc_id", pa.int64()), ("class_line_no", pa.int64())]))
 CLASS_DDL = "array<struct<line_no: long, class_doc_id: long, class_line_no: long>>"
-CUT = pa.schema([("doc_id", pa.int64()), ("ver", pa.int32()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_long_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_links", pa.int64()), ("line_classes", CLASS)])
-CUT_DDL = "doc_id long, ver int, text string, n_lines long, n_long_lines long, n_removed long, kept_sha256 string, n_links long, line_classes " + CLASS_DDL
+CUT = pa.schema([("doc_id", pa.int64()), ("ver", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_long_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_links", pa.int64()), ("line_classes", CLASS)])
+CUT_DDL = "doc_id long, ver long, text string, n_lines long, n_long_lines long, n_removed long, kept_sha256 string, n_links long, line_classes " + CLASS_DDL
 
 
 def _cut(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -320,7 +322,7 @@ def _cut(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBat
             out: dict[str, list] = {x: [] for x in ("text", "n_lines", "n_long_lines", "n_removed", "kept_sha256")}
             for text, kept, a, b in zip(texts.to_pylist(), c.column(part, "kept").to_pylist(), edge, edge[1:], strict=False):
                 keep = ~judged[a:b]
-                keep[[] if kept is None else kept] = True
+                keep[[] if kept is None else [x for x in kept if x < b - a]] = True
                 if not keep.all():
                     text = "\n".join([x for x, y in zip(text.split("\n"), keep.tolist(), strict=True) if y])
                 out["text"].append(text)

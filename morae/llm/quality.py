@@ -5,7 +5,8 @@ Lines are normalised (A-Z lower-cased, words joined by one space) and hashed to
 one. A line is boilerplate where its frequency reaches `min_docs` and more than `max_share` of the host's documents, or `always`
 at any share. A few documents over the share are enough, so the limits act alike on hosts of every size. The host's first
 document that holds a boilerplate line (the least doc_id) keeps it, so that a group of near copies leaves one whole. A document is
-rejected if it fails the base rules, or if it is depleted: fewer than `min_left` of its words stand outside boilerplate lines.
+rejected if it fails the base rules, or if it is depleted: fewer words than the base rules ask for, or than `min_left` of its own, stand
+outside boilerplate lines.
 Frequencies count whole tables; a distinct document sends one row for each distinct line, and counts are combined on the map
 side, so a line that a third of all documents hold costs a row a task.
 
@@ -30,9 +31,10 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words in repeated windows
 MIN_DOCS, MAX_SHARE, MIN_LEFT, ALWAYS = 5, 0.05, 0.1, 1000
+HOT = 1000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("ver", pa.int32()), ("source", pa.string()), *((x, pa.int64()) for x in COUNTS), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
-DDL = "row long, doc_id long, ver int, source string, " + ", ".join(f"{x} long" for x in COUNTS) + ", lines array<long>, sizes array<long>"
+SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("ver", pa.int64()), ("source", pa.string()), *((x, pa.int64()) for x in COUNTS), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
+DDL = "row long, doc_id long, ver long, source string, " + ", ".join(f"{x} long" for x in COUNTS) + ", lines array<long>, sizes array<long>"
 SLICE = 2 << 20
 
 
@@ -111,13 +113,23 @@ def judge(df: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE,
     one = rows.groupBy("source", copies.alias("copies")).agg(F.min(F.struct("doc_id", "row")).alias("least")).select("source", F.col("least.row").alias("row"))
     hosts = one.groupBy("source").agg(F.count("*").alias("host_docs"))
     lines = rows.select("row", "doc_id", "source", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("row", "doc_id", "source", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
-    often = lines.join(one.select("row"), "row", "left_semi").groupBy("source", "line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= min(min_docs, always))
+    counted = lines.join(one.select("row", F.lit(True).alias("counts")), "row", "left")
+    often = counted.groupBy("source", "line").agg(F.count("counts").alias("n"), F.min(F.when(F.col("counts"), F.col("doc_id"))).alias("first"), F.count("*").alias("n_rows")).where(F.col("n") >= min(min_docs, always))
     share = (F.col("n") >= min_docs) & (F.col("n") > max_share * F.col("host_docs"))
-    often = often.join(hosts, "source").where(share | (F.col("n") >= F.lit(float(always)))).select("source", "line", "first")
-    hit = lines.join(c.checkpoint(often), ["source", "line"]).where("doc_id <> first").groupBy("row").agg(F.sum("size").alias("n_boilerplate_words"), F.collect_list("line").alias("boilerplate"))
+    often = often.join(hosts, "source").where(share | (F.col("n") >= F.lit(float(always)))).select("source", "line", "first", "n_rows")
+    hit = _meeting(lines, c.checkpoint(often)).where("doc_id <> first").groupBy("row").agg(F.sum("size").alias("n_boilerplate_words"), F.collect_list("line").alias("boilerplate"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     out = rows.drop("lines", "sizes").join(hit, "row", "left").withColumn("n_boilerplate_words", F.coalesce("n_boilerplate_words", F.lit(0)).cast("long")).withColumn("base_failed", base)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_boilerplate_words") >= min_left * F.col("n_words")))
+    left = F.col("n_words") - F.col("n_boilerplate_words")
+    return out.withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS) & (left >= min_left * F.col("n_words")))
+
+
+def _meeting(lines: DataFrame, often: DataFrame) -> DataFrame:
+    """Lines joined with boilerplate. Lines that hold over a HOTth of all rows, so HOT at most, are broadcast: no task gets all rows of one."""
+    most = lines.count() // HOT
+    hot = F.broadcast(often.where(F.col("n_rows") > most).select("source", "line", "first"))
+    rest = lines.join(hot.select("source", "line"), ["source", "line"], "left_anti").join(often.where(F.col("n_rows") <= most).select("source", "line", "first"), ["source", "line"])
+    return rest.unionByName(lines.join(hot, ["source", "line"]))
 
 
 def query(df: DataFrame) -> DataFrame:
@@ -149,7 +161,7 @@ hit AS (SELECT doc_id, sum(n)::BIGINT AS n_boilerplate_words FROM own JOIN often
 j AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_boilerplate_words, 0) AS n_boilerplate_words
   FROM base LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN hit USING (doc_id))
 SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed,
-  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words) AND n_words - n_boilerplate_words >= {MIN_LEFT}::DOUBLE * n_words AS kept FROM j
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words) AND n_words - n_boilerplate_words >= greatest({MIN_WORDS}, {MIN_LEFT}::DOUBLE * n_words) AS kept FROM j
 """
 
 

@@ -105,7 +105,7 @@ def _edges(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[
             for a, b in zip(cut, cut[1:], strict=False):
                 rows, start, size = (x[a:b] for x in whole)
                 docs, rows = np.unique(rows, return_inverse=True)
-                payloads.append(b"".join([np.array([len(docs), b - a], "<i8").tobytes(), ids[docs].astype("<i8").tobytes(), vers[docs].astype("<i4").tobytes(), rows.astype("<i4").tobytes(), start.astype("<i4").tobytes(), size.astype("<i4").tobytes(), six[begin[a] : begin[b]].tobytes()]))
+                payloads.append(b"".join([np.array([len(docs), b - a], "<i8").tobytes(), ids[docs].astype("<i8").tobytes(), vers[docs].astype("<i8").tobytes(), rows.astype("<i4").tobytes(), start.astype("<i4").tobytes(), size.astype("<i4").tobytes(), six[begin[a] : begin[b]].tobytes()]))
                 names.append(int(to[head[a]]))
             yield c.named(EDGES, bucket=names, payload=c.binary(payloads))
 
@@ -115,14 +115,14 @@ def _bucket(payloads: list[bytes]) -> dict[str, np.ndarray] | None:
     for raw in payloads:
         n, m = np.frombuffer(raw, "<i8", 2)
         ids = np.frombuffer(raw, "<i8", n, 16)
-        vers = np.frombuffer(raw, "<i4", n, 16 + 8 * n).astype(np.int64)
-        rows, start, size = np.frombuffer(raw, "<i4", 3 * m, 16 + 12 * n).reshape(3, m)
+        vers = np.frombuffer(raw, "<i8", n, 16 + 8 * n)
+        rows, start, size = np.frombuffer(raw, "<i4", 3 * m, 16 + 16 * n).reshape(3, m)
         total = int(size.sum())
         doc.append(np.repeat(ids[rows], size))
         ver.append(np.repeat(vers[rows], size))
         pos.append(c.runs(start.astype(np.int64), size.astype(np.int64)))
         wide = np.zeros((total, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(raw, np.uint8, 6 * total, 16 + 12 * n + 12 * m).reshape(total, 6)
+        wide[:, :6] = np.frombuffer(raw, np.uint8, 6 * total, 16 + 16 * n + 12 * m).reshape(total, 6)
         edge.append(wide.view("<u8").ravel())
     doc, ver, pos, edge = map(np.concatenate, (doc, ver, pos, edge))
     gone, first = _sources(doc, ver, pos, edge)
@@ -159,8 +159,8 @@ def repeated_paths(docs: DataFrame, k: int = K, bucket_mb: float = 8) -> DataFra
         return c.checkpoint(paths.select(*RUNS.names))
 
 
-CUT = pa.schema([("doc_id", pa.int64()), ("ver", pa.int32()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("own", pa.list_(pa.int64())), ("lent", pa.list_(pa.int64()))])
-CUT_DDL = "doc_id long, ver int, text string, n_words long, n_removed long, kept_sha256 string, own array<long>, lent array<long>"
+CUT = pa.schema([("doc_id", pa.int64()), ("ver", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("own", pa.list_(pa.int64())), ("lent", pa.list_(pa.int64()))])
+CUT_DDL = "doc_id long, ver long, text string, n_words long, n_removed long, kept_sha256 string, own array<long>, lent array<long>"
 
 
 def _flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +180,8 @@ def _cut(batches: Iterator[pa.RecordBatch], k: int, texts: bool) -> Iterator[pa.
                 row, value = _flat(c.column(part, name))
                 row, start, n = row[::2], value[::2], value[1::2]
                 a = w.first[row] + start
-                b = a + n + k - 1
+                b = np.minimum(a + n + k - 1, w.first[row + 1])  # no span leaves its row
+                a = np.minimum(a, b)
                 found = c.signed(c.span_hash(w.hashes, a, b, 4)) if len(a) else np.zeros(0, np.int64)
                 hashes.append(pa.ListArray.from_arrays(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32), pa.array(found)))
                 if name == "own":
@@ -207,7 +208,7 @@ def _spans(paths: DataFrame, docs: DataFrame) -> DataFrame:
     own = paths.select("doc", "ver", "start", "n", F.lit(True).alias("mine"))
     lent = paths.select(F.col("src").alias("doc"), F.col("src_ver").alias("ver"), F.col("src_start").alias("start"), "n", F.lit(False).alias("mine"))
     span = F.struct("start", "n")
-    lists = own.union(lent).groupBy("doc", F.col("ver").cast("int").alias("ver")).agg(F.array_sort(F.collect_set(F.when(F.col("mine"), span))).alias("own"), F.array_sort(F.collect_set(F.when(~F.col("mine"), span))).alias("lent"))
+    lists = own.union(lent).groupBy("doc", "ver").agg(F.array_sort(F.collect_set(F.when(F.col("mine"), span))).alias("own"), F.array_sort(F.collect_set(F.when(~F.col("mine"), span))).alias("lent"))
     return docs.join(lists.withColumnRenamed("doc", "doc_id"), ["doc_id", "ver"], "left").withColumns({"own": flat("own"), "lent": flat("lent"), "own_spans": F.col("own"), "lent_spans": F.col("lent")})
 
 
@@ -223,12 +224,15 @@ def remove(df: DataFrame, k: int = K, texts: bool = True) -> DataFrame:
     done = c.checkpoint(cut(paths))
     lists = _spans(paths, docs.select("doc_id", "ver")).select("doc_id", "ver", "own_spans", "lent_spans").distinct()
     hashed = done.select("doc_id", "ver", "own", "lent").join(lists, ["doc_id", "ver"])
-    one = lambda spans, hashes: hashed.select("doc_id", F.col("ver").cast("long").alias("ver"), F.explode(F.arrays_zip(F.col(spans).alias("span"), F.col(hashes).alias("hash"))).alias("x")).select("doc_id", "ver", "x.span.start", "x.span.n", "x.hash")
+    one = lambda spans, hashes: hashed.select("doc_id", "ver", F.explode(F.arrays_zip(F.col(spans).alias("span"), F.col(hashes).alias("hash"))).alias("x")).select("doc_id", "ver", "x.span.start", "x.span.n", "x.hash")
     own = one("own_spans", "own").withColumnsRenamed({"doc_id": "doc", "hash": "own"}).distinct()
     lent = one("lent_spans", "lent").withColumnsRenamed({"doc_id": "src", "ver": "src_ver", "start": "src_start", "hash": "lent"}).distinct()
-    false = paths.join(own, ["doc", "ver", "start", "n"]).join(lent, ["src", "src_ver", "src_start", "n"]).where("own <> lent").select("doc", "ver", "start", "n").distinct()
-    false = c.checkpoint(false)
-    if not false.isEmpty():  # a hash of 48 bits and a bucket met another window: its path goes back
+    # what the borrowers of a span read there, combined on the map side: a passage of many documents costs a row a task
+    span = ["src", "src_ver", "src_start", "n"]
+    claims = paths.join(own, ["doc", "ver", "start", "n"])
+    wrong = c.checkpoint(claims.select(*span, "own").distinct().join(lent, span).where("own <> lent").select(*span, "own").distinct())
+    if not wrong.isEmpty():  # a hash of 48 bits and a bucket met another window: its path goes back
+        false = c.checkpoint(claims.join(wrong, [*span, "own"], "left_semi").select("doc", "ver", "start", "n").distinct())
         done = c.checkpoint(cut(paths.join(false, ["doc", "ver", "start", "n"], "left_anti")))
     return done.drop("own", "lent")
 
