@@ -82,7 +82,11 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to documents."""
-    docs = c.table(spark, sf_dir, "documents")
+    docs, before = c.table(spark, sf_dir, "documents"), ""
     for _, stage in STAGES[:-1]:
-        docs = c.written(stage(spark, docs, sf_dir))
+        path = c.place(spark)
+        docs = c.written(stage(spark, docs, sf_dir), path)
+        if before:  # used up
+            c.delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
