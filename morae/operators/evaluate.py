@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import marks
 from ..functions import profile as p
+from . import alignment as alignment_of
 
 
 def brackets_filled(line: Column) -> Column:
@@ -91,12 +91,22 @@ def backward(output: Column, gold: Column, literal: bool = False) -> Column:
     return F.pandas_udf(lambda a, b: _backward(a, b, literal), POINTED)(output, gold)
 
 
+LETTERS_AT_ONCE = 1 << 18
+
+
 def _alignment(output: pd.Series, gold: pd.Series) -> pd.DataFrame:
-    rows = []
-    for a, b in zip(output.fillna(""), gold.fillna(""), strict=True):
-        match = SequenceMatcher(None, a, b, autojunk=False)
-        rows.append((sum(b.count(m) for m in p.MARKS), sum(b[x.b : x.b + x.size].count(m) for x in match.get_matching_blocks() for m in p.MARKS)))
-    return pd.DataFrame(rows, columns=["expected", "correct"])
+    """Lines are compared together, as many as have about so many letters."""
+    output, gold = output.fillna("").tolist(), gold.fillna("").tolist()
+    size = np.cumsum([len(a) + len(b) for a, b in zip(output, gold, strict=True)])
+    cut = [0, *(np.flatnonzero(np.diff(size // LETTERS_AT_ONCE)) + 1).tolist(), len(gold)]
+    expected = np.array([sum(b.count(m) for m in p.MARKS) for b in gold], np.int64)
+    correct = np.zeros(len(gold), np.int64)
+    for low, high in zip(cut, cut[1:], strict=False):
+        line, _, begin, n = alignment_of.blocks(output[low:high], gold[low:high])
+        own = alignment_of.Letters(gold[low:high])
+        marks_before = np.concatenate([[0], np.cumsum(np.isin(own.letters, [ord(m) for m in p.MARKS]))])
+        np.add.at(correct, low + line, marks_before[own.at[line] + begin + n] - marks_before[own.at[line] + begin])
+    return pd.DataFrame({"expected": expected, "correct": correct})
 
 
 def _backward(output: pd.Series, gold: pd.Series, literal: bool) -> pd.DataFrame:

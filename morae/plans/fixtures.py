@@ -2,18 +2,16 @@
 
 NAMES = ["θε", "ανδ", "δερ"]
 STOP = ["θε", "ανδ", "οφ", "το", "α", "δε", "λα", "διε"]
-STOP_GOLD = ["[κα_λὰ^ς]", "[καλὰς]"]
+STOP_MARKED = ["θε", "λα", "και", "ανδ", "α"]
 IONIC = ["θη", "χώρη", "ἡμέρη", "αρη", "ωερη", "λη"]
 LEXICON = [("θατ", "θα^τ", 1), ("ανδ", "α^νδ", 2), ("ιν", "ι^ν", 3), ("ιτ", "ι_τ", 4), ("ας", "α_ς", 5), ("θις", "θι^ς", 6), ("Λα", "Λα_", 7), ("ιν", "ι_ν", 8), ("κακός", "κα^κός", 9), ("φίλος", "φί^λος", 10), ("φύσις", "φύ^σι^ς", 11)]
 ALTERNATIVES = [("ιν", 1, "ι^ν", "Dat"), ("ιν", 2, "ι_ν", "Nom"), ("ιν", 3, "ι^ν", "Nom"), ("λα", 1, "λα_", "Acc"), ("ανδ", 1, "α^νδι", "Nom"), ("χώρα", 1, "χώρα_", "Nom")]
-MERGES = [("st_ring^", "s_t^ring^"), ("a_b", "ab^"), ("", "a^b"), ("a^b", ""), ("xy", "x_z"), ("ab", "a_b^"), ("a_b^", "a^b_"), ("νεα_νί^ας", "νεανίας")]
 PLACES = [("νεανίας", "_3,^5,_6"), ("θάλασσα", "^2"), ("λύω", "_2"), ("ὕλη", "_1,^1"), ("ἀγαθός", "^1,^3"), ("ab", ""), ("ab", "_9")]
 COUNTS = [("νεανίας",), ("νεα_νί^α_ς",), ("πολλάκις",), ("κάλλος",), ("παῖδες",), ("παῖς",), ("ὕλῃ",), ("σωτήρα",), ("ἄνθρωπος",), ("μικρός",), ("λύω",), ("χώρα",), ("δῶρα",), ("πράγματα",), ("ἡμῖν",), ("ἀξία",), ("παρ'",), ("ἄν",), ("ὄρνις",), ("θύρα_",), ("ἀνήρ",), ("ἀδικία",)]
 DIPHTHONGS = [("χίλι^οι",), ("χίλιοι^",), ("δα^ίμων",), ("δα^ϊμων",), ("δαίμων",), ("ᾳ_δω",), ("αὐ^τός",), ("λόγῳ",)]
 NUMERALS = [("αʹ",), ("ιβ'",), ("λόγος",), ("͵α",), ("παρ'",), ("κγ΄",)]
 PATHOLOGIES = [("ὰὰ",), ("ὰά",), ("λόγοσ",), ("λόςγος",), ("άέή",), ("ἁἑὁ",), ("λόγος",)]
 UNICODE = [("νεᾱνῐ́ᾱς",), ("ᾱ́",), ("λόγος;",), ("τί·",), ("ἀ",), ("ΐ",), ("abc",)]
-DEFECTS = [(1, "μετά", "μεθά^"), (2, "λοχαγoῦ", "λοχα_γoῦ"), (3, "κα^λός", "κα^λός"), (4, "θύω", "θύ_ω"), (5, "θύω", "θύ^ω"), (6, "λέγω", "λέγω"), (7, "φύω", "φύ^ω")]
 TAGGED = [
     ("ἄλλα", "ἄλλος", "ADJ", "Case=Nom|Gender=Fem|Number=Sing"), ("ἄλλα", "ἄλλος", "ADJ", "Case=Acc|Gender=Neut|Number=Plur"), ("χώρα", "χώρα", "NOUN", "Case=Nom|Gender=Fem|Number=Sing"),
     ("χώραν", "χώρα", "NOUN", "Case=Acc|Gender=Fem|Number=Sing"), ("χώρας", "χώρα", "NOUN", "Case=Gen|Gender=Fem|Number=Sing"), ("χώρας", "χώρα", "NOUN", "Case=Acc|Gender=Fem|Number=Plur"),
@@ -22,7 +20,6 @@ TAGGED = [
     ("φίλου", "φίλος", "NOUN", "Case=Gen|Gender=Masc|Number=Sing"), ("φίλοις", "φίλος", "NOUN", "Case=Dat|Gender=Masc|Number=Plur"), ("κακῷ", "κακός", "ADJ", "Case=Dat|Gender=Masc|Number=Sing"),
     ("φύσις", "φύσις", "NOUN", "Case=Nom|Gender=Fem|Number=Sing"), ("Φύσις", "φύσις", "NOUN", "Case=Nom|Gender=Fem|Number=Sing"), ("κακὸς", "κακός", "ADJ", "Case=Nom|Gender=Masc|Number=Sing"), ("x", "", "", ""),
 ]
-GOLD = [("a.txt", 1, "[κα_λὰ^ς] {λό}[γους]"), ("a.txt", 2, "x{ἀ^}να[στὰ^ς]# {τὸ} [πρῶ]{τον}€."), ("b.txt", 1, "{θύ^}ρ[αν_] καὶ {ἀ^}[γα_]θά"), ("b.txt", 2, ""), ("b.txt", 3, "no brackets")]
 PROP = "k"
 GENITIVE = "Case=Gen|Gender=Masc|Number=Sing"
 LATIN_BOTH = "abgdezhiklmnopcrstufxywABGDEZHIKLMNOPCRSTUFXYW"

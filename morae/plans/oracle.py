@@ -90,16 +90,22 @@ def sized(list_: str, source: str, key: str) -> str:
 CELL = "regexp_extract_all({}, '[^_^][_^]?')"
 
 
+SPELLED = f"""{W}, k AS (SELECT DISTINCT word FROM w), v AS (SELECT word,
+CASE WHEN length(word) % 7 = 0 THEN '' WHEN length(word) % 5 = 0 THEN word || 'ν^' WHEN length(word) % 2 = 0 THEN {sub('word', '([αυ])', '$1^')} ELSE {sub('word', '([αι])', '$1_')} END AS new,
+CASE WHEN length(word) % 11 = 0 THEN '' WHEN length(word) % 3 = 0 THEN {sub('word', '([ιυ])', '$1_')} WHEN length(word) % 3 = 1 THEN {sub('word', '([αιυ])', '$1^')} ELSE word END AS old FROM k)"""
+
+
 def merge(how: str) -> str:
     first, second = ("n", "o") if how == "new" else ("o", "n")
     zipped = f"list_zip({CELL.format('new')}, {CELL.format('old')})"
     at = {"n": "z[1]", "o": "z[2]"}
     union = f"array_to_string(list_transform({zipped}, lambda z: CASE WHEN length({at[first]}) > 1 THEN {at[first]} ELSE {at[second]} END), '')"
-    return f"""WITH {values('v', 'new, old', x.MERGES)} SELECT new, old, CASE WHEN new = '' THEN old WHEN old = '' THEN new
-WHEN {STRIP.format('new')} <> {STRIP.format('old')} THEN old ELSE {union} END AS out FROM v"""
+    return f"""WITH {SPELLED} SELECT word, CASE WHEN new = '' THEN old WHEN old = '' THEN new WHEN {STRIP.format('new')} <> {STRIP.format('old')} THEN old ELSE {union} END AS out FROM v"""
 
 
-GOLD = values("gold", "file, line_no, line", x.GOLD)
+KNOT = "[βγδζθκλμνξπρσςτφχψ]*"
+GOLD = f"""{G}, gl AS (SELECT doc_id, lang AS file, string_split(text, chr(10)) AS l FROM g), g0 AS (SELECT doc_id, file, unnest(range(len(l)))::BIGINT AS line_no, translate(unnest(l), '[]{{}}', '') AS line FROM gl),
+g1 AS (SELECT doc_id, file, line_no, {sub(sub('line', f'({KNOT})([αιυ])', '{$1$2^}'), f'({KNOT})([εηοω])', '[$1$2_]')} AS line FROM g0), gold AS (SELECT doc_id, file, line_no, {sub('line', 'α\\^[}]([ .,])', 'α_}#$1')} || '€' AS line FROM g1)"""
 FILLED = r"regexp_replace(regexp_replace(line, '([\]}])([^\[\]{}]+)([\[{])', '\2\1\3', 'g'), '([\]}])([^\[\]{}]+)$', '\2\1', 'g')"
 SYLL = r"regexp_extract_all(line, '[\{\[]([^\}\]]+)[\}\]]', 1)"
 CORE = "regexp_replace(s, " + q(rf"[_^#€\s'.,;:!?{p.ANO_TELEIA}{p.QUESTION}]") + ", '', 'g')"
@@ -107,7 +113,7 @@ OPEN = f"regexp_matches({CORE}, {q(VOWEL + '$')})"
 
 
 def on_gold(expr: str) -> str:
-    return f"WITH {GOLD} SELECT file, line_no::BIGINT AS line_no, {expr} AS out FROM gold"
+    return f"WITH {GOLD} SELECT doc_id, line_no, {expr} AS out FROM gold"
 
 
 def each(body: str) -> str:
@@ -348,18 +354,19 @@ SELECT doc_id, line_no, array_to_string(list_concat([CASE WHEN regexp_matches(co
     "even_chunks": f"""WITH a AS (SELECT doc_id, text, length(text) // 3 AS k FROM documents), b AS (SELECT doc_id, k, length({CHUNK}) AS n0, text FROM a), c AS (SELECT doc_id, n0, k, substr(text, n0 + 1) AS text FROM b), d AS (SELECT doc_id, n0, length({CHUNK}) AS n1, length(text) AS n FROM c)
 SELECT doc_id, n0, n1, n - n1 AS n2 FROM d""",
     "first_column": "SELECT doc_id, string_split(replace(text, ' ', chr(9)), chr(9))[1] AS out FROM documents",
-    "success_rates": f"""WITH {GOLD}, o AS (SELECT file, line AS g, replace({STRIP.format('line')}, 'α', 'α^') AS o FROM gold), c AS (SELECT file, unnest(list_zip({CELL.format('o')}, {CELL.format('g')})) AS z FROM o WHERE {STRIP.format('o')} = {STRIP.format('g')}),
+    "success_rates": f"""WITH {GOLD}, o0 AS (SELECT file, translate(line, '[]{{}}#€', '') AS g FROM gold), o AS (SELECT file, g, {sub(STRIP.format('g'), '([αι])', '$1^')} AS o FROM o0), c AS (SELECT file, unnest(list_zip({CELL.format('o')}, {CELL.format('g')})) AS z FROM o WHERE {STRIP.format('o')} = {STRIP.format('g')}),
 m AS (SELECT file, coalesce(substr(z[1], 2), '') AS o, coalesce(substr(z[2], 2), '') AS g FROM c), n AS (SELECT file, count(*) FILTER (g = '^' AND o = '^') AS short_right, count(*) FILTER (g = '^') AS short_total, count(*) FILTER (g = '_' AND o = '_') AS long_right, count(*) FILTER (g = '_') AS long_total FROM m WHERE g <> '' GROUP BY ROLLUP (file))
 SELECT file, short_right, short_total, long_right, long_total, round(coalesce((short_right + long_right)::DOUBLE / nullif(short_total + long_total, 0), 0), 9) AS both_rate FROM n""",
     "all_short_count": on_gold(f"len(list_filter({SYLL}, lambda s: {OPEN}))::BIGINT"),
     "gold_stripped": on_gold("translate(line, '^_[]{}', '')"),
-    "lexicon_validate": f"WITH {values('v', 'ord, form, marked', x.DEFECTS)} SELECT ord, form, marked, {DEFECT} AS problem FROM v",
+    "lexicon_validate": f"""WITH {W}, k AS (SELECT DISTINCT word, length(word) AS n, {sub('word', '([αιυ])', '$1^')} AS m FROM w), e AS (SELECT CASE WHEN n % 13 = 0 THEN m WHEN n % 11 = 0 THEN replace(word, 'ο', 'o') ELSE word END AS form,
+CASE WHEN n % 7 = 0 THEN m || 'ν' WHEN n % 11 = 0 THEN replace(m, 'ο', 'o') WHEN n % 5 = 0 THEN word ELSE m END AS value, n, word FROM k), v AS (SELECT form, unnest(CASE WHEN n % 9 = 0 THEN [value, {sub('word', '([αιυ])', '$1_')}] ELSE [value] END) AS marked FROM e) SELECT form, marked, {DEFECT} AS problem FROM v""",
     "bracket_move": on_gold(FILLED),
     "gold_plain": on_gold("translate(line, '[]{}#€_^', '')"),
     "syllable_extract": on_gold(f"array_to_string({SYLL}, '|')"),
     "closed_syllable_clean": on_gold(each(f"CASE WHEN {OPEN} THEN s ELSE {STRIP.format('s')} END")),
     "all_short_baseline": on_gold(each(f"{STRIP.format('s')} || CASE WHEN {OPEN} THEN '^' ELSE '' END")),
-    "stop_word_unmark": on_gold(f"array_to_string(list_transform(string_split(line, ' '), lambda w: CASE WHEN {STRIP.format('w')} IN {alternatives(x.STOP_GOLD)} THEN {STRIP.format('w')} ELSE w END), ' ')"),
+    "stop_word_unmark": on_gold(f"array_to_string(list_transform(string_split(translate(line, '[]{{}}#€', ''), ' '), lambda w: CASE WHEN {STRIP.format('w')} IN {alternatives(x.STOP_MARKED)} THEN {STRIP.format('w')} ELSE w END), ' ')"),
     "coverage_by_lang": coverage(f"{G}, s AS (SELECT lang, unnest(regexp_extract_all({deleted('text', p.EDITORIAL)}, {q(SENTENCE)})) AS s FROM g)", "s", sub("s", CLASS_SENT, "$1^$2"), "s", "lang", "GROUP BY lang"),
     "corpus_rollup": coverage(G, "text", sub("text", f"([{p.DICHRONA}])([.])", "$1^$2"), "g", "lang, source", "GROUP BY ROLLUP (lang, source)"),
     "coverage_without_names": f"""WITH {G}, s AS (SELECT lang, unnest(string_split_regex(text, '[\\s\\x{{0085}}\\x{{00A0}}]+')) AS w FROM g)

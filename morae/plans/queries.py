@@ -60,10 +60,6 @@ def on_lines(build: Callable[[Column], Column], spark: SparkSession, sf_dir: str
     return lines(spark, sf_dir).select("doc_id", c("line_no").cast("long").alias("line_no"), build(c("line")).alias("out"))
 
 
-def on_rows(rows: list[tuple], schema: str, build: Callable[[DataFrame], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build(frame(spark, rows, schema))
-
-
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """token, lemma, pos, morph: fixtures, and the distinct words of the corpus with tags by their length and letters."""
     known = words(spark, sf_dir).select(c("word").alias("token")).distinct()
@@ -331,12 +327,45 @@ def char_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.residual_characters(table(spark, sf_dir, "documents"), "text")
 
 
-def gold(spark: SparkSession) -> DataFrame:
-    return frame(spark, x.GOLD, "file string, line_no long, line string")
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file (a language), doc_id, line_no, line: the corpus' lines as gold ones. Syllables with alpha, iota or upsilon are light and marked, those with
+    another vowel heavy; what follows stands loose between the brackets; words of four letters carry a sign of doubt."""
+    own = docs(spark, sf_dir).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    line = F.regexp_replace(F.regexp_replace(F.translate("line", "[]{}", ""), "([βγδζθκλμνξπρσςτφχψ]*)([αιυ])", "{$1$2^}"), "([βγδζθκλμνξπρσςτφχψ]*)([εηοω])", "[$1$2_]")
+    line = F.regexp_replace(F.regexp_replace(line, "α\\^[}]([ .,])", "α_}#$1"), "$", "€")
+    return own.select(c("lang").alias("file"), "doc_id", c("line_no").cast("long").alias("line_no"), line.alias("line"))
 
 
 def on_gold(build: Callable[[Column], Column], spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gold(spark).select("file", "line_no", build(c("line")).alias("out"))
+    return gold(spark, sf_dir).select("doc_id", "line_no", build(c("line")).alias("out"))
+
+
+def marks_only(line: Column) -> Column:
+    return F.translate(line, "[]{}#€", "")
+
+
+def two_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, new, old: distinct words, marked in two ways, by their lengths; some of another word, some unmarked, some empty."""
+    n = F.char_length("word")
+    mark = lambda letters, sign: F.regexp_replace("word", f"([{letters}])", "$1" + sign)
+    new = F.when(n % 7 == 0, "").when(n % 5 == 0, F.concat("word", F.lit("ν^"))).when(n % 2 == 0, mark("αυ", "^")).otherwise(mark("αι", "_"))
+    old = F.when(n % 11 == 0, "").when(n % 3 == 0, mark("ιυ", "_")).when(n % 3 == 1, mark("αιυ", "^")).otherwise(c("word"))
+    return words(spark, sf_dir).select("word").distinct().select("word", new.alias("new"), old.alias("old"))
+
+
+def merged(how: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return two_spellings(spark, sf_dir).select("word", marks.merged(c("new"), c("old"), how).alias("out"))
+
+
+def lexicon_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon of the corpus' words with every kind of defect in it."""
+    own = words(spark, sf_dir).select("word").distinct()
+    n = F.char_length("word")
+    marked = F.regexp_replace("word", "([αιυ])", "$1^")
+    form = F.when(n % 13 == 0, marked).when(n % 11 == 0, F.replace("word", F.lit("ο"), F.lit("o"))).otherwise(c("word"))
+    value = F.when(n % 7 == 0, F.concat(marked, F.lit("ν"))).when(n % 11 == 0, F.replace(marked, F.lit("ο"), F.lit("o"))).when(n % 5 == 0, c("word")).otherwise(marked)
+    entries = own.select(form.alias("form"), F.explode(F.when(n % 9 == 0, F.array(value, F.regexp_replace("word", "([αιυ])", "$1_"))).otherwise(F.array(value))).alias("marked"))
+    return lexicon.validate(entries)
 
 
 def line_match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,9 +373,14 @@ def line_match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("lang").agg(F.round(F.avg(evaluate.line_match(c("text"), c("b")).cast("int")), 9).alias("rate"))
 
 
+def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold lines without their brackets (g), and an output (o) that marks every alpha and iota short."""
+    own = gold(spark, sf_dir).withColumn("g", F.translate("line", "[]{}#€", ""))
+    return own.withColumn("o", F.regexp_replace(marks.stripped(c("g")), "([αι])", "$1^"))
+
+
 def success_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = gold(spark).select("file", marks.stripped(c("line")).alias("o"), c("line").alias("g")).withColumn("o", F.regexp_replace("o", "α", "α^"))
-    return evaluate.vowel_scores(own, "o", "g", "file").select("file", *(c(k).cast("long").alias(k) for k in ("short_right", "short_total", "long_right", "long_total")), F.round("both_rate", 9).alias("both_rate"))
+    return evaluate.vowel_scores(scored_lines(spark, sf_dir), "o", "g", "file").select("file", *(c(k).cast("long").alias(k) for k in ("short_right", "short_total", "long_right", "long_total")), F.round("both_rate", 9).alias("both_rate"))
 
 
 def traffic_light(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,8 +389,7 @@ def traffic_light(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(function, spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = gold(spark).withColumn("o", F.regexp_replace(marks.stripped(c("line")), "α", "α^"))
-    return own.select("file", "line_no", function(c("o"), c("line")).alias("s")).select("file", "line_no", "s.*")
+    return scored_lines(spark, sf_dir).select("doc_id", "line_no", function(c("o"), c("g")).alias("s")).select("doc_id", "line_no", "s.*")
 
 
 def html_span_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,9 +499,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {name: partial(on_text, build) for name, build in text.items()} | {name: partial(on_lines, build) for name, build in by_line.items()}
     sized = {"sentence_split": (t.sentences, "documents", "doc_id"), "terminated_sentences": (t.terminated_sentences, "documents", "doc_id"), "sentence_split_turns": (t.sentences, "conversations", "conv_id"), "word_list": (t.word_list, "documents", "doc_id")}
     own |= {name: partial(exploded, *args) for name, args in sized.items()}
-    merge = lambda how: lambda df: df.select("new", "old", marks.merged(c("new"), c("old"), how).alias("out"))
-    inline = {"merge_new_wins": (x.MERGES, "new string, old string", merge("new")), "merge_old_wins": (x.MERGES, "new string, old string", merge("old")), "lexicon_validate": (x.DEFECTS, "ord int, form string, marked string", lexicon.validate)}
-    own |= {name: partial(on_rows, *args) for name, args in inline.items()}
+    own |= {"merge_new_wins": partial(merged, "new"), "merge_old_wins": partial(merged, "old")}
     flags = lambda s: F.concat(*(F.when(f(s), k).otherwise("-") for k, f in (("s", phonology.short_vowel), ("a", phonology.long_acute), ("d", phonology.true_dichronon))))
     by_word = {
         "count_fixtures": (x.COUNTS, phonology.open_dichrona), "syllabify": (x.COUNTS, lambda w: F.array_join(phonology.syllables(w), "|")), "accent_class": (x.COUNTS, phonology.accent_class), "accent_rules": (x.COUNTS, phonology.accent_rules),
@@ -485,8 +516,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     own |= {name: partial(on_tagged, build) for name, build in by_tag.items()}
     joined = lambda build: lambda line: F.array_join(build(evaluate.syllables(line)), "|")
-    golden = {"bracket_move": evaluate.brackets_filled, "gold_plain": evaluate.plain, "syllable_extract": joined(lambda s: s), "closed_syllable_clean": joined(evaluate.closed_unmarked), "all_short_baseline": joined(evaluate.all_short), "all_short_count": lambda line: evaluate.open_count(evaluate.syllables(line)), "gold_stripped": evaluate.stripped_gold, "stop_word_unmark": lambda line: F.array_join(evaluate.stop_words_unmarked(F.split(line, " "), x.STOP_GOLD), " ")}
+    golden = {"bracket_move": evaluate.brackets_filled, "gold_plain": evaluate.plain, "syllable_extract": joined(lambda s: s), "closed_syllable_clean": joined(evaluate.closed_unmarked), "all_short_baseline": joined(evaluate.all_short), "all_short_count": lambda line: evaluate.open_count(evaluate.syllables(line)), "gold_stripped": evaluate.stripped_gold, "stop_word_unmark": lambda line: F.array_join(evaluate.stop_words_unmarked(F.split(marks_only(line), " "), x.STOP_MARKED), " ")}
     own |= {name: partial(on_gold, build) for name, build in golden.items()}
     own |= {"alignment_score": partial(scored, evaluate.alignment), "backward_score": partial(scored, evaluate.backward)}
-    plain = [coverage_by_lang, corpus_rollup, coverage_without_names, sentence_filter, drop_reason_counts, stopword_anti_join, tokenizer_semi_join, ionic_semi_join, lexicon_left_join, lexicon_case_variants, lexicon_two_key, lexicon_disambiguate_first, lexicon_build_last_wins, prefix_longest_match, elision_variants, decapitalize_lookup, oxytone_lookup, ending_rewrite, context_particle, next_word_openness, occurrence_align, integrate_text, integrity_check, residue_rank, residue_keep_first, module_share, residue_merge_runs, top_pos, pos_baseline, stats_pivot, reconcile, even_batches, chunk_ids, char_inventory, line_match_rate, success_rates, traffic_light, html_span_extract, json_definition, bracket_extract, tei_extract, cached_annotations, resolved_tokens, guarded_rewriting, annotate_corpus, place_marks, ambiguous_coverage, even_chunks, first_column, macronize_corpus]
+    plain = [coverage_by_lang, corpus_rollup, coverage_without_names, sentence_filter, drop_reason_counts, stopword_anti_join, tokenizer_semi_join, ionic_semi_join, lexicon_left_join, lexicon_case_variants, lexicon_two_key, lexicon_disambiguate_first, lexicon_build_last_wins, prefix_longest_match, elision_variants, decapitalize_lookup, oxytone_lookup, ending_rewrite, context_particle, next_word_openness, occurrence_align, integrate_text, integrity_check, residue_rank, residue_keep_first, module_share, residue_merge_runs, top_pos, pos_baseline, stats_pivot, reconcile, even_batches, chunk_ids, char_inventory, lexicon_validate, line_match_rate, success_rates, traffic_light, html_span_extract, json_definition, bracket_extract, tei_extract, cached_annotations, resolved_tokens, guarded_rewriting, annotate_corpus, place_marks, ambiguous_coverage, even_chunks, first_column, macronize_corpus]
     return own | {f.__name__: f for f in plain}

@@ -1,5 +1,7 @@
 """Functions, stages and streams of the engine, case by case."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +231,41 @@ def test_cached_annotations(spark):
     store = missing.where("doc_id = 1").select("key", F.lit("x").alias("tag"))
     kept, left = macronize.cached(docs, store.withColumn("doc_id", F.lit(9)))
     assert [(r["doc_id"], r["tag"]) for r in kept.collect()] == [(1, "x")] and [r["doc_id"] for r in left.collect()] == [2]
+
+
+def test_blocks_are_those_of_the_longest_matches():
+    from difflib import SequenceMatcher
+
+    from morae.operators import alignment
+
+    rng = random.Random(9)
+    line = lambda n: "".join(rng.choice("αβ^_ ") for _ in range(n))
+    first = [line(rng.randint(0, 60)) for _ in range(300)] + ["", "α", "αβ" * 20]
+    second = [x[: rng.randint(0, 60)] + line(rng.randint(0, 20)) + x[rng.randint(0, 60) :] for x in first[:-3]] + ["α", "", "βα" * 20]
+    got = [[] for _ in first]
+    for k, i, j, n in zip(*alignment.blocks(first, second), strict=True):
+        got[k].append((int(i), int(j), int(n)))
+    for a, b, own in zip(first, second, got, strict=True):
+        want = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()[:-1]
+        merged = []  # neighbours are joined there
+        for i, j, n in sorted(own):
+            if merged and merged[-1][0] + merged[-1][2] == i and merged[-1][1] + merged[-1][2] == j:
+                merged[-1] = (merged[-1][0], merged[-1][1], merged[-1][2] + n)
+            else:
+                merged.append((i, j, n))
+        assert merged == [tuple(x) for x in want]
+
+
+def test_alignment_of_long_and_empty_lines(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(10)
+    text = "".join(rng.choice("αβγδειο ") for _ in range(1500))
+    gold = "".join(ch + (rng.choice(["", "^", "_"]) if ch in "αι" else "") for ch in text)
+    output = "".join(ch + ("^" if ch == "α" else "") for ch in text)
+    rows = [(output, gold), ("", gold), (output, ""), (None, None), (output * 60, gold * 60)]
+    got = [tuple(r["s"]) for r in spark.createDataFrame(rows, "o string, g string").select(evaluate.alignment(F.col("o"), F.col("g")).alias("s")).collect()]
+    marks_in = lambda s: sum(s.count(m) for m in "_^")
+    blocks = SequenceMatcher(None, output, gold, autojunk=False).get_matching_blocks()
+    assert got[0] == (marks_in(gold), sum(marks_in(gold[x.b : x.b + x.size]) for x in blocks))
+    assert got[1] == (marks_in(gold), 0) and got[2] == (0, 0) and got[3] == (0, 0) and got[4][0] == 60 * marks_in(gold) and got[4][1] > 0
