@@ -97,5 +97,11 @@ def open_in_synapheia(syllable: Column, is_last: Column, following: Column) -> C
     return F.when(~is_last, vowel_end).otherwise((vowel_end & ~F.coalesce(next_cluster, F.lit(False))) | (one_consonant & next_vowel))
 
 
+def openness(words: Column) -> Column:
+    """Whether each syllable of the words, end to end, is open: a word's last one looks at the first of the next word."""
+    parts = F.flatten(F.transform(words, lambda w: let(syllables(w), lambda own: F.transform(own, lambda s, i: F.struct(s.alias("s"), (i == F.size(own) - 1).alias("last"))))))
+    return let(parts, lambda own: F.transform(own, lambda x, i: open_in_synapheia(x["s"], x["last"], F.get(own, i + 1)["s"])))
+
+
 def bare_letters(col: Column) -> Column:
     return mapped(col, p.BARE)

@@ -9,29 +9,80 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import phonology
+from ..functions.text import once
+from ..storage import kept
 
 
 def ratio(difference: Column, before: Column) -> Column:
     return F.coalesce(F.try_divide(difference.cast("double"), before.cast("double")), F.lit(0.0))
 
 
-def without_names(text: Column, names: list[str]) -> Column:
-    """The text's words but for these names, joined by one space."""
-    return F.array_join(F.filter(F.split(text, r"(?U)\s+"), lambda w: ~w.isin(names)), " ")
-
-
-def coverage(df: DataFrame, before: str, after: str, *by: str, rollup: bool = False, names: DataFrame | None = None, ambiguous: bool = False) -> DataFrame:
-    """before, after, difference, ratio of open doubtful vowels. names: words (name) that are left out by whole words, of both
-    texts by what stands in the first; ambiguous: only those that the accent rules leave open."""
-    if names is not None:
-        # an anti join by word; the counts of words are added up, so no text is put together again
-        pairs = F.arrays_zip(*(F.split(F.col(x), r"(?U)\s+").alias(x) for x in (before, after)))
-        df = df.select(*by, F.explode(pairs).alias("_w")).select(*by, F.col(f"_w.{before}").alias(before), F.col(f"_w.{after}").alias(after))
-        df = df.join(names.select(F.col("name").alias(before)).distinct(), before, "left_anti")
+#: what names are made of: runs of letters, digits and low lines, and what stands between them
+NAME_PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+NAME_WORD = r"^[\p{L}\p{N}_]"
+
+
+def name_places(texts: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
+    """key, places: array of struct(at, n), the places (from 0) of names among a text's pieces, as a pattern of alternatives between word borders
+    finds them: from left to right, without overlap, of several names at a place the one with the least `ord` (without one: the longest, then
+    the least).
+
+    names: name[, ord]; one of several words stands in the text with the same signs between them. Names that don't begin and end in a word
+    are never found. A text's pieces meet the names' first words by an equi-join; only the texts and places that have one meet the
+    other pieces of longer names, by place.
+    """
+    pieces = F.regexp_extract_all("name", F.lit(NAME_PIECE), F.lit(0))
+    order = F.col("ord").cast("long") if "ord" in names.columns else -F.char_length("name").cast("long")
+    own = names.where(F.col("name").rlike(NAME_WORD) & F.col("name").rlike(r"[\p{L}\p{N}_]$")).groupBy("name").agg(F.min(order).alias("order"))
+    own = own.select("name", "order", pieces.alias("own")).withColumn("n", F.size("own"))
+    spelled = texts.select(F.col(key).alias("_key"), F.posexplode(F.regexp_extract_all(text, F.lit(NAME_PIECE), F.lit(0))).alias("at", "piece"))
+    met = spelled.join(own.select(F.get("own", F.lit(0)).alias("piece"), "name", "order", "n"), "piece").select("_key", "at", "name", "order", "n")
+    longer = met.where("n > 1")
+    rest = own.where("n > 1").select("name", F.posexplode("own").alias("k", "piece")).where("k > 0")
+    asked = longer.join(rest, "name").select("_key", "name", "order", "n", F.col("at").alias("begin"), (F.col("at") + F.col("k")).alias("at"), "piece")
+    whole = asked.join(spelled, ["_key", "at", "piece"]).groupBy("_key", "begin", "name", "order", "n").agg(F.count("*").alias("found")).where("found = n - 1")
+    hits = met.where("n = 1").select("_key", F.col("at").alias("begin"), "order", "name", "n").unionByName(whole.select("_key", "begin", "order", "name", "n"))
+    best = hits.groupBy("_key", "begin").agg(F.min(F.struct("order", "name", "n")).alias("best")).select("_key", F.struct(F.col("begin").alias("at"), F.col("best.n").alias("n")).alias("place"))
+    kind = "array<struct<at:int,n:int>>"
+
+    def taken(acc: Column, x: Column) -> Column:
+        free = x["at"] >= acc["end"]
+        return F.struct(F.when(free, x["at"] + x["n"]).otherwise(acc["end"]).alias("end"), F.when(free, F.concat(acc["all"], F.array(x))).otherwise(acc["all"]).alias("all"))
+
+    zero = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("all"))
+    sorted_ = best.groupBy("_key").agg(F.array_sort(F.collect_list("place")).cast(kind).alias("places"))
+    return sorted_.select(F.col("_key").alias(key), F.aggregate("places", zero, taken, lambda acc: acc["all"]).alias("places"))
+
+
+def _cut(pieces: Column, places: Column) -> Column:
+    """What is left of the pieces, as text, with single spaces and trimmed."""
+    begin = F.concat(F.array(F.lit(0)), F.transform(places, lambda x: x["at"] + x["n"]))
+    end = F.concat(F.transform(places, lambda x: x["at"]), F.array(F.size(pieces)))
+    stay = F.flatten(F.transform(F.arrays_zip(begin.alias("a"), end.alias("b")), lambda g: F.slice(pieces, g["a"] + 1, g["b"] - g["a"])))
+    return F.regexp_replace(F.regexp_replace(F.array_join(stay, ""), r"(?U)\s+", " "), "^ | $", "")
+
+
+def without_names(texts: DataFrame, names: DataFrame, key: str, text: str, marked: str | None = None) -> DataFrame:
+    """The texts without names (see `name_places`), with single spaces where one went, as they stand elsewhere. marked: the same text with marks, which
+    loses the same words, if it has as many."""
+    found = name_places(texts, names, key, text)
+    out = texts.join(found, key, "left").withColumn("_pieces", once(F.when(F.col("places").isNotNull(), F.regexp_extract_all(text, F.lit(NAME_PIECE), F.lit(0)))))
+    cut = {text: F.when(F.col("places").isNotNull(), _cut(F.col("_pieces"), F.col("places"))).otherwise(F.col(text))}
+    if marked:
+        out = out.withColumn("_marked", once(F.when(F.col("places").isNotNull(), F.regexp_extract_all(marked, F.lit(NAME_PIECE.replace("_", "_^")), F.lit(0)))))
+        cut[marked] = F.when(F.size("_marked") == F.size("_pieces"), _cut(F.col("_marked"), F.col("places"))).otherwise(F.col(marked))
+    return out.withColumns(cut).select(*texts.columns)
+
+
+def coverage(df: DataFrame, before: str, after: str, *by: str, rollup: bool = False, names: DataFrame | None = None, ambiguous: bool = False, literal: bool = False) -> DataFrame:
+    """before, after, difference, ratio of open doubtful vowels. names: words or rows of words (name) that are left out, of both texts by what
+    stands in the first without marks (literal: of the first only); ambiguous: only those that the accent rules leave open."""
     if ambiguous:
         from .macronize import ambiguous_dichrona as count
     else:
         count = phonology.open_dichrona
+    if names is not None:
+        df = without_names(kept(df.withColumn("_row", F.monotonically_increasing_id())), names, "_row", before, None if literal else after)
     counted = df.select(*by, count(F.col(before)).alias("_b"), count(F.col(after)).alias("_a"))
     grouped = counted.rollup(*by) if rollup else counted.groupBy(*by)
     out = grouped.agg(F.coalesce(F.sum("_b"), F.lit(0)).alias("before"), F.coalesce(F.sum("_a"), F.lit(0)).alias("after"))

@@ -1,6 +1,6 @@
 """Small inputs of our own for the linguistic queries."""
 
-NAMES = ["θε", "ανδ", "δερ"]
+NAMES = ["δε λα", "θε", "ανδ", "δερ", "οφ θε", "λα θε ανδ", "δε", "εν λα εν", "λα, δε"]
 STOP = ["θε", "ανδ", "οφ", "το", "α", "δε", "λα", "διε"]
 STOP_MARKED = ["θε", "λα", "και", "ανδ", "α"]
 IONIC = ["θη", "χώρη", "ἡμέρη", "αρη", "ωερη", "λη"]

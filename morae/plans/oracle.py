@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import profile as p
 from . import fixtures as x
 
@@ -300,6 +302,19 @@ b AS (SELECT doc_id, flatten(list_transform(list_filter(l, lambda e: e.k NOT IN
 c AS (SELECT doc_id, array_to_string(list_filter(list_concat(p, v), lambda s: s <> ''), ' ') AS text FROM b) SELECT doc_id, length(text) AS n, md5(text) AS digest, NULL::VARCHAR AS problem FROM c"""
 
 
+# names as a pattern between word borders, which words get here as a sign before and behind them
+EDGE = "\ue110"
+
+
+def bordered(name: str) -> str:
+    return re.sub(r"([^\W]+)", rf"{EDGE}\1{EDGE}", name)
+
+
+NAMED = f"{G}, named AS (SELECT doc_id, lang, text, {sub('text', '([' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]+)', EDGE + '$1' + EDGE)} AS bounded FROM g)"
+CUT = f"regexp_replace(bounded, {q('|'.join(map(bordered, x.NAMES)))}, '', 'g')"
+GAPPED = f"(CASE WHEN bounded <> {CUT} THEN trim({sub(f'replace({CUT}, {q(EDGE)}, {q("")})', SPACES, ' ')}, ' ') ELSE text END)"
+
+
 CLASS_SENT = f"([{p.DICHRONA}])([{p.CONSONANTS}]?[.])$"
 FIRST_DIFF = "coalesce(list_position(list_transform(list_zip(string_split(a, ''), string_split(b, '')), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false), 0)"
 DEFECT = f"""CASE WHEN regexp_matches(form, '[_^]') THEN 'mark_in_key' WHEN regexp_matches(form, '[A-Za-z]') OR regexp_matches(marked, '[A-Za-z]') THEN 'latin_letter'
@@ -369,8 +384,12 @@ CASE WHEN n % 7 = 0 THEN m || 'ν' WHEN n % 11 = 0 THEN replace(m, 'ο', 'o') WH
     "stop_word_unmark": on_gold(f"array_to_string(list_transform(string_split(translate(line, '[]{{}}#€', ''), ' '), lambda w: CASE WHEN {STRIP.format('w')} IN {alternatives(x.STOP_MARKED)} THEN {STRIP.format('w')} ELSE w END), ' ')"),
     "coverage_by_lang": coverage(f"{G}, s AS (SELECT lang, unnest(regexp_extract_all({deleted('text', p.EDITORIAL)}, {q(SENTENCE)})) AS s FROM g)", "s", sub("s", CLASS_SENT, "$1^$2"), "s", "lang", "GROUP BY lang"),
     "corpus_rollup": coverage(G, "text", sub("text", f"([{p.DICHRONA}])([.])", "$1^$2"), "g", "lang, source", "GROUP BY ROLLUP (lang, source)"),
-    "coverage_without_names": f"""WITH {G}, s AS (SELECT lang, unnest(string_split_regex(text, '[\\s\\x{{0085}}\\x{{00A0}}]+')) AS w FROM g)
-SELECT lang, sum({open_dichrona('w')})::BIGINT AS before FROM s WHERE w NOT IN {alternatives(x.NAMES)} GROUP BY lang""",
+    "coverage_without_names": f"""WITH {NAMED}, n AS (SELECT lang, text, {GAPPED} AS kept FROM named)
+SELECT lang, sum({open_dichrona('kept')})::BIGINT AS before, sum({open_dichrona("replace(kept, 'α', 'α_')")})::BIGINT AS after FROM n GROUP BY lang""",
+    "text_without_names": f"""WITH {NAMED}, n AS (SELECT doc_id, {GAPPED} AS kept FROM named) SELECT doc_id, length(kept) AS n, md5(kept) AS digest FROM n""",
+    "synapheia": f"""WITH {W}, s AS (SELECT doc_id, pos, {syllables('word')} AS l FROM w), u AS (SELECT doc_id, pos, unnest(range(len(l))) AS i, unnest(l) AS syl, len(l) AS n FROM s), f AS (SELECT *, lead(syl) OVER (PARTITION BY doc_id ORDER BY pos, i) AS following, translate(syl, '_^' || chr(39), '') AS bare FROM u),
+o AS (SELECT doc_id, pos, i, CASE WHEN i < n - 1 THEN {like('bare', VOWEL + '$')} ELSE ({OPEN_WORD}) END AS o FROM f), a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (o) AS n_open, md5(string_agg(CASE WHEN o THEN 'o' ELSE 'c' END, '' ORDER BY pos, i)) AS digest FROM o GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n, coalesce(n_open, 0) AS n_open, coalesce(digest, md5('')) AS digest FROM g LEFT JOIN a USING (doc_id)""",
     "sentence_filter": f"""WITH {G}, l AS (SELECT doc_id, regexp_extract_all(text, {q(SENTENCE)}) AS l FROM g), s AS (SELECT doc_id, unnest(range(len(l)))::BIGINT AS sent_id, unnest(l) AS s FROM l),
 n AS (SELECT doc_id, sent_id, {open_dichrona('s')} AS n FROM s) SELECT * FROM n WHERE n > 0""",
     "drop_reason_counts": f"""WITH {W} SELECT CASE WHEN {NUMERAL.format('word')} THEN 'numeral' WHEN regexp_matches(word, 'ς.') THEN 'mid_sigma' WHEN {bad_accents('word')} THEN 'accents' WHEN {open_dichrona('word')} = 0 THEN 'nothing_to_do' END AS reason, count(*) AS n FROM w GROUP BY 1""",

@@ -129,10 +129,26 @@ def corpus_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("ratio", F.round("ratio", 9))
 
 
+def names_table(spark: SparkSession) -> DataFrame:
+    return frame(spark, [(n, k) for k, n in enumerate(x.NAMES)], "name string, ord int")
+
+
 def coverage_without_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = docs(spark, sf_dir).withColumn("after", c("text"))
-    out = report.coverage(own, "text", "after", "lang", names=frame(spark, [(n,) for n in x.NAMES], "name string"))
-    return out.select("lang", "before")
+    own = docs(spark, sf_dir).withColumn("after", F.regexp_replace("text", "α", "α_"))
+    out = report.coverage(own, "text", "after", "lang", names=names_table(spark))
+    return out.select("lang", "before", "after")
+
+
+def text_without_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts without names of one, two and three words."""
+    out = report.without_names(docs(spark, sf_dir).select("doc_id", "text"), names_table(spark), "doc_id", "text")
+    return out.select("doc_id", F.length("text").cast("long").alias("n"), F.md5(c("text").cast("binary")).alias("digest"))
+
+
+def synapheia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Openness of every syllable of a document, with an eye on the next one, over the borders of words and lines."""
+    own = docs(spark, sf_dir).select("doc_id", phonology.openness(t.word_list(c("text"))).alias("o"))
+    return own.select("doc_id", F.size("o").cast("long").alias("n"), F.size(F.filter("o", lambda x: x)).cast("long").alias("n_open"), F.md5(F.array_join(F.transform("o", lambda x: F.when(x, "o").otherwise("c")), "").cast("binary")).alias("digest"))
 
 
 def sentence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -519,5 +535,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     golden = {"bracket_move": evaluate.brackets_filled, "gold_plain": evaluate.plain, "syllable_extract": joined(lambda s: s), "closed_syllable_clean": joined(evaluate.closed_unmarked), "all_short_baseline": joined(evaluate.all_short), "all_short_count": lambda line: evaluate.open_count(evaluate.syllables(line)), "gold_stripped": evaluate.stripped_gold, "stop_word_unmark": lambda line: F.array_join(evaluate.stop_words_unmarked(F.split(marks_only(line), " "), x.STOP_MARKED), " ")}
     own |= {name: partial(on_gold, build) for name, build in golden.items()}
     own |= {"alignment_score": partial(scored, evaluate.alignment), "backward_score": partial(scored, evaluate.backward)}
-    plain = [coverage_by_lang, corpus_rollup, coverage_without_names, sentence_filter, drop_reason_counts, stopword_anti_join, tokenizer_semi_join, ionic_semi_join, lexicon_left_join, lexicon_case_variants, lexicon_two_key, lexicon_disambiguate_first, lexicon_build_last_wins, prefix_longest_match, elision_variants, decapitalize_lookup, oxytone_lookup, ending_rewrite, context_particle, next_word_openness, occurrence_align, integrate_text, integrity_check, residue_rank, residue_keep_first, module_share, residue_merge_runs, top_pos, pos_baseline, stats_pivot, reconcile, even_batches, chunk_ids, char_inventory, lexicon_validate, line_match_rate, success_rates, traffic_light, html_span_extract, json_definition, bracket_extract, tei_extract, cached_annotations, resolved_tokens, guarded_rewriting, annotate_corpus, place_marks, ambiguous_coverage, even_chunks, first_column, macronize_corpus]
+    plain = [coverage_by_lang, corpus_rollup, coverage_without_names, text_without_names, synapheia, sentence_filter, drop_reason_counts, stopword_anti_join, tokenizer_semi_join, ionic_semi_join, lexicon_left_join, lexicon_case_variants, lexicon_two_key, lexicon_disambiguate_first, lexicon_build_last_wins, prefix_longest_match, elision_variants, decapitalize_lookup, oxytone_lookup, ending_rewrite, context_particle, next_word_openness, occurrence_align, integrate_text, integrity_check, residue_rank, residue_keep_first, module_share, residue_merge_runs, top_pos, pos_baseline, stats_pivot, reconcile, even_batches, chunk_ids, char_inventory, lexicon_validate, line_match_rate, success_rates, traffic_light, html_span_extract, json_definition, bracket_extract, tei_extract, cached_annotations, resolved_tokens, guarded_rewriting, annotate_corpus, place_marks, ambiguous_coverage, even_chunks, first_column, macronize_corpus]
     return own | {f.__name__: f for f in plain}

@@ -269,3 +269,36 @@ def test_alignment_of_long_and_empty_lines(spark):
     blocks = SequenceMatcher(None, output, gold, autojunk=False).get_matching_blocks()
     assert got[0] == (marks_in(gold), sum(marks_in(gold[x.b : x.b + x.size]) for x in blocks))
     assert got[1] == (marks_in(gold), 0) and got[2] == (0, 0) and got[3] == (0, 0) and got[4][0] == 60 * marks_in(gold) and got[4][1] > 0
+
+
+def test_names_are_found_as_a_pattern_finds_them(spark):
+    import re
+
+    rng = random.Random(11)
+    names = ["α β", "α", "β γ δ", "γ", "α, β", "δ δ", "αβ", "γ-δ", "ε", ".", "δ ", "β β β"]
+    texts = ["".join(rng.choice(["α", "β", "γ", "δ", "ε", "αβ", "ζ"]) + rng.choice([" ", " ", ", ", "-", "  ", "\n", "1", ""]) for _ in range(rng.randint(0, 40))) for _ in range(80)] + ["", "α", "α β"]
+    known = [n for n in names if re.fullmatch(r"\w(.*\w)?", n)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "id long, t string").repartition(3)
+    for order in (known, sorted(known, key=lambda n: (-len(n), n))):
+        pattern = re.compile(r"\b(?:" + "|".join(map(re.escape, order)) + r")\b")
+        table = spark.createDataFrame([(n, order.index(n) if n in order else 0) for n in names], "name string, ord int")
+        got = {r["id"]: r["t"] for r in report.without_names(df, table if order is known else table.drop("ord"), "id", "t").collect()}
+        for k, t in enumerate(texts):
+            want = re.sub(r"\s+", " ", pattern.sub("", t)).strip() if pattern.search(t) else t
+            assert got[k] == want, (t, order)
+        assert got[99] is None
+
+
+def test_names_of_marked_texts(spark):
+    own = spark.createDataFrame([("ἀξία, δῶρα καὶ Λυδία", "ἀξία, δῶρα^ καὶ Λυ_δί^α")], "a string, b string")
+    names = spark.createDataFrame([("Λυδία",), ("ἀξία",)], "name string")
+    both = report.coverage(own, "a", "b", names=names).first()
+    assert both["before"] == report.coverage(spark.createDataFrame([("δῶρα καὶ", "")], "a string, b string"), "a", "b").first()["before"] and both["after"] == 0
+    first = report.coverage(own, "a", "b", names=names, literal=True).first()
+    assert first["before"] == both["before"] and first["after"] > 0
+
+
+def test_openness_looks_over_borders(spark):
+    of = lambda *words: spark.createDataFrame([(list(words),)], "w array<string>").select(phonology.openness(F.col("w")).alias("o")).first()["o"]
+    assert of("λόγος", "ἄγει") == [True, True, True, True] and of("λόγος", "καὶ") == [True, False, True]
+    assert of("τὰ", "στέρνα") == [False, False, True] and of("τὰ", "ζῷα") == [False, True, True] and of() == []
