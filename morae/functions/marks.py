@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import normal
 from . import profile as p
 from .text import deleted, let, mapped
 
@@ -56,79 +54,22 @@ def graved(col: Column) -> Column:
     return mapped(col, p.ACUTE_TO_GRAVE)
 
 
-#: stand-ins for signs that a canonical form would change
-HELD = {p.QUESTION: "\ue000", p.ANO_TELEIA: "\ue001"}
-
-
-def _held(s: str) -> str:
-    return s.translate(str.maketrans(HELD))
-
-
-def _released(s: str) -> str:
-    return s.translate(str.maketrans({b: a for a, b in HELD.items()}))
-
-
-def _normal(s: str | None) -> str | None:
-    """NFC that keeps the Greek question mark and the ano teleia."""
-    return None if s is None else _released(unicodedata.normalize("NFC", _held(s)))
-
-
-def _to_markup(s: str | None) -> str | None:
-    """Combining length marks become signs behind their letter; a middle dot and a semicolon become the Greek ones."""
-    if s is None:
-        return None
-    out, mark = [], ""
-    for ch in unicodedata.normalize("NFD", _held(s)):
-        if ch in (p.MACRON, p.BREVE):
-            mark = p.LONG if ch == p.MACRON else p.SHORT
-            continue
-        if not unicodedata.combining(ch) and mark:
-            out.append(mark)
-            mark = ""
-        out.append(ch)
-    text = "".join([*out, mark]).replace("\u00b7", HELD[p.ANO_TELEIA]).replace(";", HELD[p.QUESTION])
-    return _released(unicodedata.normalize("NFC", text))
-
-
-def _to_unicode(s: str | None) -> str | None:
-    if s is None or not any(m in s for m in p.MARKS):
-        return s
-    out: list[str] = []
-    for ch in s:
-        if ch in p.MARKS and out:
-            nfd = unicodedata.normalize("NFD", out.pop())
-            out.append(unicodedata.normalize("NFC", nfd[0] + (p.MACRON if ch == p.LONG else p.BREVE) + nfd[1:]))
-        else:
-            out.append(ch)
-    return "".join(out)
-
-
-def _unlengthened(s: str | None) -> str | None:
-    return None if s is None else unicodedata.normalize("NFC", "".join(ch for ch in unicodedata.normalize("NFD", s) if ch not in (p.MACRON, p.BREVE)))
-
-
-def _vectorised(function):
-    def run(col: pd.Series) -> pd.Series:
-        return col.map(function, na_action="ignore")
-
-    return F.pandas_udf(run, "string")
-
-
 def normalized(col: Column) -> Column:
-    return _vectorised(_normal)(col)
+    """Canonical composition that keeps the Greek question mark and the ano teleia."""
+    return normal.nfc(col)
 
 
 def to_markup(col: Column) -> Column:
-    return _vectorised(_to_markup)(col)
+    return normal.to_markup(col)
 
 
 def to_unicode(col: Column) -> Column:
-    return _vectorised(_to_unicode)(col)
+    return normal.to_unicode(col)
 
 
 def unlengthened(col: Column) -> Column:
     """Without combining length marks."""
-    return _vectorised(_unlengthened)(col)
+    return normal.unlengthened(col)
 
 
 def upper(col: Column) -> Column:

@@ -302,6 +302,18 @@ b AS (SELECT doc_id, flatten(list_transform(list_filter(l, lambda e: e.k NOT IN
 c AS (SELECT doc_id, array_to_string(list_filter(list_concat(p, v), lambda s: s <> ''), ' ') AS text FROM b) SELECT doc_id, length(text) AS n, md5(text) AS digest, NULL::VARCHAR AS problem FROM c"""
 
 
+def marked_words(select: str) -> str:
+    marked = f"CASE length(word) % 3 WHEN 0 THEN {sub('word', '([αίύ])', '$1_')} WHEN 1 THEN {sub('word', '([ιυά])', '$1^')} ELSE {sub('word', '([αιυάίύ])', '$1^')} END"
+    return f"WITH {W}, v AS (SELECT word, {marked} AS marked FROM (SELECT DISTINCT word FROM w WHERE {like('word', '^[α-ωά-ώ]+$')})) SELECT word, {select} AS out FROM v"
+
+
+def combining(expr: str) -> str:
+    for letter, bare, accent in (("α", "α", ""), ("ι", "ι", ""), ("υ", "υ", ""), ("ά", "α", "\u0301"), ("ί", "ι", "\u0301"), ("ύ", "υ", "\u0301")):
+        for sign, mark in (("_", p.MACRON), ("^", p.BREVE)):
+            expr = f"replace({expr}, {q(letter + sign)}, {q(bare + mark + accent)})"
+    return f"nfc_normalize({expr})"
+
+
 # names as a pattern between word borders, which words get here as a sign before and behind them
 EDGE = "\ue110"
 
@@ -440,6 +452,8 @@ SELECT doc_id, a = b AS intact, {FIRST_DIFF}::BIGINT AS first_diff, length(b) -
     "json_definition": "SELECT event_id, json_extract_string(props, '$.k') AS value FROM events",
     "bracket_extract": "WITH s AS (SELECT doc_id, translate(text, ',.', '[]') AS s FROM documents) SELECT doc_id, nullif(regexp_extract(s, '\\[([^\\]]+)\\]', 1), '') AS out FROM s",
     "guarded_rewriting": rivals(),
+    "codec_to_unicode": marked_words(combining("marked")),
+    "codec_to_markup": marked_words("marked"),
     "tei_extract": TEI,
     "cached_annotations": f"""WITH {G}, k AS (SELECT doc_id, array_to_string(string_split(text, ' ')[1:2], '-') || '-' || sha256(text) AS key FROM g) SELECT doc_id, key FROM k WHERE key NOT IN (SELECT key FROM k WHERE doc_id % 4 = 0)""",
 }

@@ -360,6 +360,30 @@ def marks_only(line: Column) -> Column:
     return F.translate(line, "[]{}#€", "")
 
 
+def combining(col: Column) -> Column:
+    """Marked words with combining length marks in place of signs, one replacement for each marked letter."""
+    for letter, bare, accent in (("α", "α", ""), ("ι", "ι", ""), ("υ", "υ", ""), ("ά", "α", "\u0301"), ("ί", "ι", "\u0301"), ("ύ", "υ", "\u0301")):
+        for sign, mark in (("_", p.MACRON), ("^", p.BREVE)):
+            whole = {"α_": "\u1fb1", "α^": "\u1fb0", "ι_": "\u1fd1", "ι^": "\u1fd0", "υ_": "\u1fe1", "υ^": "\u1fe0"}[bare + sign]
+            col = F.replace(col, F.lit(letter + sign), F.lit(whole + accent))
+    return col
+
+
+def marked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, marked: distinct words of Greek letters, with signs behind doubtful vowels by the words' length."""
+    own = words(spark, sf_dir).select("word").distinct().where(c("word").rlike("^[α-ωά-ώ]+$"))
+    n = F.char_length("word")
+    return own.select("word", F.when(n % 3 == 0, F.regexp_replace("word", "([αίύ])", "$1_")).when(n % 3 == 1, F.regexp_replace("word", "([ιυά])", "$1^")).otherwise(F.regexp_replace("word", "([αιυάίύ])", "$1^")).alias("marked"))
+
+
+def codec_to_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked_words(spark, sf_dir).select("word", marks.to_unicode(c("marked")).alias("out"))
+
+
+def codec_to_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked_words(spark, sf_dir).select("word", marks.to_markup(combining(c("marked"))).alias("out"))
+
+
 def two_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """word, new, old: distinct words, marked in two ways, by their lengths; some of another word, some unmarked, some empty."""
     n = F.char_length("word")
@@ -520,7 +544,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     by_word = {
         "count_fixtures": (x.COUNTS, phonology.open_dichrona), "syllabify": (x.COUNTS, lambda w: F.array_join(phonology.syllables(w), "|")), "accent_class": (x.COUNTS, phonology.accent_class), "accent_rules": (x.COUNTS, phonology.accent_rules),
         "diphthong_marked": (x.DIPHTHONGS, phonology.marks_diphthong), "diphthong_unmark": (x.DIPHTHONGS, phonology.unmark_diphthongs), "numeral_filter": (x.NUMERALS, t.is_numeral), "pathology_filter": (x.PATHOLOGIES, lambda w: t.bad_accents(w) | t.mid_final_sigma(w)),
-        "nfc": (x.UNICODE, marks.normalized), "codec_to_markup": (x.UNICODE, marks.to_markup), "codec_to_unicode": (x.DIPHTHONGS + x.COUNTS, marks.to_unicode), "no_macrons": (x.UNICODE, marks.unlengthened), "colour": (x.COUNTS, marks.coloured),
+        "nfc": (x.UNICODE, marks.normalized), "no_macrons": (x.UNICODE, marks.unlengthened), "colour": (x.COUNTS, marks.coloured),
         "syllable_lengths": (x.COUNTS + x.DIPHTHONGS, lambda w: F.array_join(F.transform(phonology.syllables(w), flags), "|")),
     }
     own |= {name: partial(on_words, *args) for name, args in by_word.items()}
@@ -535,5 +559,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     golden = {"bracket_move": evaluate.brackets_filled, "gold_plain": evaluate.plain, "syllable_extract": joined(lambda s: s), "closed_syllable_clean": joined(evaluate.closed_unmarked), "all_short_baseline": joined(evaluate.all_short), "all_short_count": lambda line: evaluate.open_count(evaluate.syllables(line)), "gold_stripped": evaluate.stripped_gold, "stop_word_unmark": lambda line: F.array_join(evaluate.stop_words_unmarked(F.split(marks_only(line), " "), x.STOP_MARKED), " ")}
     own |= {name: partial(on_gold, build) for name, build in golden.items()}
     own |= {"alignment_score": partial(scored, evaluate.alignment), "backward_score": partial(scored, evaluate.backward)}
-    plain = [coverage_by_lang, corpus_rollup, coverage_without_names, text_without_names, synapheia, sentence_filter, drop_reason_counts, stopword_anti_join, tokenizer_semi_join, ionic_semi_join, lexicon_left_join, lexicon_case_variants, lexicon_two_key, lexicon_disambiguate_first, lexicon_build_last_wins, prefix_longest_match, elision_variants, decapitalize_lookup, oxytone_lookup, ending_rewrite, context_particle, next_word_openness, occurrence_align, integrate_text, integrity_check, residue_rank, residue_keep_first, module_share, residue_merge_runs, top_pos, pos_baseline, stats_pivot, reconcile, even_batches, chunk_ids, char_inventory, lexicon_validate, line_match_rate, success_rates, traffic_light, html_span_extract, json_definition, bracket_extract, tei_extract, cached_annotations, resolved_tokens, guarded_rewriting, annotate_corpus, place_marks, ambiguous_coverage, even_chunks, first_column, macronize_corpus]
+    plain = [coverage_by_lang, corpus_rollup, coverage_without_names, text_without_names, synapheia, sentence_filter, drop_reason_counts, stopword_anti_join, tokenizer_semi_join, ionic_semi_join, lexicon_left_join, lexicon_case_variants, lexicon_two_key, lexicon_disambiguate_first, lexicon_build_last_wins, prefix_longest_match, elision_variants, decapitalize_lookup, oxytone_lookup, ending_rewrite, context_particle, next_word_openness, occurrence_align, integrate_text, integrity_check, residue_rank, residue_keep_first, module_share, residue_merge_runs, top_pos, pos_baseline, stats_pivot, reconcile, even_batches, chunk_ids, char_inventory, codec_to_unicode, codec_to_markup, lexicon_validate, line_match_rate, success_rates, traffic_light, html_span_extract, json_definition, bracket_extract, tei_extract, cached_annotations, resolved_tokens, guarded_rewriting, annotate_corpus, place_marks, ambiguous_coverage, even_chunks, first_column, macronize_corpus]
     return own | {f.__name__: f for f in plain}
