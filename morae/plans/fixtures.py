@@ -26,3 +26,9 @@ LATIN_BOTH = "abgdezhiklmnopcrstufxywABGDEZHIKLMNOPCRSTUFXYW"
 GREEK_BOTH = "αβγδεζηικλμνοπξρστυφχψωΑΒΓΔΕΖΗΙΚΛΜΝΟΠΞΡΣΤΥΦΧΨΩ"
 TAG_POS = ["NOUN", "ADJ", "VERB", "PROPN", "X"]
 TAG_MORPH = ["Case=Gen|Gender=Fem|Number=Sing", "Case=Nom|Gender=Fem|Number=Sing", "Case=Acc|Gender=Fem|Number=Plur", "Case=Dat|Gender=Masc|Number=Sing", "Case=Acc|Gender=Fem,Masc|Number=Sing", "Case=Gen|Gender=Neut|Number=Plur", "Mood=Ind|Number=Sing|Tense=Pres|Voice=Act", "Case=Acc|Gender=Masc|Number=Plur", ""]
+# ending, part of speech, morphology, ending of the lemma
+ENDINGS = [
+    ("", "X", "", ""), ("α", "NOUN", "Case=Nom|Gender=Fem|Number=Sing", "α"), ("αν", "NOUN", "Case=Acc|Gender=Fem|Number=Sing", "α"), ("ας", "NOUN", "Case=Gen|Gender=Fem|Number=Sing", "α"), ("ον", "ADJ", "Case=Acc|Gender=Masc|Number=Sing", "ος"),
+    ("ος", "ADJ", "Case=Nom|Gender=Masc|Number=Sing", "ος"), ("ου", "NOUN", "Case=Gen|Gender=Masc|Number=Sing", "ος"), ("ιν", "NOUN", "Case=Dat|Gender=Masc|Number=Plur", "ις"), ("ι", "NOUN", "Case=Dat|Gender=Neut|Number=Sing", "ι"), ("μι", "VERB", "Mood=Ind|Number=Sing|Tense=Pres|Voice=Act", "μι"),
+    ("ει", "VERB", "Mood=Sub|Number=Sing|Tense=Pres|Voice=Act", "ω"), ("ὰ", "ADJ", "Case=Nom|Gender=Neut|Number=Plur", "ός"), ("'", "ADP", "", "α"), ("λα", "ADJ", "Case=Nom|Gender=Neut|Number=Plur", "λος"),
+]

@@ -327,6 +327,20 @@ CUT = f"regexp_replace(bounded, {q('|'.join(map(bordered, x.NAMES)))}, '', 'g')"
 GAPPED = f"(CASE WHEN bounded <> {CUT} THEN trim({sub(f'replace({CUT}, {q(EDGE)}, {q("")})', SPACES, ' ')}, ' ') ELSE text END)"
 
 
+MARKED_ALPHA = "replace(unmarked, 'α', 'α_')"
+BATCHED = f"{L}, b0 AS (SELECT doc_id // 300 AS batch, regexp_replace(line, '[\\t\\r\"]', ' ', 'g') AS unmarked FROM lines WHERE trim(line, ' ') <> ''), b AS (SELECT *, replace(unmarked, 'α', 'α_') AS marked, {open_dichrona('unmarked')} AS o, {open_dichrona(MARKED_ALPHA)} AS a FROM b0)"
+SINKS = {
+    "pairs_round_trip": f"WITH {BATCHED} SELECT unmarked, marked, count(*) AS n FROM b WHERE a = 0 GROUP BY ALL",
+    "batches_round_trip": f"WITH {BATCHED} SELECT batch, count(*) AS n, sum(length(marked))::BIGINT AS n_chars FROM b GROUP BY batch",
+    "stats_round_trip": f"WITH {BATCHED} SELECT batch, sum(o - a)::BIGINT AS numerator, sum(o)::BIGINT AS denominator FROM b GROUP BY batch",
+    "residue_round_trip": f"WITH {W}, n AS ({COUNTED}) SELECT n AS count, word AS token, 'first' AS run_id FROM n WHERE {open_dichrona('word')} > 0 AND NOT contains(word, chr(92))",
+    "hits_round_trip": f"WITH {W} SELECT 'm' || least(length(word), 9) AS module, count(*) AS n, count(DISTINCT word) AS n_words FROM w GROUP BY 1",
+    "lines_round_trip": f"WITH {L}, n AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_no) - 1 AS line_no, replace(line, chr(13), ' ') AS line FROM lines JOIN (SELECT doc_id, lang FROM g) USING (doc_id)) SELECT lang, line_no, md5(line) AS digest FROM n WHERE line_no >= 100",
+    "texts_round_trip": f"WITH {G} SELECT source, sum(length(text) + 1)::BIGINT AS n_chars FROM g GROUP BY source",
+    "lexicon_round_trip": f"WITH {W}, k AS (SELECT DISTINCT word FROM w), t AS (SELECT unnest({word_list(f'translate(lower(text), {q(p.LATIN)}, {q(p.GREEK)})')}) AS word FROM conversations), n AS (SELECT word, count(*) AS n FROM t GROUP BY word) SELECT n.word, n.n, CASE WHEN k.word IS NOT NULL THEN {sub('n.word', '([αιυ])', '$1^')} END AS marked FROM n LEFT JOIN k ON n.word = k.word",
+}
+
+
 CLASS_SENT = f"([{p.DICHRONA}])([{p.CONSONANTS}]?[.])$"
 FIRST_DIFF = "coalesce(list_position(list_transform(list_zip(string_split(a, ''), string_split(b, '')), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false), 0)"
 DEFECT = f"""CASE WHEN regexp_matches(form, '[_^]') THEN 'mark_in_key' WHEN regexp_matches(form, '[A-Za-z]') OR regexp_matches(marked, '[A-Za-z]') THEN 'latin_letter'
@@ -334,7 +348,7 @@ WHEN {STRIP.format('marked')} <> form THEN 'other_word' WHEN NOT regexp_matches(
 PIECE = r"[\p{L}\p{M}\p{Nd}\p{Pc}'^]+|[^\p{L}\p{M}\p{Nd}\p{Pc}'^]+"
 BARE_LOWER_FIRST = r"string_split_regex(line, '[\s\x{0085}\x{00A0}]+')"
 
-SQL: dict[str, str] = {
+SQL: dict[str, str] = SINKS | {
     "clean_editorial": on_text(deleted("text", p.EDITORIAL)),
     "clean_noise": on_text(sub("text", p.NOISE, "")),
     "unify_apostrophes": on_text(mapped("text", dict.fromkeys(p.APOSTROPHES, "'"))),

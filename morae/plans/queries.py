@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -12,8 +13,10 @@ from pyspark.sql.window import Window
 from ..functions import marks, phonology
 from ..functions import profile as p
 from ..functions import text as t
-from ..operators import assemble, cascade, evaluate, lexicon, macronize, report, rewrite, rules
+from ..operators import assemble, cascade, evaluate, lexicon, macronize, report, rewrite, rules, tagger
+from ..sources import lines as numbered_lines
 from ..sources import readers, tei
+from ..storage import kept, shared
 from . import fixtures as x
 
 c = F.col
@@ -113,6 +116,53 @@ def macronize_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.length("text").cast("long").alias("n"), F.md5(c("text").cast("binary")).alias("digest"), (phonology.open_dichrona(c("clean_text")) - phonology.open_dichrona(c("text"))).alias("resolved"))
 
 
+def polytonic(col: Column) -> Column:
+    """Latin text as Greek with capitals, breathings, accents, elisions and last sigmas, by rules of letters."""
+    col = F.translate(col, x.LATIN_BOTH, x.GREEK_BOTH)
+    steps = [
+        (r"(?U)\bοφ\b", "ἄλλα"), (r"(?U)\bτο\b", "ἄν"), (r"(?U)\bισ\b", "εἰ"),
+        (r"(?U)[ει] (?=[αειουηω])", "' "), (r"(?U)\bκο", "κατα"), (r"(?U)\bα(?=[β-ω])", "ἀ"), (r"(?U)\bυ(?=[β-ω])", "ὑ"),
+        (r"(?U)α(?=[βγδθκλμνπρσφχ][εο]\p{L}?\b)", "ά"), (r"(?U)ι(?=[βγδθκλμνπρσφχ]{1,2}[αιυ]\b)", "ί"), (r"(?U)α(?=[βγδθκλμνπρσφχ]{1,2}[αιυ]\b)", "ά"), (r"(?U)υ(?=[βγδθκλμνπρσφχ]{1,2}[αιυ]\b)", "ύ"), (r"(?U)ο(?=[βγδθκλμνπρσφχ][αιυ][βγδθκλμνπρσφχ][αιυ]\b)", "ό"), (r"(?U)α\b(?= \p{L})", "ὰ"), (r"(?U)(?<=\p{L})σ\b", "ς"),
+        (r"(?U)([ιυ][βγδθκλμνπρσφχ]*)ον\b", "$1όν"), (r"(?U)α([βγδθκλμνπρσφχ]+\p{L}{1,2}όν\b)", "ά$1"),
+    ]
+    return t.replaced(col, steps)
+
+
+def tagged_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, cascade.Lexica]:
+    """The documents as Greek, their tokens with tags by endings, and lexica of the corpus' words, each by a class of hashes."""
+    own = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", polytonic(c("text")).alias("text"))
+    sentences = own.select("doc_id", F.posexplode(t.sentences(macronize.prepared(c("text")))).alias("sent_id", "s"))
+    tokens = sentences.select("doc_id", "sent_id", F.posexplode(t.word_list(c("s"))).alias("tok_id", "text"))
+    tagged_ = kept(tagger.tagged(tokens, frame(spark, x.ENDINGS, "ending string, pos string, morph string, lemma_ending string")))
+    forms = tagged_.select("text").distinct().select(F.explode(F.array("text", lexicon.decapitalized(c("text")), marks.acuted(c("text")), F.concat(F.regexp_replace("text", "..$", ""), phonology.bare_letters(F.right("text", F.lit(2)))))).alias("form")).distinct().where(phonology.open_dichrona(c("form")) > 0)
+    dichrona = f"[{p.DICHRONA}]"
+    h = F.crc32(c("form").cast("binary"))
+    verse = (h % 10 == 4) | (h % 10 > 6)  # long first vowels, which the accent rules go on from
+    first = F.regexp_replace("form", f"^([^{p.DICHRONA}]*)({dichrona})", "$1$2@")
+    marked = F.replace(F.when((h % 3 == 0) & ~verse, F.regexp_replace("form", f"({dichrona})", "$1@")).otherwise(first), F.lit("@"), F.when((h % 2 == 0) & ~verse, "^").otherwise("_"))
+    lex = kept(forms.withColumns({"marked": marked, "class": h % 10, "ord": h}))
+    of = lambda k: lex.where(c("class") == k).select("form", "marked", "ord")
+    other = F.translate("marked", "_^", "^_")
+    cases = F.explode(F.array(*(F.struct(F.lit(i).alias("alt_id"), F.lit(case).alias("case"), m.alias("marked")) for i, (case, m) in enumerate([("Nom", c("marked")), ("Dat", other), ("Gen", other), ("Acc", c("marked"))]))))
+    lexica = cascade.Lexica(
+        custom=of(0), singletons=of(1), lsj=of(2).unionByName(lex.where("class = 6").select(F.regexp_replace("form", "^(κατα|ἀν|ἀ|δι)", "").alias("form"), F.regexp_replace("form", "^(κατα|ἀν|ἀ|δι)", "").alias("marked"), "ord").where("form <> ''")),
+        ambiguous=lex.where("class = 3").select("form", cases.alias("x")).select("form", "x.*"), ionic=lex.where("class IN (5, 6)").select(F.expr("substring(form, 1, char_length(form) - 1)").alias("stem")), verse=lex.where("class = 4 OR class > 6").select("form", "marked", "ord"),
+    )
+    return own, tagged_, lexica
+
+
+def macronize_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole engine with tags and all lexica: the marked texts."""
+    own, tokens, lexica = tagged_corpus(spark, sf_dir)
+    out = macronize.annotate(own, tokens, lexica)
+    return out.select("doc_id", F.length("text").cast("long").alias("n"), F.md5(c("text").cast("binary")).alias("digest"), (phonology.open_dichrona(c("clean_text")) - phonology.open_dichrona(c("text"))).alias("resolved"))
+
+
+def module_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many distinct tokens of the tagged corpus every stage and every kind of rewriting helped, with their shares."""
+    return report.shares(cascade.module_hits(macronize.resolved(*tagged_corpus(spark, sf_dir))), "module", 1)
+
+
 def coverage_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean, split to sentences, count, apply the all-short rule at sentence ends, and report coverage for each language."""
     own = docs(spark, sf_dir).select("lang", F.explode(t.sentences(t.without_editorial(c("text")))).alias("s"))
@@ -530,6 +580,81 @@ def annotate_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.coverage(out, "plain", "text", "lang")
 
 
+def scratch(spark: SparkSession) -> str:
+    return f"{shared(spark)}/sink-{uuid.uuid4().hex}"
+
+
+def batch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """batch, unmarked, marked, left, module, token: the corpus' lines in batches of 300 documents, every alpha marked."""
+    own = lines(spark, sf_dir).where("trim(line) <> ''").select(report.chunk(c("doc_id"), 300).alias("batch"), F.regexp_replace("line", "[\\t\\r\"]", " ").alias("unmarked"))
+    own = own.withColumn("marked", F.regexp_replace("unmarked", "α", "α_"))
+    return own.withColumns({"left": phonology.open_dichrona(c("marked")), "before": phonology.open_dichrona(c("unmarked"))})
+
+
+def tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).csv(path, sep="\t", quote="", escape="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def pairs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose vowels are all decided, written as pairs and read again."""
+    path = scratch(spark)
+    readers.write_pairs(batch_lines(spark, sf_dir), path, perfect="left")
+    return tsv(spark, path, "unmarked string, marked string").groupBy("unmarked", "marked").agg(F.count("*").alias("n"))
+
+
+def batches_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    readers.write_batches(batch_lines(spark, sf_dir), path)
+    return tsv(spark, path, "unmarked string, marked string, batch long").groupBy("batch").agg(F.count("*").alias("n"), F.sum(F.length("marked")).alias("n_chars"))
+
+
+def stats_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    own = batch_lines(spark, sf_dir).groupBy("batch").agg(F.sum(c("before") - c("left")).alias("numerator"), F.sum("before").alias("denominator"))
+    readers.write_stats(own, path)
+    return tsv(spark, path, "batch long, numerator long, denominator long")
+
+
+def residue_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    own = report.residue(words(spark, sf_dir).where(~c("word").contains("\\")).select("word"), "word", lambda df: df.where(phonology.open_dichrona(c("word")) > 0))
+    readers.write_residue(own.select(c("n").alias("count"), c("word").alias("token")), path, "first")
+    return tsv(spark, path, "count long, token string, run_id string")
+
+
+def hits_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder for each module, here each length, of words; read again with the module from the path."""
+    path = scratch(spark)
+    readers.write_hits(words(spark, sf_dir).select(F.concat(F.lit("m"), F.least(F.char_length("word"), F.lit(9))).alias("module"), c("word").alias("token")), path)
+    return spark.read.text(path).groupBy("module").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_words"))
+
+
+def lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of lines for each language, read again with its line numbers, from the hundredth on."""
+    path = scratch(spark)
+    own = lines(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("lang", "doc_id", "line_no", F.regexp_replace("line", "\r", " ").alias("line"))
+    own.repartition("lang").sortWithinPartitions("lang", "doc_id", "line_no").select("lang", "line").write.partitionBy("lang").text(path)
+    got = numbered_lines.numbered(spark, path).where("line_no >= 100")
+    return got.select(F.regexp_extract("file", "lang=([^/]*)", 1).alias("lang"), "line_no", F.md5(c("line").cast("binary")).alias("digest"))
+
+
+def texts_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written a file for each host, and read whole."""
+    path = scratch(spark)
+    own = docs(spark, sf_dir).select("source", "text")
+    own.repartition("source").write.partitionBy("source").text(path)
+    whole = spark.read.text(path, wholetext=True)
+    return whole.groupBy("source").agg(F.sum(F.length("value")).alias("n_chars"))
+
+
+def lexicon_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon of the corpus' words from a path, looked up by the words of the conversations."""
+    path = scratch(spark)
+    words(spark, sf_dir).select(c("word").alias("form")).distinct().withColumn("marked", F.regexp_replace("form", "([αιυ])", "$1^")).write.parquet(path)
+    own = table(spark, sf_dir, "conversations").select(F.explode(t.word_list(t.transliterated(c("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return lexicon.lookup(own, lexicon.read(spark, path), c("word"), "marked")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     text = {
         "clean_editorial": t.without_editorial, "clean_noise": t.without_noise, "unify_apostrophes": t.unified_apostrophes, "strip_digits": t.without_digits, "premark": lambda s: t.premarked(s, True),
@@ -559,5 +684,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     golden = {"bracket_move": evaluate.brackets_filled, "gold_plain": evaluate.plain, "syllable_extract": joined(lambda s: s), "closed_syllable_clean": joined(evaluate.closed_unmarked), "all_short_baseline": joined(evaluate.all_short), "all_short_count": lambda line: evaluate.open_count(evaluate.syllables(line)), "gold_stripped": evaluate.stripped_gold, "stop_word_unmark": lambda line: F.array_join(evaluate.stop_words_unmarked(F.split(marks_only(line), " "), x.STOP_MARKED), " ")}
     own |= {name: partial(on_gold, build) for name, build in golden.items()}
     own |= {"alignment_score": partial(scored, evaluate.alignment), "backward_score": partial(scored, evaluate.backward)}
-    plain = [coverage_by_lang, corpus_rollup, coverage_without_names, text_without_names, synapheia, sentence_filter, drop_reason_counts, stopword_anti_join, tokenizer_semi_join, ionic_semi_join, lexicon_left_join, lexicon_case_variants, lexicon_two_key, lexicon_disambiguate_first, lexicon_build_last_wins, prefix_longest_match, elision_variants, decapitalize_lookup, oxytone_lookup, ending_rewrite, context_particle, next_word_openness, occurrence_align, integrate_text, integrity_check, residue_rank, residue_keep_first, module_share, residue_merge_runs, top_pos, pos_baseline, stats_pivot, reconcile, even_batches, chunk_ids, char_inventory, codec_to_unicode, codec_to_markup, lexicon_validate, line_match_rate, success_rates, traffic_light, html_span_extract, json_definition, bracket_extract, tei_extract, cached_annotations, resolved_tokens, guarded_rewriting, annotate_corpus, place_marks, ambiguous_coverage, even_chunks, first_column, macronize_corpus]
+    plain = [coverage_by_lang, corpus_rollup, coverage_without_names, text_without_names, synapheia, sentence_filter, drop_reason_counts, stopword_anti_join, tokenizer_semi_join, ionic_semi_join, lexicon_left_join, lexicon_case_variants, lexicon_two_key, lexicon_disambiguate_first, lexicon_build_last_wins, prefix_longest_match, elision_variants, decapitalize_lookup, oxytone_lookup, ending_rewrite, context_particle, next_word_openness, occurrence_align, integrate_text, integrity_check, residue_rank, residue_keep_first, module_share, residue_merge_runs, top_pos, pos_baseline, stats_pivot, reconcile, even_batches, chunk_ids, char_inventory, codec_to_unicode, codec_to_markup, lexicon_validate, line_match_rate, success_rates, traffic_light, html_span_extract, json_definition, bracket_extract, tei_extract, cached_annotations, resolved_tokens, guarded_rewriting, annotate_corpus, place_marks, ambiguous_coverage, even_chunks, first_column, macronize_corpus, macronize_tagged, module_totals, pairs_round_trip, batches_round_trip, stats_round_trip, residue_round_trip, hits_round_trip, lines_round_trip, texts_round_trip, lexicon_round_trip]
     return own | {f.__name__: f for f in plain}

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import lines
@@ -78,6 +79,23 @@ def write_pairs(df: DataFrame, path: str, perfect: str | None = None, mode: str
     df.select("unmarked", "marked").write.mode(mode).csv(path, sep="\t", quote="", escape="")
 
 
+class Unequal(ValueError):
+    """A sink got another number of rows than its input has."""
+
+
+def write_reconciled(before: DataFrame, change: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None], strict: bool = True) -> tuple[int, int]:
+    """Write what `change` makes of the input, and compare the numbers of rows that went in and came out: both are counted while the rows pass by in the
+    one job, nothing is read again. Unequal: an error (strict) or a warning. The counts, in and out."""
+    given, made = Observation(), Observation()
+    write(change(before.observe(given, F.count(F.lit(1)).alias("n"))).observe(made, F.count(F.lit(1)).alias("n")))
+    n, m = int(given.get["n"]), int(made.get["n"])
+    if n != m:
+        if strict:
+            raise Unequal(f"{n} rows in, {m} rows out")
+        warnings.warn(f"{n} rows in, {m} rows out", stacklevel=2)
+    return n, m
+
+
 def write_batches(df: DataFrame, path: str) -> None:
     df.select("batch", "unmarked", "marked").write.mode("overwrite").partitionBy("batch").csv(path, sep="\t", quote="", escape="")
 

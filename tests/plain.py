@@ -79,20 +79,21 @@ class Cascade:
     """lexica: custom [(form, marked, ord)], singletons and verse and lsj {form: marked}, ambiguous [(form, alt, marked, case)], ionic {stem}."""
 
     def __init__(self, custom=(), singletons=None, ambiguous=(), lsj=None, ionic=(), verse=None, literal: bool = False):
-        self.custom, self.singletons, self.ambiguous, self.lsj, self.ionic, self.verse, self.literal = list(custom), singletons or {}, list(ambiguous), lsj or {}, set(ionic), verse or {}, literal
+        self.custom, self.singletons, self.ambiguous, self.lsj, self.ionic, self.verse, self.literal = list(custom), singletons or {}, {}, lsj or {}, set(ionic), verse or {}, literal
+        for f, alt, m, k in ambiguous:
+            self.ambiguous[f, k] = min(self.ambiguous.get((f, k), (alt, m)), (alt, m))
         self.heads = {bare(w.lower()) for w in self.lsj}
         self.known: dict[tuple, tuple[str, list[str]]] = {}
-
-    def by_custom(self, token):
-        exact = [(o, m) for f, m, o in self.custom if f == token]
-        if exact:
-            return max(exact)[1]
-        near = []
+        self.exact: dict[str, tuple] = {}
+        self.near: dict[str, tuple] = {}
         for f, m, o in self.custom:
+            self.exact[f] = max(self.exact.get(f, (o, m)), (o, m))
             for form, marked in ((f.lower(), m.lower()), (upper(f[0]) + f[1:], upper(m[0]) + m[1:])):
-                if form == token:
-                    near.append((o, marked))
-        return min(near)[1] if near else None
+                self.near[form] = min(self.near.get(form, (o, marked)), (o, marked))
+
+    def by_custom(self, token):
+        found = self.exact.get(token) or self.near.get(token)
+        return found and found[1]
 
     def by_singletons(self, token):
         if token in self.singletons:
@@ -103,9 +104,8 @@ class Cascade:
         return None
 
     def by_ambiguous(self, token, morph):
-        case = morph.get("Case", [None])[0]
-        fits = sorted((alt, m) for f, alt, m, k in self.ambiguous if f == token and k == case)
-        return fits[0][1] if fits and strip(fits[0][1]) == token else None
+        found = self.ambiguous.get((token, morph.get("Case", [None])[0]))
+        return found[1] if found and strip(found[1]) == token else None
 
     def by_nominal(self, token, lemma, pos, morph):
         if not (token and lemma and pos and morph) or "Dual" in morph.get("Number", []):

@@ -224,3 +224,14 @@ def test_a_run_that_breaks_off_leaves_the_store_whole(spark, tmp_path):
     out = annotations.annotated(docs, tagger(asked), path, buckets=4)
     assert out.count() == 38 and len(stored(spark, path)) == len(set(stored(spark, path))) == 19
     assert asked == [4, 15, 15]
+
+
+def test_reconciled_sinks(spark, tmp_path):
+    own = spark.range(100).selectExpr("id", "CAST(id AS STRING) AS unmarked", "CAST(id AS STRING) AS marked").repartition(5)
+    at = lambda name: lambda df: readers.write_pairs(df, str(tmp_path / name))
+    assert readers.write_reconciled(own, lambda df: df.withColumn("marked", F.lit("x")), at("a")) == (100, 100)
+    with pytest.raises(readers.Unequal, match="100 rows in, 90 rows out"):
+        readers.write_reconciled(own, lambda df: df.where("id >= 10"), at("b"))
+    with pytest.warns(UserWarning, match="100 rows in, 200 rows out"):
+        assert readers.write_reconciled(own, lambda df: df.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))), at("c"), strict=False) == (100, 200)
+    assert spark.read.csv(str(tmp_path / "a"), sep="\t").count() == 100
