@@ -44,6 +44,7 @@ def texts() -> list[tuple[int | None, str | None]]:
     long = "".join(rng.choice("xyz") for _ in range(400))
     rows: list[tuple[int | None, str | None]] = [(k, rng.choice([" ", ", ", "1", "\n", "日"]).join(rng.choice(bag) for _ in range(rng.randint(0, 60)))) for k in range(150)]
     rows += [(900, None), (901, ""), (902, "  "), (903, "Ā Ă"), (None, "gleich gleich gleich"), (904, f"{long} {long} {long}"), (905, f"{long}a {long}a {long}a {long[1:]} {long[1:]} {long[1:]}")]
+    rows += [(950, "abcdefgh " * 24 + "abcdefg " * 8 + "abcdef " * 3)]  # a path of two steps
     return rows + rows[:5]  # repeated rows
 
 
