@@ -531,8 +531,8 @@ def cached_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole cascade on tagged fixtures."""
-    own = frame(spark, x.TAGGED, "token string, lemma string, pos string, morph string").withColumn("morph", rules.parse_morph(c("morph")))
+    """The whole cascade on the corpus' distinct words, tagged, and on tagged fixtures."""
+    own = tagged(spark, sf_dir).where(phonology.open_dichrona(c("token")) > 0).withColumn("morph", rules.parse_morph(c("morph")))
     lex = frame(spark, x.LEXICON, "form string, marked string, ord int")
     lexica = cascade.Lexica(custom=lex, singletons=lex, ambiguous=frame(spark, x.ALTERNATIVES, "form string, alt_id int, marked string, case string"), lsj=lex, ionic=frame(spark, [(w[:-1],) for w in x.IONIC], "stem string"), verse=lex)
     out = cascade.resolve(own, lexica)
