@@ -28,7 +28,7 @@ def syllables(line: Column) -> Column:
 
 def is_closed(syllable: Column) -> Column:
     core = F.regexp_replace(syllable, rf"[_^#€\s'.,;:!?{p.ANO_TELEIA}{p.QUESTION}]", "")
-    return ~core.rlike(f"[{p.VOWELS}]$")
+    return ~F.right(core, F.lit(1)).rlike(p.ranged(f"[{p.VOWELS}]"))
 
 
 def closed_unmarked(all_: Column) -> Column:
