@@ -73,10 +73,14 @@ def write_text(df: DataFrame, path: str, col: str = "text") -> None:
     df.select(col).write.mode("overwrite").text(path)
 
 
+#: Tab-separated values as they are: Spark would trim them by default.
+TSV = {"sep": "\t", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_pairs(df: DataFrame, path: str, perfect: str | None = None, mode: str = "append") -> None:
     """unmarked, marked as TSV; perfect: a column that must be 0."""
     df = df if perfect is None else df.where(F.col(perfect) == 0)
-    df.select("unmarked", "marked").write.mode(mode).csv(path, sep="\t", quote="", escape="")
+    df.select("unmarked", "marked").write.mode(mode).csv(path, quote="", escape="", **TSV)
 
 
 class Unequal(ValueError):
@@ -97,16 +101,16 @@ def write_reconciled(before: DataFrame, change: Callable[[DataFrame], DataFrame]
 
 
 def write_batches(df: DataFrame, path: str) -> None:
-    df.select("batch", "unmarked", "marked").write.mode("overwrite").partitionBy("batch").csv(path, sep="\t", quote="", escape="")
+    df.select("batch", "unmarked", "marked").write.mode("overwrite").partitionBy("batch").csv(path, quote="", escape="", **TSV)
 
 
 def write_stats(df: DataFrame, path: str) -> None:
     """numerator and denominator of each batch."""
-    df.select("batch", "numerator", "denominator").write.mode("overwrite").csv(path, sep="\t")
+    df.select("batch", "numerator", "denominator").write.mode("overwrite").csv(path, **TSV)
 
 
 def write_residue(df: DataFrame, path: str, run_id: str) -> None:
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").csv(path, sep="\t")
+    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").csv(path, **TSV)
 
 
 def write_hits(df: DataFrame, path: str) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import phonology
 from ..functions import text as t
+from ..sources.readers import TSV
 
 
 def read_lines(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -39,7 +40,7 @@ def append_pairs(pairs: DataFrame, path: str, checkpoint: str, then: Callable[[D
     """Append unmarked, marked as TSV; a batch that is run again overwrites its own part only."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.select("unmarked", "marked").write.mode("overwrite").csv(f"{path}/batch={number}", sep="\t", quote="", escape="")
+        batch.select("unmarked", "marked").write.mode("overwrite").csv(f"{path}/batch={number}", quote="", escape="", **TSV)
         if then:
             then(batch, number)
 

@@ -25,3 +25,16 @@ def test_char_inventory_asks_for_runs_not_for_each_character(spark):
     assert out.first()["chars"] == "·☃"
     exploded = re.search(r"Generate explode\((.*)", out._jdf.queryExecution().executedPlan().toString())[1]
     assert exploded.startswith("array_distinct(split(regexp_replace(")
+
+
+def test_pairs_and_batches_keep_blanks_at_the_ends_of_lines(spark, tmp_path):
+    from morae.plans.queries import tsv
+    from morae.sources import readers
+
+    rows = [(0, " αβ ", " α^β "), (0, "γ\u000b", "\u000bγ"), (1, "δε", "δε ")]
+    df = spark.createDataFrame(rows, "batch long, unmarked string, marked string")
+    readers.write_pairs(df, str(tmp_path / "pairs"))
+    assert sorted(map(tuple, tsv(spark, str(tmp_path / "pairs"), "unmarked string, marked string").collect())) == sorted((a, b) for _, a, b in rows)
+    readers.write_batches(df, str(tmp_path / "batches"))
+    got = tsv(spark, str(tmp_path / "batches"), "unmarked string, marked string, batch long").select("batch", "unmarked", "marked").collect()
+    assert sorted(map(tuple, got)) == sorted(rows)
