@@ -38,3 +38,17 @@ def test_pairs_and_batches_keep_blanks_at_the_ends_of_lines(spark, tmp_path):
     readers.write_batches(df, str(tmp_path / "batches"))
     got = tsv(spark, str(tmp_path / "batches"), "unmarked string, marked string, batch long").select("batch", "unmarked", "marked").collect()
     assert sorted(map(tuple, got)) == sorted(rows)
+
+
+def test_marked_words_go_back_without_a_shuffle_of_pieces(spark):
+    from morae.operators import assemble
+
+    docs = spark.createDataFrame([(1, "αβ, γα αβ\nαβ"), (2, "δ"), (3, ""), (4, None)], "doc_id long, text string")
+    marked = spark.createDataFrame([(1, 5, "α^β"), (1, 2, "α_β"), (1, 9, "γα^"), (1, 10, "ζα^"), (1, 11, None)], "doc_id long, pos int, marked string")
+    out = assemble.integrated(docs, marked)
+    assert dict(map(tuple, out.collect())) == {1: "α_β, γα^ α^β\nαβ", 2: "δ"}
+    assert "explode" not in out._jdf.queryExecution().executedPlan().toString()
+    known = spark.createDataFrame([("αβ", "α^β"), ("γα", "γα"), ("δ", "δ_")], "token string, marked string")
+    out = assemble.annotated(docs, known)
+    assert dict(map(tuple, out.collect())) == {1: "α^β, γα α^β\nα^β", 2: "δ_"}
+    assert "posexplode" not in out._jdf.queryExecution().executedPlan().toString()
