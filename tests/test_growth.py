@@ -52,3 +52,42 @@ def test_marked_words_go_back_without_a_shuffle_of_pieces(spark):
     out = assemble.annotated(docs, known)
     assert dict(map(tuple, out.collect())) == {1: "α^β, γα α^β\nα^β", 2: "δ_"}
     assert "posexplode" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terminated_sentences_of_a_long_tail(spark):
+    tail = "a" * 300_000  # letter by letter, each up to the text's end, this took hours
+    rows = {"..a.": ["..", "a."], f"a.{tail}": ["a."], tail: [], ".": [], "b\n;c": ["b\n"], "": [], "ab.c;": ["ab.", "c;"]}
+    df = spark.createDataFrame([(k,) for k in rows], "s string")
+    for s, out in df.select("s", t.terminated_sentences(F.col("s"))).collect():
+        assert out == rows[s]
+
+
+def test_open_syllables_of_a_line_by_one_scan(spark):
+    from morae.operators import evaluate
+
+    df = spark.createDataFrame([("[να_]{τα^ ν}{ξα^.'}[]{^}[κ{α]{αν}β[ ᾳ_#€·}",), ("[α",), ("",), (None,)], "s string")
+    out = df.select(evaluate.open_in_line(F.col("s")).alias("a"), F.coalesce(evaluate.open_count(evaluate.syllables(F.col("s"))), F.lit(-1)).alias("b")).collect()
+    assert [r["a"] for r in out[:3]] == [r["b"] for r in out[:3]] == [4, 0, 0]
+    from morae.plans.queries import queries
+
+    assert "transform" not in queries()["all_short_count"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_counted_before_they_are_asked(spark):
+    from morae.plans.queries import queries
+
+    for name in ("drop_reason_counts", "lexicon_build_last_wins"):
+        assert "hashpartitioning(word" in queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_a_language_lie_in_several_files(spark, tmp_path, monkeypatch):
+    from morae.plans import queries as q
+
+    whole = sorted(map(tuple, q.lines_round_trip(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(q, "scratch", lambda _: str(tmp_path / "out"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted(map(tuple, q.lines_round_trip(spark, "/root/testdata/sf0.001").collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "out").glob("lang=en/*.txt"))) > 1
