@@ -50,6 +50,12 @@ def open_count(all_: Column) -> Column:
     return F.size(F.filter(all_, lambda s: ~is_closed(s))).cast("long")
 
 
+def open_in_line(line: Column) -> Column:
+    """The `open_count` of a line's syllables, by one scan: brackets whose last letter but signs and blanks is a vowel."""
+    sign = rf"[_^#€\s'.,;:!?{p.ANO_TELEIA}{p.QUESTION}]"
+    return F.regexp_count(line, F.lit(p.ranged(rf"[{{\[][^}}\]]*[{p.VOWELS}]") + rf"{sign}*[}}\]]")).cast("long")
+
+
 def stripped_gold(line: Column) -> Column:
     """Without marks and brackets."""
     return F.translate(line, "^_[]{}", "")
