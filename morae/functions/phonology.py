@@ -19,7 +19,7 @@ def classes(col: Column) -> Column:
 
 def open_dichrona(col: Column) -> Column:
     """The number of unmarked vowels of doubtful length in open syllables: the objective of the engine."""
-    return F.regexp_count(classes(col), F.lit(p.coded("D(?!CC)"))).cast("long")
+    return (F.regexp_count(F.concat(mapped(col, p.CODES), F.lit(p.LAST)), F.lit(p.OPEN)) - 1).cast("long")
 
 
 def syllables(col: Column) -> Column:

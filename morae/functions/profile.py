@@ -158,3 +158,8 @@ CLASSES: list[tuple[str, str]] = [
     (coded("[AUIYD]"), coded("D")),
     (coded("[EHOWJQ]"), coded("V")),
 ]
+
+#: One scan of the codes that says what CLASSES and a count of D(?!CC) say: a match is what lies before an open vowel of doubtful length, and the
+#: vowel. A text gets LAST behind it, one match more, so that no try ends without one and begins again within a diphthong. Passed over are what begins no diphthong, marked vowels, diphthongs without marks, and doubtful vowels before two consonants.
+LAST = coded(" D")
+OPEN = coded("(?:[^AEHOWUIYD]++|[AEHOWUIYD][_^]|(?:[AEOU][IJ]|[AEHOW][UYQ])(?![_^])|[EHOW]|[AUIYD](?=Z|C[_^]*[CZ]))*+[AUIYD]")

@@ -1,11 +1,17 @@
 """Work that grows with the input: shapes of plans and of patterns that keep it in proportion, and results that are the same."""
 
+import itertools
 import re
 
 from pyspark.sql import functions as F
 
+from morae.functions import phonology
 from morae.functions import profile as p
 from morae.functions import text as t
+from morae.operators import alignment, evaluate
+from morae.plans import gold_text
+
+c = F.col
 
 
 def test_ranged_classes_match_the_same(spark):
@@ -97,3 +103,50 @@ def test_next_words_are_found_in_their_row(spark):
     from morae.plans.queries import queries
 
     assert "Window" not in queries()["next_word_openness"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_open_dichrona_is_one_scan(spark):
+    """Counted by one regular expression over the codes, not by rewriting the text class by class."""
+    kinds = [chars[0] for chars in p._KINDS.values()] + ["_", "^", " ", "\x0f", "x"]
+    words = ["".join(w) for n in (1, 2, 3) for w in itertools.product(kinds, repeat=n)] + ["ευ", "κ", "ααιυα_ι", ""]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    steps = F.regexp_count(phonology.classes(c("w")), F.lit(p.coded("D(?!CC)"))).cast("long")
+    assert df.where(steps != phonology.open_dichrona(c("w"))).isEmpty()
+    plan = df.select(phonology.open_dichrona(c("w")))._jdf.queryExecution().toString()
+    assert "regexp_replace" not in plan
+
+
+def test_gold_lines_without_regular_expressions(spark):
+    """Brackets are set at once over the letters of many texts, as the patterns would line by line."""
+    texts = ["Strata, a b.\nla [x] αβγ", "", None, "aa\n\nα.\n", "th𝔸e b\rα", "\n", "a", "αβ", "ςα ςε jq"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", F.posexplode(F.split(t.transliterated(c("text")), "\n")).alias("n", "line"))
+    line = F.regexp_replace(F.regexp_replace(F.translate("line", "[]{}", ""), "([βγδζθκλμνξπρσςτφχψ]*)([αιυ])", "{$1$2^}"), "([βγδζθκλμνξπρσςτφχψ]*)([εηοω])", "[$1$2_]")
+    want = df.select("k", "n", F.concat(F.regexp_replace(line, "α\\^[}]([ .,])", "α_}#$1"), F.lit("€")))
+    own = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", F.posexplode(F.split(gold_text.bracketed(F.lower("text")), "\n")))
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_vowel_scores_make_no_row_of_each_letter(spark):
+    df = spark.createDataFrame([("f", "α^β_ι", "α^β^ι_"), ("f", "_αυ", "α__υ^"), ("f", "αβ", "α^γ"), ("f", None, "α^"), ("g", "", ""), ("f", "ι_", "ι_")], "f string, o string, g string")
+    out = evaluate.vowel_scores(df, "o", "g", "f")
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    kinds = ["short_right", "short_total", "long_right", "long_total"]
+    assert {(r["f"], *(r[k] for k in kinds)) for r in out.collect()} == {("f", 1, 3, 1, 3), (None, 1, 3, 1, 3)}
+
+
+def test_alignment_tries_no_size_beyond_the_block_beside(monkeypatch):
+    tried, keys = [], alignment._keys
+    monkeypatch.setattr(alignment, "_keys", lambda own, low, high, size: tried.append(int(size.max())) or keys(own, low, high, size))
+    line = "".join(f"αβ{chr(0x4E00 + k)}" for k in range(300))
+    found = alignment.blocks([line], [line.replace("β", "γ")])
+    assert int(found[3].sum()) == 600 and max(tried[20:]) <= 2
+
+
+def test_words_by_one_scan_and_runs_by_a_set(spark):
+    texts = ["".join(chr(k) for k in range(1, 0x3100) if not 0xD800 <= k < 0xE000), "", None, "a b  a-c 𝔸.d", " . "]
+    df = spark.createDataFrame([(x,) for x in texts], "s string")
+    broken = F.filter(F.split(F.regexp_replace("s", f"[{p.escaped(p.WORD_BREAKS)}]", " "), r"(?U)\s+"), lambda w: w != "")
+    assert all(r["a"] == r["b"] for r in df.select(broken.alias("a"), t.word_list(c("s")).alias("b")).collect())
+    own = df.select(t.agreeing(F.split("s", "[ -]"), t.word_list(c("s"))).alias("x"))
+    assert "array_contains" not in own._jdf.queryExecution().optimizedPlan().toString()
+    assert own.collect()[3]["x"] == ["a", "b", "a", "c"] and own.collect()[2]["x"] is None
