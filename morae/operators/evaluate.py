@@ -26,9 +26,12 @@ def syllables(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(r"[\{\[]([^\}\]]+)[\}\]]"), F.lit(1))
 
 
+SIGN = rf"[_^#€\s'.,;:!?{p.ANO_TELEIA}{p.QUESTION}]"
+
+
 def is_closed(syllable: Column) -> Column:
-    core = F.regexp_replace(syllable, rf"[_^#€\s'.,;:!?{p.ANO_TELEIA}{p.QUESTION}]", "")
-    return ~F.right(core, F.lit(1)).rlike(p.ranged(f"[{p.VOWELS}]"))
+    """Whether the last letter but signs and blanks isn't a vowel."""
+    return ~syllable.rlike(p.ranged(f"[{p.VOWELS}]") + SIGN + r"*\z")
 
 
 def closed_unmarked(all_: Column) -> Column:
@@ -52,8 +55,7 @@ def open_count(all_: Column) -> Column:
 
 def open_in_line(line: Column) -> Column:
     """The `open_count` of a line's syllables, by one scan: brackets whose last letter but signs and blanks is a vowel."""
-    sign = rf"[_^#€\s'.,;:!?{p.ANO_TELEIA}{p.QUESTION}]"
-    return F.regexp_count(line, F.lit(p.ranged(rf"[{{\[][^}}\]]*[{p.VOWELS}]") + rf"{sign}*[}}\]]")).cast("long")
+    return F.regexp_count(line, F.lit(p.ranged(rf"[{{\[][^}}\]]*[{p.VOWELS}]") + rf"{SIGN}*[}}\]]")).cast("long")
 
 
 def stripped_gold(line: Column) -> Column:
@@ -72,16 +74,40 @@ def line_match(a: Column, b: Column) -> Column:
 
 def vowel_scores(df: DataFrame, output: str, gold: str, *by: str) -> DataFrame:
     """Success rates of short, long and both marks, by group and overall (rollup): marks letter by letter where bases agree."""
-    pairs = F.arrays_zip(marks.cells(F.col(output)).alias("o"), marks.cells(F.col(gold)).alias("g"))
-    own = df.where(line_match(F.col(output), F.col(gold))).select(*by, F.explode(pairs).alias("x")).select(*by, F.substr("x.o", F.lit(2)).alias("o"), F.substr("x.g", F.lit(2)).alias("g")).where("g <> ''")
-    right = lambda mark: F.sum(F.when((F.col("g") == mark) & (F.col("o") == mark), 1).otherwise(0))
-    total = lambda mark: F.sum(F.when(F.col("g") == mark, 1).otherwise(0))
-    out = own.rollup(*by).agg(right("^").alias("short_right"), total("^").alias("short_total"), right("_").alias("long_right"), total("_").alias("long_total"))
+    kinds = ["short_right", "short_total", "long_right", "long_total"]
+    own = df.where(line_match(F.col(output), F.col(gold))).select(*by, F.pandas_udf(_vowel_marks, ", ".join(f"{k} long" for k in kinds))(F.col(output), F.col(gold)).alias("x"))
+    out = own.where("x.short_total + x.long_total > 0").rollup(*by).agg(*(F.sum(f"x.{k}").alias(k) for k in kinds))
     rate = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     c = F.col
     return out.withColumns({"short_rate": rate(c("short_right"), c("short_total")), "long_rate": rate(c("long_right"), c("long_total")), "both_rate": rate(c("short_right") + c("long_right"), c("short_total") + c("long_total"))})
 
 
+def _vowel_marks(output: pd.Series, gold: pd.Series) -> pd.DataFrame:
+    """Lines that are equal but for marks: of both, the first mark behind every letter, compared for many lines at once."""
+    output, gold = output.tolist(), gold.tolist()
+    size = np.cumsum([len(x) + 1 for x in gold])
+    cut = [0, *(np.flatnonzero(np.diff(size // LETTERS_AT_ONCE)) + 1).tolist(), len(gold)]
+    found = [np.zeros((0, 4), np.int64)]
+    for low, high in zip(cut, cut[1:], strict=False):
+        if low == high:
+            continue
+        _, own = _letters_and_marks(output[low:high])
+        ends, real = _letters_and_marks(gold[low:high])
+        of = lambda mark: np.stack([(real == ord(mark)) & (own == ord(mark)), real == ord(mark)])
+        sums = np.cumsum(np.concatenate([of(p.SHORT), of(p.LONG)]), 1, dtype=np.int64)[:, ends]
+        found.append(np.diff(sums, axis=1, prepend=0).T)
+    return pd.DataFrame(np.concatenate(found), columns=["short_right", "short_total", "long_right", "long_total"])
+
+
+def _letters_and_marks(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the letters that end lines, line feeds of our own, and the mark behind each letter, or another number."""
+    code = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters = ~np.isin(code, [ord(m) for m in p.MARKS])
+    at = np.flatnonzero(letters)
+    ends = np.cumsum([len(x) + 1 for x in lines]) - 1
+    return np.cumsum(letters)[ends] - 1, np.append(code, 0)[at + 1]
+
+
 SCORE = "expected long, correct long"
 POINTED = "expected long, correct long, short_total long, short_right long, long_total long, long_right long"
 
