@@ -52,21 +52,32 @@ def _keys(own: Letters, low: np.ndarray, high: np.ndarray, size: np.ndarray) ->
 
 def _shared(keys: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Which keys are among the others."""
-    table = np.sort(others)
-    at = np.searchsorted(table, keys)
-    at[at == len(table)] = 0
-    return table[at] == keys if len(table) else np.zeros(len(keys), bool)
+    if not len(keys) or not len(others):
+        return np.zeros(len(keys), bool)
+    # a table of bits by the keys' first ones leaves few to sort
+    bits = 64 - max(12, min(22, int(4 * len(others)).bit_length()))
+    seen = np.zeros(1 << (64 - bits), bool)
+    seen[others >> U(bits)] = True
+    maybe = np.flatnonzero(seen[keys >> U(bits)])
+    asked = np.zeros(len(seen), bool)
+    asked[keys[maybe] >> U(bits)] = True
+    table = np.sort(others[asked[others >> U(bits)]])
+    out = np.zeros(len(keys), bool)
+    if len(maybe):
+        own = keys[maybe]
+        out[maybe] = table[np.minimum(np.searchsorted(table, own), len(table) - 1)] == own
+    return out
 
 
 def blocks(first: list[str], second: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """line, begin in the first, begin in the second, length of all matching blocks, in no order."""
     a, b = Letters(first), Letters(second)
     line = np.arange(len(first))
-    ranges = np.stack([line, a.at[:-1], a.at[1:], b.at[:-1], b.at[1:]])
+    ranges = np.stack([line, a.at[:-1], a.at[1:], b.at[:-1], b.at[1:], np.diff(a.at)])  # no block is longer than the one beside it
     found = []
     while ranges.shape[1]:
-        line, alo, ahi, blo, bhi = ranges
-        low, high = np.zeros(len(line), np.int64), np.minimum(ahi - alo, bhi - blo)
+        line, alo, ahi, blo, bhi, most = ranges
+        low, high = np.zeros(len(line), np.int64), np.minimum(np.minimum(ahi - alo, bhi - blo), most)
         while len(open_ := np.flatnonzero(low < high)):
             middle = (low[open_] + high[open_] + 1) // 2
             _, who, keys = _keys(a, alo[open_], ahi[open_], middle)
@@ -78,7 +89,7 @@ def blocks(first: list[str], second: list[str]) -> tuple[np.ndarray, np.ndarray,
         own = np.flatnonzero(low > 0)
         if not len(own):
             break
-        line, alo, ahi, blo, bhi = ranges[:, own]
+        line, alo, ahi, blo, bhi, _ = ranges[:, own]
         size = low[own]
         at, who, keys = _keys(a, alo, ahi, size)
         there, whose, others = _keys(b, blo, bhi, size)
@@ -89,7 +100,7 @@ def blocks(first: list[str], second: list[str]) -> tuple[np.ndarray, np.ndarray,
         _, one = np.unique(whose[same], return_index=True)
         j = there[same][one]
         found.append(np.stack([line, i - a.at[line], j - b.at[line], size]))
-        sides = [np.stack([line, alo, i, blo, j]), np.stack([line, i + size, ahi, j + size, bhi])]
+        sides = [np.stack([line, alo, i, blo, j, size]), np.stack([line, i + size, ahi, j + size, bhi, size])]
         ranges = np.concatenate(sides, 1)
         ranges = ranges[:, (ranges[1] < ranges[2]) & (ranges[3] < ranges[4])]
     empty = np.zeros((4, 0), np.int64)
