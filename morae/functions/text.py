@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,12 @@ ENDS = ".\n;\u037e"
 TERMINATED = "(?s).[^.\\n;\u037e]*+[.\\n;\u037e]?+"
 
 
+#: all that is neither a break nor white space, spelled as ranges, Greek letters first
+_BREAKS = sorted({*map(ord, p.WORD_BREAKS), *range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000})
+_BETWEEN = [(low + 1, high - 1) for low, high in zip([-1, *_BREAKS], [*_BREAKS, 0x110000], strict=True) if high - low > 1]
+WORD = "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in sorted(_BETWEEN, key=lambda x: (x[0] < 0x370, x))) + "]++"
+
+
 def once(value: Column) -> Column:
     """A value that the optimiser can't copy into every expression that uses it."""
     return F.explode(F.array(value))
@@ -62,8 +69,7 @@ def premarked(col: Column, glue: bool = False) -> Column:
 
 
 def word_list(col: Column) -> Column:
-    broken = F.regexp_replace(col, f"[{p.escaped(p.WORD_BREAKS)}]", " ")
-    return F.filter(F.split(broken, r"(?U)\s+"), lambda w: w != "")
+    return F.regexp_extract_all(col, F.lit(WORD), F.lit(0))
 
 
 def words(col: Column) -> Column:
@@ -156,7 +162,13 @@ def drop_reason(token: Column, stop: list[str] | None = None, odd: Column | None
 
 def agreeing(runs: Column, words: Column) -> Column:
     """The runs that are words of a list too, both of one text."""
-    return let(F.array_except(runs, words), lambda odd: F.filter(runs, lambda w: ~F.array_contains(odd, w)))
+    return F.pandas_udf(_agreeing, "array<string>")(runs, words)
+
+
+def _agreeing(runs: pd.Series, words: pd.Series) -> pd.Series:
+    """By a set of the list, so a text costs its length."""
+    known = (None if own is None else set(own) for own in words)
+    return pd.Series([None if all_ is None or own is None else [x for x in all_ if x in own] for all_, own in zip(runs, known, strict=True)], dtype=object)
 
 
 def even_chunks(col: Column, n: int) -> Column:
