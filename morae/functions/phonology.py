@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,8 +102,54 @@ def open_in_synapheia(syllable: Column, is_last: Column, following: Column) -> C
 
 def openness(words: Column) -> Column:
     """Whether each syllable of the words, end to end, is open: a word's last one looks at the first of the next word."""
-    parts = F.flatten(F.transform(words, lambda w: let(syllables(w), lambda own: F.transform(own, lambda s, i: F.struct(s.alias("s"), (i == F.size(own) - 1).alias("last"))))))
-    return let(parts, lambda own: F.transform(own, lambda x, i: open_in_synapheia(x["s"], x["last"], F.get(own, i + 1)["s"])))
+    return F.transform(F.filter(F.split(openness_signs(words), ""), lambda x: x != ""), lambda x: x == "o")
+
+
+def openness_signs(words: Column) -> Column:
+    """`openness` as a string: o for an open syllable, c for a closed one. Words are cut to syllables once a task."""
+    return F.pandas_udf(_openness, "string")(words)
+
+
+_SYLLABLE, _VOWEL, _CLUSTER = re.compile(SYLLABLE), re.compile(f"[{p.VOWELS}]"), re.compile(f"{C}{C}|[{p.DOUBLE}]")
+_VOWEL_END, _ONE_CONSONANT = re.compile(f"[{p.VOWELS}]$"), re.compile(f"[{p.VOWELS}][{p.CONSONANTS}]$")
+_UNMARKED = str.maketrans("", "", p.MARKS + "'")
+WORDS_AT_ONCE = 1 << 18
+
+
+def _spoken(word: str) -> tuple[str, str, int] | None:
+    """The signs of a word's syllables but the last; that of the last one before a vowel or nothing, before consonants that close, and before another
+    beginning; which of these the word itself begins with."""
+    own = _SYLLABLE.findall(word)
+    if not own:
+        return None
+    bare = [s.translate(_UNMARKED) for s in own]
+    vowel, one = bool(_VOWEL_END.search(bare[-1])), bool(_ONE_CONSONANT.search(bare[-1]))
+    first = 0 if _VOWEL.match(own[0]) else 1 if _CLUSTER.match(own[0]) else 2
+    return "".join("o" if _VOWEL_END.search(s) else "c" for s in bare[:-1]), "".join("o" if x else "c" for x in (vowel or one, False, vowel)), first
+
+
+def _openness(texts: pd.Series) -> pd.Series:
+    known: dict[str, tuple[str, str, int] | None] = {}
+    out: list[str | None] = []
+    for words in texts:
+        if words is None:
+            out.append(None)
+            continue
+        if len(known) > WORDS_AT_ONCE:
+            known.clear()
+        signs: list[str] = []
+        last = ""
+        for word in words:
+            if word not in known:
+                known[word] = _spoken(word)
+            own = known[word]
+            if own is not None:
+                if last:
+                    signs.append(last[own[2]])
+                signs.append(own[0])
+                last = own[1]
+        out.append("".join(signs) + last[:1])
+    return pd.Series(out, dtype=object)
 
 
 def bare_letters(col: Column) -> Column:
