@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +20,7 @@ def ratio(difference: Column, before: Column) -> Column:
 
 #: what names are made of: runs of letters, digits and low lines, and what stands between them
 NAME_PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+NAME_RUN = r"[\p{L}\p{N}_]+"
 NAME_WORD = r"^[\p{L}\p{N}_]"
 
 
@@ -28,30 +30,36 @@ def name_places(texts: DataFrame, names: DataFrame, key: str, text: str) -> Data
     the least).
 
     names: name[, ord]; one of several words stands in the text with the same signs between them. Names that don't begin and end in a word
-    are never found. A text's pieces meet the names' first words by an equi-join; only the texts and places that have one meet the
-    other pieces of longer names, by place.
+    are never found. A text's distinct words meet the names' first words by an equi-join, whose names' size is known, and the names that may stand in it
+    go back to the text as one row; neither its pieces nor their places are shuffled.
     """
     pieces = F.regexp_extract_all("name", F.lit(NAME_PIECE), F.lit(0))
     order = F.col("ord").cast("long") if "ord" in names.columns else -F.char_length("name").cast("long")
     own = names.where(F.col("name").rlike(NAME_WORD) & F.col("name").rlike(r"[\p{L}\p{N}_]$")).groupBy("name").agg(F.min(order).alias("order"))
-    own = own.select("name", "order", pieces.alias("own")).withColumn("n", F.size("own"))
-    spelled = texts.select(F.col(key).alias("_key"), F.posexplode(F.regexp_extract_all(text, F.lit(NAME_PIECE), F.lit(0))).alias("at", "piece"))
-    met = spelled.join(own.select(F.get("own", F.lit(0)).alias("piece"), "name", "order", "n"), "piece").select("_key", "at", "name", "order", "n")
-    longer = met.where("n > 1")
-    rest = own.where("n > 1").select("name", F.posexplode("own").alias("k", "piece")).where("k > 0")
-    asked = longer.join(rest, "name").select("_key", "name", "order", "n", F.col("at").alias("begin"), (F.col("at") + F.col("k")).alias("at"), "piece")
-    whole = asked.join(spelled, ["_key", "at", "piece"]).groupBy("_key", "begin", "name", "order", "n").agg(F.count("*").alias("found")).where("found = n - 1")
-    hits = met.where("n = 1").select("_key", F.col("at").alias("begin"), "order", "name", "n").unionByName(whole.select("_key", "begin", "order", "name", "n"))
-    best = hits.groupBy("_key", "begin").agg(F.min(F.struct("order", "name", "n")).alias("best")).select("_key", F.struct(F.col("begin").alias("at"), F.col("best.n").alias("n")).alias("place"))
-    kind = "array<struct<at:int,n:int>>"
-
-    def taken(acc: Column, x: Column) -> Column:
-        free = x["at"] >= acc["end"]
-        return F.struct(F.when(free, x["at"] + x["n"]).otherwise(acc["end"]).alias("end"), F.when(free, F.concat(acc["all"], F.array(x))).otherwise(acc["all"]).alias("all"))
-
-    zero = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("all"))
-    sorted_ = best.groupBy("_key").agg(F.array_sort(F.collect_list("place")).cast(kind).alias("places"))
-    return sorted_.select(F.col("_key").alias(key), F.aggregate("places", zero, taken, lambda acc: acc["all"]).alias("places"))
+    own = kept(own.select("name", "order", pieces.alias("own")).withColumn("word", F.get("own", F.lit(0))))
+    words = texts.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(NAME_RUN), F.lit(0)))).alias("word"))
+    met = words.join(own, "word").groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("order", "name", "own"))).alias("_names"))
+    asked = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(met, "_key")
+    at = F.pandas_udf(_places, "at array<int>, n array<int>")(F.regexp_extract_all("_text", F.lit(NAME_PIECE), F.lit(0)), F.col("_names.own"))
+    return asked.select(F.col("_key").alias(key), once(at).alias("_at")).select(key, F.arrays_zip(F.col("_at.at").alias("at"), F.col("_at.n").alias("n")).alias("places")).where(F.size("places") > 0)
+
+
+def _places(texts: pd.Series, names: pd.Series) -> pd.DataFrame:
+    """names: each as its pieces, in the order in which they are tried."""
+    out: list[tuple[list[int], list[int]]] = []
+    for pieces, all_ in zip(texts, names, strict=True):
+        own, by_first = pieces.tolist(), {}
+        for name in all_:
+            by_first.setdefault(name[0], []).append(name.tolist())
+        at, n, end = [], [], 0
+        for k in [k for k, piece in enumerate(own) if piece in by_first]:
+            found = k >= end and next((len(name) for name in by_first[own[k]] if own[k : k + len(name)] == name), 0)
+            if found:
+                at.append(k)
+                n.append(found)
+                end = k + found
+        out.append((at, n))
+    return pd.DataFrame(out, columns=["at", "n"])
 
 
 def _cut(pieces: Column, places: Column) -> Column:
