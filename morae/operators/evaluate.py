@@ -72,40 +72,67 @@ def line_match(a: Column, b: Column) -> Column:
     return marks.stripped(a) == marks.stripped(b)
 
 
+VOWELS = "short_right long, short_total long, long_right long, long_total long"
+
+
 def vowel_scores(df: DataFrame, output: str, gold: str, *by: str) -> DataFrame:
-    """Success rates of short, long and both marks, by group and overall (rollup): marks letter by letter where bases agree."""
+    """Success rates of short, long and both marks, by group and overall (rollup): marks letter by letter where bases agree. output, gold: lines, or
+    whole texts."""
+    return success(df.select(*by, F.pandas_udf(vowel_marks, VOWELS)(output, gold).alias("x")), "x", *by)
+
+
+def success(df: DataFrame, counts: str, *by: str) -> DataFrame:
+    """`vowel_scores` of what `vowel_marks` counts (VOWELS). Groups without marks are left out after they are summed: a condition on what Python returns is asked
+    where the table is read, a second time, and before its rows are dealt."""
     kinds = ["short_right", "short_total", "long_right", "long_total"]
-    own = df.where(line_match(F.col(output), F.col(gold))).select(*by, F.pandas_udf(_vowel_marks, ", ".join(f"{k} long" for k in kinds))(F.col(output), F.col(gold)).alias("x"))
-    out = own.where("x.short_total + x.long_total > 0").rollup(*by).agg(*(F.sum(f"x.{k}").alias(k) for k in kinds))
+    out = df.rollup(*by).agg(*(F.sum(f"{counts}.{k}").alias(k) for k in kinds)).where("short_total + long_total > 0")
     rate = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     c = F.col
     return out.withColumns({"short_rate": rate(c("short_right"), c("short_total")), "long_rate": rate(c("long_right"), c("long_total")), "both_rate": rate(c("short_right") + c("long_right"), c("short_total") + c("long_total"))})
 
 
-def _vowel_marks(output: pd.Series, gold: pd.Series) -> pd.DataFrame:
-    """Lines that are equal but for marks: of both, the first mark behind every letter, compared for many lines at once."""
-    output, gold = output.tolist(), gold.tolist()
+_UNMARKED = str.maketrans("", "", p.MARKS)
+
+
+def vowel_marks(output: pd.Series, gold: pd.Series) -> pd.DataFrame:
+    """Of texts that are equal but for marks: of both, the first mark behind every letter, compared for many texts at once. Others count nothing, nor does
+    a mark at the beginning of a line."""
+    counts = np.zeros((len(gold), 4), np.int64)
+    known = np.flatnonzero((output.notna() & gold.notna()).to_numpy())
+    output, gold = output.to_numpy()[known].tolist(), gold.to_numpy()[known].tolist()
     size = np.cumsum([len(x) + 1 for x in gold])
     cut = [0, *(np.flatnonzero(np.diff(size // LETTERS_AT_ONCE)) + 1).tolist(), len(gold)]
-    found = [np.zeros((0, 4), np.int64)]
     for low, high in zip(cut, cut[1:], strict=False):
         if low == high:
             continue
-        _, own = _letters_and_marks(output[low:high])
-        ends, real = _letters_and_marks(gold[low:high])
-        of = lambda mark: np.stack([(real == ord(mark)) & (own == ord(mark)), real == ord(mark)])
-        sums = np.cumsum(np.concatenate([of(p.SHORT), of(p.LONG)]), 1, dtype=np.int64)[:, ends]
-        found.append(np.diff(sums, axis=1, prepend=0).T)
-    return pd.DataFrame(np.concatenate(found), columns=["short_right", "short_total", "long_right", "long_total"])
-
-
-def _letters_and_marks(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of the letters that end lines, line feeds of our own, and the mark behind each letter, or another number."""
-    code = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    letters = ~np.isin(code, [ord(m) for m in p.MARKS])
+        rows = known[low:high]
+        of_output, of_gold = _letters_and_marks(output[low:high]), _letters_and_marks(gold[low:high])
+        if not all(map(np.array_equal, of_output[:2], of_gold[:2])):
+            same = [k for k in range(low, high) if output[k].translate(_UNMARKED) == gold[k].translate(_UNMARKED)]
+            if not same:
+                continue
+            rows = known[same]
+            of_output, of_gold = _letters_and_marks([output[k] for k in same]), _letters_and_marks([gold[k] for k in same])
+        ends, letters, real = of_gold
+        own = of_output[2]
+        real[letters == ord("\n")] = 0
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        for kind, mark in ((0, p.SHORT), (2, p.LONG)):
+            wanted = real == ord(mark)
+            counts[rows, kind] = np.add.reduceat(wanted & (own == ord(mark)), begins, dtype=np.int64)
+            counts[rows, kind + 1] = np.add.reduceat(wanted, begins, dtype=np.int64)
+    return pd.DataFrame(counts, columns=["short_right", "short_total", "long_right", "long_total"])
+
+
+def _letters_and_marks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of the letters that end texts, line feeds of our own, all letters, and the mark behind each, or another number."""
+    code = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters = np.ones(len(code), bool)
+    for mark in p.MARKS:
+        letters &= code != ord(mark)
     at = np.flatnonzero(letters)
-    ends = np.cumsum([len(x) + 1 for x in lines]) - 1
-    return np.cumsum(letters)[ends] - 1, np.append(code, 0)[at + 1]
+    ends = np.cumsum([len(x) + 1 for x in texts]) - 1
+    return np.cumsum(letters)[ends] - 1, code[at], np.append(code, np.uint32(0))[at + 1]
 
 
 SCORE = "expected long, correct long"
