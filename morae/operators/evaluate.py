@@ -150,7 +150,7 @@ def backward(output: Column, gold: Column, literal: bool = False) -> Column:
     return F.pandas_udf(lambda a, b: _backward(a, b, literal), POINTED)(output, gold)
 
 
-LETTERS_AT_ONCE = 1 << 18
+LETTERS_AT_ONCE, SHORT = 1 << 18, 24
 
 
 def _alignment(output: pd.Series, gold: pd.Series) -> pd.DataFrame:
@@ -161,7 +161,7 @@ def _alignment(output: pd.Series, gold: pd.Series) -> pd.DataFrame:
     expected = np.array([sum(b.count(m) for m in p.MARKS) for b in gold], np.int64)
     correct = np.zeros(len(gold), np.int64)
     for low, high in zip(cut, cut[1:], strict=False):
-        line, _, begin, n = alignment_of.blocks(output[low:high], gold[low:high])
+        line, _, begin, n = alignment_of.blocks(output[low:high], gold[low:high], SHORT)
         own = alignment_of.Letters(gold[low:high])
         marks_before = np.concatenate([[0], np.cumsum(np.isin(own.letters, [ord(m) for m in p.MARKS]))])
         np.add.at(correct, low + line, marks_before[own.at[line] + begin + n] - marks_before[own.at[line] + begin])
