@@ -141,7 +141,7 @@ POINTED = "expected long, correct long, short_total long, short_right long, long
 
 def alignment(output: Column, gold: Column) -> Column:
     """Marks in the gold line (expected), and those of them inside blocks that the output matches (correct)."""
-    return F.pandas_udf(_alignment, SCORE)(output, gold)
+    return F.pandas_udf(aligned, SCORE)(output, gold)
 
 
 def backward(output: Column, gold: Column, literal: bool = False) -> Column:
@@ -153,7 +153,7 @@ def backward(output: Column, gold: Column, literal: bool = False) -> Column:
 LETTERS_AT_ONCE, SHORT = 1 << 18, 24
 
 
-def _alignment(output: pd.Series, gold: pd.Series) -> pd.DataFrame:
+def aligned(output: pd.Series, gold: pd.Series) -> pd.DataFrame:
     """Lines are compared together, as many as have about so many letters."""
     output, gold = output.fillna("").tolist(), gold.fillna("").tolist()
     size = np.cumsum([len(a) + len(b) for a, b in zip(output, gold, strict=True)])
